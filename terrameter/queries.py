@@ -1,15 +1,488 @@
-"""Queries of the measuring engine and the SQL that checks them."""
+"""Queries of the measuring engine over the driver's tables, each with SQL for another engine.
+
+Every query runs over whole tables.  Floats are rounded on both sides, because the last digits of
+sums depend on their order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import adapters as a
+from .functions import expr
+from .functions.crs import WGS84_WKT
+from .functions.vincenty_sql import distance_sql, with_distance
+from .model import Limits
+from .operators.measure import measure_features
+from .plans.dataset import component_count, status_counts
+from .plans.store import failure_record, feature_checks, http_status, keyset_page, measurement_payload
+from .sources.files import format_of
+from .sources.jsonl import strict_problem
+from .sources.shapefile import CPG_CODECS, shape_kind
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _out_of_bounds(lon: str = "lon", lat: str = "lat") -> str:
+    return f"{lon} NOT BETWEEN -180 AND 180 OR {lat} NOT BETWEEN -90 AND 90"
+
+
+# ---- predicates on positions, lines and rings
+
+
+@query(f"SELECT kind, key, (lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90) AS valid, lon, lat FROM {a.POINTS_SQL}")
+def point_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.array("lon", "lat")
+    return a.points(spark, sf_dir).select("kind", "key", (expr.valid_position(p) & expr.in_wgs84(p)).alias("valid"), "lon", "lat")
+
+
+@query(f"""SELECT key, count(*)::BIGINT AS vertices, count(DISTINCT (lon, lat))::BIGINT AS distinct_vertices, count(DISTINCT (lon, lat)) < 2 AS degenerate,
+       bool_or({_out_of_bounds()}) AS outside FROM {a.VERTICES_SQL} GROUP BY key""")
+def line_degenerate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = a.vertices(spark, sf_dir).groupBy("key").agg(F.count("*").alias("vertices"), F.size(F.collect_set(F.struct("lon", "lat"))).cast("bigint").alias("distinct_vertices"), F.bool_or(F.expr(_out_of_bounds())).alias("outside"))
+    return rows.withColumn("degenerate", F.col("distinct_vertices") < 2)
+
+
+@query(f"SELECT key, key % 17 <> 0 AS closed, size > 0 AND key % 17 <> 0 AS valid, (CASE WHEN key % 17 = 0 THEN 4 ELSE 5 END)::BIGINT AS positions, (CASE WHEN key % 3 = 0 THEN 2 ELSE 1 END)::BIGINT AS rings FROM {a.SQUARES_SQL}")
+def ring_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shell = F.col("rings")[0]
+    closed = F.element_at(shell, 1) == F.element_at(shell, -1)
+    return a.squares(spark, sf_dir).select("key", closed.alias("closed"), expr.valid_ring(shell).alias("valid"), F.size(shell).cast("bigint").alias("positions"), F.size("rings").cast("bigint").alias("rings"))
+
+
+@query(f"""SELECT key, round(CASE WHEN key % 17 = 0 THEN NULL WHEN key % 19 = 0 THEN 0 ELSE (x1 - x0) * (y1 - y0) END, 9) AS shell_area,
+       CASE WHEN key % 17 = 0 THEN NULL WHEN key % 19 = 0 THEN 'degenerate' ELSE 'hole' END AS shell_role,
+       CASE WHEN key % 3 = 0 THEN round(-(hx1 - hx0) * (hy1 - hy0), 9) END AS inner_area, CASE WHEN key % 3 = 0 THEN 'shell' END AS inner_role FROM {a.SQUARES_SQL}""")
+def ring_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed shoelace areas about the first vertex; clockwise (negative) rings are shells by the file format."""
+
+    def area(ring):
+        x0, y0 = ring[0][0], ring[0][1]
+        n = F.size(ring)
+        ahead = F.zip_with(F.slice(ring, F.lit(1), n - 1), F.slice(ring, F.lit(2), n - 1), lambda p, q: (p[0] - x0) * (q[1] - y0) - (q[0] - x0) * (p[1] - y0))
+        return F.round(expr.compensated_sum(ahead) / 2, 9)
+
+    role = lambda v: F.when(F.abs(v) <= 1e-9, "degenerate").when(v < 0, "shell").when(v > 0, "hole")
+    rows = a.squares(spark, sf_dir).select("key", F.when(F.col("key") % 17 != 0, area(F.col("rings")[0])).alias("shell_area"), F.when(F.size("rings") > 1, area(F.get("rings", F.lit(1)))).alias("inner_area"))
+    return rows.select("key", (F.col("shell_area") + 0.0).alias("shell_area"), role(F.col("shell_area")).alias("shell_role"), "inner_area", role(F.col("inner_area")).alias("inner_role"))
+
+
+# ---- geodesic segments and lines
+
+
+@query(f"SELECT key, v, round(distance, 3) AS distance_m FROM {distance_sql(f'(SELECT * FROM {a.SEGMENTS_SQL} WHERE lon2 IS NOT NULL)')}")
+def path_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_distance(a.segments(spark, sf_dir).where("lon2 is not null")).select("key", F.col("v").cast("bigint").alias("v"), F.round("distance", 3).alias("distance_m"))
+
+
+_LINES_SQL = f"""(SELECT key, bool_or({_out_of_bounds('lon1', 'lat1')}) AS outside, count(DISTINCT (lon1, lat1)) AS distinct_vertices, coalesce(sum(distance), 0) AS length_m
+  FROM {distance_sql(a.SEGMENTS_SQL)} GROUP BY key)"""
+_LINE_STATUS = "CASE WHEN distinct_vertices < 2 OR outside THEN 'ERROR' ELSE 'MEASURED' END"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_distance(a.segments(spark, sf_dir))
+    return rows.groupBy("key").agg(
+        F.bool_or(F.expr(_out_of_bounds("lon1", "lat1"))).alias("outside"), F.size(F.collect_set(F.struct("lon1", "lat1"))).alias("distinct_vertices"), F.coalesce(F.sum("distance"), F.lit(0.0)).alias("length_m")
+    )
+
+
+@query(f"""SELECT o_orderpriority AS priority, count(*)::BIGINT AS orders, count(*) FILTER (status = 'MEASURED')::BIGINT AS measured, count(*) FILTER (status = 'ERROR')::BIGINT AS errors,
+       count(*) FILTER (status IS NULL)::BIGINT AS without_line, round(sum(CASE WHEN status = 'MEASURED' THEN length_m END), 2) AS total_m
+FROM orders LEFT JOIN (SELECT key, length_m, {_LINE_STATUS} AS status FROM {_LINES_SQL}) ON o_orderkey = key GROUP BY o_orderpriority""")
+def line_length_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: status and geodesic length of one line per order, summed by priority.
+
+    Lines need one shuffle by order, which the window, the aggregate and the join share.
+    """
+    lines = _lines(spark, sf_dir).selectExpr("key", "length_m", f"{_LINE_STATUS} AS status")
+    orders = a.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    rows = orders.join(lines, F.col("o_orderkey") == F.col("key"), "left")
+    return rows.groupBy(F.col("o_orderpriority").alias("priority")).agg(
+        F.count("*").alias("orders"), F.count_if(F.col("status") == "MEASURED").alias("measured"), F.count_if(F.col("status") == "ERROR").alias("errors"),
+        F.count_if(F.col("status").isNull()).alias("without_line"), F.round(F.sum(F.when(F.col("status") == "MEASURED", F.col("length_m"))), 2).alias("total_m"),
+    )
+
+
+@query(f"""SELECT key, n AS vertices, round(degrees(atan2(y, x)), 9) AS lon, round(degrees(atan2(z, sqrt(x * x + y * y))), 9) AS lat FROM (
+  SELECT key, count(*)::BIGINT AS n, avg(cos(radians(lat)) * cos(radians(lon))) AS x, avg(cos(radians(lat)) * sin(radians(lon))) AS y, avg(sin(radians(lat))) AS z FROM {a.VERTICES_SQL} GROUP BY key)""")
+def spherical_center(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lon, lat = F.radians("lon"), F.radians("lat")
+    rows = a.vertices(spark, sf_dir).groupBy("key").agg(F.count("*").alias("vertices"), F.avg(F.cos(lat) * F.cos(lon)).alias("x"), F.avg(F.cos(lat) * F.sin(lon)).alias("y"), F.avg(F.sin(lat)).alias("z"))
+    return rows.select("key", "vertices", F.round(F.degrees(F.atan2("y", "x")), 9).alias("lon"), F.round(F.degrees(F.atan2(F.col("z"), F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")))), 9).alias("lat"))
+
+
+@query(f"""WITH p AS (SELECT key, lon, lat FROM {a.POINTS_SQL} WHERE kind = 'customer')
+SELECT i, j, round(d, 3) AS distance_m FROM (
+  SELECT p.key AS i, q.key AS j, 2 * 6371000.0::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin((radians(q.lat) - radians(p.lat)) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(q.lon - p.lon) / 2), 2)))) AS d
+  FROM p JOIN p q ON p.key < q.key) WHERE d <= 250000""")
+def haversine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of customers within 250 km by a grid: an equi-join on cells, not a pair of everything.
+
+    A latitude band is 2.5 degrees high; its cells are as wide as 250 km need at its outer edge, so a
+    point asks the cells beside its own in three bands.  Wrapped cells meet across the antimeridian.
+    """
+    rows = a.points(spark, sf_dir).where("kind = 'customer'").select("key", "lon", "lat")
+    band = F.floor((F.col("lat") + 90) / 2.5).cast("int")
+    edge = lambda b: F.least(F.greatest(F.abs(b * 2.5 - 90), F.abs((b + 1) * 2.5 - 90)) + 2.5, F.lit(89.9))
+    cells = lambda b: F.greatest(F.lit(1), F.floor(360.0 / (2.6 / F.cos(F.radians(edge(b)))))).cast("int")
+    cell = lambda lon, b: F.least(F.floor((lon + 180) / 360.0 * cells(b)).cast("int"), cells(b) - 1)
+    left = rows.select(F.col("key").alias("i"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), band.alias("b"))
+    left = left.withColumn("b", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1))).where("b between 0 and 71")
+    left = left.withColumn("c", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda s: F.pmod(cell(F.col("lon1"), F.col("b")) + s, cells(F.col("b")))))))
+    right = rows.select(F.col("key").alias("j"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), band.alias("b")).withColumn("c", cell(F.col("lon2"), F.col("b")))
+    met = left.join(right, ["b", "c"]).where("i < j")
+    met = met.withColumn("d", expr.haversine_m(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2")))
+    return met.where("d <= 250000").select("i", "j", F.round("d", 3).alias("distance_m"))
+
+
+@query(f"""SELECT key, sum(greatest(1, ceil(distance / 500)))::BIGINT + 1 AS at_500, sum(greatest(1, ceil(distance / 250)))::BIGINT + 1 AS at_250, sum(greatest(1, ceil(distance / 125)))::BIGINT + 1 AS at_125
+FROM {distance_sql(f'(SELECT * FROM {a.SEGMENTS_SQL} WHERE lon2 IS NOT NULL)')} GROUP BY key""")
+def densify_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_distance(a.segments(spark, sf_dir).where("lon2 is not null"))
+    at = lambda s: (F.sum(F.greatest(F.lit(1), F.ceil(F.col("distance") / s))) + 1).cast("bigint").alias(f"at_{s}")
+    return rows.groupBy("key").agg(at(500), at(250), at(125))
+
+
+@query(f"""SELECT key, round(sum(d), 6) AS turn, abs(sum(d)) >= 359.999 AS winds FROM (
+  SELECT key, (lon2 - lon1 + 540) % 360 - 180 AS d FROM {a.SEGMENTS_SQL} WHERE lon2 IS NOT NULL) GROUP BY key""")
+def pole_winding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = a.segments(spark, sf_dir).where("lon2 is not null").select("key", ((F.col("lon2") - F.col("lon1") + 540) % 360 - 180).alias("d"))
+    turns = rows.groupBy("key").agg(F.sum("d").alias("t"))
+    return turns.select("key", F.round("t", 6).alias("turn"), (F.abs("t") >= 359.999).alias("winds"))
+
+
+@query(f"""WITH s AS (SELECT key, v, greatest(1, ceil(distance / 500)) AS a, greatest(1, ceil(distance / 250)) AS b, greatest(1, ceil(distance / 125)) AS c
+  FROM {distance_sql(f'(SELECT * FROM {a.SEGMENTS_SQL} WHERE lon2 IS NOT NULL)')}),
+l AS (SELECT key, unnest([0, 1, 2]) AS level, unnest([sum(a), sum(b), sum(c)])::BIGINT AS n FROM s GROUP BY key),
+d AS (SELECT *, n = lag(n) OVER (PARTITION BY key ORDER BY level) AS same FROM l),
+g AS (SELECT *, sum(CASE WHEN coalesce(same, false) THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY level) AS island FROM d)
+SELECT key, level::BIGINT AS level, n, (row_number() OVER (PARTITION BY key, island ORDER BY level) - 1)::BIGINT AS streak FROM g""")
+def convergence_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many refinements in a row left a line's sample count unchanged (gaps and islands)."""
+    rows = with_distance(a.segments(spark, sf_dir).where("lon2 is not null"))
+    at = lambda s: F.sum(F.greatest(F.lit(1), F.ceil(F.col("distance") / s))).cast("bigint")
+    levels = rows.groupBy("key").agg(F.array(at(500), at(250), at(125)).alias("n")).select("key", F.posexplode("n").alias("level", "n"))
+    order = Window.partitionBy("key").orderBy("level")
+    marked = levels.withColumn("same", F.coalesce(F.col("n") == F.lag("n").over(order), F.lit(False)))
+    marked = marked.withColumn("island", F.sum(F.when(F.col("same"), 0).otherwise(1)).over(order))
+    return marked.select("key", F.col("level").cast("bigint").alias("level"), "n", (F.row_number().over(Window.partitionBy("key", "island").orderBy("level")) - 1).cast("bigint").alias("streak"))
+
+
+# ---- measured geometry through the kernel
+
+
+def _square_json():
+    return F.to_json(F.struct(F.lit("Polygon").alias("type"), F.col("rings").alias("coordinates")))
+
+
+@query(f"""SELECT key, CASE WHEN key % 17 = 0 OR key % 19 = 0 THEN 'ERROR' WHEN abs(lon) + half > 180 OR abs(lat) + half > 90 THEN 'ERROR' ELSE 'MEASURED' END AS status,
+       CASE WHEN key % 17 = 0 THEN 'INVALID_RING' WHEN x0 < -180 OR x1 > 180 THEN 'INVALID_WGS84_COORDINATE' WHEN key % 19 = 0 THEN 'INVALID_GEOMETRY' END AS code FROM {a.SQUARES_SQL}""")
+def polygon_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = a.squares(spark, sf_dir).select("key", _square_json().alias("geometry"), F.lit(WGS84_WKT).alias("crs_wkt"))
+    return measure_features(rows).select("key", F.col("measurement_status").alias("status"), F.get("measurement_issues", F.lit(0))["code"].alias("code"))
+
+
+@query(None)
+def polygon_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = a.squares(spark, sf_dir).select("key", _square_json().alias("geometry"), F.lit(WGS84_WKT).alias("crs_wkt"))
+    found = measure_features(rows)
+    return found.select("key", "measurement_status", F.round("area_m2", 1).alias("area_m2"), F.col("provenance.generated_coordinates_total").alias("generated_total"), F.col("provenance.generated_coordinates_final").alias("generated_final"))
+
+
+@query(None)
+def line_measurement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all orders through the projected kernel; rows of an order gather in item order."""
+    lines = a.vertices(spark, sf_dir).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("v", "lon", "lat"))).alias("p"))
+    points = F.transform("p", lambda p: F.array(p["lon"], p["lat"]))
+    rows = lines.select("key", F.to_json(F.struct(F.lit("LineString").alias("type"), points.alias("coordinates"))).alias("geometry"), F.lit(WGS84_WKT).alias("crs_wkt"))
+    found = measure_features(rows)
+    return found.select("key", "measurement_status", F.round("length_m", 3).alias("length_m"), F.get("measurement_issues", F.lit(0))["code"].alias("code"))
+
+
+_MULTI = "key % 17 <> 0 AND key % 19 <> 0 AND abs(lon) < 179 AND size > 0"
+
+
+@query(f"SELECT key, CASE WHEN key % 4 IN (0, 1) THEN 'ERROR' ELSE 'MEASURED' END AS status, CASE WHEN key % 4 IN (0, 1) THEN 'OVERLAPPING_MULTIPOLYGON_COMPONENTS' END AS code FROM {a.SQUARES_SQL} WHERE {_MULTI}")
+def multipolygon_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two squares per part, the second moved east: overlapping, touching or apart by key."""
+    rows = a.squares(spark, sf_dir).where(_MULTI)
+    shift = F.round((F.col("key") % 4) * F.col("half"), 9)
+    moved = F.transform("rings", lambda r: F.transform(r, lambda p: F.array(F.round(p[0] + shift, 9), p[1])))
+    geometry = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.array(F.array(F.col("rings")[0]), F.array(moved[0])).alias("coordinates")))
+    found = measure_features(rows.select("key", geometry.alias("geometry"), F.lit(WGS84_WKT).alias("crs_wkt")))
+    return found.select("key", F.col("measurement_status").alias("status"), F.get("measurement_issues", F.lit(0))["code"].alias("code"))
+
+
+@query(f"""WITH s AS (SELECT key, unnest([0, 1]) AS part, x0, x1, y0, y1, half, hx0, hx1, hy0, hy1 FROM {a.SQUARES_SQL} WHERE key % 4 = 3),
+m AS (SELECT key, part, x0 + part * 3 * half AS x0, x1 + part * 3 * half AS x1, y0, y1, hx0 + part * 3 * half AS hx0, hx1 + part * 3 * half AS hx1, hy0, hy1 FROM s)
+SELECT h.key, h.part::BIGINT AS hole, arg_min(s.part, (s.x1 - s.x0) * (s.y1 - s.y0))::BIGINT AS shell FROM m h JOIN m s ON h.key = s.key AND h.hx0 >= s.x0 AND h.hx1 <= s.x1 AND h.hy0 >= s.y0 AND h.hy1 <= s.y1 GROUP BY h.key, h.part""")
+def hole_to_shell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each hole's smallest containing shell of its own part; the join is within a part."""
+    rows = a.squares(spark, sf_dir).where("key % 4 = 3").withColumn("part", F.explode(F.array(F.lit(0), F.lit(1))))
+    by = F.col("part") * 3 * F.col("half")
+    m = rows.select("key", "part", *[(F.col(c) + by).alias(c) for c in ("x0", "x1", "hx0", "hx1")], "y0", "y1", "hy0", "hy1")
+    hole = m.select("key", F.col("part").alias("hole"), "hx0", "hx1", "hy0", "hy1")
+    shell = m.select("key", F.col("part").alias("s"), "x0", "x1", "y0", "y1", ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"))
+    met = hole.join(shell, "key").where("hx0 >= x0 and hx1 <= x1 and hy0 >= y0 and hy1 <= y1")
+    return met.groupBy("key", F.col("hole").cast("bigint").alias("hole")).agg(F.min_by("s", "area").cast("bigint").alias("shell"))
+
+
+@query(f"SELECT key, key % 4 AS shift, half + half > (key % 4) * half AS overlaps FROM {a.SQUARES_SQL} WHERE size > 0")
+def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict interval overlap of each part's two squares: touching is no overlap."""
+    rows = a.squares(spark, sf_dir).where("size > 0")
+    m = rows.select("key", F.explode(F.array(F.struct(F.lit(0).alias("p"), F.lit(0.0).alias("by")), F.struct(F.lit(1).alias("p"), ((F.col("key") % 4) * F.col("half")).alias("by")))).alias("m"), "half")
+    one = m.select("key", F.col("m.p").alias("p"), (F.col("m.by") - F.col("half")).alias("lo"), (F.col("m.by") + F.col("half")).alias("hi"))
+    other = one.select("key", F.col("p").alias("q"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    pairs = one.join(other, "key").where("p < q")
+    return pairs.select("key", (F.col("key") % 4).alias("shift"), (F.round(F.least("hi", "hi2") - F.greatest("lo", "lo2"), 9) > 0).alias("overlaps"))
+
+
+# ---- counters, budgets and pages over features
+
+
+@query(f"""SELECT user_id, count(*)::BIGINT AS feature_count, count(*) FILTER (measurement_status = 'MEASURED')::BIGINT AS measured_count, count(*) FILTER (measurement_status = 'NOT_APPLICABLE')::BIGINT AS not_applicable_count,
+  count(*) FILTER (measurement_status = 'UNSUPPORTED')::BIGINT AS unsupported_count, count(*) FILTER (measurement_status = 'ERROR')::BIGINT AS error_count, bool_or(measurement_status IN ('UNSUPPORTED', 'ERROR')) AS has_issues FROM {a.FEATURES_SQL} GROUP BY user_id""")
+def status_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = a.features(spark, sf_dir)
+    return rows.groupBy("user_id").agg(F.count("*").alias("feature_count"), *status_counts(), F.bool_or(F.col("measurement_status").isin("UNSUPPORTED", "ERROR")).alias("has_issues"))
+
+
+@query(f"""SELECT f.id, f.status, (CASE WHEN f.status = 'COMPLETED' THEN n END)::BIGINT AS feature_count, CASE WHEN f.status = 'COMPLETED' THEN n = m + e ELSE true END AS consistent
+FROM {a.FILES_SQL} f JOIN (SELECT user_id, count(*) AS n, count(*) FILTER (measurement_status = 'MEASURED') AS m, count(*) FILTER (measurement_status <> 'MEASURED') AS e FROM {a.FEATURES_SQL} GROUP BY user_id) USING (user_id)""")
+def terminal_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = a.features(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("measurement_status") == "MEASURED").alias("m"), F.count_if(F.col("measurement_status") != "MEASURED").alias("e"))
+    done = F.col("status") == "COMPLETED"
+    return a.files(spark, sf_dir).join(n, "user_id").select("id", "status", F.when(done, F.col("n")).alias("feature_count"), F.when(done, F.col("n") == F.col("m") + F.col("e")).otherwise(True).alias("consistent"))
+
+
+@query(f"""SELECT user_id, feature_index, CASE WHEN measurement_status = 'MEASURED' AND (area_m2 IS NULL) = (length_m IS NULL) THEN 'consistency'
+  WHEN measurement_status <> 'MEASURED' AND (area_m2 IS NOT NULL OR length_m IS NOT NULL) THEN 'consistency' END AS broken FROM {a.FEATURES_SQL}""")
+def feature_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = a.features(spark, sf_dir).withColumn("provenance", F.lit("{}"))
+    broken = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in feature_checks().items()])
+    return rows.select("user_id", F.col("feature_index").cast("bigint").alias("feature_index"), broken.alias("broken"))
+
+
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS feature_index, true AS dense FROM events")
+def feature_index_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = a.features(spark, sf_dir)
+    expected = F.count("*").over(Window.partitionBy("user_id").orderBy("feature_index").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.select("user_id", "event_id", F.col("feature_index").cast("bigint").alias("feature_index"), (expected == F.col("feature_index")).alias("dense"))
+
+
+@query(f"""SELECT user_id, min(CASE WHEN run > 10000 THEN feature_index END)::BIGINT AS first_breach, bool_or(run > 10000) AS failed FROM (
+  SELECT user_id, feature_index, sum(length(props) * 10) OVER (PARTITION BY user_id ORDER BY feature_index) AS run FROM {a.FEATURES_SQL}) GROUP BY user_id""")
+def budget_first_breach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("user_id").orderBy("feature_index").rowsBetween(Window.unboundedPreceding, 0)
+    rows = a.features(spark, sf_dir).withColumn("over", F.sum(F.length("props") * 10).over(order) > 10000)
+    return rows.groupBy("user_id").agg(F.min(F.when(F.col("over"), F.col("feature_index"))).cast("bigint").alias("first_breach"), F.bool_or("over").alias("failed"))
+
+
+@query(f"SELECT id, created_at, status FROM {a.FILES_SQL} WHERE created_at < TIMESTAMP '2024-01-02 00:00:00' OR (created_at = TIMESTAMP '2024-01-02 00:00:00' AND id < '000000000100') ORDER BY created_at DESC, id DESC LIMIT 21")
+def keyset_page_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.to_timestamp(F.lit("2024-01-02 00:00:00"))
+    files = a.files(spark, sf_dir).select("id", "created_at", "status")
+    files = files.where((F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("id") < "000000000100")))
+    return keyset_page(files, 20)
+
+
+@query(f"SELECT user_id, feature_index, event_id, measurement_status FROM {a.FEATURES_SQL} WHERE user_id = 7 ORDER BY feature_index LIMIT 20 OFFSET 10")
+def offset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = a.features(spark, sf_dir).where("user_id = 7").orderBy("feature_index").offset(10).limit(20)
+    return rows.select("user_id", F.col("feature_index").cast("bigint").alias("feature_index"), "event_id", "measurement_status")
+
+
+@query(f"SELECT user_id, count(*)::BIGINT AS count, (CASE WHEN 50 < count(*) THEN 50 END)::BIGINT AS next_offset, ceil(count(*) / 50.0)::BIGINT AS pages FROM {a.FEATURES_SQL} GROUP BY user_id")
+def page_next_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = a.features(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("count"))
+    return rows.select("user_id", "count", F.when(F.col("count") > 50, 50).cast("bigint").alias("next_offset"), F.ceil(F.col("count") / 50.0).cast("bigint").alias("pages"))
+
+
+@query(f"""SELECT user_id, feature_index, CASE WHEN area_m2 IS NOT NULL THEN 'area' WHEN length_m IS NOT NULL THEN 'length' END AS kind, round(coalesce(area_m2, length_m), 6) AS value,
+  CASE WHEN area_m2 IS NOT NULL THEN 'm2' WHEN length_m IS NOT NULL THEN 'm' END AS unit, 'local-geodesic-v1' AS policy, 2 AS dimension, 0 AS component_count FROM {a.FEATURES_SQL}""")
+def measurement_payload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = a.features(spark, sf_dir).withColumn("provenance", F.lit(None).cast("struct<method:string,measurement_policy:string,edge_model:string,dimension:int,components:array<int>>"))
+    rows = rows.select("user_id", F.col("feature_index").cast("bigint").alias("feature_index"), *measurement_payload())
+    return rows.select("user_id", "feature_index", "kind", F.round("value", 6).alias("value"), "unit", "policy", "dimension", "component_count")
+
+
+@query(f"SELECT x.user_id, x.feature_index, x.measurement_status, f.id AS file_id, f.created_at FROM {a.FEATURES_SQL} x JOIN {a.FILES_SQL} f USING (user_id) WHERE f.status = 'COMPLETED'")
+def feature_detail_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = a.files(spark, sf_dir).where("status = 'COMPLETED'").select("user_id", F.col("id").alias("file_id"), "created_at")
+    rows = a.features(spark, sf_dir).select("user_id", F.col("feature_index").cast("bigint").alias("feature_index"), "measurement_status")
+    return rows.join(files, "user_id")
+
+
+@query(f"SELECT user_id, feature_index FROM {a.FEATURES_SQL} WHERE user_id NOT IN (SELECT user_id FROM {a.FILES_SQL} WHERE status = 'COMPLETED')")
+def missing_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = a.files(spark, sf_dir).where("status = 'COMPLETED'")
+    return a.features(spark, sf_dir).join(files, "user_id", "left_anti").select("user_id", F.col("feature_index").cast("bigint").alias("feature_index"))
+
+
+@query(f"SELECT user_id, count(*)::BIGINT AS features_left FROM {a.FEATURES_SQL} x WHERE NOT EXISTS (SELECT 1 FROM {a.FILES_SQL} f WHERE f.user_id = x.user_id AND f.user_id % 3 = 0) GROUP BY user_id")
+def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deleted = a.files(spark, sf_dir).where("user_id % 3 = 0").select("user_id")
+    return a.features(spark, sf_dir).join(deleted, "user_id", "left_anti").groupBy("user_id").agg(F.count("*").alias("features_left"))
+
+
+# ---- names, codes and lookups
+
+
+@query("SELECT lower(p_name) AS name, count(*)::BIGINT AS n FROM part GROUP BY lower(p_name) HAVING count(*) > 1")
+def dup_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return a.table(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("name")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+_PRESENT = "CASE key % 4 WHEN 0 THEN '.shp,.shx,.dbf,.prj' WHEN 1 THEN '.shp,.dbf' WHEN 2 THEN '.shp,.shx,.prj' ELSE '.shp' END"
+
+
+@query(f"""SELECT p_partkey AS key, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '.prj,.shx' WHEN 2 THEN '.dbf' ELSE '.prj,.shx,.dbf' END AS missing,
+  CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 2 THEN 'MISSING_SHAPEFILE_COMPONENT' ELSE 'MISSING_SHAPEFILE_CRS' END AS code FROM part""")
+def missing_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Required less present components; a missing CRS is reported first."""
+    rows = a.table(spark, sf_dir, "part").selectExpr("p_partkey AS key").withColumn("present", F.split(F.expr(_PRESENT), ","))
+    missing = F.array_except(F.array(*[F.lit(s) for s in (".prj", ".shp", ".shx", ".dbf")]), F.col("present"))
+    return rows.select("key", F.array_join(missing, ",").alias("missing"), F.when(F.array_contains(missing, ".prj"), "MISSING_SHAPEFILE_CRS").when(F.size(missing) > 0, "MISSING_SHAPEFILE_COMPONENT").alias("code"))
+
+
+@query("""WITH i AS (SELECT conv_id, list(role ORDER BY turn, role) AS codes FROM (SELECT conv_id % 40 AS conv_id, turn, role FROM conversations) GROUP BY conv_id)
+SELECT conv_id, len(codes)::BIGINT AS issues, least(len(codes), 20)::BIGINT AS kept, CASE WHEN len(codes) > 20 THEN '{"omitted_count":' || (len(codes) - 19) || '}' END AS details FROM i""")
+def issue_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = a.table(spark, sf_dir, "conversations").select((F.col("conv_id") % 40).alias("conv_id"), "turn", "role")
+    lists = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: expr.issue(x["role"], "turn")).alias("issues"))
+    cut = expr.truncated_issues(F.col("issues"))
+    return lists.select("conv_id", F.size("issues").cast("bigint").alias("issues"), F.size(cut).cast("bigint").alias("kept"), F.element_at(cut, -1)["details"].alias("details"))
+
+
+@query("SELECT event_id, 'k' AS name, json_extract_string(props, '$.k') AS value FROM events")
+def property_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered name and value pairs of each event's properties."""
+    rows = a.table(spark, sf_dir, "events").select("event_id", F.explode(F.json_object_keys("props")).alias("name"), "props")
+    return rows.select("event_id", "name", F.get_json_object("props", "$.k").alias("value"))
+
+
+@query("""SELECT doc_id, octet_length(encode(text))::BIGINT AS bytes, octet_length(encode(text)) > 65536 AS over_property_limit, sha256(text) AS sha256, left(lang, 32) AS geometry_type FROM documents""")
+def payload_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.octet_length("text")
+    return a.table(spark, sf_dir, "documents").select("doc_id", size.cast("bigint").alias("bytes"), (size > Limits().property_bytes).alias("over_property_limit"), F.sha2("text", 256).alias("sha256"), F.substring("lang", 1, 32).alias("geometry_type"))
+
+
+@query(f"""SELECT key, list_count(list_value(lon, lat))::BIGINT AS ordinates, round(lon, 9) AS lon, round(lat, 9) AS lat, key % 5 <> 0 AS parsed FROM (
+  SELECT key, CASE WHEN key % 5 <> 0 THEN lon END AS lon, CASE WHEN key % 5 <> 0 THEN lat END AS lat FROM {a.POINTS_SQL} WHERE kind = 'customer')""")
+def kml_coord_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions from coordinate text; every fifth text has an empty ordinate and is refused."""
+    rows = a.points(spark, sf_dir).where("kind = 'customer'")
+    number = lambda c: F.col(c).cast("decimal(18,9)").cast("string")
+    text = F.concat(F.lit("\n  "), number("lon"), F.lit(","), F.when(F.col("key") % 5 == 0, F.lit("")).otherwise(number("lat")), F.lit(" "))
+    parsed = rows.select("key", expr.kml_positions(text).alias("p"))
+    first = F.get("p", F.lit(0))
+    return parsed.select("key", F.coalesce(F.size(first), F.lit(0)).cast("bigint").alias("ordinates"), F.round(F.get(first, F.lit(0)), 9).alias("lon"), F.round(F.get(first, F.lit(1)), 9).alias("lat"), F.col("p").isNotNull().alias("parsed"))
+
+
+_CPG_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in CPG_CODECS.items())
+
+
+@query(f"SELECT p_partkey AS key, cpg, codec FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN '1252' WHEN 2 THEN 'windows-1251' ELSE '9999' END AS cpg FROM part) LEFT JOIN (VALUES {_CPG_VALUES}) AS c(name, codec) ON cpg = name")
+def codec_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = a.table(spark, sf_dir, "part").selectExpr("p_partkey AS key", "CASE p_partkey % 4 WHEN 0 THEN 'UTF-8' WHEN 1 THEN 'cp1252' WHEN 2 THEN ' windows-1251 ' ELSE 'cp9999' END AS raw")
+    cpg = F.regexp_replace(F.lower(F.trim("raw")), r"^cp(\d+)$", "$1")
+    codes = F.create_map(*[F.lit(x) for pair in CPG_CODECS.items() for x in pair])  # a fixed table of formats
+    return rows.select("key", cpg.alias("cpg"), F.try_element_at(codes, cpg).alias("codec"))
+
+
+_KINDS = {c: shape_kind(c) for c in range(32) if shape_kind(c)}
+
+
+@query(f"SELECT p_partkey AS key, (p_partkey % 32) AS code, kind, code IN (11, 13, 15, 18) AS has_z, code IN (21, 23, 25, 28) AS is_m FROM (SELECT p_partkey, p_partkey % 32 AS code FROM part) LEFT JOIN (VALUES {', '.join(f"({c}, '{k}')" for c, k in _KINDS.items())}) AS k(c, kind) ON code = c")
+def shape_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = a.table(spark, sf_dir, "part").selectExpr("p_partkey AS key", "p_partkey % 32 AS code")
+    base = F.element_at(F.create_map(*[F.lit(x) for c, k in {1: "Point", 3: "PolyLine", 5: "Polygon", 8: "MultiPoint"}.items() for x in (c, k)]), (F.col("code") % 10).cast("int"))
+    tens = F.floor(F.col("code") / 10)
+    kind = F.when(F.col("code") == 31, "MultiPatch").when(base.isNotNull() & (tens <= 2), F.concat(base, F.element_at(F.array(F.lit(""), F.lit("Z"), F.lit("M")), F.least(tens, F.lit(2)).cast("int") + 1)))
+    return rows.select("key", "code", kind.alias("kind"), (base.isNotNull() & (tens == 1)).alias("has_z"), (base.isNotNull() & (tens == 2)).alias("is_m"))
+
+
+@query(f"""SELECT id, translate(rtrim(base64(encode('{{"id":"' || id || '"}}')), '='), '+/', '-_') AS cursor, true AS round_trip FROM {a.FILES_SQL}""")
+def cursor_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.to_json(F.struct("id"))
+    cursor = F.translate(F.rtrim(F.base64(raw.cast("binary")), F.lit("=")), "+/", "-_")
+    padded = F.rpad(F.translate(cursor, "-_", "+/"), (F.ceil(F.length(cursor) / 4) * 4).cast("int"), F.lit("="))
+    return a.files(spark, sf_dir).select("id", cursor.alias("cursor"), (F.unbase64(padded).cast("string") == raw).alias("round_trip"))
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 1 THEN 'malformed' WHEN 2 THEN 'malformed' WHEN 3 THEN 'blank' WHEN 4 THEN 'too_deep' END AS problem FROM events""")
+def json_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good lines beside repeated keys, NaN, blanks and depth 40."""
+    deep = "[" * 40 + "]" * 40
+    rows = a.table(spark, sf_dir, "events").select("event_id", F.expr(f"""CASE event_id % 5 WHEN 1 THEN '{{"a":1,"a":2}}' WHEN 2 THEN '{{"a":NaN}}' WHEN 3 THEN '  ' WHEN 4 THEN '{{"a":{deep}}}' ELSE props END""").alias("line"))
+    return rows.select("event_id", strict_problem(F.col("line")).alias("problem"))
+
+
+@query("SELECT p_partkey AS key, code, CASE WHEN code LIKE '%\\_LIMIT' ESCAPE '\\' THEN 413 ELSE 422 END AS http_status FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'FEATURE_LIMIT' WHEN 1 THEN 'INVALID_KML' ELSE 'XML_DEPTH_LIMIT' END AS code FROM part)")
+def failure_http_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = a.table(spark, sf_dir, "part").selectExpr("p_partkey AS key", "CASE p_partkey % 3 WHEN 0 THEN 'FEATURE_LIMIT' WHEN 1 THEN 'INVALID_KML' ELSE 'XML_DEPTH_LIMIT' END AS code")
+    return rows.select("key", "code", http_status(F.col("code")).alias("http_status"))
+
+
+@query("""SELECT doc_id, left(lang || text, 80) AS code, length(left(text, 500))::BIGINT AS message_chars, CASE WHEN octet_length(encode(text)) > 8192 THEN '{"omitted":true}' ELSE 'kept' END AS details FROM documents""")
+def failure_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = a.table(spark, sf_dir, "documents").select("doc_id", failure_record(F.concat("lang", "text"), F.col("text"), F.col("text")).alias("f"))
+    return rows.select("doc_id", F.col("f.code").alias("code"), F.length("f.message").cast("bigint").alias("message_chars"), F.when(F.col("f.details") == '{"omitted":true}', F.col("f.details")).otherwise("kept").alias("details"))
+
+
+@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'KML' WHEN 1 THEN 'SHAPEFILE' END AS format FROM pages""")
+def suffix_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat("url", F.expr("CASE page_id % 3 WHEN 0 THEN '/x.KML' WHEN 1 THEN '/y.z.zip' ELSE '/kml.d/file' END"))
+    return a.table(spark, sf_dir, "pages").select("page_id", format_of(path).alias("format"))
+
+
+@query("SELECT vec_id, len(embedding)::BIGINT AS ordinates, true AS finite, len(list_distinct(embedding))::BIGINT AS distinct_ordinates FROM embeddings")
+def vector_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("embedding")
+    return a.table(spark, sf_dir, "embeddings").select("vec_id", F.size(v).cast("bigint").alias("ordinates"), expr.valid_position(v).alias("finite"), F.size(F.array_distinct(v)).cast("bigint").alias("distinct_ordinates"))
+
+
+@query(f"""SELECT key, CASE WHEN key % 3 = 0 THEN 2 ELSE 1 END AS components, 2 AS dimensions FROM {a.SQUARES_SQL}""")
+def component_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of multipart JSON geometry and the length of the first position."""
+    rows = a.squares(spark, sf_dir)
+    geometry = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.transform("rings", lambda r: F.array(r)).alias("coordinates")))
+    return rows.select("key", component_count(geometry).alias("components"), F.size(F.col("rings")[0][0]).alias("dimensions"))
+
+
+@query(f"SELECT user_id, round(sum(coalesce(area_m2, length_m)), 6) AS total, count(coalesce(area_m2, length_m))::BIGINT AS n FROM {a.FEATURES_SQL} GROUP BY user_id")
+def compensated_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by Neumaier's sum over each file's measurements in feature order (a file holds 5000 at most)."""
+    rows = a.features(spark, sf_dir).withColumn("x", F.coalesce("area_m2", "length_m"))
+    lists = rows.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("x").isNotNull(), F.struct("feature_index", "x")))), lambda s: s["x"]).alias("xs"), F.count("x").alias("n"))
+    return lists.select("user_id", F.round(F.when(F.col("n") > 0, expr.compensated_sum(F.col("xs"))), 6).alias("total"), "n")
+
+
+@query("SELECT 1 AS ready")
+def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql("SELECT 1 AS ready")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
