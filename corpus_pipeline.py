@@ -19,10 +19,15 @@ from terrameter.llm.store import written
 LEAST_SHARE = 0.4  # of a document's words in its first language
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """Each row as one struct beside its text, so that no other column can clash with an operator's."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose first language has a share of at least LEAST_SHARE."""
-    found = language_id.identify(docs, language_id.fit(docs), keep=docs.columns)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    found = language_id.identify(_packed(docs), language_id.fit(docs), keep=["row"])
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +50,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask what the forest takes for a secret; every document stays, with n_chars of its new text."""
-    found = secret_scan.scan_documents(docs, secret_scan.train())
-    changed = F.when(F.size("findings") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", changed).select(*docs.columns)
+    found = secret_scan.scan_documents(_packed(docs), secret_scan.train())
+    masked = F.col("row").withField("text", F.col("text")).withField("n_chars", F.length("text").cast("bigint"))
+    return found.select(F.when(F.size("findings") > 0, masked).otherwise(F.col("row")).alias("row")).select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
