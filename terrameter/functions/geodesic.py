@@ -38,6 +38,17 @@ def _gain(cos2_alpha: np.ndarray) -> np.ndarray:
     return F / 16.0 * cos2_alpha * (4.0 + F * (4.0 - 3.0 * cos2_alpha))
 
 
+def _on_sphere(lam: np.ndarray, s1: np.ndarray, c1: np.ndarray, s2: np.ndarray, c2: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sine, cosine and size of the arc, sine and squared cosine of its azimuth at the equator, cosine at its middle."""
+    sin_l, cos_l = np.sin(lam), np.cos(lam)
+    sin_s = np.hypot(c2 * sin_l, c1 * s2 - s1 * c2 * cos_l)
+    cos_s = s1 * s2 + c1 * c2 * cos_l
+    sin_a = np.divide(c1 * c2 * sin_l, sin_s, out=np.zeros(lam.shape), where=sin_s > 0)
+    cos2_alpha = np.maximum(0.0, 1.0 - sin_a * sin_a)
+    middle = np.divide(2.0 * s1 * s2, cos2_alpha, out=np.zeros(lam.shape), where=cos2_alpha > 1e-15)
+    return sin_s, cos_s, np.arctan2(sin_s, cos_s), sin_a, cos2_alpha, np.where(cos2_alpha > 1e-15, cos_s - middle, 0.0)
+
+
 def inverse(lon1, lat1, lon2, lat2) -> tuple[np.ndarray, np.ndarray]:
     """Distances in metres and start azimuths in radians; positions in degrees.
 
@@ -48,21 +59,16 @@ def inverse(lon1, lat1, lon2, lat2) -> tuple[np.ndarray, np.ndarray]:
     s1, c1 = _reduced(np.radians(lat1))
     s2, c2 = _reduced(np.radians(lat2))
     lam, change = full.copy(), np.full(full.shape, np.inf)
-    sin_s = cos_s = sigma = cos2_alpha = cos_2m = np.zeros(full.shape)
     for _ in range(24):
-        sin_l, cos_l = np.sin(lam), np.cos(lam)
-        sin_s = np.hypot(c2 * sin_l, c1 * s2 - s1 * c2 * cos_l)
-        cos_s = s1 * s2 + c1 * c2 * cos_l
-        sigma = np.arctan2(sin_s, cos_s)
-        sin_a = np.divide(c1 * c2 * sin_l, sin_s, out=np.zeros(full.shape), where=sin_s > 0)
-        cos2_alpha = np.maximum(0.0, 1.0 - sin_a * sin_a)
-        cos_2m = cos_s - np.divide(2.0 * s1 * s2, cos2_alpha, out=np.zeros(full.shape), where=cos2_alpha > 1e-15)
-        cos_2m = np.where(cos2_alpha > 1e-15, cos_2m, 0.0)
+        sin_s, cos_s, sigma, sin_a, cos2_alpha, cos_2m = _on_sphere(lam, s1, c1, s2, c2)
         gain = _gain(cos2_alpha)
         new = full + (1.0 - gain) * F * sin_a * (sigma + gain * sin_s * (cos_2m + gain * cos_s * (2.0 * cos_2m**2 - 1.0)))
-        change, lam = np.abs(new - lam), new
+        moving = change >= 1e-15  # a pair that has settled stays, so its result does not depend on its batch
+        change = np.where(moving, np.abs(new - lam), change)
+        lam = np.where(moving, new, lam)
         if (change < 1e-15).all():
             break
+    sin_s, cos_s, sigma, sin_a, cos2_alpha, cos_2m = _on_sphere(lam, s1, c1, s2, c2)
     big_a, big_b = _series(cos2_alpha)
     distance = B * big_a * (sigma - _arc_change(big_b, sin_s, cos_s, cos_2m))
     azimuth = np.arctan2(c2 * np.sin(lam), c1 * s2 - s1 * c2 * np.cos(lam))
@@ -83,13 +89,13 @@ def direct(lon, lat, azimuth, distance) -> tuple[np.ndarray, np.ndarray]:
     cos2_alpha = 1.0 - sin_a * sin_a
     big_a, big_b = _series(cos2_alpha)
     plain = distance / (B * big_a)
-    sigma = plain.copy()
+    sigma, change = plain.copy(), np.full(plain.shape, np.inf)
     for _ in range(12):
-        sin_s, cos_s, cos_2m = np.sin(sigma), np.cos(sigma), np.cos(2.0 * from_equator + sigma)
-        new = plain + _arc_change(big_b, sin_s, cos_s, cos_2m)
-        done = (np.abs(new - sigma) < 1e-16).all()
-        sigma = new
-        if done:
+        new = plain + _arc_change(big_b, np.sin(sigma), np.cos(sigma), np.cos(2.0 * from_equator + sigma))
+        moving = change >= 1e-15
+        change = np.where(moving, np.abs(new - sigma), change)
+        sigma = np.where(moving, new, sigma)
+        if (change < 1e-15).all():
             break
     sin_s, cos_s, cos_2m = np.sin(sigma), np.cos(sigma), np.cos(2.0 * from_equator + sigma)
     end_s = s1 * cos_s + c1 * sin_s * cos_z

@@ -1,0 +1,166 @@
+"""Files to manifests, features, tables, pages and streams."""
+
+from __future__ import annotations
+
+import json
+from datetime import UTC, datetime
+
+import pytest
+from pyspark.sql import functions as F
+from test_readers import archive, kml, place, polygon, shape
+
+from terrameter.functions import expr
+from terrameter.model import Limits
+from terrameter.plans.dataset import process_files
+from terrameter.plans.store import Store, StoreError, checked, decode_cursor, encode_cursor, feature_checks, file_checks, write_feature_lines
+from terrameter.sources.files import scan_files
+from terrameter.sources.jsonl import problem_of, protocol_problem, read_feature_lines, strict_problem
+from terrameter.streaming.ingest import start_ingest
+
+
+@pytest.fixture
+def inbox(tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    mixed = "<MultiGeometry><Point><coordinates>1,2</coordinates></Point><LineString><coordinates>0,0 1,1</coordinates></LineString></MultiGeometry>"
+    (folder / "a.KML").write_bytes(kml("".join(map(place, [polygon(), "<Point><coordinates>1,2,3</coordinates></Point>", mixed, "", "<Model/>"]))))
+    (folder / "b.kml").write_bytes(b"<broken")
+    (folder / "c.zip").write_bytes(archive([shape(3, [(0, 0), (0.1, 0)], [0]), shape(3, [(0, 0), (3, 0)], [0]), shape(0, [])]))
+    (folder / "empty.kml").write_bytes(kml(""))
+    (folder / "e.txt").write_bytes(b"text")
+    return folder
+
+
+def by_name(rows):
+    return {r["path"].rsplit("/", 1)[1]: r for r in rows.collect()}
+
+
+def test_process_files(spark, inbox):
+    manifests, features = process_files(scan_files(spark, str(inbox)))
+    m = by_name(manifests)
+    assert {k: v["status"] for k, v in m.items()} == {"a.KML": "COMPLETED", "b.kml": "FAILED", "c.zip": "COMPLETED", "empty.kml": "COMPLETED", "e.txt": "FAILED"}
+    counts = lambda r: tuple(r[c] for c in ("feature_count", "measured_count", "not_applicable_count", "unsupported_count", "error_count"))
+    assert counts(m["a.KML"]) == (5, 1, 1, 2, 1) and counts(m["c.zip"]) == (3, 1, 0, 1, 1) and counts(m["empty.kml"]) == (0,) * 5
+    assert m["b.kml"]["failure_code"] == "INVALID_KML" and m["e.txt"]["http_status"] == 415 and m["empty.kml"]["warnings"][0]["code"] == "EMPTY_DATASET"
+    rows = sorted((r["path"][-5:], r["feature_index"], r["measurement_status"], r["issues"][0]["code"] if r["issues"] else None) for r in features.collect())
+    assert rows == [
+        ("a.KML", 0, "MEASURED", None), ("a.KML", 1, "NOT_APPLICABLE", None), ("a.KML", 2, "UNSUPPORTED", "MIXED_GEOMETRY_COLLECTION"), ("a.KML", 3, "ERROR", "MISSING_GEOMETRY"), ("a.KML", 4, "UNSUPPORTED", "UNSUPPORTED_GEOMETRY"),
+        ("c.zip", 0, "MEASURED", None), ("c.zip", 1, "UNSUPPORTED", "COMPONENT_EXTENT_EXCEEDED"), ("c.zip", 2, "ERROR", "MISSING_GEOMETRY"),
+    ]
+    for r in features.collect():
+        assert all(i["severity"] == ("error" if r["measurement_status"] == "ERROR" else "warning") for i in r["issues"])
+
+
+def test_budgets_fail_the_file(spark, tmp_path):
+    (tmp_path / "x.kml").write_bytes(kml(place(polygon()) * 4))
+    files = scan_files(spark, str(tmp_path))
+    for limits, code in ((Limits(generated_file_coordinates=100), "GENERATED_COORDINATE_LIMIT"), (Limits(output_bytes=900), "CHILD_OUTPUT_LIMIT"), (Limits(feature_json_bytes=100), "FEATURE_OUTPUT_LIMIT")):
+        manifests, features = process_files(files, limits)
+        assert manifests.first()["failure_code"] == code and manifests.first()["http_status"] == 413 and features.count() == 0
+    manifests, features = process_files(files, Limits(geometry_bytes=10))
+    assert {r["issues"][0]["code"] for r in features.collect()} == {"SOURCE_GEOMETRY_LIMIT"} and manifests.first()["error_count"] == 4
+    points = "<MultiGeometry>" + "<Point><coordinates>1,2</coordinates></Point>" * 129 + "</MultiGeometry>"
+    (tmp_path / "x.kml").write_bytes(kml(place(points)))
+    assert [i["code"] for i in process_files(scan_files(spark, str(tmp_path)))[1].first()["issues"]] == ["COMPONENT_LIMIT"]
+
+
+def test_large_records_shrink_in_order(spark, tmp_path):
+    text = "v" * 3000
+    (tmp_path / "x.kml").write_bytes(kml(place(f"<description>{text}</description><ExtendedData><Data name='a'><value>{text}</value></Data></ExtendedData>" + polygon())))
+    (row,) = process_files(scan_files(spark, str(tmp_path)), Limits(feature_json_bytes=4500))[1].collect()
+    assert row["measurement_status"] == "ERROR" and row["issues"][-1]["code"] == "FEATURE_OUTPUT_LIMIT"
+    assert row["geometry"] is None and row["properties"] == "[]" and text in row["metadata"] and row["area_m2"] is None
+
+
+def test_publish_read_delete(spark, inbox, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    start_ingest(spark, str(inbox), store, str(tmp_path / "ck"), files_per_batch=2).awaitTermination()
+    files = {r["filename"]: r for r in store.files().collect()}
+    assert set(files) == {"a.KML", "b.kml", "c.zip", "empty.kml"} and store.features().count() == 8
+    start_ingest(spark, str(inbox), store, str(tmp_path / "ck2"), files_per_batch=9).awaitTermination()
+    assert store.files().count() == 4 and store.features().count() == 8  # a second run adds nothing
+    seen, cursor = [], None
+    while True:
+        page, cursor = store.list_files(1, cursor)
+        seen += [r["id"] for r in page.collect()]
+        if cursor is None:
+            break
+    order = store.files().orderBy(F.desc("created_at"), F.desc("id")).select("id").collect()
+    assert seen == [r["id"] for r in order]
+    a = files["a.KML"]["id"]
+    whole, after = [], 0
+    while after is not None:
+        page, count, after = store.measurement_page(a, 2, after)
+        whole += [r["feature_index"] for r in page.collect()]
+    assert whole == [0, 1, 2, 3, 4] and count == 5
+    first = store.measurement_page(a, 1)[0].first()
+    assert (first["kind"], first["unit"], first["component_count"], first["dimension"]) == ("area", "m2", 1, 2)
+    assert store.feature(a, 0)["source_crs_wkt"].startswith("GEOGCS")
+    for call, code in ((lambda: store.feature(a, 99), "FEATURE_NOT_FOUND"), (lambda: store.require("none"), "FILE_NOT_FOUND"), (lambda: store.feature_page(files["b.kml"]["id"]), "FILE_PROCESSING_FAILED")):
+        with pytest.raises(StoreError) as why:
+            call()
+        assert why.value.code == code
+    store.delete(a)
+    assert store.features().count() == 3 and store.files().count() == 3
+    clean = store.vacuum(str(tmp_path / "clean"))
+    assert clean.features().count() == 3 and spark.read.parquet(f"{clean.root}/features").count() == 3
+
+
+def test_constraints(spark):
+    schema = "feature_index int, measurement_status string, area_m2 double, length_m double, provenance string"
+    good = [(0, "MEASURED", 1.0, None, "p"), (1, "ERROR", None, None, None)]
+    assert checked(spark.createDataFrame(good, schema), feature_checks()).count() == 2
+    for bad in ((0, "MEASURED", float("nan"), None, "p"), (0, "MEASURED", float("inf"), None, "p"), (0, "MEASURED", -1.0, None, "p"), (0, "MEASURED", 1.0, 1.0, "p"), (0, "ERROR", 1.0, None, None), (-1, "ERROR", None, None, None), (0, "DONE", None, None, None)):
+        with pytest.raises(Exception, match="constraint"):
+            checked(spark.createDataFrame([bad], schema), feature_checks()).collect()
+    files = "format string, status string, upload_size long, feature_count long, measured_count long, not_applicable_count long, unsupported_count long, error_count long, failure_code string"
+    assert checked(spark.createDataFrame([("KML", "COMPLETED", 5, 1, 1, 0, 0, 0, None), ("KML", "FAILED", 5, *[None] * 5, "X")], files), file_checks()).count() == 2
+    with pytest.raises(Exception, match="terminal_counts"):
+        checked(spark.createDataFrame([("KML", "COMPLETED", 5, 2, 1, 0, 0, 0, None)], files), file_checks()).collect()
+
+
+def test_cursors():
+    at = datetime(2026, 1, 2, 3, 4, 5, 678, UTC)
+    assert decode_cursor(encode_cursor(at, "x")) == (at, "x")
+    import base64
+
+    pack = lambda v: base64.urlsafe_b64encode(json.dumps(v).encode()).decode().rstrip("=")
+    for bad in ("!", "e30", pack({"created_at": "2026-01-01T00:00:00", "id": "x"}), pack({"created_at": at.isoformat(), "id": "x", "more": 1}), pack([]), pack({"created_at": 1, "id": "x"}), "a" * 2000):
+        with pytest.raises(StoreError):
+            decode_cursor(bad)
+
+
+def test_strict_lines(spark, tmp_path):
+    lines = ['{"a":1}', '{"a":1,"a":2}', '{"a":NaN}', "", "[1]", "{", '{"a":' + "[" * 33 + "]" * 33 + "}", '{"a":"[[[["}']
+    want = [None, "malformed", "malformed", "blank", "no_object", "malformed", "too_deep", None]
+    assert [problem_of(x) for x in lines] == want
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string").select("i", strict_problem(F.col("x")).alias("p")).orderBy("i").collect()
+    assert [r["p"] for r in got] == want
+    assert problem_of('{"a":"' + "x" * 200 + '"}', Limits(feature_json_bytes=100)) == "too_long"
+    assert problem_of('{"a":[1,2,3]}', Limits(json_values=3)) == "too_many_values"
+
+
+def test_lines_round_trip_and_protocol(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "ERROR", None), (0, "MEASURED", 2.0)], "feature_index int, measurement_status string, area_m2 double")
+    write_feature_lines(rows, str(tmp_path / "lines"))
+    assert '"area_m2":null' in "".join(r[0] for r in spark.read.text(str(tmp_path / "lines")).collect())
+    back = read_feature_lines(spark, str(tmp_path / "lines"), "feature_index int, measurement_status string, area_m2 double")
+    manifest = {"feature_count": 2, "measured_count": 1, "not_applicable_count": 0, "unsupported_count": 0, "error_count": 1}
+    assert protocol_problem(back, manifest).first()[0] is None
+    assert protocol_problem(back, manifest | {"feature_count": 3}).first()[0] == "feature_count"
+    assert protocol_problem(back, manifest | {"error_count": 0}).first()[0] == "status_counts"
+    assert protocol_problem(back.withColumn("feature_index", F.col("feature_index") * 2), manifest).first()[0] == "feature_order"
+
+
+def test_expressions(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(expr.compensated_sum(F.array(F.lit(1e16), F.lit(1.0), F.lit(-1e16)))) == 1.0
+    assert one(F.size(expr.kml_positions(F.lit(" 1,2\n3,4,5 ")))) == 2
+    assert one(expr.kml_positions(F.lit("1,2 x,3"))) is None and one(expr.kml_positions(F.lit("1,,2"))) is None
+    ring = lambda *p: F.array(*[F.array(*[F.lit(float(v)) for v in q]) for q in p])
+    assert one(expr.valid_ring(ring((0, 0), (1, 0), (1, 1), (0, 0)))) and not one(expr.valid_ring(ring((0, 0), (1, 0), (0, 0), (0, 0))))
+    assert not one(expr.valid_line(ring((0, 0), (0, 0, 1)))) and one(expr.valid_position(F.array(F.lit(1.0), F.lit(2.0))))
+    assert not one(expr.valid_position(F.array(F.lit(1.0), F.lit(float("nan")))))
+    many = F.transform(F.sequence(F.lit(1), F.lit(25)), lambda i: expr.issue(i.cast("string"), "m"))
+    cut = one(expr.truncated_issues(many))
+    assert len(cut) == 20 and cut[-1]["code"] == "ISSUES_TRUNCATED" and json.loads(cut[-1]["details"]) == {"omitted_count": 6}
