@@ -17,6 +17,7 @@ from .functions.crs import WGS84_WKT
 from .functions.vincenty_sql import distance_sql, with_distance
 from .model import Limits
 from .operators.measure import measure_features
+from .plans import views
 from .plans.dataset import component_count, status_counts
 from .plans.store import failure_record, feature_checks, http_status, keyset_page, measurement_payload
 from .sources.files import format_of
@@ -475,6 +476,33 @@ def compensated_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("user_id", F.round(F.when(F.col("n") > 0, expr.compensated_sum(F.col("xs"))), 6).alias("total"), "n")
 
 
+@query(f"""SELECT f.id, f.status, '/api/files/' || f.id || '/' AS self, '/api/files/' || f.id || '/measurements/' AS measurements, CASE WHEN f.status = 'FAILED' THEN 'FILE_PROCESSING_FAILED' END AS failure FROM {a.FILES_SQL} f""")
+def file_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = a.files(spark, sf_dir).select("id", "status", views.links(F.col("id")).alias("links"))
+    return rows.select("id", "status", F.col("links.self").alias("self"), F.col("links.measurements").alias("measurements"), F.when(F.col("status") == "FAILED", "FILE_PROCESSING_FAILED").alias("failure"))
+
+
+@query("""SELECT p_partkey AS key, CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN p_name ELSE 'Unknown source CRS' END AS name, CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN p_type ELSE 'wkt' END AS wkt FROM part""")
+def crs_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = a.table(spark, sf_dir, "part").selectExpr("p_partkey AS key", "CASE WHEN p_partkey % 3 = 1 THEN p_name ELSE '' END AS n", "CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN p_type ELSE 'wkt' END AS w")
+    crs = rows.select("key", views.crs_summary(F.lit(None).cast("string"), F.col("n"), F.col("w")).alias("c"))
+    return crs.select("key", F.col("c.name").alias("name"), F.col("c.wkt").alias("wkt"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'INVALID_FILENAME' WHEN octet_length(encode(text)) > 255 THEN 'FILENAME_TOO_LONG' END AS problem FROM documents""")
+def filename_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(F.col("text"))
+    return a.table(spark, sf_dir, "documents").select("doc_id", views.filename_problem(name).alias("problem"))
+
+
+@query(f"""SELECT user_id, feature_index, measurement_status AS status, CASE WHEN area_m2 IS NOT NULL THEN 'm2' WHEN length_m IS NOT NULL THEN 'm' END AS unit, 2 AS dimensions FROM {a.FEATURES_SQL}""")
+def feature_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    empty = "struct<method:string,measurement_policy:string,edge_model:string,dimension:int,components:array<int>>"
+    rows = a.features(spark, sf_dir).withColumns({"provenance": F.lit(None).cast(empty), "source_id": F.col("event_id").cast("string"), "geometry_type": F.lit(None).cast("string"), "dimensions": F.lit(2), "properties": F.col("props"), "issues": F.array()})
+    shown = rows.select("user_id", *views.feature_summary(measurement_payload()))
+    return shown.select("user_id", F.col("feature_index").cast("bigint").alias("feature_index"), "status", F.col("measurement.unit").alias("unit"), "dimensions")
+
+
 @query("SELECT 1 AS ready")
 def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT 1 AS ready")

@@ -114,3 +114,23 @@ def protocol_problem(features: DataFrame, manifest: dict) -> DataFrame:
     n = int(manifest["feature_count"])
     order = (F.col("n") > 0) & ((F.col("lo") != 0) | (F.col("hi") != F.col("n") - 1) | (F.col("ids") != F.col("n")))
     return seen.select(F.when(F.col("bad") > 0, "malformed_feature").when(F.col("n") != n, "feature_count").when(order, "feature_order").when(wrong, "status_counts").alias("problem"))
+
+
+def read_manifest(spark: SparkSession, path: str, limits: Limits = Limits()) -> dict:
+    """One manifest; ValueError if it is too large, not strict JSON or not in a known final state."""
+    rows = spark.read.text(path, wholetext=True).withColumn("size", F.octet_length("value")).limit(2).collect()
+    if len(rows) != 1 or rows[0]["size"] > limits.manifest_bytes:
+        raise ValueError("no manifest of an acceptable size")
+    value = json.loads(rows[0]["value"], object_pairs_hook=_unique, parse_constant=_constant)
+    counts = ["feature_count", "measured_count", "not_applicable_count", "unsupported_count", "error_count"]
+    done = isinstance(value, dict) and value.get("status") == "COMPLETED"
+    if not done and not (isinstance(value, dict) and value.get("status") == "FAILED" and value.get("failure")):
+        raise ValueError("no final state")
+    if done and (not all(isinstance(value.get(c), int) and value[c] >= 0 for c in counts) or value["feature_count"] != sum(value[c] for c in counts[1:])):
+        raise ValueError("the counters disagree")
+    return value
+
+
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """One row as JSON, nulls included; the committer makes the folder appear whole."""
+    manifest.select(F.to_json(F.struct(*manifest.columns), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)

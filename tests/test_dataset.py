@@ -11,10 +11,11 @@ from test_readers import archive, kml, place, polygon, shape
 
 from terrameter.functions import expr
 from terrameter.model import Limits
+from terrameter.plans import views
 from terrameter.plans.dataset import process_files
 from terrameter.plans.store import Store, StoreError, checked, decode_cursor, encode_cursor, feature_checks, file_checks, write_feature_lines
 from terrameter.sources.files import scan_files
-from terrameter.sources.jsonl import problem_of, protocol_problem, read_feature_lines, strict_problem
+from terrameter.sources.jsonl import problem_of, protocol_problem, read_feature_lines, read_manifest, strict_problem, write_manifest
 from terrameter.streaming.ingest import start_ingest
 
 
@@ -152,6 +153,23 @@ def test_lines_round_trip_and_protocol(spark, tmp_path):
     assert protocol_problem(back.withColumn("feature_index", F.col("feature_index") * 2), manifest).first()[0] == "feature_order"
 
 
+def test_manifests_and_ddl(spark, tmp_path):
+    counts = "2 AS feature_count, 1 AS measured_count, 0 AS not_applicable_count, 0 AS unsupported_count, 1 AS error_count"
+    write_manifest(spark.sql(f"SELECT 'COMPLETED' AS status, {counts}, cast(null AS string) AS failure"), str(tmp_path / "m"))
+    assert read_manifest(spark, str(tmp_path / "m"))["failure"] is None
+    for text in ('{"status":"COMPLETED"}', '{"status":"FAILED"}', '{"a":1,"a":1}', "[]", '{"status":"x"}'):
+        (tmp_path / "bad.json").write_text(text)
+        with pytest.raises(ValueError):
+            read_manifest(spark, str(tmp_path / "bad.json"))
+    for statement in views.create_table_statements("default", str(tmp_path / "tables")):
+        spark.sql(statement)
+    assert spark.table("default.files").count() == spark.table("default.features").count() == 0
+    spark.sql("DROP TABLE default.files")
+    spark.sql("DROP TABLE default.features")
+    row = spark.sql("SELECT 'C' AS c, 'M' AS m, 'D' AS d, 'R' AS r").select(views.error_body(*map(F.col, "cmdr")).alias("e")).first()["e"]
+    assert row["error"]["code"] == "C" and row["error"]["request_id"] == "R"
+
+
 def test_expressions(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(expr.compensated_sum(F.array(F.lit(1e16), F.lit(1.0), F.lit(-1e16)))) == 1.0
