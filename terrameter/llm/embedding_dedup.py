@@ -181,10 +181,10 @@ def _links_of(classes: DataFrame, n: int, dim: int, threshold: float, limits: Li
     return dealt.groupBy("grp").applyInPandas(compare, "a long, b long")
 
 
-def count_links(members: DataFrame, threshold: float, limits: Limits = Limits()) -> DataFrame:
+def count_links(members: DataFrame, threshold: float, limits: Limits = Limits(), n: int = 0) -> DataFrame:
     """(cid, links) with the vectors of linked classes weighed by their copies, exact in each component.
 
-    members: cid, component, copies, vec.  A component larger than a tile is cut into blocks; every
+    members: cid, component, copies, vec; n: a bound on their number.  A component larger than a tile is cut into blocks; every
     pair of blocks meets in one task, so no task holds more than two tiles.
     """
     sizes = members.groupBy("component").agg(F.count("*").alias("members"))
@@ -194,7 +194,7 @@ def count_links(members: DataFrame, threshold: float, limits: Limits = Limits())
     tiles = sized.withColumn("block", own).withColumn("other", F.explode(every))
     tiles = tiles.select("cid", "component", "copies", "vec", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "blocks")
     # small components share a task; a block pair of a large one has its own key
-    key = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(4096))).otherwise(F.xxhash64("component", "i", "j"))
+    key = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(max(4096, n // limits.group)))).otherwise(F.xxhash64("component", "i", "j"))
 
     def count(table: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -228,11 +228,12 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec
     named = written(marked_vectors(rows, id_col, vector_col))
     classes = named.where("ok").groupBy("h1", "h2", "vec").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     classes = written(classes.withColumn("cid", F.xxhash64("h1", "h2")))
-    links = written(forest_links(classes, classes.count(), threshold, limits))
+    n = classes.count()
+    links = written(forest_links(classes, n, threshold, limits))
     parts = connected_components(links, "a", "b")
     linked = classes.join(parts, classes.cid == parts.node).select("cid", "component", "copies", "vec", "least")
     linked = written(linked)
-    counted = count_links(linked, threshold, limits)
+    counted = count_links(linked, threshold, limits, n)
     roots = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     known = linked.join(roots, "component").join(counted, "cid").select("cid", "component_id", "links")
     links_of = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long")
