@@ -115,3 +115,18 @@ SOURCE_FEATURE = T.StructType(
         T.StructField("deleted_records", T.IntegerType()),
     ]
 )
+
+#: A published feature's row.
+STORED_FEATURE = T.StructType(
+    [
+        T.StructField("feature_index", T.IntegerType()),
+        *[T.StructField(n, T.StringType()) for n in ("source_id", "geometry_type")],
+        T.StructField("dimensions", T.IntegerType()),
+        *[T.StructField(n, T.StringType()) for n in ("geometry", "source_parts", "properties", "metadata", "measurement_status")],
+        *[T.StructField(n, T.DoubleType()) for n in ("area_m2", "length_m")],
+        T.StructField("provenance", PROVENANCE),
+        T.StructField("issues", T.ArrayType(ISSUE)),
+        T.StructField("file_id", T.StringType()),
+        T.StructField("bucket", T.IntegerType()),
+    ]
+)

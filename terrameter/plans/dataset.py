@@ -150,11 +150,24 @@ def manifests(headers: DataFrame, features: DataFrame) -> DataFrame:
     )
 
 
-def process_files(files: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
-    """(manifests, features) of scanned files; a failed file keeps no features."""
-    rows = read_features(files, limits)
+def _kept(rows: DataFrame, staging: str | None, name: str) -> DataFrame:
+    """``rows``, or their copy below the staging folder, so that what follows does not run them again."""
+    if staging is None:
+        return rows
+    rows.write.parquet(f"{staging}/{name}")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{staging}/{name}")
+
+
+def process_files(files: DataFrame, limits: Limits = Limits(), staging: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(manifests, features) of scanned files; a failed file keeps no features.
+
+    Both results come from the same parse and measurement.  With a ``staging`` folder (shared by all
+    executors, removed by the caller) each of these runs once, whatever is done with the results.
+    """
+    rows = _kept(read_features(files, limits), staging, "source")
     headers = rows.where(F.col("feature_index") == HEADER_INDEX).select("path", "format", "crs_wkt", "file_failure", "file_message", "file_http_status", "file_warnings", "deleted_records")
-    budgeted = with_running_budgets(shrunk(measured(normalised(rows.where(F.col("feature_index") != HEADER_INDEX), limits), limits), limits), limits)
+    features = rows.where(F.col("feature_index") != HEADER_INDEX)
+    budgeted = _kept(with_running_budgets(shrunk(measured(normalised(features, limits), limits), limits), limits), staging, "features")
     found = manifests(headers, budgeted)
     kept = budgeted.join(found.where("status = 'COMPLETED'").select("path"), "path", "left_semi")
     return found, kept.drop("run_final", "run_work", "run_bytes", "breach", "over_limit", "output_bytes", "extra_work")

@@ -14,7 +14,7 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import MEASUREMENT_STATUSES, Limits
+from ..model import MEASUREMENT_STATUSES, STORED_FEATURE, Limits
 
 BUCKETS = 64
 
@@ -63,6 +63,11 @@ class Store:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return bool(path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path))
 
+    def remove(self, name: str) -> None:
+        """Delete a folder of the store, such as a used staging folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def _deleted(self) -> DataFrame:
         if not self._exists("deleted"):
             return self.spark.createDataFrame([], "id string")
@@ -73,7 +78,7 @@ class Store:
 
     def features(self) -> DataFrame:
         """Features of the files that are published and not deleted."""
-        rows = self.spark.read.parquet(f"{self.root}/features")
+        rows = self.spark.read.schema(STORED_FEATURE).parquet(f"{self.root}/features")
         return rows.join(self.files().where("status = 'COMPLETED'").select(F.col("id").alias("file_id")), "file_id", "left_semi")
 
     def publish(self, manifests: DataFrame, features: DataFrame, ids: DataFrame) -> None:
@@ -85,8 +90,12 @@ class Store:
         rows = features.join(ids.select("path", F.col("id").alias("file_id")), "path").drop("path", "format", "crs_wkt")
         rows = checked(rows, feature_checks()).withColumn("bucket", F.pmod(F.xxhash64("file_id"), F.lit(BUCKETS)).cast("int"))
         rows.repartition("bucket").sortWithinPartitions("bucket", "file_id", "feature_index").write.mode("append").partitionBy("bucket").parquet(f"{self.root}/features")
-        done = manifests.join(ids, "path").withColumn("completed_at", F.current_timestamp()).drop("path")
-        self._append_files(done)
+        # what was written must be what the manifests promise, or no file row appears
+        written = self.spark.read.schema(STORED_FEATURE).parquet(f"{self.root}/features").join(ids.select(F.col("id").alias("file_id")), "file_id", "left_semi")
+        counts = written.groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("_written"))
+        done = manifests.join(ids, "path").join(counts, "id", "left").withColumn("completed_at", F.current_timestamp()).drop("path")
+        same = (F.col("status") == "FAILED") & F.col("_written").isNull() | (F.coalesce("_written", F.lit(0)) == F.col("feature_count"))
+        self._append_files(checked(done, {"published_count": same}).drop("_written"))
 
     def _append_files(self, rows: DataFrame) -> None:
         checked(rows, file_checks()).sortWithinPartitions("created_at", "id").write.mode("append").parquet(f"{self.root}/files")
@@ -131,7 +140,7 @@ class Store:
 
     def _own(self, file_id: str) -> DataFrame:
         bucket = F.pmod(F.xxhash64(F.lit(file_id)), F.lit(BUCKETS)).cast("int")
-        return self.spark.read.parquet(f"{self.root}/features").where((F.col("bucket") == bucket) & (F.col("file_id") == file_id))
+        return self.spark.read.schema(STORED_FEATURE).parquet(f"{self.root}/features").where((F.col("bucket") == bucket) & (F.col("file_id") == file_id))
 
     def measurement_page(self, file_id: str, limit: int = 50, offset: int = 0) -> tuple[DataFrame, int, int | None]:
         rows, count, after = self.feature_page(file_id, limit, offset)

@@ -21,14 +21,17 @@ def start_ingest(spark: SparkSession, folder: str, store: Store, checkpoint: str
     schema = "path string, modificationTime timestamp, length long, content binary"
     arriving = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_batch).load(folder)
 
-    def publish(batch: DataFrame, _: int) -> None:
+    def publish(batch: DataFrame, number: int) -> None:
         files = batch.withColumns({"format": format_of(F.col("path")), "sha256": F.sha2("content", 256)})
         ids = files.select(
             "path", F.sha2(F.concat_ws("|", "path", "sha256"), 256).alias("id"), F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("upload_size"), "sha256", F.col("modificationTime").alias("created_at")
         )
         if store._exists("files"):
             ids = ids.join(store.files().select("id"), "id", "left_anti")
-        manifests, features = process_files(files.join(ids.select("path"), "path", "left_semi"), limits)
+        staging = f"staging/{number}"
+        store.remove(staging)  # of an attempt that failed
+        manifests, features = process_files(files.join(ids.select("path"), "path", "left_semi"), limits, f"{store.root}/{staging}")
         store.publish(manifests.where(F.col("format").isNotNull()), features, ids)
+        store.remove(staging)
 
     return arriving.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

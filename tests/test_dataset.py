@@ -107,6 +107,22 @@ def test_publish_read_delete(spark, inbox, tmp_path):
     assert clean.features().count() == 3 and spark.read.parquet(f"{clean.root}/features").count() == 3
 
 
+def test_publishing_failures_only_and_wrong_counts(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "b.kml").write_bytes(b"<broken")
+    store = Store(spark, str(tmp_path / "store"))
+    start_ingest(spark, str(folder), store, str(tmp_path / "ck")).awaitTermination()
+    assert store.files().first()["failure_code"] == "INVALID_KML" and store.features().count() == 0
+    (folder / "b.kml").unlink()
+    (folder / "ok.kml").write_bytes(kml(place(polygon())))
+    manifests, features = process_files(scan_files(spark, str(folder)))
+    ids = manifests.selectExpr("path", "'id1' AS id", "'ok.kml' AS filename", "10L AS upload_size", "'s' AS sha256", "current_timestamp() AS created_at")
+    with pytest.raises(Exception, match="published_count"):
+        store.publish(manifests, features.limit(0), ids)
+    assert store.files().count() == 1
+
+
 def test_constraints(spark):
     schema = "feature_index int, measurement_status string, area_m2 double, length_m double, provenance string"
     good = [(0, "MEASURED", 1.0, None, "p"), (1, "ERROR", None, None, None)]
