@@ -16,8 +16,6 @@ from terrameter.llm.sentencepiece_codec import encode_documents
 from terrameter.llm.simhash import simhash_groups
 from terrameter.llm.store import written
 
-LEAST_SHARE = 0.4  # of a document's words in its first language
-
 
 def _packed(docs: DataFrame) -> DataFrame:
     """Each row as one struct beside its text, so that no other column can clash with an operator's."""
@@ -25,9 +23,9 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose first language has a share of at least LEAST_SHARE."""
+    """Drop the documents in which no learned language can be told: those without a letter."""
     found = language_id.identify(_packed(docs), language_id.fit(docs), keep=["row"])
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select("row.*")
+    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
