@@ -121,7 +121,7 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, int, int,
     hexes, mixed = "0123456789abcdef", string.ascii_letters + string.digits
     words = lambda k, sep: sep.join(r.choice(WORDS) for _ in range(k))
     true = [
-        lambda: pick(hexes, r.choice([32, 40, 48, 64])), lambda: pick(hexes, r.choice([32, 40])).upper(), lambda: pick(mixed, r.randint(16, 64)),
+        lambda: pick(hexes, r.choice([32, 40, 48, 64])), lambda: pick(hexes, r.randint(10, 30)), lambda: pick(hexes, r.choice([32, 40])).upper(), lambda: pick(mixed, r.randint(16, 64)),
         lambda: pick(mixed + "+/", r.randint(24, 60)) + "=" * r.randint(0, 2), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16),
         lambda: "ghp_" + pick(mixed, 36), lambda: "sk-" + pick(mixed, 40), lambda: pick(mixed + "!@#%^&*", r.randint(8, 18)), lambda: f"eyJ{pick(mixed, 20)}.{pick(mixed, 40)}.{pick(mixed, 30)}",
     ]
