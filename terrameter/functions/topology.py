@@ -20,10 +20,10 @@ def orient(ax, ay, bx, by, cx, cy) -> np.ndarray:
     """Sign of the turn a-b-c: 1 left, -1 right, 0 straight."""
     left, right = (bx - ax) * (cy - ay), (by - ay) * (cx - ax)
     det = left - right
-    sign = np.sign(det)
-    unsure = np.flatnonzero(np.abs(det) <= _EPS * 4 * (np.abs(left) + np.abs(right)))
+    at_end = ((cx == ax) & (cy == ay)) | ((cx == bx) & (cy == by))  # the turn is straight, without rounding
+    sign = np.where(at_end, 0.0, np.sign(det))
+    unsure = np.flatnonzero((np.abs(det) <= _EPS * 4 * (np.abs(left) + np.abs(right))) & ~at_end)
     if len(unsure):
-        sign = sign.copy()
         for i in unsure:
             a, b, c, d, e, f = (Fraction(float(v[i])) for v in np.broadcast_arrays(ax, ay, bx, by, cx, cy))
             exact = (c - a) * (f - b) - (d - b) * (e - a)

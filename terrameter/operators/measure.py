@@ -298,58 +298,94 @@ def _check_extents(features: list[_Feature], limits: Limits) -> None:
             f.result = _failed(why.status, why.code, str(why), budget[0])
 
 
+class _Active:
+    """The features still in the refinement loop, with their state in arrays by component and by feature."""
+
+    def __init__(self, features: list[_Feature]) -> None:
+        self.features = features
+        self.index = np.array([i for i, f in enumerate(features) if f.result is None], np.int64)
+        n = sum(len(features[i].components) for i in self.index)
+        self.work = np.zeros(len(self.index), np.int64)
+        self.previous, self.streak = np.zeros(n), np.zeros(n, np.int64)
+        self.total, self.total_streak = np.zeros(len(self.index)), np.zeros(len(self.index), np.int64)
+        self._lay()
+
+    def _lay(self) -> None:
+        self.flat = _Flat([(i, c) for i in self.index.tolist() for c in self.features[i].components]) if len(self.index) else None
+        sizes = np.array([len(self.features[i].components) for i in self.index.tolist()], np.int64)
+        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
+
+    def settle(self, results: dict[int, dict]) -> None:
+        """Take the features at these places out of the loop with their results."""
+        if not results:
+            return
+        stay = np.ones(len(self.index), bool)
+        for place, result in results.items():
+            self.features[self.index[place]].result = result
+            stay[place] = False
+        parts = np.repeat(stay, self.sizes)
+        self.previous, self.streak = self.previous[parts], self.streak[parts]
+        self.index, self.work, self.total, self.total_streak = self.index[stay], self.work[stay], self.total[stay], self.total_streak[stay]
+        self._lay()
+
+    def parts(self, place: int) -> slice:
+        return slice(self.starts[place], self.starts[place] + self.sizes[place])
+
+
+def _stopped(active: _Active, counts: np.ndarray, level: int, limits: Limits) -> dict[int, dict]:
+    """Features with too many positions or, at the first level, an invalid polygon; the first part decides."""
+    out = {}
+    many = np.add.reduceat(counts, active.starts) > limits.generated_feature_coordinates
+    polygons = np.logical_or.reduceat(active.flat.polygon, active.starts) if level == 0 else np.zeros(len(many), bool)
+    for place in np.flatnonzero(many | polygons).tolist():
+        running = np.cumsum(counts[active.parts(place)])
+        over = np.flatnonzero(running > limits.generated_feature_coordinates)
+        parts = active.features[active.index[place]].components
+        bad = next((k for k, c in enumerate(parts) if not _valid(c)), None) if level == 0 else None
+        work = int(active.work[place])
+        if len(over) and (bad is None or over[0] <= bad):
+            out[place] = _failed("ERROR", "GENERATED_COORDINATE_LIMIT", "A refinement has too many positions.", work + int(running[over[0]]))
+        elif bad is not None:
+            out[place] = _failed("ERROR", "INVALID_GEOMETRY", "The projected geometry is invalid.", work + int(running[bad]))
+    return out
+
+
 def _refine(features: list[_Feature], wkts: list[str | None], kinds: list[str], limits: Limits) -> None:
-    active = [i for i, f in enumerate(features) if f.result is None]
-    previous: dict[int, np.ndarray] = {}
-    streak = {i: np.zeros(len(features[i].components) + 1, int) for i in active}  # the total comes last
+    """Halve the spacing until each part and the total have been stable twice in a row."""
+    active = _Active(features)
     for level in range(limits.refinements + 1):
-        if not active:
+        if not len(active.index):
             return
         spacing = limits.start_segment_m / 2**level
-        flat = _Flat([(i, c) for i in active for c in features[i].components])
-        counts = flat.generated(spacing)
-        where = {i: np.flatnonzero(flat.owner == i) for i in active} if len(active) < 64 else _ranges(flat.owner)
-        for i in list(active):
-            running = np.cumsum(counts[where[i]])
-            over = np.flatnonzero(running > limits.generated_feature_coordinates)
-            bad = next((k for k, c in enumerate(features[i].components) if not _valid(c)), None) if level == 0 else None
-            if len(over) and (bad is None or over[0] <= bad):
-                features[i].result = _failed("ERROR", "GENERATED_COORDINATE_LIMIT", "A refinement has too many positions.", features[i].work + int(running[over[0]]))
-            elif bad is not None:
-                features[i].result = _failed("ERROR", "INVALID_GEOMETRY", "The projected geometry is invalid.", features[i].work + int(running[bad]))
-        stay = [i for i in active if features[i].result is None]
-        if len(stay) < len(active):
-            active = stay
-            if not active:
-                return
-            flat = _Flat([(i, c) for i in active for c in features[i].components])
-            counts, where = flat.generated(spacing), _ranges(flat.owner)
-        values = flat.measure(spacing)
-        for i in list(active):
-            f, own = features[i], values[where[i]]
-            f.work += int(counts[where[i]].sum())
-            if not (np.isfinite(own) & (own > 0)).all():
-                f.result = _failed("ERROR", "INVALID_GEOMETRY", "The projected geometry is degenerate.", f.work)
-            elif f.work > limits.generated_work:
-                f.result = _failed("ERROR", "CUMULATIVE_COORDINATE_LIMIT", "The refinements have too many positions.", f.work)
+        active.settle(_stopped(active, active.flat.generated(spacing), level, limits))
+        if not len(active.index):
+            return
+        flat, starts = active.flat, active.starts
+        counts, values = flat.generated(spacing), flat.measure(spacing)
+        active.work += np.add.reduceat(counts, starts)
+        total = np.add.reduceat(values, starts)
+        area = flat.polygon
+        if level:
+            within = lambda now, before, is_area: np.abs(now - before) <= np.where(is_area, np.maximum(0.01, 1e-5 * now), np.maximum(0.001, 1e-6 * now))
+            active.streak = np.where(within(values, active.previous, area), active.streak + 1, 0)
+            active.total_streak = np.where(within(total, active.total, area[starts]), active.total_streak + 1, 0)
+        active.previous, active.total = values, total
+        degenerate = np.logical_or.reduceat(~(np.isfinite(values) & (values > 0)), starts)
+        exhausted = active.work > limits.generated_work
+        stable = (np.minimum.reduceat(active.streak, starts) >= 2) & (active.total_streak >= 2) & (level >= 2)
+        results = {}
+        for place in np.flatnonzero(degenerate | exhausted | stable).tolist():
+            f = features[active.index[place]]
+            f.work = int(active.work[place])
+            if degenerate[place]:
+                results[place] = _failed("ERROR", "INVALID_GEOMETRY", "The projected geometry is degenerate.", f.work)
+            elif exhausted[place]:
+                results[place] = _failed("ERROR", "CUMULATIVE_COORDINATE_LIMIT", "The refinements have too many positions.", f.work)
             else:
-                now = np.append(own, math.fsum(own))
-                if level:
-                    area = np.append(flat.polygon[where[i]], flat.polygon[where[i][0]])
-                    allowed = np.where(area, np.maximum(0.01, 1e-5 * now), np.maximum(0.001, 1e-6 * now))
-                    streak[i] = np.where(np.abs(now - previous[i]) <= allowed, streak[i] + 1, 0)
-                previous[i] = now
-                if level >= 2 and (streak[i] >= 2).all():
-                    f.result = _measured(f, kinds[i], wkts[i], own, counts[where[i]], level, spacing, limits)
-            if f.result is not None:
-                active.remove(i)
-    for i in active:
-        features[i].result = _failed("ERROR", "NUMERICAL_CONVERGENCE_FAILED", "The measurement did not settle.", features[i].work)
-
-
-def _ranges(owner: np.ndarray) -> dict[int, np.ndarray]:
-    starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-    return {int(owner[a]): np.arange(a, b) for a, b in zip(starts, np.append(starts[1:], len(owner)), strict=True)}
+                own, i = active.parts(place), active.index[place]
+                results[place] = _measured(f, kinds[i], wkts[i], values[own], counts[own], level, spacing, limits)
+        active.settle(results)
+    active.settle({place: _failed("ERROR", "NUMERICAL_CONVERGENCE_FAILED", "The measurement did not settle.", int(w)) for place, w in enumerate(active.work)})
 
 
 def _measured(f: _Feature, kind: str, wkt: str | None, values: np.ndarray, counts: np.ndarray, level: int, spacing: float, limits: Limits) -> dict:
