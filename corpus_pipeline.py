@@ -38,7 +38,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     heads = groups.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.min("component_id").alias("head"))
     heads = written(heads.where("doc_id IS NULL OR doc_id = head").select(F.col("doc_id").alias("head_id"), "n_rows"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("own_id"))
-    rows = rows.join(heads, F.col("own_id").eqNullSafe(F.col("head_id")))
+    # dealt by id at every size: heads grow with the documents, so they are never broadcast
+    rows = rows.join(heads.hint("shuffle_hash"), F.col("own_id").eqNullSafe(F.col("head_id")))
     kept = rows.where("n_rows = 1").select("row")
     if not heads.where("n_rows > 1").isEmpty():
         again = rows.where("n_rows > 1").groupBy("head_id").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
