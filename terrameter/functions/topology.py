@@ -81,17 +81,22 @@ def signed_area(ring: np.ndarray) -> float:
 
 
 def inside(points: np.ndarray, ring: np.ndarray) -> np.ndarray:
-    """1 inside, 0 on the boundary, -1 outside, for each point."""
+    """1 inside, 0 on the boundary, -1 outside, for each point; points in slabs against all edges."""
     out = np.empty(len(points), int)
     a, b = ring[:-1], ring[1:]
-    for k, (x, y) in enumerate(points):
-        side = orient(a[:, 0], a[:, 1], b[:, 0], b[:, 1], np.full(len(a), x), np.full(len(a), y))
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        if ((side == 0) & (lo[:, 0] <= x) & (x <= hi[:, 0]) & (lo[:, 1] <= y) & (y <= hi[:, 1])).any():
-            out[k] = 0
-            continue
-        up, down = (a[:, 1] <= y) & (b[:, 1] > y) & (side > 0), (a[:, 1] > y) & (b[:, 1] <= y) & (side < 0)
-        out[k] = 1 if int(up.sum()) != int(down.sum()) else -1
+    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    step = max(1, _SLAB // len(a))
+    for at in range(0, len(points), step):
+        part = points[at : at + step]
+        k, n = len(part), len(a)
+        x, y = np.repeat(part[:, 0], n), np.repeat(part[:, 1], n)
+        edge = np.tile(np.arange(n), k)
+        side = orient(a[edge, 0], a[edge, 1], b[edge, 0], b[edge, 1], x, y)
+        on = (side == 0) & (lo[edge, 0] <= x) & (x <= hi[edge, 0]) & (lo[edge, 1] <= y) & (y <= hi[edge, 1])
+        up = (a[edge, 1] <= y) & (b[edge, 1] > y) & (side > 0)
+        down = (a[edge, 1] > y) & (b[edge, 1] <= y) & (side < 0)
+        winding = (up.astype(int) - down.astype(int)).reshape(k, n).sum(1)
+        out[at : at + step] = np.where(on.reshape(k, n).any(1), 0, np.where(winding != 0, 1, -1))
     return out
 
 
