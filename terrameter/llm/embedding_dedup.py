@@ -2,10 +2,13 @@
 
 Equal vectors are one class first, so copies cost nothing.  Each tree splits the classes again and
 again along a random direction at the median; classes within a quantile band around it go to both
-sides (spill overlap).  The upper levels are fitted on a bounded sample and deal the classes to
-groups; each group goes on splitting in its task down to small leaves.  Vectors are compared inside
-leaves, links are verified in double precision and united over all trees.  The links of each vector
-are then counted exactly inside its component, in square tiles.
+sides (spill overlap).  The trees are fitted on a bounded sample and deal the classes to groups,
+which are compared in full.  At every split the distance of two vectors at the threshold, along the
+direction, tells how likely a vector keeps such a partner; a vector goes to further trees, fitted on
+the vectors still in want of them, until it is unlikely to have missed one.  Where too many trees
+would be needed, the vectors left over are compared with each other in full.  Links are verified in
+double precision and united.  The links of each vector are then counted exactly inside its component,
+in square tiles.
 """
 
 from __future__ import annotations
@@ -26,11 +29,13 @@ from .store import bounded_batches, written
 
 @dataclass(frozen=True)
 class Limits:
-    trees: int = 6
-    leaf: int = 192
+    trees: int = 6  # for every vector, at least
+    most_trees: int = 48  # vectors that want more are compared with each other in full
+    miss: float = 0.002  # chance to lose a partner at the threshold below which a vector needs no more trees
+    leaf: int = 192  # rows of a block in which a group's vectors are compared
     spill: float = 0.05  # share of a node's vectors on each side of the median that go to both sides
-    group: int = 2048  # vectors that a group of the upper levels should have
-    fit_rows: int = 16_384  # vectors that the upper levels are fitted on
+    group: int = 2048  # vectors that a group should have
+    fit_rows: int = 16_384  # vectors that the trees are fitted on
     top_depth: int = 12
     tile: int = 1024
 
@@ -49,60 +54,99 @@ def _split(x: np.ndarray, rng: np.random.Generator, spill: float) -> tuple[np.nd
     return direction, low, mid, high
 
 
-def fit_tops(sample: np.ndarray, depth: int, limits: Limits, seed: int) -> list[list[tuple]]:
-    """The upper levels of every tree, as nodes in heap order: (direction, low, high)."""
-    trees = []
-    for t in range(limits.trees):
-        rng = np.random.default_rng([seed, t])
-        nodes: list[tuple | None] = [None] * (2**depth - 1)
-        todo = [(0, np.arange(len(sample)))]
-        while todo:
-            i, rows = todo.pop()
-            if i >= len(nodes):
-                continue
-            if len(rows) > 1:
-                direction, low, mid, high = _split(sample[rows], rng, limits.spill)
-                p = sample[rows] @ direction
-                left, right = rows[p <= mid], rows[p > mid]
-            else:
-                direction, low, high, left, right = rng.standard_normal(sample.shape[1]), 0.0, 0.0, rows, rows
-            nodes[i] = direction, float(low), float(high)
-            todo += [(2 * i + 1, left), (2 * i + 2, right)]
+def fit_tree(sample: np.ndarray, depth: int, limits: Limits, rng: np.random.Generator) -> list[tuple]:
+    """One tree as nodes in heap order: (direction, low, high)."""
+    nodes: list[tuple | None] = [None] * (2**depth - 1)
+    todo = [(0, np.arange(len(sample)))]
+    while todo:
+        i, rows = todo.pop()
+        if i >= len(nodes):
+            continue
+        if len(rows) > 1:
+            direction, low, mid, high = _split(sample[rows], rng, limits.spill)
+            p = sample[rows] @ direction
+            left, right = rows[p <= mid], rows[p > mid]
+        else:
+            direction, low, high, left, right = rng.standard_normal(sample.shape[1]), 0.0, 0.0, rows, rows
+        nodes[i] = direction.astype(np.float32), float(low), float(high)
+        todo += [(2 * i + 1, left), (2 * i + 2, right)]
+    return nodes
+
+
+def _depth(n: float, limits: Limits) -> int:
+    return max(0, min(limits.top_depth, math.ceil(math.log2(max(1, n) / limits.group))))
+
+
+def fit_forest(sample: np.ndarray, n: int, threshold: float, limits: Limits, seed: int) -> tuple[list[list[tuple]], int]:
+    """Trees for ``n`` vectors like ``sample``, and the blocks of those left over (0 if none are).
+
+    Trees after the first few are fitted on the vectors that may still miss a partner.  They end when
+    there are none, or when comparing these with each other takes fewer copies than more trees.
+    """
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold))
+    miss = np.ones(len(sample))
+    trees: list[list[tuple]] = []
+    while True:
+        want = np.flatnonzero(miss > limits.miss) if len(trees) >= limits.trees else np.arange(len(sample))
+        left = n * len(want) / max(1, len(sample))
+        if trees and (not len(want) or not trees[0]):
+            return trees, 0
+        depth = _depth(left, limits)
+        nodes = fit_tree(sample[want], depth, limits, np.random.default_rng([seed, len(trees)]))
+        kept = np.zeros(len(want))
+        for _, rows, chance in _route(sample[want], nodes, reach):
+            kept[rows] += chance
+        if len(trees) >= limits.trees:
+            more = np.log(limits.miss / miss[want]) / np.log1p(-np.clip(kept, 1e-9, 1 - 1e-9))
+            blocks = math.ceil(left / max(1, limits.group // 2))
+            if len(trees) >= limits.most_trees or blocks <= more.mean() * (1 + 2 * limits.spill) ** depth:
+                return trees, blocks
         trees.append(nodes)
-    return trees
+        miss[want] *= 1 - np.minimum(kept, 1)
+
+
+_AT = np.linspace(-6, 6, 2401)
+_BELOW = np.array([0.5 * (1 + math.erf(z / math.sqrt(2))) for z in _AT])
+
 
+def _route(x: np.ndarray, nodes: list[tuple], reach: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(group, rows, chance) of one tree; rows in a band appear on both sides.
 
-def _route(x: np.ndarray, nodes: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
-    """(leaf, rows) of one tree's upper levels; rows in a band appear on both sides."""
-    todo = [(0, np.arange(len(x)))]
+    The chances of a row add up to that of a vector at distance ``reach`` meeting it in one of its
+    groups: along a normal direction the two lie a normal deviate of that size apart.
+    """
+    todo = [(0, np.arange(len(x)), np.ones(len(x)))]
     while todo:
-        i, rows = todo.pop()
+        i, rows, chance = todo.pop()
         if not len(rows):
             continue
         if i >= len(nodes):
-            yield i - len(nodes), rows
+            yield i - len(nodes), rows, chance
             continue
         direction, low, high = nodes[i]
         p = x[rows] @ direction
-        todo += [(2 * i + 1, rows[p <= high]), (2 * i + 2, rows[p > low])]
-
-
-def _leaves(x: np.ndarray, rng: np.random.Generator, limits: Limits) -> Iterator[np.ndarray]:
-    """Rows of each leaf; a node that no direction splits is cut in two halves."""
-    todo = [np.arange(len(x))]
-    while todo:
-        rows = todo.pop()
-        if len(rows) <= limits.leaf:
-            yield rows
-            continue
-        direction, low, _, high = _split(x[rows], rng, limits.spill)
-        p = x[rows] @ direction
-        left, right = rows[p <= high], rows[p > low]
-        if max(len(left), len(right)) > 0.8 * len(rows):
-            order = rows[np.argsort(p, kind="stable")]
-            half, lap = len(rows) // 2, int(limits.spill * len(rows))
-            left, right = order[: half + lap], order[half - lap :]
-        todo += [left, right]
+        left, right = p <= high, p > low
+        # a row in the band shares its chance out at the middle, one outside keeps partners up to the band's far end
+        cut = np.where(left & right, (low + high) / 2, np.where(left, high, low))
+        below = np.interp((cut - p) / max(reach, 1e-12), _AT, _BELOW)
+        todo += [(2 * i + 1, rows[left], (chance * below)[left]), (2 * i + 2, rows[right], (chance * (1 - below))[right])]
+
+
+def _blocks(x: np.ndarray, threshold: float, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, near) of every two blocks of ``size`` rows that hold a link, in double precision."""
+    small = x.astype(np.float32)
+    for i in range(0, len(x), size):
+        for j in range(i, len(x), size):
+            # single precision is off by far less than the margin; a block without a candidate ends here
+            some = small[i : i + size] @ small[j : j + size].T >= threshold - 1e-4
+            if i == j:
+                np.fill_diagonal(some, False)
+            if not some.any():
+                continue
+            rows = np.unique(np.concatenate((i + np.flatnonzero(some.any(1)), j + np.flatnonzero(some.any(0)))))
+            near = x[rows] @ x[rows].T >= threshold
+            np.fill_diagonal(near, False)
+            yield rows, near
 
 
 def _stars(near: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,9 +188,10 @@ def _links_of(classes: DataFrame, n: int, dim: int, threshold: float, limits: Li
     share = min(1.0, limits.fit_rows / max(1, n))
     roll = F.pmod(F.xxhash64("cid", F.lit(seed)), F.lit(1 << 30))
     sample = classes.where(roll < int(share * (1 << 30)) + 1).limit(limits.fit_rows + limits.fit_rows // 8).toPandas()
-    depth = max(0, min(limits.top_depth, math.ceil(math.log2(max(1, n) / limits.group))))
     x = unit(sample.sort_values("cid")["vec"].tolist()) if len(sample) else np.zeros((0, dim))
-    tops = classes.sparkSession.sparkContext.broadcast(fit_tops(x, depth, limits, seed))  # trees x 2^top_depth nodes at most
+    trees, blocks = fit_forest(x, n, threshold, limits, seed)
+    shared = classes.sparkSession.sparkContext.broadcast(trees)  # most_trees x 2^top_depth nodes at most
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -155,24 +200,32 @@ def _links_of(classes: DataFrame, n: int, dim: int, threshold: float, limits: Li
             raw = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             x = unit(raw)
             cids = b.column(0).to_numpy(zero_copy_only=False)
-            for t, nodes in enumerate(tops.value):
-                for leaf, at in _route(x, nodes):
-                    values = pa.array(raw[at].ravel())
-                    vecs = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * dim + 1, dim), pa.int32()), values)
-                    group = np.full(len(at), t << 20 | leaf, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(cids[at]), vecs], ["grp", "cid", "vec"])
+
+            def batch(group: int, at: np.ndarray) -> pa.RecordBatch:
+                vecs = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * dim + 1, dim), pa.int32()), pa.array(raw[at].ravel()))
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), group, np.int64)), pa.array(cids[at]), vecs], ["grp", "cid", "vec"])
+
+            miss = np.ones(len(x))
+            for t, nodes in enumerate(shared.value):
+                want = np.flatnonzero(miss > limits.miss) if t >= limits.trees else np.arange(len(x))
+                kept = np.zeros(len(want))
+                for group, at, chance in _route(x[want], nodes, reach):
+                    kept[at] += chance
+                    yield batch(t << 20 | group, want[at])
+                miss[want] *= 1 - np.minimum(kept, 1)
+            over = np.flatnonzero(miss > limits.miss) if blocks else np.zeros(0, np.int64)
+            block = cids[over] % max(1, blocks)
+            for mine in np.unique(block):
+                for other in range(blocks):
+                    if other != mine or blocks == 1:  # every pair of blocks meets, and with it each block itself
+                        i, j = sorted((int(mine), other))
+                        yield batch(-1 - (i * blocks + j), over[block == mine])
 
     def compare(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values("cid")
         x = unit(np.stack(table["vec"].to_numpy()))
         ids = table["cid"].to_numpy()
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for rows in _leaves(x, np.random.default_rng([seed, 1, int(key[0])]), limits):
-            near = x[rows] @ x[rows].T >= threshold
-            np.fill_diagonal(near, False)
-            some = near.any(1)
-            if some.any():
-                found.append(_stars(near[np.ix_(some, some)], ids[rows[some]]))
+        found = [_stars(near, ids[rows]) for rows, near in _blocks(x, threshold, limits.leaf)]
         a, b = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 

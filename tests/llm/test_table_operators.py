@@ -183,6 +183,31 @@ def test_op5_recall_on_pairs_at_the_threshold(spark):
     assert (got.n_links > 0).mean() >= 0.97 and (got.n_links <= 1).all()
 
 
+def test_op5_recall_in_a_dense_cluster(spark):
+    """With the limits in use: pairs at the threshold inside one cluster of mean cosine 0.9."""
+    rng = np.random.default_rng(10)
+    mean = rng.normal(size=64)
+    x = np.sqrt(0.9) * mean / np.linalg.norm(mean) + np.sqrt(0.1) * rng.normal(size=(10_000, 64)) / 8
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a = x[:500]
+    side = rng.normal(size=a.shape)
+    side -= (side * a).sum(1, keepdims=True) * a
+    x[500:1000] = 0.951 * a + np.sqrt(1 - 0.951**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    linked = np.array([(x @ v >= 0.95).sum() > 1 for v in x])
+    got = near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas().set_index("vec_id").sort_index()
+    assert linked[:1000].all() and not (got.n_links.to_numpy() > 0)[~linked].any()
+    assert (got.n_links.to_numpy()[linked] > 0).mean() >= 0.98
+
+
+def test_op5_leftover_vectors_meet_in_blocks(spark):
+    """Where trees are not allowed to help, the vectors left over are compared in full."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=16) + 0.2 * rng.normal(size=(600, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.99, limits=Limits(trees=1, most_trees=1, group=64)).collect()
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=repr) == brute_duplicates([i for i, _ in rows], [v for _, v in rows], 0.99)
+
+
 def test_pipeline_stages(spark, sf_dir, odd_docs, no_docs):
     pipeline = pytest.importorskip("corpus_pipeline")
     names = ["language_id", "simhash_dedup", "secret_scan", "mix_sources", "sentencepiece"]
