@@ -29,20 +29,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group, the one with the smallest id.
+    """Keep exactly one row of each group, the one with the smallest id (null ids last) and text hash.
 
-    Rows with one id (null ids too) count as copies of one document; the one whose text hashes lowest
-    stays.  Texts are dealt once, by id; only repeated ids are grouped.
+    Rows are told apart by id and text hash, so null and repeated ids neither join groups nor empty
+    them.  Texts are dealt once, by that key; only repeated keys are grouped.
     """
-    groups = written(simhash_groups(docs).select("doc_id", "component_id"))
-    heads = groups.groupBy("doc_id").agg(F.count("*").alias("n_rows"), F.min("component_id").alias("head"))
-    heads = written(heads.where("doc_id IS NULL OR doc_id = head").select(F.col("doc_id").alias("head_id"), "n_rows"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("own_id"))
-    # dealt by id at every size: heads grow with the documents, so they are never broadcast
-    rows = rows.join(heads.hint("shuffle_hash"), F.col("own_id").eqNullSafe(F.col("head_id")))
+    text = docs["text"].cast("string")
+    parts = {"no_id": docs["doc_id"].isNull(), "id": docs["doc_id"], "h1": F.xxhash64(text), "h2": F.xxhash64(F.lit(1), text)}
+    keyed = docs.select(F.struct(*[c.alias(k) for k, c in parts.items()]).alias("key"), text.alias("text"))
+    # a group's component is its smallest key, which only rows of one text have: it names the group and the row that stays
+    groups = simhash_groups(keyed, "key").where("key = component_id").groupBy("key").agg(F.count("*").alias("n_rows"))
+    heads = written(groups.select("n_rows", *[F.col(f"key.{k}").alias(f"head_{k}") for k in parts]))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[c.alias(f"own_{k}") for k, c in parts.items()])
+    same = [F.col(f"own_{k}").eqNullSafe(F.col(f"head_{k}")) for k in parts]
+    # dealt by key at every size: heads grow with the documents, so they are never broadcast
+    rows = rows.join(heads.hint("shuffle_hash"), same)
     kept = rows.where("n_rows = 1").select("row")
     if not heads.where("n_rows > 1").isEmpty():
-        again = rows.where("n_rows > 1").groupBy("head_id").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
+        again = rows.where("n_rows > 1").groupBy(*[f"head_{k}" for k in parts]).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
         kept = kept.unionByName(again.select("row"))
     return kept.select("row.*")
 

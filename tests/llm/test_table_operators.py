@@ -228,3 +228,13 @@ def test_pipeline_stages(spark, sf_dir, odd_docs, no_docs):
         assert stage(spark, no_docs, sf_dir).count() == 0
     assert pipeline.drop_near_duplicates(spark, odd_docs, sf_dir).where("doc_id = 1").count() == 1
     assert pipeline.mask_secrets(spark, odd_docs, sf_dir).count() == 12
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    """Null and repeated ids neither join groups nor empty them."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c, d, e = (" ".join(f"{w}{i * k % 97}" for i in range(60)) for w, k in (("ape", 3), ("bee", 5), ("cat", 7), ("dog", 11), ("elk", 13)))
+    texts = [(5, a), (5, b), (3, b), (None, c), (None, d), (None, d), (7, e), (None, e), (8, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted([(5, a), (3, b), (None, c), (None, d), (7, e), (8, None)], key=repr)
