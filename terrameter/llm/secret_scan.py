@@ -34,19 +34,39 @@ WORDS = "the and for that with from this have are not you all can had her was on
 _ASSIGNED = re.compile(r"(?i)(?:api[_-]?key|key|token|secret|password|passwd|pwd|auth|credential)s?[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?([^\s\"',;<>]{6,})")
 _SHAPED = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk[-_][A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+")
 _LONG = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
+_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+_RULE = re.compile(r"([+/_=.-])\1{3,}")  # rule lines and filler between tokens
 _NAME = re.compile(r"[^\W\d_]+")
 _DICTIONARY = re.compile("|".join(sorted({w for w in WORDS + PLACEHOLDERS if len(w) > 2}, key=len, reverse=True)))
 
 FEATURES = ["length", "log_transition", "class_changes", "digits", "upper", "distinct", "entropy", "dictionary", "in_path", "near_secret", "near_harmless", "assigned", "shaped", "hex_only", "placeholder"]
 
 
+def _mixed(text: str, begin: int, end: int) -> bool:
+    return _DIGIT.search(text, begin, end) is not None and _LETTER.search(text, begin, end) is not None
+
+
+def _long_spans(text: str, begin: int, end: int) -> list[tuple[int, int]]:
+    """The mixed parts of a long token between runs of one separator, or all of it where no part is mixed."""
+    if not _mixed(text, begin, end):
+        return []
+    cuts = [begin, *[at for m in _RULE.finditer(text, begin, end) for at in m.span()], end]
+    parts = [(b, e) for b, e in zip(cuts[::2], cuts[1::2], strict=True) if _mixed(text, b, e)]
+    return parts or [(begin, end)]
+
+
+def _value_span(text: str, begin: int, end: int) -> tuple[int, int]:
+    """An assigned value without the rule line before it, where enough of it is left."""
+    rule = _RULE.match(text, begin, end)
+    return (rule.end(), end) if rule and end - rule.end() >= 6 else (begin, end)
+
+
 def candidates(text: str) -> list[tuple[int, int, bool, bool]]:
     """(begin, end, assigned, shaped) of each candidate, without overlaps, in order."""
     found: dict[int, tuple[int, int, bool, bool]] = {}
-    spans = [(m.span(1), True, False) for m in _ASSIGNED.finditer(text)] + [(m.span(), False, True) for m in _SHAPED.finditer(text)]
+    spans = [(_value_span(text, *m.span(1)), True, False) for m in _ASSIGNED.finditer(text)] + [(m.span(), False, True) for m in _SHAPED.finditer(text)]
     for m in _LONG.finditer(text):
-        if any(c.isdigit() for c in m[0][:400]) and any(c.isalpha() for c in m[0][:400]):
-            spans.append((m.span(), False, False))
+        spans += [(span, False, False) for span in _long_spans(text, *m.span())]
     at = -1
     for (begin, end), assigned, shaped in sorted(spans, key=lambda s: (s[0][0], -s[0][1], not s[1])):
         if begin >= at:

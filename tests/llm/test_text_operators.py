@@ -235,6 +235,22 @@ def test_op4_forest_and_masks(spark, odd_docs, no_docs):
     assert secret_scan.scan_report(no_docs, scanner).count() == 0
 
 
+def test_op4_long_tokens_are_read_whole():
+    """A secret behind a rule line or filler of any length is a candidate."""
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    for filler in ("=" * 450, "-" * 401, "_" * 5000, "=" * 10):
+        text = f"see {filler}{key} there"
+        at = text.index(key)
+        assert [c[:2] for c in secret_scan.candidates(text)] == [(at, at + len(key))]
+    text = f"api key {'=' * 450}{key} there"
+    assert [c[:2] for c in secret_scan.candidates(text)] == [(458, 498)]
+    assert [(b, e) for b, e, s in secret_scan.train().scan(text) if s >= 0.5] == [(458, 498)]
+    text = "a" * 450 + key
+    assert [c[:2] for c in secret_scan.candidates(text)] == [(0, len(text))]
+    assert [c[:2] for c in secret_scan.candidates("abcdefghijkl" + "=" * 9 + "0123456789")] == [(0, 31)]
+    assert not secret_scan.candidates("=" * 450 + "a" * 40)
+
+
 def test_op4_query_masks_what_a_plain_scan_finds(spark, sf_dir):
     scanner = secret_scan.train()
     rows = {r["doc_id"]: r for r in q.op4_secret_scan(spark, sf_dir).collect()}
