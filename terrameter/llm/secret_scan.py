@@ -72,10 +72,10 @@ def candidates(text: str) -> list[tuple[int, int, bool, bool]]:
         if begin >= at:
             found[begin] = begin, end, assigned, shaped
             at = end
-        else:  # the same token found in another way
+        else:  # the same token found in another way, as far as either reaches
             last = next(reversed(found))
             b, e, a, s = found[last]
-            found[last] = b, max(e, end) if begin == b else e, a or assigned, s or shaped
+            found[last] = b, max(e, end), a or assigned, s or shaped
             at = found[last][1]
     return list(found.values())
 

@@ -251,6 +251,17 @@ def test_op4_long_tokens_are_read_whole():
     assert not secret_scan.candidates("=" * 450 + "a" * 40)
 
 
+def test_op4_name_and_value_with_punctuation(spark):
+    """No tail of an assigned value stays where a long token covers only its head."""
+    scanner = secret_scan.train()
+    secret = "DB_PASSWORD=Tr0ub4dor1&3xyzSECRETTAIL"
+    for mark in "&!@#%^*:":
+        text = f"x {secret.replace('&', mark)} y"
+        assert [c[:3] for c in secret_scan.candidates(text)] == [(2, 2 + len(secret), True)]
+    rows = spark.createDataFrame([(1, f"x {secret} y")], "doc_id long, text string")
+    assert [r["text"] for r in secret_scan.scan_documents(rows, scanner).collect()] == [f"x {secret_scan.MASK} y"]
+
+
 def test_op4_query_masks_what_a_plain_scan_finds(spark, sf_dir):
     scanner = secret_scan.train()
     rows = {r["doc_id"]: r for r in q.op4_secret_scan(spark, sf_dir).collect()}
