@@ -143,7 +143,8 @@ def _em(like: np.ndarray, doc: np.ndarray, begins: np.ndarray, share: np.ndarray
 def infer(words: np.ndarray, begins: np.ndarray, model: Model, rounds: int = 15) -> np.ndarray:
     """Language shares of each document; ``words`` has a row of log-likelihoods for each word.
 
-    Sets of one, two and three languages compete, each the largest shares of the fit before.
+    Sets of one, two and more languages compete, each the largest shares of the full mixture, until no
+    larger set can win.
     """
     n_lang = words.shape[1]
     sizes = np.diff(np.append(begins, len(words)))
@@ -156,7 +157,7 @@ def infer(words: np.ndarray, begins: np.ndarray, model: Model, rounds: int = 15)
     if n_lang == 1:
         return out
     full, whole = _em(like, doc, begins, np.full((len(begins), n_lang), 1.0 / n_lang), rounds)
-    for k in range(2, min(3, n_lang) + 1):
+    for k in range(2, n_lang + 1):
         # the full mixture bounds any set's likelihood: only documents that could gain are fitted again
         ask = np.flatnonzero(whole - model.penalty * (k - 1) > best)
         if not len(ask):

@@ -219,6 +219,18 @@ def test_op7_mixture_matches_a_plain_em():
     assert np.abs(share - pi).max() < 0.02
 
 
+def test_op7_documents_of_more_than_three_languages():
+    """Every number of languages competes."""
+    rng = np.random.default_rng(6)
+    model = language_id.Model(list("abcdef"), np.zeros((1, 6)), floor=-50.0)
+    for n in (1, 2, 3, 4, 5, 6):
+        own = np.repeat(np.arange(n), 40)
+        words = np.full((len(own), 6), -8.0) + rng.normal(size=(len(own), 6)) * 0.1
+        words[np.arange(len(own)), own] = -2.0
+        share = language_id.infer(words, np.array([0]), model)[0]
+        assert (share > 0.001).sum() == n and np.allclose(share[:n], 1 / n, atol=0.02)
+
+
 def test_op4_forest_and_masks(spark, odd_docs, no_docs):
     scanner = secret_scan.train()
     right = 0
