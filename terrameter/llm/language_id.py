@@ -27,10 +27,9 @@ _SLAB = 1 << 18  # code points in one array pass
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of the fitted model, whatever the input's size."""
+    """Bounds of the fit, whatever the input's size; the model has a column for each labelled language."""
 
     docs_per_language: int = 3000  # labelled documents that the model learns from, by smallest hash
-    languages: int = 64  # the most frequent ones
 
 
 @dataclass(frozen=True)
@@ -85,47 +84,46 @@ def _pieces(text: str) -> Iterator[str]:
 def training_rows(docs: DataFrame, learn: Column, limits: Limits, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """The bounded sample of labelled rows: per language those with an id hash below a share.
 
-    The share comes from the counts of all labelled rows; languages beyond ``limits.languages`` are
-    left out.  Only narrow columns are read for the counts.
+    The share comes from the counts of all labelled rows; every language is learned.  Only narrow
+    columns are read for the counts.
     """
     known = docs.where(learn & F.col(lang_col).isNotNull())
-    counts = known.groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(limits.languages).collect()
-    if not counts:
-        return known.limit(0)
-    keep = F.lit(False)
+    share = F.least(F.lit(1.0), F.lit(limits.docs_per_language) / F.count("*"))
+    shares = known.groupBy(F.col(lang_col).alias("_l")).agg(share.alias("_share"))  # a row for each language
     roll = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1 << 20))
-    for row in counts:
-        share = min(1.0, limits.docs_per_language / row["n"])
-        keep = keep | ((F.col(lang_col) == row["l"]) & (roll < int(share * (1 << 20)) + 1))
-    return known.where(keep)
+    rows = known.join(F.broadcast(shares), known[lang_col] == F.col("_l"))
+    return rows.where(roll < (F.col("_share") * (1 << 20)).cast("long") + 1).select(*[known[c] for c in known.columns])
 
 
 def fit(docs: DataFrame, learn: Column | None = None, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn trigram likelihoods from the rows for which ``learn`` holds and the language is known.
 
-    Tasks count cells; only the cells of each language (a bounded table) reach the driver.
+    Tasks count cells; only the cells of each language (a table of cells x languages) reach the driver.
     """
     bounded_batches(docs.sparkSession)
     learn = F.lit(True) if learn is None else learn
     rows = training_rows(docs, learn, limits, id_col, text_col, lang_col).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
 
+    def cells_of(found: dict[str, np.ndarray]) -> pd.DataFrame:
+        return pd.concat([pd.DataFrame({"lang": lang, "cell": (at := np.flatnonzero(total)), "n": total[at].astype(np.int64)}) for lang, total in found.items()])
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
+                if lang not in found and len(found) == 64:  # no task holds tables of all languages
+                    yield cells_of(found)
+                    found.clear()
                 total = found.setdefault(lang, np.zeros(CELLS))
                 for piece in _pieces(text or ""):
                     total += np.bincount(trigrams(piece)[0], minlength=CELLS)
-        for lang, total in found.items():
-            cells = np.flatnonzero(total)
-            yield pd.DataFrame({"lang": lang, "cell": cells, "n": total[cells].astype(np.int64)})
+        if found:
+            yield cells_of(found)
 
     counts = rows.mapInPandas(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     table = np.zeros((CELLS, len(langs)))
-    for i, lang in enumerate(langs):
-        own = counts[counts["lang"] == lang]
-        table[own["cell"].to_numpy(), i] = own["n"].to_numpy()
+    table[counts["cell"].to_numpy(), pd.Categorical(counts["lang"], categories=langs).codes] = counts["n"].to_numpy()
     smooth = table + 0.5
     return Model(langs, np.log(smooth / smooth.sum(0)).astype(np.float32))
 
@@ -205,7 +203,7 @@ def predict(texts: list[str | None], model: Model) -> list[tuple[str, float, dic
         if len(scores):
             held.append((i, scores))
             waiting += len(scores)
-        if waiting > 1 << 17:
+        if waiting * len(model.languages) > 1 << 19:
             settle()
             waiting = 0
     settle()
@@ -220,7 +218,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """
     bounded_batches(docs.sparkSession)
     keep = keep or [id_col]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # cells x languages: bounded by Limits
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # cells x languages
     schema = StructType([docs.schema[c] for c in keep] + [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("shares", MapType(StringType(), DoubleType()))])
     names = [f.name for f in schema]
 

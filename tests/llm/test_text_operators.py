@@ -231,6 +231,18 @@ def test_op7_documents_of_more_than_three_languages():
         assert (share > 0.001).sum() == n and np.allclose(share[:n], 1 / n, atol=0.02)
 
 
+def test_op7_learns_every_labelled_language(spark):
+    """Languages are not left out where there are many; the rows of each stay bounded."""
+    names = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    rows = [(i * 3 + k, f"{n * 3} {n}{n[::-1]} {n[::-1] * 2}", n) for i, n in enumerate(names) for k in range(3)] + [(1000 + i, "aa", "aa") for i in range(500)] + [(None, "aa", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert model.languages == sorted([*names, "aa"])
+    assert [x[0] for x in language_id.predict([t for _, t, _ in rows[:300]], model)] == [n for _, _, n in rows[:300]]
+    few = language_id.training_rows(docs, F.lit(True), language_id.Limits(docs_per_language=50), "doc_id", "text", "lang")
+    assert few.columns == docs.columns and 20 < few.where("lang = 'aa'").count() < 100 and few.where("lang <> 'aa'").count() == 300
+
+
 def test_op4_forest_and_masks(spark, odd_docs, no_docs):
     scanner = secret_scan.train()
     right = 0
