@@ -31,28 +31,42 @@ HARMLESS_WORDS = ["commit", "sha", "sha1", "sha256", "md5", "hash", "checksum",
 PLACEHOLDERS = ["changeme", "example", "your", "xxxx", "placeholder", "dummy", "insert", "redacted", "todo", "none", "null", "test", "sample", "password", "secret", "token"]
 WORDS = "the and for that with from this have are not you all can had her was one our out day get has him his how man new now old see two way who boy did its let put say she too use name list map type file path data user value index count string number object array table query result error message server client request response config default option module package import export class public private static final return function method build test main home page image style script view model control manager service factory handler helper util core base common version release update delete create insert select where group order limit time date year month week hour minute second first last next previous open close read write start stop begin end left right top bottom width height size length color font title header footer content text body form field button link menu item node tree graph path edge point line area".split()  # noqa: E501
 
-_ASSIGNED = re.compile(r"(?i)(?:api[_-]?key|key|token|secret|password|passwd|pwd|auth|credential)s?[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?([^\s\"',;<>]{6,})")
+_ASSIGNED = re.compile(
+    r"(?i)(?:api[_-]?key|key|token|secret|password|passwd|pwd|auth|credential)s?[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}"
+    r"(?:\"([^\s\"]{6,})\"|'([^\s']{6,})'|[\"']?([^\s\"',;<>]{6,}))"
+)
 _SHAPED = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk[-_][A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+")
-_LONG = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
+LEAST = 12
+_LONG = re.compile(rf"[A-Za-z0-9+/_=.-]{{{LEAST},}}")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+_CASES = re.compile(r"[a-z][A-Z]|[/+_]")  # what tokens without a digit have beyond plain words
+_PLAIN = 24  # least length of a token without a digit
 _RULE = re.compile(r"([+/_=.-])\1{3,}")  # rule lines and filler between tokens
+_NAMED = re.compile(r"[A-Za-z_][A-Za-z_.-]*[0-9]{0,3}=(?!=)")  # a name before its value
 _NAME = re.compile(r"[^\W\d_]+")
 _DICTIONARY = re.compile("|".join(sorted({w for w in WORDS + PLACEHOLDERS if len(w) > 2}, key=len, reverse=True)))
 
-FEATURES = ["length", "log_transition", "class_changes", "digits", "upper", "distinct", "entropy", "dictionary", "in_path", "near_secret", "near_harmless", "assigned", "shaped", "hex_only", "placeholder"]
+FEATURES = ["length", "log_transition", "class_changes", "digits", "upper", "distinct", "entropy", "dictionary", "in_path", "near_secret", "near_harmless", "assigned", "shaped", "hex_only", "placeholder", "hyphens", "dots"]
 
 
 def _mixed(text: str, begin: int, end: int) -> bool:
-    return _DIGIT.search(text, begin, end) is not None and _LETTER.search(text, begin, end) is not None
+    """Whether a token has letters and digits, or is long and no plain word."""
+    if _LETTER.search(text, begin, end) is None:
+        return False
+    return _DIGIT.search(text, begin, end) is not None or end - begin >= _PLAIN and _CASES.search(text, begin, end) is not None
 
 
 def _long_spans(text: str, begin: int, end: int) -> list[tuple[int, int]]:
-    """The mixed parts of a long token between runs of one separator, or all of it where no part is mixed."""
-    if not _mixed(text, begin, end):
+    """The mixed parts of a long token between runs of one separator, or all of it where no part is mixed.
+
+    A name and its equals sign before a part are left off where the value alone is mixed.
+    """
+    if end - begin < LEAST or not _mixed(text, begin, end):
         return []
     cuts = [begin, *[at for m in _RULE.finditer(text, begin, end) for at in m.span()], end]
-    parts = [(b, e) for b, e in zip(cuts[::2], cuts[1::2], strict=True) if _mixed(text, b, e)]
-    return parts or [(begin, end)]
+    parts = [(b, e) for b, e in zip(cuts[::2], cuts[1::2], strict=True) if _mixed(text, b, e)] or [(begin, end)]
+    values = [(m.end(), e) if (m := _NAMED.match(text, b, e)) and e - m.end() >= 8 and _mixed(text, m.end(), e) else (b, e) for b, e in parts]
+    return values
 
 
 def _value_span(text: str, begin: int, end: int) -> tuple[int, int]:
@@ -62,22 +76,37 @@ def _value_span(text: str, begin: int, end: int) -> tuple[int, int]:
 
 
 def candidates(text: str) -> list[tuple[int, int, bool, bool]]:
-    """(begin, end, assigned, shaped) of each candidate, without overlaps, in order."""
-    found: dict[int, tuple[int, int, bool, bool]] = {}
-    spans = [(_value_span(text, *m.span(1)), True, False) for m in _ASSIGNED.finditer(text)] + [(m.span(), False, True) for m in _SHAPED.finditer(text)]
+    """(begin, end, assigned, shaped) of each candidate, without overlaps, in order.
+
+    Spans that overlap are one candidate as far as any of them reaches, so no end of a secret stays
+    outside.  The name to which a value is assigned belongs to no candidate; what a long token has
+    before such a name is looked at by itself.
+    """
+    spans: list[tuple[int, int, bool, bool]] = [(*m.span(), False, True) for m in _SHAPED.finditer(text)]
+    names: list[tuple[int, int]] = []
+    for m in _ASSIGNED.finditer(text):
+        value = m.span(m.lastindex)
+        names.append((m.start(), value[0]))
+        spans.append((*_value_span(text, *value), True, False))
+    at = 0
     for m in _LONG.finditer(text):
-        spans += [(span, False, False) for span in _long_spans(text, *m.span())]
-    at = -1
-    for (begin, end), assigned, shaped in sorted(spans, key=lambda s: (s[0][0], -s[0][1], not s[1])):
-        if begin >= at:
-            found[begin] = begin, end, assigned, shaped
-            at = end
-        else:  # the same token found in another way, as far as either reaches
-            last = next(reversed(found))
-            b, e, a, s = found[last]
-            found[last] = b, max(e, end), a or assigned, s or shaped
-            at = found[last][1]
-    return list(found.values())
+        begin, end = m.span()
+        while at < len(names) and names[at][1] <= begin:
+            at += 1
+        k = at
+        while k < len(names) and names[k][0] < end:
+            spans += [(*span, False, False) for span in _long_spans(text, begin, names[k][0])]
+            begin = max(begin, names[k][1])
+            k += 1
+        spans += [(*span, False, False) for span in _long_spans(text, begin, end)]
+    out: list[tuple[int, int, bool, bool]] = []
+    for begin, end, assigned, shaped in sorted(spans):
+        if out and begin < out[-1][1]:
+            b, e, a, s = out[-1]
+            out[-1] = b, max(e, end), a or assigned, s or shaped
+        else:
+            out.append((begin, end, assigned, shaped))
+    return out
 
 
 def _kind(c: str) -> int:
@@ -127,46 +156,86 @@ def features(text: str, begin: int, end: int, assigned: bool, shaped: bool) -> l
         float(shaped),
         float(all(c in "0123456789abcdefABCDEF" for c in token)),
         float(any(p in low for p in PLACEHOLDERS)),
+        token.count("-") / n,
+        token.count(".") / n,
     ]
 
 
-def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, int, int, int]]:
+_HEX, _MIXED, _DIGITS, _UPPER = "0123456789abcdef", string.ascii_letters + string.digits, string.digits, string.ascii_uppercase
+
+
+def _pick(r: random.Random, chars: str, k: int) -> str:
+    return "".join(r.choice(chars) for _ in range(k))
+
+
+def _words(r: random.Random, k: int, sep: str) -> str:
+    return sep.join(r.choice(WORDS) for _ in range(k))
+
+
+# Shapes of findings by name: what a reviewer would call a secret, and what a reviewer would not.
+TRUE_SHAPES = {
+    "hex": lambda r: _pick(r, _HEX, r.choice([32, 40, 48, 64])),
+    "short_hex": lambda r: _pick(r, _HEX, r.randint(12, 30)),
+    "upper_hex": lambda r: _pick(r, _HEX, r.choice([32, 40])).upper(),
+    "mixed": lambda r: _pick(r, _MIXED, r.randint(16, 64)),
+    "base64": lambda r: _pick(r, _MIXED + "+/", r.randint(24, 60)) + "=" * r.randint(0, 2),
+    "access_id": lambda r: "AKIA" + _pick(r, _UPPER + _DIGITS, 16),
+    "hub_token": lambda r: "ghp_" + _pick(r, _MIXED, 36),
+    "service_key": lambda r: "sk-" + _pick(r, _MIXED, 40),
+    "password": lambda r: _pick(r, _MIXED + "!@#%^&*", r.randint(8, 24)),
+    "web_token": lambda r: f"eyJ{_pick(r, _MIXED, 20)}.{_pick(r, _MIXED, 40)}.{_pick(r, _MIXED, 30)}",
+    "phrase": lambda r: _words(r, r.randint(1, 2), "").title() + _pick(r, _DIGITS, r.randint(2, 10)) + _pick(r, "!@#%^&*", r.randint(1, 2)) + _pick(r, _MIXED, r.randint(0, 4)) + _words(r, r.randint(0, 1), "").title(),
+    "grouped": lambda r: "-".join(_pick(r, _MIXED, r.choice([5, 6, 8])) for _ in range(r.randint(3, 5))),
+}
+FALSE_SHAPES = {
+    "name": lambda r: _words(r, r.randint(2, 4), "_") + _pick(r, _DIGITS, 2),
+    "path": lambda r: r.choice(["", "/", "./"]) + _words(r, r.randint(3, 6), "/") + r.choice([".py", ".txt", "", "_v"]) + _pick(r, _DIGITS, 1),
+    "uuid": lambda r: "-".join(_pick(r, _HEX, k) for k in (8, 4, 4, 4, 12)),
+    "placeholder": lambda r: r.choice(PLACEHOLDERS) + "_" + _words(r, 2, "_"),
+    "filler": lambda r: r.choice("xX0*") * r.randint(12, 30),
+    "release": lambda r: _words(r, r.randint(2, 4), "-") + f"-v{r.randint(0, 20)}.{r.randint(0, 30)}",
+    "dated": lambda r: _words(r, 3, ".") + f".20{_pick(r, _DIGITS, 2)}.{_pick(r, '01', 2)}",
+    "tag": lambda r: "<" + _words(r, 2, "_") + ">",
+    "bits": lambda r: _pick(r, "01", r.randint(20, 40)),
+    "camel": lambda r: _words(r, 1, "") + _words(r, 2, "").title() + _words(r, 1, "").title() + _pick(r, _DIGITS, 1),
+    "host": lambda r: f"{r.choice(WORDS)}{_pick(r, _DIGITS, r.randint(1, 2))}.{r.choice(WORDS)}.{r.choice(['com', 'org', 'net', 'example.com'])}",
+    "address": lambda r: f"{r.choice(WORDS)}.{_pick(r, _DIGITS, 2)}@{r.choice(WORDS)}{_pick(r, _DIGITS, 1)}.example.{r.choice(['com', 'org'])}",
+    "time": lambda r: f"20{_pick(r, _DIGITS, 2)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}T1{r.randint(0, 9)}:{_pick(r, '012345', 2)}:00Z",
+    "link": lambda r: f"https://{r.choice(WORDS)}.example.com/{_words(r, r.randint(1, 3), '/')}/{_pick(r, _DIGITS, r.randint(2, 6))}",
+    "package": lambda r: f"{_words(r, r.randint(1, 2), '-')}-{r.randint(0, 9)}.{r.randint(0, 30)}.{r.randint(0, 9)}-{r.choice(['py3', 'cp313', 'linux64', 'x86_64'])}",
+}
+HASH_SHAPES = {"sha1": lambda r: _pick(r, _HEX, 40), "md5": lambda r: _pick(r, _HEX, 32), "sha256": lambda r: _pick(r, _HEX, 64)}
+_HASH_NAMES = ["commit", "sha256:", "md5 checksum", "hash", "revision", "digest", "etag", "integrity sha256-", "checksum:", "sha1 ", "uuid", "blob id"]
+
+
+def labelled_findings(n: int = 4000, seed: int = 5, without: frozenset[str] = frozenset(), only: str | None = None) -> list[tuple[str, int, int, int]]:
     """``n`` findings as (text, begin, end, label); label 1 is a true secret.
 
     Made by rule: random tokens in the shapes of credentials beside secret-like words, against
-    hashes, identifiers, paths, placeholders and plain words in the same layouts.
+    hashes, identifiers, paths, addresses, placeholders and plain words in the same layouts.  Shapes
+    in ``without`` are left out; ``only`` makes findings of one shape.
     """
     r = random.Random(seed)
-    pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
-    hexes, mixed = "0123456789abcdef", string.ascii_letters + string.digits
-    words = lambda k, sep: sep.join(r.choice(WORDS) for _ in range(k))
-    true = [
-        lambda: pick(hexes, r.choice([32, 40, 48, 64])), lambda: pick(hexes, r.randint(10, 30)), lambda: pick(hexes, r.choice([32, 40])).upper(), lambda: pick(mixed, r.randint(16, 64)),
-        lambda: pick(mixed + "+/", r.randint(24, 60)) + "=" * r.randint(0, 2), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16),
-        lambda: "ghp_" + pick(mixed, 36), lambda: "sk-" + pick(mixed, 40), lambda: pick(mixed + "!@#%^&*", r.randint(8, 18)), lambda: f"eyJ{pick(mixed, 20)}.{pick(mixed, 40)}.{pick(mixed, 30)}",
-    ]
-    false = [
-        lambda: words(r.randint(2, 4), "_") + pick(string.digits, 2), lambda: words(r.randint(3, 6), "/") + ".py" + pick("0123456789", 1), lambda: "-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12)),
-        lambda: r.choice(PLACEHOLDERS) + "_" + words(2, "_"), lambda: "x" * r.randint(8, 30), lambda: words(4, "-") + "-v1.2", lambda: words(3, ".") + ".2024.01", lambda: "<" + words(2, "_") + ">", lambda: pick("01", r.randint(20, 40)),
-        lambda: words(1, "") + words(2, "").title() + pick(string.digits, 1),
-    ]
-    hashes = lambda: pick(hexes, r.choice([32, 40, 64]))
-    filler = lambda: words(r.randint(2, 8), " ")
+    true, false, hashes = ({k: f for k, f in shapes.items() if k not in without and only in (None, k)} for shapes in (TRUE_SHAPES, FALSE_SHAPES, HASH_SHAPES))
+    filler = lambda: _words(r, r.randint(2, 8), " ")
     out = []
     for i in range(n):
-        name = r.choice(["token", "api_key", "secret", "password", "API_KEY", "auth_token", "key", "Token", "TOKEN"])
-        assign = r.choice([' = "', '="', ": ", ": '", "="])
-        if i % 2:
-            token = r.choice(true)()
-            lead = f"{filler()} {name}{assign}" if r.random() < 0.85 or not re.match("AKIA|ghp_|sk-|eyJ", token) else f"{filler()} "
-        elif r.random() < 0.35:
-            token = hashes()
-            lead = f"{filler()} {r.choice(['commit', 'sha256:', 'md5 checksum', 'hash', 'revision', 'digest', 'etag', 'integrity sha256-'])} "
+        name = r.choice(["token", "api_key", "secret", "password", "API_KEY", "auth_token", "key", "Token", "TOKEN", "DB_PASSWORD", "client_secret"])
+        assign = r.choice([' = "', '="', ": ", ": '", "=", " = ", " := "])
+        label = int(bool(true) and (i % 2 == 1 or not (false or hashes)))
+        if label:
+            shape, make = r.choice(sorted(true.items()))
+            token = make(r)
+            known = shape in ("access_id", "hub_token", "service_key", "web_token")
+            lead = f"{filler()} {name}{assign}" if not known or r.random() < 0.85 else f"{filler()} "
+        elif hashes and (not false or r.random() < 0.3):
+            token = r.choice(sorted(hashes.items()))[1](r)
+            lead = f"{filler()} {r.choice(_HASH_NAMES)} "
         else:
-            token = r.choice(false)()
-            lead = f"{filler()} {name}{assign}" if r.random() < 0.5 else f"{filler()} {r.choice(['', 'https://', 'file ', 'path ', 'import ', 'id '])}"
+            token = r.choice(sorted(false.items()))[1](r)
+            lead = f"{filler()} {name}{assign}" if r.random() < 0.4 else f"{filler()} {r.choice(['', 'https://', 'file ', 'path ', 'import ', 'id ', 'see ', 'from '])}"
         tail = r.choice(['"', "", "'", "###", "!!"]) if lead[-1] in "\"'" else ""
-        out.append((f"{lead}{token}{tail} {filler()}", len(lead), len(lead) + len(token), i % 2))
+        out.append((f"{lead}{token}{tail} {filler()}", len(lead), len(lead) + len(token), label))
     return out
 
 
