@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +33,27 @@ def encoding(ranks: bytes, pattern: str) -> tiktoken.Encoding:
     return _encodings[key]
 
 
+# White space as the library's patterns know it, in runs that overflow its matcher's stack near a million.
+_WHITE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
+_LONG_RUN = re.compile(f"(?<![{_WHITE}])[{_WHITE}]{{10000,}}")
+_GREEDY_SPACE = r"|\s+(?!\S)|\s+"  # how a pattern must end for a run to be one piece but for its last character
+
+
+def n_tokens(enc: tiktoken.Encoding, text: str) -> int:
+    """Tokens of a whole text.
+
+    A long run of white space is cut where the pattern cuts it: all of it is one piece, less the last
+    character where more text follows.  So the pieces and their tokens are those of the whole text.
+    """
+    n = at = 0
+    if enc._pat_str.endswith(_GREEDY_SPACE):
+        for run in _LONG_RUN.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            n += len(enc.encode_ordinary(text[at : run.start()])) + len(enc._encode_single_piece(text[run.start() : end]))
+            at = end
+    return n + len(enc.encode_ordinary(text[at:]))
+
+
 def token_lengths(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens) of every whole text; null and empty texts have 0.
 
@@ -43,9 +65,9 @@ def token_lengths(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     schema = StructType([StructField(id_col, docs.schema[id_col].dataType), StructField("n_tokens", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(ranks.value, pattern).encode_ordinary
+        enc = encoding(ranks.value, pattern)
         for b in batches:
-            n = pa.array((len(encode(t.as_py() or "")) for t in b.column(1)), pa.int64())
+            n = pa.array((n_tokens(enc, t.as_py() or "") for t in b.column(1)), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), n], [id_col, "n_tokens"])
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)

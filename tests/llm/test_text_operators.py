@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import regex
 import sentencepiece
 import tiktoken
 import xxhash
@@ -89,6 +90,50 @@ def test_op3_table(spark, odd_docs, no_docs, sf_dir):
     assert token_counts.length_table(token_counts.token_lengths(no_docs, path, public_tokenizers.PATTERN)).count() == 0
 
 
+ENC = token_counts.encoding(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read(), public_tokenizers.PATTERN)
+
+
+def plain_n_tokens(text):
+    """By the pattern in another engine, one piece at a time, and merging the best pair again and again."""
+    ranks, n = ENC._mergeable_ranks, 0
+    for piece in regex.findall(public_tokenizers.PATTERN, text):
+        parts = [bytes([b]) for b in piece.encode()]
+        while len(parts) > 1:
+            rank, i = min((ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            if rank == 1 << 30:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        n += len(parts)
+    return n
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from([" ", "\n", "\t", "\u3000", "\x85", "\x1c", "a", "'s", "12", "!!", "é"]), st.text(max_size=5)), max_size=12), st.integers(2, 5))
+def test_op3_counts_against_a_plain_encoder(parts, least):
+    """Also with runs cut from two characters on."""
+    text = "".join(parts)
+    kept = token_counts._LONG_RUN
+    token_counts._LONG_RUN = re.compile(kept.pattern.replace("10000", str(least)))
+    try:
+        assert token_counts.n_tokens(ENC, text) == len(ENC.encode_ordinary(text)) == plain_n_tokens(text)
+    finally:
+        token_counts._LONG_RUN = kept
+
+
+def test_op3_runs_of_two_million(spark):
+    """Runs that overflow the library's matcher; a run is one piece, less its last character before text."""
+    n = 2_000_000
+    one = lambda s: len(ENC._encode_single_piece(s))
+    want = {
+        " " * n: one(" " * n), "\n" * n: one("\n" * n), "a" + " \t" * n + "b": 1 + one((" \t" * n)[:-1]) + one("\t") + 1, "a" + " " * n + "b": 1 + one(" " * (n - 1)) + one(" b"),
+        "x " + "\n" * n + "y " + "\u3000" * n: 1 + one(" " + "\n" * (n - 1)) + one("\n") + 1 + one(" " + "\u3000" * n), "!" * n: one("!" * n),
+    }
+    assert one(" " * n) == n  # known length: this vocabulary has no token of two spaces
+    docs = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string").repartition(len(want))
+    got = token_counts.token_lengths(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert {r["doc_id"]: r["n_tokens"] for r in got.collect()} == dict(enumerate(want.values()))
+
+
 def plain_fingerprint(text):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
