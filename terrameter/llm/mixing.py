@@ -2,9 +2,9 @@
 
 A source's target words are met by complete epochs first.  The rest is a weighted sample without
 replacement: every document draws an exponential key divided by its quality weight, and documents
-are taken in key order up to the rest.  Keys fall into buckets whose sizes are summed first, so only
-the one bucket on which a source's budget ends is sorted; a source with a third of all rows is
-never in one task.
+are taken in key order up to the rest.  Keys fall into buckets whose sizes are summed first; the one
+bucket on which a source's budget ends is split again and again until it holds few rows, and only
+those are sorted.  So no task sorts a share of a source, whatever its size and its weights are.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from .store import written
 from .text import count_chars, n_words
 
 BUCKETS = 4096
+FINE = 8192  # rows of a source that may be sorted in one task
 
 
 def quality_weight(text: Column, size: Column) -> Column:
@@ -25,29 +26,47 @@ def quality_weight(text: Column, size: Column) -> Column:
     return F.greatest(F.lit(0.1), 1.0 - count_chars(text, "#*$%&|<>") / F.greatest(size, F.lit(1)))
 
 
-def sampling_key(doc_id: Column, weight: Column, seed: int) -> Column:
-    """-ln(u) / weight for a uniform u that depends on the id and the seed alone."""
-    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+def sampling_key(doc_id: Column, text: Column, weight: Column, seed: int) -> Column:
+    """-ln(u) / weight for a uniform u that depends on the id (the text, where the id is null) and the seed."""
+    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.md5(text.cast("binary")), F.lit("")), F.lit(f":{seed}")).cast("binary"))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
     return -F.log(u) / weight
 
 
 def keyed(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole: bool = False) -> DataFrame:
-    """_id, _source, _size (words; null text: 0), _key, _bucket and, if ``whole``, the row itself as _row."""
+    """_id, _source, _size (words; null text: 0), _key and, if ``whole``, the row itself as _row."""
     row = [F.struct(*[docs[c] for c in docs.columns]).alias("_row")] if whole else []
     df = docs.select(*row, docs[id_col].alias("_id"), docs[source_col].cast("string").alias("_source"), docs[text_col].cast("string").alias("_text"), n_words(docs[text_col].cast("string")).alias("_size"))
-    df = df.withColumn("_key", sampling_key(F.col("_id"), quality_weight(F.col("_text"), F.col("_size")), seed)).drop("_text")
-    return df.withColumn("_bucket", F.least(F.floor((1.0 - F.exp(-F.col("_key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
+    return df.withColumn("_key", sampling_key(F.col("_id"), F.col("_text"), quality_weight(F.col("_text"), F.col("_size")), seed)).drop("_text")
 
 
-def source_plan(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3) -> DataFrame:
-    """One row per source: _of, source_size, target, epochs, rest, and the bucket in which rest ends.
+def _ends(rows: DataFrame, bucket: Column) -> DataFrame:
+    """Words, rows with words and their range of keys, of each source and bucket."""
+    some = F.col("_size") > 0
+    return rows.groupBy("_source", bucket.cast("int").alias("_bucket")).agg(
+        F.sum("_size").alias("in_bucket"), F.count_if(some).alias("n"), F.min(F.when(some, F.col("_key"))).alias("lo"), F.max(F.when(some, F.col("_key"))).alias("hi")
+    )
+
+
+def _ending(buckets: DataFrame, plan: DataFrame) -> DataFrame:
+    """(_s, end) with the bucket on which each source's rest ends: lo, hi, n and the words before it."""
+    run = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    run_up = buckets.withColumn("upto", F.sum("in_bucket").over(run))
+    ends = run_up.join(plan, F.col("_source").eqNullSafe(F.col("_of"))).where("before + upto > rest")
+    end = F.struct("_bucket", (F.col("before") + F.col("upto") - F.col("in_bucket")).alias("before"), buckets["lo"], buckets["hi"], buckets["n"])
+    return ends.groupBy(F.col("_source").alias("_s")).agg(F.min_by(end, "_bucket").alias("end"))
+
 
-    Sources in code point order, null last, weigh ``weights`` in turn and share all words; a target
-    stops at ``cap`` times its source's words and the excess goes to the others by weight.
+def source_plan(rows: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, fine: int = FINE) -> DataFrame:
+    """One row per source: _of, source_size, target, epochs, rest, and the keys lo to hi among which rest ends.
+
+    ``rows``: what ``keyed`` gives, written, as it is read again for each split.  Sources in code point
+    order, null last, weigh ``weights`` in turn and share all words; a target stops at ``cap`` times
+    its source's words and the excess goes to the others by weight.  At most ``fine`` rows have keys
+    from lo to hi, or all of them the same key.  Windows without a partition see one row per source.
     """
-    buckets = docs.groupBy("_source", "_bucket").agg(F.sum("_size").alias("in_bucket"))
-    buckets = written(buckets)
+    spread = F.least(F.floor((1.0 - F.exp(-F.col("_key"))) * BUCKETS), F.lit(BUCKETS - 1))
+    buckets = written(_ends(rows, spread))
     sizes = buckets.groupBy("_source").agg(F.sum("in_bucket").alias("source_size"))
     by_name = Window.orderBy(F.col("_source").asc_nulls_last())
     turn = (F.row_number().over(by_name) - 1) % len(weights)
@@ -67,14 +86,21 @@ def source_plan(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int =
     plan = sizes.select("_source", "source_size", target.alias("target"))
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    plan = plan.withColumnRenamed("_source", "_of")
-    run = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    run_up = buckets.withColumn("upto", F.sum("in_bucket").over(run))
-    ends = run_up.join(plan, F.col("_source").eqNullSafe(F.col("_of"))).where("upto > rest")
-    ends = ends.groupBy(F.col("_source").alias("_s")).agg(F.min(F.struct("_bucket", (F.col("upto") - F.col("in_bucket")).alias("before"))).alias("end"))
-    plan = plan.join(ends, F.col("_of").eqNullSafe(F.col("_s")), "left")
-    last = F.coalesce(F.col("end._bucket"), F.lit(BUCKETS))
-    return written(plan.select("_of", "source_size", "target", "epochs", "rest", last.alias("last_bucket"), F.coalesce("end.before", F.lit(0)).alias("before")))
+    plan = plan.select(F.col("_source").alias("_of"), "source_size", "target", "epochs", "rest", F.lit(0).cast("bigint").alias("before"))
+    names = ["_of", "source_size", "target", "epochs", "rest"]
+
+    def narrowed(plan: DataFrame, buckets: DataFrame) -> DataFrame:
+        found = plan.join(_ending(buckets, plan.select("_of", "rest", "before")), F.col("_of").eqNullSafe(F.col("_s")), "left")
+        return written(found.select(*names, F.coalesce("end.before", "before").alias("before"), *[F.col(f"end.{c}").alias(c) for c in ("lo", "hi", "n")]))
+
+    plan = narrowed(plan, buckets)
+    while not (wide := plan.where((F.col("n") > fine) & (F.col("lo") < F.col("hi")))).isEmpty():
+        inner = rows.join(wide.select("_of", "lo", "hi"), F.col("_source").eqNullSafe(F.col("_of"))).where("_size > 0 AND _key BETWEEN lo AND hi")
+        part = F.least(F.floor((F.col("_key") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS), F.lit(BUCKETS - 1))
+        inner = inner.withColumn("_part", part).select("_source", "_size", "_key", "_part")
+        rest = plan.where(~((F.col("n") > fine) & (F.col("lo") < F.col("hi"))) | F.col("n").isNull())
+        plan = written(rest.unionByName(narrowed(wide.select(*names, "before"), _ends(inner, F.col("_part")))))
+    return plan
 
 
 def mix(docs: DataFrame, plan: DataFrame) -> DataFrame:
@@ -86,11 +112,12 @@ def mix(docs: DataFrame, plan: DataFrame) -> DataFrame:
     Documents without words are taken in epochs only.  Repeated rows with one id are drawn one by one.
     """
     df = docs.join(plan, docs["_source"].eqNullSafe(plan["_of"]))
-    within = F.col("_bucket") < F.col("last_bucket")
-    plain = df.where("_bucket != last_bucket").withColumns({"picked": within.cast("int"), "extra": F.when(within, F.col("_size")).otherwise(0)})
+    among = F.coalesce((F.col("_size") > 0) & F.col("_key").between(F.col("lo"), F.col("hi")), F.lit(False))
+    within = (F.col("_size") > 0) & F.coalesce(F.col("_key") < F.col("lo"), F.lit(False))
+    plain = df.where(~among).withColumns({"picked": within.cast("int"), "extra": F.when(within, F.col("_size")).otherwise(0)})
     order = Window.partitionBy("_of").orderBy("_key", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
     prior = F.col("before") + F.sum("_size").over(order) - F.col("_size")
-    ending = df.where("_bucket = last_bucket").withColumn("_prior", prior)
+    ending = df.where(among).withColumn("_prior", prior)
     picked = (F.col("_prior") + F.col("_size") / 2.0 <= F.col("rest")).cast("int")
     extra = F.greatest(F.lit(0), F.least(F.col("_size"), F.floor("rest") - F.col("_prior")))
     ending = ending.withColumns({"picked": picked, "extra": extra}).drop("_prior")
@@ -103,7 +130,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int =
     Null sources form one source, the last; null texts have no words.  An empty table gives an empty
     result.  The same rows and seed give the same mix.
     """
-    plan = source_plan(keyed(docs, seed), weights, cap)
+    plan = source_plan(written(keyed(docs, seed)), weights, cap)
     taken = mix(keyed(docs, seed, whole=True), plan)
     return taken.select(F.explode(F.array_repeat(F.col("_row"), (F.col("epochs") + F.col("picked")).cast("int"))).alias("_row")).select("_row.*")
 
@@ -125,7 +152,7 @@ WITH base AS (
          coalesce(length(text) - length(translate(text, '#*$%&|<>', '')), 0) AS symbols
   FROM documents),
 k AS (
-  SELECT *, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':17'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
+  SELECT *, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, md5(text), '') || ':17'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
             / greatest(0.1::DOUBLE, 1.0::DOUBLE - symbols::DOUBLE / greatest(size, 1)) AS key FROM base),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS w FROM k GROUP BY source),

@@ -50,11 +50,36 @@ def test_op1_targets(spark, odd_docs, no_docs, sf_dir):
     first, again = check_mix(docs), check_mix(docs.repartition(7))
     key = ["doc_id", "taken"]
     assert first[key].sort_values(key).values.tolist() == again[key].sort_values(key).values.tolist()
-    check_mix(odd_docs.where("doc_id IS NULL OR doc_id NOT IN (7, 9)"))
+    check_mix(odd_docs)
     assert mixing.mix_report(no_docs).count() == 0
     assert mixing.mix_sources(no_docs).count() == 0
 
 
+def test_op1_no_task_sorts_a_share_of_a_source(spark):
+    """Low weights, null ids and ties: the rows that are sorted stay few, and the draw is that of one whole sort."""
+    text = F.concat(F.repeat(F.lit("# "), (F.col("id") % 7).cast("int")), F.lit("one two "), F.col("id").cast("string"))
+    low = spark.range(30_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("source"))
+    low = low.withColumn("text", F.when(F.col("source") == "a", F.concat(F.lit("#" * 90 + " "), "text")).otherwise(F.col("text")))
+    no_ids = low.where("doc_id % 5 = 0").withColumns({"doc_id": F.lit(None).cast("long"), "source": F.lit("c")})
+    ties = spark.range(500).select(F.lit(77).cast("long").alias("doc_id"), F.lit("same row").alias("text"), F.lit("d").alias("source"))
+    docs = low.union(no_ids).union(ties)
+    from terrameter.llm.store import written
+
+    rows = written(mixing.keyed(docs))
+    for fine in (1, 40, 100_000):
+        plan = mixing.source_plan(rows, fine=fine)
+        sorted_rows = rows.join(plan, rows["_source"].eqNullSafe(plan["_of"])).where("_size > 0 AND _key BETWEEN lo AND hi")
+        assert all(r["n"] <= fine or r["k"] == 1 for r in sorted_rows.groupBy("_source").agg(F.count("*").alias("n"), F.count_distinct("_key").alias("k")).collect())
+        got = mixing.mix(rows, plan).select("_source", "_key", "_id", "_size", "extra", "rest").toPandas()
+        for _, part in got.groupby("_source", dropna=False):
+            part = part.sort_values(["_key", "_id", "_size"], na_position="first")
+            prior = part._size.cumsum() - part._size
+            want = np.clip(np.minimum(part._size, np.floor(part.rest) - prior), 0, None).to_numpy()
+            tie = part.groupby(["_key", "_size"]).extra.transform("sum").to_numpy(), part.assign(w=want).groupby(["_key", "_size"]).w.transform("sum").to_numpy()
+            assert (tie[0] == tie[1]).all()
+    check_mix(docs)
+
+
 def test_op1_rows_repeat_whole(spark, odd_docs):
     mixed = mixing.mix_sources(odd_docs)
     assert mixed.columns == odd_docs.columns
