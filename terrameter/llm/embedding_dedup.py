@@ -3,7 +3,8 @@
 Equal vectors are one class first, so copies cost nothing.  Each tree splits the classes again and
 again along a random direction at the median; classes within a quantile band around it go to both
 sides (spill overlap).  The trees are fitted on a bounded sample and deal the classes to groups,
-which are compared in full.  At every split the distance of two vectors at the threshold, along the
+which are compared in full; groups that are too large for one task are split again, at quantiles of
+all their vectors, one level a round.  At every split the distance of two vectors at the threshold, along the
 direction, tells how likely a vector keeps such a partner; a vector goes to further trees, fitted on
 the vectors still in want of them, until it is unlikely to have missed one.  Where too many trees
 would be needed, the vectors left over are compared with each other in full.  Links are verified in
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import bounded_batches, written
+from .store import bounded_batches, drop, written
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,7 @@ class Limits:
     spill: float = 0.05  # share of a node's vectors on each side of the median that go to both sides
     group: int = 2048  # vectors that a group should have
     fit_rows: int = 16_384  # vectors that the trees are fitted on
-    top_depth: int = 12
+    top_depth: int = 12  # levels fitted on the sample; the groups of larger tables are split further
     tile: int = 1024
 
 
@@ -73,35 +74,50 @@ def fit_tree(sample: np.ndarray, depth: int, limits: Limits, rng: np.random.Gene
     return nodes
 
 
+def _levels(n: float, limits: Limits) -> int:
+    return max(0, math.ceil(math.log2(max(1, n) / limits.group)))
+
+
 def _depth(n: float, limits: Limits) -> int:
-    return max(0, min(limits.top_depth, math.ceil(math.log2(max(1, n) / limits.group))))
+    return min(limits.top_depth, _levels(n, limits))
+
 
+def _kept(x: np.ndarray, nodes: list[tuple], reach: float) -> np.ndarray:
+    """Chance of each row to meet a partner at distance ``reach`` in a tree's groups."""
+    kept = np.zeros(len(x))
+    for _, rows, chance in _route(x, nodes, reach):
+        kept[rows] += chance
+    return kept
 
-def fit_forest(sample: np.ndarray, n: int, threshold: float, limits: Limits, seed: int) -> tuple[list[list[tuple]], int]:
+
+def fit_forest(sample: np.ndarray, n: int, threshold: float, limits: Limits, seed: int) -> tuple[list[tuple[list[tuple], float]], int]:
     """Trees for ``n`` vectors like ``sample``, and the blocks of those left over (0 if none are).
 
-    Trees after the first few are fitted on the vectors that may still miss a partner.  They end when
-    there are none, or when comparing these with each other takes fewer copies than more trees.
+    Beside each tree stands the factor by which its further levels, split on the cluster, lessen the
+    chances: for each level that of the last fitted one.  Trees after the first few are fitted on the
+    vectors that may still miss a partner.  They end when there are none, or when comparing these with
+    each other takes fewer copies than more trees.
     """
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
     miss = np.ones(len(sample))
-    trees: list[list[tuple]] = []
+    trees: list[tuple[list[tuple], float]] = []
     while True:
         want = np.flatnonzero(miss > limits.miss) if len(trees) >= limits.trees else np.arange(len(sample))
         left = n * len(want) / max(1, len(sample))
-        if trees and (not len(want) or not trees[0]):
+        if trees and (not len(want) or not trees[0][0]):
             return trees, 0
-        depth = _depth(left, limits)
+        depth, levels = _depth(left, limits), _levels(left, limits)
         nodes = fit_tree(sample[want], depth, limits, np.random.default_rng([seed, len(trees)]))
-        kept = np.zeros(len(want))
-        for _, rows, chance in _route(sample[want], nodes, reach):
-            kept[rows] += chance
+        kept, fade = _kept(sample[want], nodes, reach), 1.0
+        if levels > depth and depth and len(want):
+            fade = min(1.0, kept.mean() / _kept(sample[want], nodes[: 2 ** (depth - 1) - 1], reach).mean()) ** (levels - depth)
+            kept *= fade
         if len(trees) >= limits.trees:
             more = np.log(limits.miss / miss[want]) / np.log1p(-np.clip(kept, 1e-9, 1 - 1e-9))
             blocks = math.ceil(left / max(1, limits.group // 2))
-            if len(trees) >= limits.most_trees or blocks <= more.mean() * (1 + 2 * limits.spill) ** depth:
+            if len(trees) >= limits.most_trees or blocks <= more.mean() * (1 + 2 * limits.spill) ** levels:
                 return trees, blocks
-        trees.append(nodes)
+        trees.append((nodes, fade))
         miss[want] *= 1 - np.minimum(kept, 1)
 
 
@@ -172,7 +188,7 @@ def marked_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def forest_links(classes: DataFrame, n: int, threshold: float, limits: Limits = Limits(), seed: int = 7) -> DataFrame:
-    """(a, b): verified links between classes (cid, vec) that keep what the forest found together.
+    """(a, b): verified links between classes (cid, h1, h2, vec) that keep what the forest found together.
 
     Vectors of different lengths are in different dimensions and are not compared.
     """
@@ -186,9 +202,9 @@ def forest_links(classes: DataFrame, n: int, threshold: float, limits: Limits =
 
 def _links_of(classes: DataFrame, n: int, dim: int, threshold: float, limits: Limits, seed: int) -> DataFrame:
     share = min(1.0, limits.fit_rows / max(1, n))
-    roll = F.pmod(F.xxhash64("cid", F.lit(seed)), F.lit(1 << 30))
-    sample = classes.where(roll < int(share * (1 << 30)) + 1).limit(limits.fit_rows + limits.fit_rows // 8).toPandas()
-    x = unit(sample.sort_values("cid")["vec"].tolist()) if len(sample) else np.zeros((0, dim))
+    roll = F.pmod(F.xxhash64("h1", F.lit(seed)), F.lit(1 << 30))
+    sample = classes.where(roll < int(share * (1 << 30)) + 1).select("h1", "h2", "vec").limit(limits.fit_rows + limits.fit_rows // 8).toPandas()
+    x = unit(sample.sort_values(["h1", "h2"])["vec"].tolist()) if len(sample) else np.zeros((0, dim))
     trees, blocks = fit_forest(x, n, threshold, limits, seed)
     shared = classes.sparkSession.sparkContext.broadcast(trees)  # most_trees x 2^top_depth nodes at most
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
@@ -206,11 +222,11 @@ def _links_of(classes: DataFrame, n: int, dim: int, threshold: float, limits: Li
                 return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), group, np.int64)), pa.array(cids[at]), vecs], ["grp", "cid", "vec"])
 
             miss = np.ones(len(x))
-            for t, nodes in enumerate(shared.value):
+            for t, (nodes, fade) in enumerate(shared.value):
                 want = np.flatnonzero(miss > limits.miss) if t >= limits.trees else np.arange(len(x))
                 kept = np.zeros(len(want))
                 for group, at, chance in _route(x[want], nodes, reach):
-                    kept[at] += chance
+                    kept[at] += chance * fade
                     yield batch(t << 20 | group, want[at])
                 miss[want] *= 1 - np.minimum(kept, 1)
             over = np.flatnonzero(miss > limits.miss) if blocks else np.zeros(0, np.int64)
@@ -231,7 +247,64 @@ def _links_of(classes: DataFrame, n: int, dim: int, threshold: float, limits: Li
 
     kind = classes.schema["vec"].dataType.simpleString()
     dealt = classes.select("cid", "vec").mapInArrow(deal, f"grp long, cid long, vec {kind}")
-    return dealt.groupBy("grp").applyInPandas(compare, "a long, b long")
+    extra = _levels(n, limits) - limits.top_depth
+    if extra <= 0:
+        return dealt.groupBy("grp").applyInPandas(compare, "a long, b long")
+    small, large = split_large(written(dealt), dim, extra, limits, seed)
+    found = small.groupBy("grp").applyInPandas(compare, "a long, b long")
+    if large is not None:
+        found = found.unionByName(_block_pairs(large, limits).groupBy("grp", "i", "j").applyInPandas(compare, "a long, b long"))
+    return found
+
+
+def split_large(dealt: DataFrame, dim: int, extra: int, limits: Limits, seed: int) -> tuple[DataFrame, DataFrame | None]:
+    """``dealt`` (grp, cid, vec) in groups of at most four times the wanted size, and what could not be split.
+
+    Each round splits every larger group along a random direction of its own at quantiles of all its
+    vectors, with the same overlap.  Only groups and their quantiles are aggregated; vectors never
+    meet in one task.  The second frame (with n, the size) holds groups that rounds did not make small,
+    as in vectors that all lie at one place of every direction.
+    """
+    most = 4 * limits.group
+    kind = dealt.schema["vec"].dataType.simpleString()
+    done: DataFrame | None = None
+
+    def with_sizes(rows: DataFrame) -> DataFrame:
+        sizes = rows.groupBy("grp").agg(F.count("*").alias("n"))
+        return rows.join(sizes, "grp")
+
+    for at in range(2 * extra + 8):
+        sized = written(with_sizes(dealt))
+        small = sized.where(F.col("n") <= most).select("grp", "cid", "vec")
+        done = small if done is None else done.unionByName(small)
+        large = sized.where(F.col("n") > most)
+        if large.isEmpty():
+            return done, None
+
+        def project(batches: Iterator[pa.RecordBatch], at: int = at) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = unit(b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+                groups, of = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+                ways = np.stack([np.random.default_rng([seed, at, int(g) & (1 << 63) - 1]).standard_normal(dim) for g in groups])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array((x * ways[of]).sum(1))], ["grp", "cid", "vec", "p"])
+
+        placed = large.select("grp", "cid", "vec").mapInArrow(project, f"grp long, cid long, vec {kind}, p double")
+        cuts = placed.groupBy("grp").agg(F.percentile_approx("p", [0.5 - limits.spill, 0.5 + limits.spill], 1000).alias("cut"))
+        sides = F.filter(F.array(F.when(F.col("p") <= F.col("cut")[1], 0), F.when(F.col("p") > F.col("cut")[0], 1)), lambda s: s.isNotNull())
+        halves = placed.join(cuts, "grp").withColumn("side", F.explode(sides))
+        dealt = halves.select(F.xxhash64("grp", F.lit(at), "side").alias("grp"), "cid", "vec")
+    sized = written(with_sizes(dealt))
+    return done.unionByName(sized.where(F.col("n") <= most).select("grp", "cid", "vec")), sized.where(F.col("n") > most)
+
+
+def _block_pairs(large: DataFrame, limits: Limits) -> DataFrame:
+    """Rows of large groups (grp, cid, vec, n) once for each pair of blocks i <= j in which they meet others."""
+    blocks = F.ceil(F.col("n") / limits.group)
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("long")
+    rows = large.withColumn("blocks", blocks).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rows.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "vec")
 
 
 def count_links(members: DataFrame, threshold: float, limits: Limits = Limits(), n: int = 0) -> DataFrame:
@@ -280,10 +353,11 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec
     bounded_batches(rows.sparkSession)
     named = written(marked_vectors(rows, id_col, vector_col))
     classes = named.where("ok").groupBy("h1", "h2", "vec").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
-    classes = written(classes.withColumn("cid", F.xxhash64("h1", "h2")))
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()))  # unique, and fixed once written
     n = classes.count()
     links = written(forest_links(classes, n, threshold, limits))
     parts = connected_components(links, "a", "b")
+    drop(links)
     linked = classes.join(parts, classes.cid == parts.node).select("cid", "component", "copies", "vec", "least")
     linked = written(linked)
     counted = count_links(linked, threshold, limits, n)

@@ -1,8 +1,8 @@
 """Shared folder, written intermediate tables and bounded Arrow batches.
 
 Intermediate tables are Parquet files below ``spark.checkpoint.dir``, the folder that every executor
-sees, so a lost executor costs only a re-read.  Only where that setting is empty (tests on one
-machine) a temporary folder of our own stands in for it.
+sees, so a lost executor costs only a re-read.  Where that setting is empty, a local session (tests on
+one machine) gets a temporary folder of its own; on a cluster it is an error.
 """
 
 from __future__ import annotations
@@ -18,10 +18,12 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, or a temporary one where none is set."""
+    """The cluster's checkpoint folder; a temporary one in a local session where none is set."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="terrameter-"))
     return f"file://{_own[0]}"
@@ -63,6 +65,10 @@ def _clean() -> None:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Keep Arrow batches small: texts have no length limit, so the row count must be low."""
+    """Keep Arrow batches small: a batch ends at ``rows`` rows or at Spark's maxBytesPerBatch (64 MB),
+    whichever comes first.  The bytes bound memory; the rows keep batches of short texts small too.
+
+    Spark reads the row setting when a plan runs, so it stays set for the session's later queries.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -233,6 +233,70 @@ def test_op5_leftover_vectors_meet_in_blocks(spark):
     assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=repr) == brute_duplicates([i for i, _ in rows], [v for _, v in rows], 0.99)
 
 
+@pytest.mark.parametrize("rounds", [True, False])
+def test_op5_groups_beyond_the_fitted_levels(spark, monkeypatch, rounds):
+    """Few fitted levels for many vectors: groups are split on the cluster, or met in blocks where that fails."""
+    from terrameter.llm import embedding_dedup
+
+    rng = np.random.default_rng(12)
+    a = rng.normal(size=(2500, 24))
+    b = a[:800] + 0.25 * np.linalg.norm(a[:800], axis=1, keepdims=True) * rng.normal(size=(800, 24)) / np.sqrt(24)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.vstack([a, b]))]
+    limits = Limits(leaf=16, group=64, top_depth=1)
+    if not rounds:  # quantiles at the ends put every vector on both sides, so no group ever shrinks
+        limits = Limits(leaf=16, group=64, top_depth=3, trees=1, most_trees=2)
+        monkeypatch.setattr(embedding_dedup, "split_large", lambda dealt, *_: (dealt.limit(0), dealt.join(dealt.groupBy("grp").agg(F.count("*").alias("n")), "grp")))
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), limits=limits).toPandas().set_index("vec_id").sort_index()
+    unit = np.array([v for _, v in rows]) / np.linalg.norm([v for _, v in rows], axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    linked = near.sum(1) > 1
+    assert linked.sum() > 800 and not (got.n_links.to_numpy() > 0)[~linked].any()
+    assert (got.n_links.to_numpy()[linked] > 0).mean() >= 0.97
+
+
+def test_op5_large_groups_are_split_by_rounds(spark):
+    from terrameter.llm import embedding_dedup
+
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(3000, 8))
+    dealt = spark.createDataFrame([(i % 2, i, v.tolist()) for i, v in enumerate(x)] + [(5, 9000 + i, [1.0] * 8) for i in range(300)], "grp long, cid long, vec array<double>")
+    limits = Limits(group=32)
+    small, large = embedding_dedup.split_large(dealt, 8, 6, limits, 1)
+    sizes = small.groupBy("grp").count().toPandas()["count"]
+    assert sizes.max() <= 4 * 32 and {r["cid"] for r in small.select("cid").collect()} == set(range(3000))
+    assert {r["cid"] for r in large.select("cid").collect()} == {9000 + i for i in range(300)}  # equal vectors cannot be split
+    blocks = embedding_dedup._block_pairs(large, limits).toPandas()
+    met = set()
+    for _, part in blocks.groupby(["grp", "i", "j"]):
+        assert len(part) <= 4 * 32
+        met |= {(a, b) for a in part.cid for b in part.cid if a < b}
+    assert len(met) == 300 * 299 // 2
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from terrameter.llm import store
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getConf = lambda self: {}
+        getCheckpointDir = lambda self: None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError):
+        store.shared_dir(Session())
+
+
+def test_op2_clashing_columns(spark, odd_docs):
+    """Extra columns named like the operator's own change nothing."""
+    rows = spark.createDataFrame([(1, 0, "user", "a", "x"), (1, 1, "assistant", "b", "y")], "conv_id long, turn long, role string, text string, part string")
+    plain = rows.select("conv_id", "turn", F.to_json(F.struct("role", "text")).alias("record"))
+    extra = plain.withColumns({c: F.lit("z") for c in ("part", "segment", "n_turns", "role", "text", "begin", "ids")})
+    digest = lambda df: chat.conversation_digests(chat.format_records(df, ["conv_id", "turn"], "record"), "conv_id", ["turn"]).collect()
+    assert digest(plain) == digest(extra)
+
+
 def test_pipeline_stages(spark, sf_dir, odd_docs, no_docs):
     pipeline = pytest.importorskip("corpus_pipeline")
     names = ["language_id", "simhash_dedup", "secret_scan", "mix_sources", "sentencepiece"]
