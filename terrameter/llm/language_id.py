@@ -7,6 +7,7 @@ set of languages is the one whose likelihood, less a penalty for each language,
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +24,7 @@ from .store import bounded_batches
 CELLS = 1 << 15
 UNKNOWN = "und"
 _SLAB = 1 << 18  # code points in one array pass
+_GAP = re.compile(r"[ \n]")
 
 
 @dataclass(frozen=True)
@@ -70,13 +72,13 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pieces(text: str) -> Iterator[str]:
-    """A long text in slabs that end between words where there are words."""
+    """A long text in slabs that end at white space; a word longer than a slab stays whole."""
     at = 0
     while at < len(text):
         end = min(len(text), at + _SLAB)
         if end < len(text):
             cut = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
-            end = cut + 1 if cut > at else end
+            end = cut + 1 if cut > at else m.end() if (m := _GAP.search(text, end)) else len(text)
         yield text[at:end]
         at = end
 

@@ -21,8 +21,7 @@ from .trees import forest
 class Limits:
     train_rows: int = 20_000  # labelled documents that the model learns from, by smallest hash
     trees: int = 30
-    depth: int = 3
-    rules: int = 400
+    depth: int = 3  # so a tree has at most 14 rules
 
 
 def statistics(text: Column) -> dict[str, Column]:
@@ -120,7 +119,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, limits: Limits = Limits(), seed: int
             held = _holds(rule, x)
             if 0 < held.sum() < len(held):
                 unique.setdefault(np.packbits(held).tobytes(), rule)
-    rules = list(unique.values())[: limits.rules]
+    rules = list(unique.values())
     if not rules:
         return Ensemble([], [], float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))))
     z = np.stack([_holds(r, x) for r in rules], 1).astype(float)

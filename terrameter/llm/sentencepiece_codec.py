@@ -101,9 +101,12 @@ class PrefixTableCodec:
                     raise ValueError("only merge-type models are supported")
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece holds U+2581 after another character")
-        self.text = {i: p for p, i in self.ids.items()}
         self.control = {i for i, b in enumerate(self.surface) if not b}
         self.chars = {c for p in self.ids for c in p}
+        # characters that only occur inside pieces take part in merging, and become bytes where they stay alone
+        self.alone = {len(self.surface) + k: c for k, c in enumerate(sorted(self.chars - self.ids.keys()))}
+        self.part_ids = self.ids | {c: i for i, c in self.alone.items()}
+        self.text = {i: p for p, i in self.part_ids.items()}
         self.chunk = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         self.unmerged = re.compile(f"[^{re.escape(''.join(sorted(self.chars)))}]")
         self.automaton = ahocorasick.Automaton()
@@ -115,9 +118,11 @@ class PrefixTableCodec:
                 continue
             self.automaton.add_word(piece, (i, len(piece)))
             if halves:
-                self.split[i] = self.ids[halves[0]], self.ids[halves[1]]
+                self.split[i] = self.part_ids[halves[0]], self.part_ids[halves[1]]
                 if any(len(h) > 1 and self.score[h] <= self.score[piece] for h in halves):
                     self.late.add(i)
+        for i, c in self.alone.items():
+            self.automaton.add_word(c, (i, 1))
         self.automaton.make_automaton()
         for i in sorted(self.split, key=lambda i: len(self.text[i])):
             if not self.late.isdisjoint(self.split[i]):
@@ -156,7 +161,7 @@ class PrefixTableCodec:
             offer(i)
             if before[i] >= 0:
                 offer(before[i])
-        return [self.ids.get(p, -1) for p in parts if p is not None]
+        return [self.part_ids.get(p, -1) for p in parts if p is not None]
 
     def _test(self, a: int, b: int) -> bool:
         """Whether ``a`` and ``b`` stay apart when their joined text is merged.
@@ -213,6 +218,8 @@ class PrefixTableCodec:
         while at:
             ids.append(last[at])
             at -= length[at]
+        if self.alone:
+            return tuple(chain.from_iterable([self.byte_ids[b] for b in self.alone[i].encode()] if i in self.alone else (i,) for i in reversed(ids)))
         return tuple(reversed(ids))
 
     def _part(self, chunk: str) -> tuple[int, ...]:

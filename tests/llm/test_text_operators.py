@@ -6,6 +6,8 @@ import hashlib
 import random
 import re
 import string
+import struct
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -54,6 +56,37 @@ def test_sentencepiece_long_runs():
         assert CODEC.encode(text) == LIB.encode(text)
 
 
+def message(*fields):
+    """A protocol buffer message of (number, value) fields: ints, bytes and floats."""
+    out = b""
+    for number, value in fields:
+        varint = lambda v: bytes([v]) if v < 128 else bytes([v & 127 | 128]) + varint(v >> 7)
+        if isinstance(value, int):
+            out += varint(number << 3) + varint(value)
+        elif isinstance(value, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", value)
+        else:
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abcde f▁", max_size=20))
+def test_sentencepiece_characters_that_are_no_piece(text):
+    """A vocabulary with pieces whose characters are no pieces themselves."""
+    global ODD
+    if "ODD" not in globals():
+        pieces = [(b"<unk>", 2), (b"<s>", 3), (b"</s>", 3), *[(f"<0x{b:02X}>".encode(), 6) for b in range(256)]]
+        normal = ["ab", "abc", "▁ab", "▁", "cd", "e", "abcd", "▁e", "de"]
+        fields = [(1, message((1, p), (2, 0.0), (3, k))) for p, k in pieces] + [(1, message((1, p.encode()), (2, -float(i)))) for i, p in enumerate(normal)]
+        model = message(*fields, (2, message((3, 2), (35, 1))), (3, message((1, b"identity"), (3, 1), (4, 0), (5, 1))))
+        ODD = sentencepiece.SentencePieceProcessor(model_proto=model), sentencepiece_codec.PrefixTableCodec(model)
+    library, own = ODD
+    ids = library.encode(text)
+    assert own.encode(text) == ids
+    assert own.decode(ids) == library.decode(ids)
+
+
 def test_op8_rows(spark, odd_docs, no_docs, sf_dir):
     got = {(r["doc_id"], r["ids_sha256"]): r for r in sentencepiece_codec.encode_documents(odd_docs, MODEL).collect()}
     for row in odd_docs.collect():
@@ -266,6 +299,81 @@ def test_op7_mixture_matches_a_plain_em():
     assert np.abs(share - pi).max() < 0.02
 
 
+def plain_cells(text):
+    """Cells of the letter trigrams of each word, one letter at a time."""
+    words, word = [], []
+    for c in text:
+        if c.isalpha():
+            word.append(ord(c.lower()) if len(c.lower()) == 1 else ord(c))
+        elif word:
+            words.append(word)
+            word = []
+    out, m = [], 0xFFFFFFFF
+    for word in [*words, word] if word else words:
+        cells = []
+        line = [0, 0, *word, 0]
+        for a, b, c in zip(line, line[1:], line[2:], strict=False):
+            a = 0 if b == 0 else a
+            h = (a * 0x9E3779B1 & m) ^ (b * 0x85EBCA6B & m) ^ (c * 0xC2B2AE35 & m)
+            h ^= h >> 15
+            cells.append((h * 0x27D4EB2F & m) >> 17)
+        out.append(cells)
+    return out
+
+
+def plain_mixture(like, share):
+    for _ in range(15):
+        joint = like * share
+        share = (joint / joint.sum(1)[:, None]).mean(0)
+    return share, np.log((like * share).sum(1)).sum()
+
+
+def plain_language(text, languages, log_p):
+    words = plain_cells(text or "")
+    if not words:
+        return "und", 0.0
+    score = np.array([sum(log_p[c] for c in w) for w in words], float)
+    like = np.exp(np.maximum(score - score.max(1)[:, None], -14.0))
+    k = len(languages)
+    single = np.log(like).sum(0)
+    best, out = single.max(), np.eye(k)[single.argmax()]
+    full, whole = plain_mixture(like, np.full(k, 1 / k))
+    for size in range(2, k + 1):
+        chosen = np.where(full >= np.sort(full)[-size], full, 0)
+        share, value = plain_mixture(like, chosen / chosen.sum())
+        if whole - 3.0 * (size - 1) > best and value - 3.0 * (size - 1) > best:
+            best, out = value - 3.0 * (size - 1), share
+    return languages[out.argmax()], out.max()
+
+
+def test_op7_query_against_a_plain_version(spark, sf_dir):
+    """Counts, mixtures and sets of the whole query, one word and one document at a time."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").toPandas()
+    got = q.op7_language_id(spark, sf_dir).toPandas().set_index("doc_id")
+    held = {d: zlib.crc32(str(d).encode()) % 4 == 2 for d in docs.doc_id}
+    languages = sorted({d.lang for d in docs.itertuples() if d.lang and not held[d.doc_id]})
+    counts = np.full((language_id.CELLS, len(languages)), 0.5)
+    for d in docs.itertuples():
+        if d.lang and not held[d.doc_id]:
+            for w in plain_cells(d.text or ""):
+                np.add.at(counts, (w, languages.index(d.lang)), 1)
+    log_p = np.log(counts / counts.sum(0)).astype(np.float32)
+    assert len(got) == len(docs)
+    for d in docs.itertuples():
+        lang, score = plain_language(d.text, languages, log_p)
+        assert got.loc[d.doc_id, "held_out"] == held[d.doc_id]
+        assert got.loc[d.doc_id, "lang_pred"] == lang and abs(got.loc[d.doc_id, "score"] - score) < 1e-3
+
+
+def test_op7_words_longer_than_a_slab(monkeypatch):
+    monkeypatch.setattr(language_id, "_SLAB", 8)
+    for text in ("abcdefghijklmnopqrstuvwxyz", "ab cd " * 5, "x" * 50 + " " + "y" * 50, "a\nb" * 9, ""):
+        pieces = list(language_id._pieces(text))
+        assert "".join(pieces) == text and all(p[-1] in " \n" for p in pieces[:-1])
+        got = [c.tolist() for p in pieces for c in np.split(*(lambda t: (t[0], t[1][1:]))(language_id.trigrams(p))) if len(c)]
+        assert got == plain_cells(text)
+
+
 def test_op7_documents_of_more_than_three_languages():
     """Every number of languages competes."""
     rng = np.random.default_rng(6)
@@ -503,6 +611,39 @@ def test_op4_query_masks_what_a_plain_scan_finds(spark, sf_dir):
             assert rows[doc_id]["masked_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
+def plain_statistics(text):
+    words, lines = WORD.findall(text), text.split("\n")
+    n = len(words)
+    per = lambda k: k / max(1, n)
+    chars = lambda s: per(sum(c in s for c in text))
+    return {
+        "words": np.log(n + 1.0), "word_chars": per(sum(map(len, words))), "distinct": per(len(set(words))), "bare": per(sum(regex.search(r"\p{L}", w) is None for w in words)),
+        "symbols": chars("#*$%&<>"), "bars": chars("|"), "shouts": chars("!"), "stops": chars(".?"), "commas": chars(",;:"), "digits": chars(string.digits), "upper": chars(string.ascii_uppercase),
+        "lines": per(len(lines)), "line_repeats": (len(lines) - len(set(lines))) / len(lines), "quotes": chars("\"'()[]{}=/\\"),
+    }
+
+
+def test_op10_query_against_a_plain_version(spark, odd_docs, sf_dir):
+    """All 14 statistics, the rules and the score of the query, one text at a time."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for rows in (docs, odd_docs, spark.createDataFrame([(1, "😀 a\u00a0b |x| \n\n x\n x\n\u2003")], "doc_id long, text string")):
+        got = quality_classifier.with_statistics(rows, [F.col("text").alias("raw")]).collect()
+        assert len(got) == rows.count()
+        for r in got:
+            want = plain_statistics(r["raw"] or "")
+            assert list(want) == quality_classifier.NAMES and all(abs(r[k] - v) < 1e-9 for k, v in want.items())
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held)
+    rows = {r["doc_id"]: r for r in q.op10_quality_classifier(spark, sf_dir).collect()}
+    assert len(rows) == docs.count()
+    for d in docs.collect():
+        x = plain_statistics(d["text"] or "")
+        total = model.bias + sum(w for rule, w in zip(model.rules, model.weights, strict=True) if all((x[quality_classifier.NAMES[f]] > cut) == greater for f, greater, cut in rule))
+        r = rows[d["doc_id"]]
+        assert abs(r["score"] - 1 / (1 + np.exp(-total))) < 1e-9 and r["predicted"] == (r["score"] >= 0.5)
+        assert r["held_out"] == (zlib.crc32(str(d["doc_id"]).encode()) % 3 == 1)
+
+
 def test_op10_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     rows = q.op10_quality_classifier(spark, sf).toPandas().merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")
