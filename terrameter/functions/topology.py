@@ -155,6 +155,94 @@ def valid_polygon(rings: list[np.ndarray]) -> bool:
     return True
 
 
+def _expand(of: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, member) for every member begin..begin+n of what each row is ``of``."""
+    size = n[of]
+    row = np.repeat(np.arange(len(of)), size)
+    return row, begin[of][row] + np.arange(len(row)) - (np.cumsum(size) - size)[row]
+
+
+def valid_batch(segments: np.ndarray, chain: np.ndarray, ring: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` polygons whether its densified rings are valid, as ``valid_polygon`` says.
+
+    segments: x1 y1 x2 y2 in ring order; chain: the source edge of each, ring: its ring (the first of
+    an owner is the shell), owner: its polygon; all ascending.  Edges that stay apart by their boxes
+    are never compared piece by piece, so straight densified edges cost next to nothing; polygons with
+    touching rings or bent edges are checked in full.
+    """
+    out = np.ones(n, bool)
+    kept = (segments[:, :2] != segments[:, 2:]).any(1)
+    empty = np.setdiff1d(np.unique(ring), np.unique(ring[kept]))
+    out[np.unique(owner[np.isin(ring, empty)])] = False
+    segments, chain, ring, owner = segments[kept], chain[kept], ring[kept], owner[kept]
+    if not len(segments):
+        return out
+    rings, ring, ring_size = np.unique(ring, return_inverse=True, return_counts=True)
+    ring_begin = np.cumsum(ring_size) - ring_size
+    ring_owner = owner[ring_begin]
+    out[ring_owner[ring_size < 3]] = False
+    begin = np.flatnonzero(np.concatenate(([True], (chain[1:] != chain[:-1]) | (ring[1:] != ring[:-1]))))
+    count = np.diff(np.append(begin, len(segments)))
+    of = np.repeat(np.arange(len(begin)), count)
+    lo, hi = np.minimum(segments[:, :2], segments[:, 2:]), np.maximum(segments[:, :2], segments[:, 2:])
+    box_lo, box_hi = np.minimum.reduceat(lo, begin), np.maximum.reduceat(hi, begin)
+    chord = segments[begin + count - 1, 2:] - segments[begin, :2]
+    slow = np.zeros(n, bool)
+    slow[owner[((segments[:, 2:] - segments[:, :2]) * chord[of]).sum(1) <= 0]] = True  # an edge may meet itself
+    # edges of one polygon only: boxes are moved apart by polygon, predicates use the real positions
+    chain_owner = owner[begin]
+    far = chain_owner * (2.0 * float(np.abs(segments).max()) + 1.0) * 1.001
+    pad = 1e-3
+    boxes = np.column_stack([box_lo[:, 0] + far - pad, box_lo[:, 1] - pad, box_hi[:, 0] + far + pad, box_hi[:, 1] + pad])
+    for i, j in _close_pairs(boxes):
+        some = (chain_owner[i] == chain_owner[j]) & out[chain_owner[i]] & ~slow[chain_owner[i]]
+        i, j = i[some], j[some]
+        for at in range(0, len(i), 1 << 14):
+            a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+            row_a, seg_a = _expand(a, begin, count)
+            ok = (lo[seg_a] <= box_hi[b[row_a]]).all(1) & (hi[seg_a] >= box_lo[b[row_a]]).all(1)
+            row_a, seg_a = row_a[ok], seg_a[ok]
+            row_b, seg_b = _expand(b, begin, count)
+            ok = (lo[seg_b] <= box_hi[a[row_b]]).all(1) & (hi[seg_b] >= box_lo[a[row_b]]).all(1)
+            row_b, seg_b = row_b[ok], seg_b[ok]
+            n_b = np.bincount(row_b, minlength=len(a))
+            many = np.bincount(row_a, minlength=len(a)) * n_b > _SLAB
+            slow[chain_owner[a[many]]] = True
+            row_a, seg_a = row_a[~many[row_a]], seg_a[~many[row_a]]
+            pair, place = _expand(row_a, np.cumsum(n_b) - n_b, n_b)
+            s, t = seg_a[pair], seg_b[place]
+            ok = (lo[s] <= hi[t]).all(1) & (hi[s] >= lo[t]).all(1)
+            s, t = s[ok], t[ok]
+            if not len(s):
+                continue
+            deep, touch = _meet(segments[s], segments[t])
+            apart = np.abs(s - t)
+            same = ring[s] == ring[t]
+            neighbour = same & ((apart == 1) | (apart == ring_size[ring[s]] - 1))
+            out[owner[s[deep | (touch & same & ~neighbour)]]] = False
+            slow[owner[s[touch & ~same]]] = True
+    first_ring = np.searchsorted(ring_owner, np.arange(n), "left")
+    n_rings = np.searchsorted(ring_owner, np.arange(n), "right") - first_ring
+    points = lambda r: np.vstack([segments[ring_begin[r] : ring_begin[r] + ring_size[r], :2], segments[ring_begin[r], :2]])
+    for k in np.flatnonzero(out & (slow | (n_rings > 1))).tolist():
+        own = [points(r) for r in range(first_ring[k], first_ring[k] + n_rings[k])]
+        out[k] = valid_polygon(own) if slow[k] else _nested(own)
+    return out
+
+
+def _nested(rings: list[np.ndarray]) -> bool:
+    """Whether rings that do not meet are a shell with holes beside each other inside it."""
+    heads = np.array([r[0] for r in rings[1:]])
+    if not (inside(heads, rings[0]) == 1).all():
+        return False
+    for k, hole in enumerate(rings[1:]):
+        near = (heads >= hole.min(0)).all(1) & (heads <= hole.max(0)).all(1)
+        near[k] = False
+        if near.any() and (inside(heads[near], hole) == 1).any():
+            return False
+    return True
+
+
 def covers(shell: np.ndarray, ring: np.ndarray) -> bool:
     """Whether a ring lies in the area of ``shell``, without crossing it."""
     return _contacts(_segments(shell), _segments(ring)) >= 0 and _side(ring, shell) == 1
@@ -166,11 +254,15 @@ def interiors_overlap(first: list[np.ndarray], second: list[np.ndarray]) -> bool
     if (a[0][:, ::2].max() <= b[0][:, ::2].min()) or (b[0][:, ::2].max() <= a[0][:, ::2].min()) or (a[0][:, 1::2].max() <= b[0][:, 1::2].min()) or (b[0][:, 1::2].max() <= a[0][:, 1::2].min()):
         return False
     every_a, every_b = np.vstack(a), np.vstack(b)
+    touching = False
     for i, j in _close_pairs(every_a, every_b):
         s, t = every_a[i], every_b[j]
+        touching = touching or len(i) > 0
         o = [orient(*s[:, :2].T, *s[:, 2:].T, *t[:, k : k + 2].T) for k in (0, 2)] + [orient(*t[:, :2].T, *t[:, 2:].T, *s[:, k : k + 2].T) for k in (0, 2)]
         if ((o[0] * o[1] < 0) & (o[2] * o[3] < 0)).any():
             return True
+    if not touching:  # no boxes of edges meet: each polygon lies wholly inside or outside of the other
+        return bool(_within(first[0][:1], second)[0] or _within(second[0][:1], first)[0])
     # no edges cross: interiors overlap if a point beside an edge of one is inside both
     return _probe(first, every_a, second) or _probe(second, every_b, first)
 

@@ -159,32 +159,59 @@ def _prepare(geometry: object, wkt: str | None, limits: Limits) -> _Feature:
     return out
 
 
-def prove_extent(paths: list[np.ndarray], center: tuple[float, float], budget: list[int], limits: Limits) -> None:
-    """Show that no point of any segment is farther from the centre than the radius limit.
+def prove_extent(components: list[_Component], limits: Limits) -> tuple[Problem | None, int]:
+    """(problem, halvings): whether no point of any segment is farther from its centre than the limit.
 
-    Segments are halved, the first half first, until the triangle inequality settles them; ``budget``
-    counts the halvings of all components of a feature.
+    Segments are halved, the first half first, until the triangle inequality settles them; the halvings
+    of all components of a feature share one budget.  All open segments are looked at together, in that
+    order: what comes after a failure is cut off, and each segment carries the halvings made since the
+    one before it, so the first failure and the work up to it are those of one walk after the other.
     """
     too_far = Problem("UNSUPPORTED", "COMPONENT_EXTENT_EXCEEDED", "The component reaches beyond the radius limit.")
-    away = lambda p: float(inverse(center[0], center[1], p[0], p[1])[0])
-    for p in paths:
-        for k in range(len(p) - 1):
-            todo = [(tuple(p[k]), tuple(p[k + 1]), 0)]
-            while todo:
-                start, end, depth = todo.pop()
-                distance, azimuth = (float(v) for v in inverse(*start, *end))
-                d0, d1 = away(start), away(end)
-                if distance > 2 * limits.radius_m or max(d0, d1) > limits.radius_m:
-                    raise too_far
-                if max(d0, d1) + distance / 2 <= limits.radius_m - 1e-6:
-                    continue
-                if depth >= 18 or distance <= 0.001 or budget[0] >= limits.extent_subdivisions:
-                    raise Problem("ERROR", "EXTENT_UNVERIFIED", "The radius limit could not be verified.")
-                budget[0] += 1
-                middle = tuple(float(v) for v in direct(*start, azimuth, distance / 2))
-                if away(middle) > limits.radius_m:
-                    raise too_far
-                todo += [(middle, end, depth + 1), (start, middle, depth + 1)]
+    unproven = Problem("ERROR", "EXTENT_UNVERIFIED", "The radius limit could not be verified.")
+    budget = limits.extent_subdivisions
+    pieces = [(c.center, p) for c in components for p in c.paths]
+    start, end = np.vstack([p[:-1] for _, p in pieces]), np.vstack([p[1:] for _, p in pieces])
+    center = np.repeat(np.array([c for c, _ in pieces]), [len(p) - 1 for _, p in pieces], axis=0)
+    weight, depth = np.zeros(len(start), np.int64), 0
+    away = lambda c, p: inverse(c[:, 0], c[:, 1], p[:, 0], p[:, 1])[0]
+    failure, after = None, 0  # the first failure in order, and the halvings between the last open segment and it
+    while len(start):
+        before = np.cumsum(weight)
+        if before[-1] > budget:
+            keep = int(np.searchsorted(before, budget, "right"))
+            failure, after = unproven, budget  # the budget ends before the segments that are cut off
+            start, end, center, weight, before = start[:keep], end[:keep], center[:keep], weight[:keep], before[:keep]
+            if not keep:
+                break
+        distance, azimuth = inverse(start[:, 0], start[:, 1], end[:, 0], end[:, 1])
+        farther = np.maximum(away(center, start), away(center, end))
+        far = (distance > 2 * limits.radius_m) | (farther > limits.radius_m)
+        proven = ~far & (farther + distance / 2 <= limits.radius_m - 1e-6)
+        stuck = ~far & ~proven & ((distance <= 0.001) | (depth >= 18) | (before >= budget))
+        halve = np.flatnonzero(~far & ~proven & ~stuck)
+        lon, lat = direct(start[halve, 0], start[halve, 1], azimuth[halve], distance[halve] / 2)
+        middle = np.column_stack([lon, lat])
+        past = np.zeros(len(start), bool)
+        past[halve[away(center[halve], middle) > limits.radius_m]] = True
+        failed = np.flatnonzero(far | stuck | past)
+        total = int(before[-1])
+        if len(failed):
+            k = int(failed[0])
+            failure, total, after = (unproven if stuck[k] else too_far), int(before[k]) + int(past[k]), 0
+            middle, halve = middle[halve < k], halve[halve < k]
+        upto = before[halve]
+        weight = np.zeros(2 * len(halve), np.int64)
+        weight[::2] = np.diff(upto, prepend=0) + 1
+        after += total - (int(upto[-1]) if len(halve) else 0)
+        both = np.empty((2 * len(halve), 2))
+        begin = both.copy()
+        begin[::2], begin[1::2] = start[halve], middle
+        both[::2], both[1::2] = middle, end[halve]
+        start, end, center, depth = begin, both, np.repeat(center[halve], 2, axis=0), depth + 1
+    if failure is None and after > budget:
+        failure = unproven
+    return failure, min(after, budget)
 
 
 class _Flat:
@@ -222,8 +249,11 @@ class _Flat:
     def pieces(self, spacing: float) -> np.ndarray:
         return np.maximum(1, np.ceil(self.distance / spacing)).astype(np.int64)
 
-    def measure(self, spacing: float) -> np.ndarray:
-        """Length or area of each component with segments of at most ``spacing`` metres."""
+    def measure(self, spacing: float) -> tuple[np.ndarray, np.ndarray]:
+        """(length or area, validity) of each component with segments of at most ``spacing`` metres.
+
+        Polygons are judged as they are measured: by their densified rings in their own chart.
+        """
         n = self.pieces(spacing)
         seg = np.repeat(np.arange(len(n)), n)
         begin = np.cumsum(n) - n
@@ -246,7 +276,13 @@ class _Flat:
         per_path = np.add.reduceat(part, np.flatnonzero(head))
         path_polygon = self.polygon[self.path_component]
         per_path = np.where(path_polygon, np.where(self.path_is_shell, 1.0, -1.0) * np.abs(per_path) / 2, per_path)
-        return np.bincount(self.path_component, weights=per_path, minlength=len(self.polygon))
+        valid = np.ones(len(self.polygon), bool)
+        if polygon.any():
+            own = np.flatnonzero(self.polygon)
+            rank = np.cumsum(self.polygon) - 1
+            dense = np.column_stack([px, py, x, y])[polygon]
+            valid[own] = topology.valid_batch(dense, seg[polygon], path_of[polygon], rank[component[polygon]], len(own))
+        return np.bincount(self.path_component, weights=per_path, minlength=len(self.polygon)), valid
 
     def generated(self, spacing: float) -> np.ndarray:
         """Vertices of each component after densifying, path starts included."""
@@ -254,23 +290,51 @@ class _Flat:
         return (n + np.bincount(self.path_component, minlength=len(self.polygon))).astype(np.int64)
 
 
-def _valid(component: _Component) -> bool:
-    if component.kind == "LineString":
-        return True
-    return topology.valid_polygon([np.column_stack(equal_area(p[:, 0], p[:, 1], *component.center)) for p in component.paths])
+def densified(path: np.ndarray, spacing: float) -> np.ndarray:
+    """A path with points along its geodesic segments, at most ``spacing`` metres apart."""
+    distance, azimuth = inverse(path[:-1, 0], path[:-1, 1], path[1:, 0], path[1:, 1])
+    n = np.maximum(1, np.ceil(distance / spacing)).astype(np.int64)
+    seg = np.repeat(np.arange(len(n)), n)
+    k = np.arange(len(seg)) - (np.cumsum(n) - n)[seg] + 1
+    lon, lat = direct(path[seg, 0], path[seg, 1], azimuth[seg], distance[seg] * k / n[seg])
+    last = k == n[seg]
+    points = np.column_stack([np.where(last, path[seg + 1, 0], lon), np.where(last, path[seg + 1, 1], lat)])
+    return np.vstack([path[:1], points])
+
+
+def _valid_in(paths: list[np.ndarray], chart: tuple[float, float]) -> tuple[bool, list[np.ndarray]]:
+    """Whether densified rings are valid about ``chart``, and the rings there."""
+    rings = [np.column_stack(equal_area(p[:, 0], p[:, 1], *chart)) for p in paths]
+    steps = [np.hstack([r[:-1], r[1:]]) for r in rings]
+    number = np.repeat(np.arange(len(steps)), [len(s) for s in steps])
+    return bool(topology.valid_batch(np.vstack(steps), np.arange(len(number)), number, np.zeros(len(number), np.int64), 1)[0]), rings
 
 
-def reject_overlaps(components: list[_Component], limits: Limits) -> None:
-    """No two polygons of a feature may share interior points; near pairs meet in one local chart."""
-    for i, a in enumerate(components):
-        for b in components[i + 1 :]:
-            if float(inverse(*a.center, *b.center)[0]) > 2 * limits.radius_m:
-                continue
-            chart = center_of(np.vstack([a.paths[0][:-1], b.paths[0][:-1]]))
-            both = [[np.column_stack(equal_area(p[:, 0], p[:, 1], *chart)) for p in c.paths] for c in (a, b)]
-            if not all(map(topology.valid_polygon, both)):
+def reject_overlaps(components: list[_Component], spacing: float, limits: Limits) -> None:
+    """No two polygons of a feature may share interior points; near pairs meet in one local chart.
+
+    Pairs are judged by their densified rings; parts that lie apart by their circles about their
+    centres share no point.
+    """
+    centers = np.array([c.center for c in components])
+    radii = []
+    for c in components:
+        shell = c.paths[0]
+        legs = inverse(shell[:-1, 0], shell[:-1, 1], shell[1:, 0], shell[1:, 1])[0]
+        radii.append(float(inverse(c.center[0], c.center[1], shell[:, 0], shell[:, 1])[0].max() + legs.max() / 2))
+    dense: dict[int, list[np.ndarray]] = {}
+    for i in range(len(components) - 1):
+        apart = inverse(centers[i, 0], centers[i, 1], centers[i + 1 :, 0], centers[i + 1 :, 1])[0]
+        near = apart <= np.minimum(2 * limits.radius_m, radii[i] + np.array(radii[i + 1 :]) + 1.0)
+        for j in (i + 1 + np.flatnonzero(near)).tolist():
+            for k in (i, j):
+                if k not in dense:
+                    dense[k] = [densified(p, spacing) for p in components[k].paths]
+            chart = center_of(np.vstack([dense[i][0][:-1], dense[j][0][:-1]]))
+            (fine_a, a), (fine_b, b) = _valid_in(dense[i], chart), _valid_in(dense[j], chart)
+            if not (fine_a and fine_b):
                 raise Problem("ERROR", "INVALID_SHARED_TOPOLOGY", "The parts are invalid in a shared chart.")
-            if topology.interiors_overlap(*both):
+            if topology.interiors_overlap(a, b):
                 raise Problem("ERROR", "OVERLAPPING_MULTIPOLYGON_COMPONENTS", "Two parts overlap.")
 
 
@@ -287,15 +351,10 @@ def _check_extents(features: list[_Feature], limits: Limits) -> None:
     for i, f in enumerate(features):
         if f.result is not None:
             continue
-        budget = [0]
-        try:
-            if i in unsure:
-                for c in f.components:
-                    prove_extent(c.paths, c.center, budget, limits)
-            if f.pending is not None:
-                raise f.pending
-        except Problem as why:
-            f.result = _failed(why.status, why.code, str(why), budget[0])
+        why, halvings = prove_extent(f.components, limits) if i in unsure else (None, 0)
+        why = why or f.pending
+        if why is not None:
+            f.result = _failed(why.status, why.code, str(why), halvings)
 
 
 class _Active:
@@ -332,21 +391,20 @@ class _Active:
         return slice(self.starts[place], self.starts[place] + self.sizes[place])
 
 
-def _stopped(active: _Active, counts: np.ndarray, level: int, limits: Limits) -> dict[int, dict]:
-    """Features with too many positions or, at the first level, an invalid polygon; the first part decides."""
+def _too_many(active: _Active, counts: np.ndarray, spacing: float, limits: Limits) -> dict[int, dict]:
+    """Features with too many positions; a part before the one that breaks the limit may be invalid first."""
     out = {}
-    many = np.add.reduceat(counts, active.starts) > limits.generated_feature_coordinates
-    polygons = np.logical_or.reduceat(active.flat.polygon, active.starts) if level == 0 else np.zeros(len(many), bool)
-    for place in np.flatnonzero(many | polygons).tolist():
+    for place in np.flatnonzero(np.add.reduceat(counts, active.starts) > limits.generated_feature_coordinates).tolist():
         running = np.cumsum(counts[active.parts(place)])
-        over = np.flatnonzero(running > limits.generated_feature_coordinates)
-        parts = active.features[active.index[place]].components
-        bad = next((k for k, c in enumerate(parts) if not _valid(c)), None) if level == 0 else None
+        k = int(np.flatnonzero(running > limits.generated_feature_coordinates)[0])
+        before = active.features[active.index[place]].components[:k]
+        values, valid = _Flat([(0, c) for c in before]).measure(spacing) if before else (np.zeros(0), np.zeros(0, bool))
+        bad = np.flatnonzero(~valid | ~(np.isfinite(values) & (values > 0)))
         work = int(active.work[place])
-        if len(over) and (bad is None or over[0] <= bad):
-            out[place] = _failed("ERROR", "GENERATED_COORDINATE_LIMIT", "A refinement has too many positions.", work + int(running[over[0]]))
-        elif bad is not None:
-            out[place] = _failed("ERROR", "INVALID_GEOMETRY", "The projected geometry is invalid.", work + int(running[bad]))
+        if len(bad):
+            out[place] = _failed("ERROR", "INVALID_GEOMETRY", "The projected geometry is invalid.", work + int(running[bad[0]]))
+        else:
+            out[place] = _failed("ERROR", "GENERATED_COORDINATE_LIMIT", "A refinement has too many positions.", work + int(running[k]))
     return out
 
 
@@ -357,11 +415,12 @@ def _refine(features: list[_Feature], wkts: list[str | None], kinds: list[str],
         if not len(active.index):
             return
         spacing = limits.start_segment_m / 2**level
-        active.settle(_stopped(active, active.flat.generated(spacing), level, limits))
+        active.settle(_too_many(active, active.flat.generated(spacing), spacing, limits))
         if not len(active.index):
             return
         flat, starts = active.flat, active.starts
-        counts, values = flat.generated(spacing), flat.measure(spacing)
+        counts, (values, valid) = flat.generated(spacing), flat.measure(spacing)
+        worked = active.work.copy()
         active.work += np.add.reduceat(counts, starts)
         total = np.add.reduceat(values, starts)
         area = flat.polygon
@@ -370,7 +429,8 @@ def _refine(features: list[_Feature], wkts: list[str | None], kinds: list[str],
             active.streak = np.where(within(values, active.previous, area), active.streak + 1, 0)
             active.total_streak = np.where(within(total, active.total, area[starts]), active.total_streak + 1, 0)
         active.previous, active.total = values, total
-        degenerate = np.logical_or.reduceat(~(np.isfinite(values) & (values > 0)), starts)
+        bad = ~valid | ~(np.isfinite(values) & (values > 0))
+        degenerate = np.logical_or.reduceat(bad, starts)
         exhausted = active.work > limits.generated_work
         stable = (np.minimum.reduceat(active.streak, starts) >= 2) & (active.total_streak >= 2) & (level >= 2)
         results = {}
@@ -378,7 +438,8 @@ def _refine(features: list[_Feature], wkts: list[str | None], kinds: list[str],
             f = features[active.index[place]]
             f.work = int(active.work[place])
             if degenerate[place]:
-                results[place] = _failed("ERROR", "INVALID_GEOMETRY", "The projected geometry is degenerate.", f.work)
+                upto = int(np.flatnonzero(bad[active.parts(place)])[0]) + 1  # the first bad part ends the level
+                results[place] = _failed("ERROR", "INVALID_GEOMETRY", "The projected geometry is invalid or degenerate.", int(worked[place] + counts[active.parts(place)][:upto].sum()))
             elif exhausted[place]:
                 results[place] = _failed("ERROR", "CUMULATIVE_COORDINATE_LIMIT", "The refinements have too many positions.", f.work)
             else:
@@ -391,7 +452,7 @@ def _refine(features: list[_Feature], wkts: list[str | None], kinds: list[str],
 def _measured(f: _Feature, kind: str, wkt: str | None, values: np.ndarray, counts: np.ndarray, level: int, spacing: float, limits: Limits) -> dict:
     if kind == "MultiPolygon":
         try:
-            reject_overlaps(f.components, limits)
+            reject_overlaps(f.components, spacing, limits)
         except Problem as why:
             return _failed(why.status, why.code, str(why), f.work)
     area = kind.endswith("Polygon")

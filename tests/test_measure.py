@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from terrameter.functions.crs import WGS84_WKT, CrsError, crs_from_wkt
 from terrameter.functions.geodesic import direct, inverse
 from terrameter.functions.projection import equal_area, transverse_mercator_inverse
 from terrameter.model import Limits
+from terrameter.operators import measure
 from terrameter.operators.measure import measure_batch, measure_geometry
 
 
@@ -193,3 +195,93 @@ def test_topology():
     assert topology.orient(*(np.array([v]) for v in (0.1, 0.1, 0.3, 0.3, 0.7, 0.7)))[0] == 0
     x, y = equal_area(np.array([0.0, 0.0]), np.array([90.0, 89.0]), 0.0, 90.0)
     assert abs(x[0]) + abs(y[0]) < 1e-6 and y[1] < 0
+
+
+def batch_valid(polygons, spread):
+    """``valid_batch`` of polygons whose edges are cut into ``spread`` pieces, and the cut rings."""
+    segments, chain, ring, owner, cut = [], [], [], [], []
+    for k, rings in enumerate(polygons):
+        cut.append([])
+        for r in rings:
+            r = np.array(r, float)
+            dense = [r[0]]
+            for a, b in zip(r, r[1:], strict=False):
+                dense += [a + (b - a) * i / spread for i in range(1, spread)] + [b]
+                segments += list(zip(dense[-spread - 1 : -1], dense[-spread:], strict=True))
+                chain += [chain[-1] + 1 if chain else 0] * spread
+                ring += [sum(map(len, cut))] * spread
+                owner += [k] * spread
+            cut[-1].append(np.array(dense))
+    flat = np.array([[*a, *b] for a, b in segments])
+    return topology.valid_batch(flat, np.array(chain), np.array(ring), np.array(owner), len(polygons)), cut
+
+
+grid = st.integers(0, 6)
+rings = st.lists(st.tuples(grid, grid), min_size=3, max_size=6).map(lambda p: [*p, p[0]])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(rings, min_size=1, max_size=3), min_size=1, max_size=4), st.sampled_from([1, 2, 4]))
+def test_batch_validity_is_that_of_single_polygons(polygons, spread):
+    got, cut = batch_valid(polygons, spread)
+    assert got.tolist() == [topology.valid_polygon(p) for p in cut]
+
+
+def test_validity_is_judged_on_geodesic_edges():
+    """At 60 degrees north an edge of 1.4 degrees bends by far more than these holes and parts reach."""
+    lon, lat = 10.0, 60.0
+    shell = closed((lon - 0.7, lat - 0.4), (lon + 0.7, lat - 0.4), (lon + 0.7, lat + 0.4), (lon - 0.7, lat + 0.4))
+    d, azimuth = inverse(lon - 0.7, lat + 0.4, lon + 0.7, lat + 0.4)
+    top_lon, top_lat = (float(v) for v in direct(lon - 0.7, lat + 0.4, azimuth, d / 2))
+    north = lambda m: top_lat + m / 111_412.0
+    assert measured(polygon(shell, closed((top_lon, north(-0.3)), (lon - 0.1, lat), (lon + 0.1, lat))))[0] == "MEASURED"
+    assert measured(polygon(shell, closed((top_lon, north(0.3)), (lon - 0.1, lat), (lon + 0.1, lat))))[2] == ["INVALID_GEOMETRY"]
+    wedge = lambda m: closed((top_lon, north(m)), (lon + 0.1, lat + 0.6), (lon - 0.1, lat + 0.6))
+    assert measured(multi(shell, wedge(-0.4)))[2] == ["OVERLAPPING_MULTIPOLYGON_COMPONENTS"]
+    assert measured(multi(shell, wedge(0.4)))[0] == "MEASURED"
+
+
+def plain_extent(components, limits):
+    """One segment after the other, the first half first."""
+    budget = 0
+    away = lambda c, p: float(inverse(*c, *p)[0])
+    for c in components:
+        for p in c.paths:
+            for a, b in zip(p, p[1:], strict=False):
+                todo = [(tuple(a), tuple(b), 0)]
+                while todo:
+                    start, end, depth = todo.pop()
+                    d, azimuth = (float(v) for v in inverse(*start, *end))
+                    reach = max(away(c.center, start), away(c.center, end))
+                    if d > 2 * limits.radius_m or reach > limits.radius_m:
+                        return "COMPONENT_EXTENT_EXCEEDED", budget
+                    if reach + d / 2 <= limits.radius_m - 1e-6:
+                        continue
+                    if depth >= 18 or d <= 0.001 or budget >= limits.extent_subdivisions:
+                        return "EXTENT_UNVERIFIED", budget
+                    budget += 1
+                    middle = tuple(float(v) for v in direct(*start, azimuth, d / 2))
+                    if away(c.center, middle) > limits.radius_m:
+                        return "COMPONENT_EXTENT_EXCEEDED", budget
+                    todo += [(middle, end, depth + 1), (start, middle, depth + 1)]
+    return None, budget
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.floats(-1.0, 1.0), st.floats(-1.0, 1.0)), min_size=2, max_size=5), min_size=1, max_size=3), st.sampled_from([100_000.0, 60_000.0, 111_000.0]), st.sampled_from([100_000, 40, 7, 0]))
+def test_extents_in_batches_equal_single_steps(paths, radius, subdivisions):
+    limits = Limits(radius_m=radius, extent_subdivisions=subdivisions)
+    components = [measure._Component("LineString", [np.array(p)], measure.center_of(np.array(p))) for p in paths]
+    why, halvings = measure.prove_extent(components, limits)
+    code, plain = plain_extent(components, limits)
+    assert (why.code if why else None) == code
+    assert halvings == plain or code is None
+
+
+def test_extents_of_many_halvings_take_seconds():
+    at = [direct(20.0, 50.0, a, 99_999.9) for a in np.linspace(0, 2 * np.pi, 12_000, endpoint=False)]
+    ring = np.array([[float(v) for v in p] for p in [*at, at[0]]])
+    began = time.perf_counter()
+    why, halvings = measure.prove_extent([measure._Component("Polygon", [ring], (20.0, 50.0))], Limits())
+    assert halvings > 10_000 and (why is None or why.code == "EXTENT_UNVERIFIED")
+    assert time.perf_counter() - began < 20
