@@ -116,8 +116,9 @@ def shrunk(features: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def with_running_budgets(features: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Running totals of a file's features in order, and the budget that each row is the first to break."""
     order = Window.partitionBy("path").orderBy("feature_index").rowsBetween(Window.unboundedPreceding, 0)
-    final = F.coalesce("provenance.generated_coordinates_final", F.lit(0))
-    work = F.coalesce("provenance.generated_coordinates_total", F.lit(0)) + F.col("extra_work")
+    counter = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0))
+    final = counter("provenance.generated_coordinates_final")
+    work = counter("provenance.generated_coordinates_total") + counter("extra_work")
     rows = features.withColumns({"run_final": F.sum(final).over(order), "run_work": F.sum(work).over(order), "run_bytes": F.sum(F.col("output_bytes") + 1).over(order)})
     return rows.withColumn(
         "breach",

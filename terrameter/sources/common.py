@@ -11,6 +11,7 @@ from ..model import Limits
 TOO_LARGE = [
     "UPLOAD_TOO_LARGE", "CHILD_OUTPUT_LIMIT", "GENERATED_COORDINATE_LIMIT", "GENERATED_WORK_LIMIT", "FEATURE_OUTPUT_LIMIT", "FILE_COORDINATE_LIMIT",
     "XML_ELEMENT_LIMIT", "XML_DEPTH_LIMIT", "XML_TEXT_LIMIT", "FEATURE_LIMIT", "ARCHIVE_ENTRY_LIMIT", "EXPANDED_ARCHIVE_LIMIT", "COMPONENT_SIZE_LIMIT",
+    "FILE_OUTPUT_LIMIT", "FILE_GENERATED_COORDINATE_LIMIT", "FILE_GENERATED_WORK_LIMIT",
 ]
 
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import SOURCE_FEATURE, Limits
+from ..model import FORMATS, SOURCE_FEATURE, Limits
 from .common import Dataset, FileFailure, bounded, compact
 from .kml import read_kml
 from .shapefile import read_shapefile
@@ -27,27 +27,37 @@ def format_of(path: Column) -> Column:
     return F.when(suffix == ".kml", "KML").when(suffix == ".zip", "SHAPEFILE")
 
 
-def scan_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """path, length, content, format and sha256 of every file below ``paths``."""
+def scan_files(spark: SparkSession, *paths: str, limits: Limits = Limits()) -> DataFrame:
+    """path, length, modificationTime, content, format and sha256 of every file below ``paths``.
+
+    Files beyond the size limit are listed with null content; theirs is never read, as the length
+    filter reaches the scan.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
-    return files.select("path", "length", "content", format_of(F.col("path")).alias("format"), F.sha2("content", 256).alias("sha256"))
+    names = ["path", "length", "modificationTime"]
+    fine = files.where(F.col("length") <= limits.upload_bytes).select(*names, "content", F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > limits.upload_bytes).select(*names, F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("sha256"))
+    return fine.unionByName(large).withColumn("format", format_of(F.col("path")))
+
 
+def read_dataset(content: bytes | None, kind: str | None, limits: Limits = Limits(), length: int | None = None) -> Dataset:
+    """The dataset of one file's bytes; raises FileFailure where the file is rejected.
 
-def read_dataset(content: bytes, kind: str | None, limits: Limits = Limits()) -> Dataset:
-    """The dataset of one file's bytes; raises FileFailure where the file is rejected."""
+    ``length``: the file's size, where its content was not read because of it.
+    """
+    if kind not in FORMATS:
+        raise FileFailure("UNSUPPORTED_FORMAT", "The file is neither KML nor a zipped Shapefile.", 415)
+    if max(len(content or b""), length or 0) > limits.upload_bytes:
+        raise FileFailure("UPLOAD_TOO_LARGE", "The file is too large.")
     if not content:
         raise FileFailure("INVALID_DATASET", "The file is empty.")
-    if kind == "KML":
-        return read_kml(content, limits)
-    if kind == "SHAPEFILE":
-        return read_shapefile(content, limits)
-    raise FileFailure("UNSUPPORTED_FORMAT", "The file is neither KML nor a zipped Shapefile.", 415)
+    return read_kml(content, limits) if kind == "KML" else read_shapefile(content, limits)
 
 
-def _rows(path: str, kind: str | None, content: bytes, limits: Limits) -> Iterator[dict]:
+def _rows(path: str, kind: str | None, content: bytes | None, length: int, limits: Limits) -> Iterator[dict]:
     header = dict.fromkeys((f.name for f in SOURCE_FEATURE)) | {"path": path, "format": kind, "feature_index": HEADER_INDEX}
     try:
-        data = read_dataset(content, kind, limits)
+        data = read_dataset(content, kind, limits, length)
     except FileFailure as why:
         yield header | {"file_failure": why.code, "file_http_status": why.http_status, "file_message": str(why)}
         return
@@ -69,12 +79,12 @@ def read_features(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, kind, content in zip(batch["path"], batch["format"], batch["content"], strict=True):
-                rows = list(_rows(path, kind, bytes(content), limits))
+            for path, kind, content, length in zip(batch["path"], batch["format"], batch["content"], batch["length"], strict=True):
+                rows = list(_rows(path, kind, None if content is None else bytes(content), int(length), limits))
                 frame = pd.DataFrame(rows, columns=[f.name for f in SOURCE_FEATURE])
                 for c in ("dimensions", "source_coordinates", "extra_work", "file_http_status", "deleted_records"):
                     frame[c] = frame[c].astype("Int64")
                 yield frame
 
-    within = F.when(F.col("length") <= limits.upload_bytes, F.col("content")).otherwise(F.lit(b"").cast("binary"))
-    return files.select("path", "format", within.alias("content")).mapInPandas(run, SOURCE_FEATURE)
+    within = F.when(F.col("length") <= limits.upload_bytes, F.col("content"))
+    return files.select("path", "format", "length", within.alias("content")).mapInPandas(run, SOURCE_FEATURE)

@@ -11,8 +11,9 @@ import pytest
 from terrameter.functions.crs import WGS84_WKT
 from terrameter.model import Limits
 from terrameter.sources.common import FileFailure
+from terrameter.sources.files import read_dataset
 from terrameter.sources.kml import parse_coordinates, read_kml
-from terrameter.sources.shapefile import read_shapefile, shape_kind
+from terrameter.sources.shapefile import read_shapefile, shape_kind, winding
 
 NS = "http://www.opengis.net/kml/2.2"
 RING = "0,0 0.01,0 0.01,0.01 0,0.01 0,0"
@@ -79,12 +80,12 @@ def test_feature_issues(body, code):
         (kml("", '<!DOCTYPE kml [<!ENTITY a "b">]>'), "INVALID_KML", {}), (b"<kml", "INVALID_KML", {}), (b"<x/>", "INVALID_KML", {}), (kml("<NetworkLink/>"), "NETWORK_LINK_UNSUPPORTED", {}),
         (kml('<x:include xmlns:x="http://www.w3.org/2001/XInclude"/>'), "XINCLUDE_UNSUPPORTED", {}), (kml('<Placemark xmlns="other"/>'), "INVALID_KML_NAMESPACE", {}), (kml("<Folder>" * 70 + "</Folder>" * 70), "XML_DEPTH_LIMIT", {}),
         (kml("<name>" + "x" * 70_000 + "</name>"), "XML_TEXT_LIMIT", {}), (kml(place(polygon()) * 3), "FEATURE_LIMIT", {"features": 2}), (kml(place(polygon())), "FILE_COORDINATE_LIMIT", {"file_coordinates": 4}),
-        (kml("<a/>" * 50), "XML_ELEMENT_LIMIT", {"xml_elements": 20}), (kml(""), "UPLOAD_TOO_LARGE", {"upload_bytes": 10}),
+        (kml("<a/>" * 50), "XML_ELEMENT_LIMIT", {"xml_elements": 20}), (kml(""), "UPLOAD_TOO_LARGE", {"upload_bytes": 10}), (b"", "INVALID_DATASET", {}),
     ],
 )
 def test_file_failures(data, code, limits):
     with pytest.raises(FileFailure) as why:
-        read_kml(data, Limits(**limits))
+        read_dataset(data, "KML", Limits(**limits))
     assert why.value.code == code and why.value.http_status == (413 if "LIMIT" in code or "LARGE" in code else 422)
 
 
@@ -216,7 +217,9 @@ def test_encodings():
     [
         ({"leave_out": [".prj", ".dbf"]}, "MISSING_SHAPEFILE_CRS"), ({"leave_out": [".dbf"]}, "MISSING_SHAPEFILE_COMPONENT"), ({"leave_out": [".shp"]}, "MISSING_SHAPEFILE"), ({"extra": {"other.shp": b""}}, "MULTIPLE_SHAPEFILES"),
         ({"extra": {"notes.txt": b""}}, "UNRECOGNIZED_ARCHIVE_PAYLOAD"), ({"extra": {"../x.shp": b""}}, "UNSAFE_ARCHIVE_PATH"), ({"extra": {"C:/x": b""}}, "UNSAFE_ARCHIVE_PATH"), ({"extra": {"DATA.SHP": b""}}, "DUPLICATE_ARCHIVE_PATH"),
-        ({"extra": {"else/": b""}}, "UNRECOGNIZED_ARCHIVE_DIRECTORY"), ({"extra": {f"x{i}.xml": b"" for i in range(64)}}, "ARCHIVE_ENTRY_LIMIT"), ({"prj": "nonsense"}, "INVALID_SHAPEFILE_CRS"), ({"prj": 'LOCAL_CS["x"]'}, "UNSUPPORTED_SHAPEFILE_CRS"),
+        ({"extra": {"else/": b""}}, "UNRECOGNIZED_ARCHIVE_DIRECTORY"), ({"extra": {f"x{i}.xml": b"" for i in range(64)}}, "ARCHIVE_ENTRY_LIMIT"),
+        ({"extra": {"meta.xml": b""}}, "UNRECOGNIZED_ARCHIVE_PAYLOAD"), ({"extra": {"__MACOSX/notes.txt": b""}}, "UNRECOGNIZED_ARCHIVE_PAYLOAD"), ({"extra": {"._other.shp": b""}}, "MULTIPLE_SHAPEFILES"), ({"extra": {"/data.qix": b""}}, "UNSAFE_ARCHIVE_PATH"),
+        ({"extra": {"a/../data.qix": b""}}, "UNSAFE_ARCHIVE_PATH"), ({"extra": {"./": b"", "x" * 256: b""}}, "UNSAFE_ARCHIVE_PATH"), ({"extra": {".//data.qix": b"", "data.qix": b""}}, "DUPLICATE_ARCHIVE_PATH"), ({"folder": "wrap/", "extra": {"wrapper/": b""}}, "UNRECOGNIZED_ARCHIVE_DIRECTORY"), ({"prj": "nonsense"}, "INVALID_SHAPEFILE_CRS"), ({"prj": 'LOCAL_CS["x"]'}, "UNSUPPORTED_SHAPEFILE_CRS"),
         ({"rows": []}, "CORRUPT_SHAPEFILE"),
     ],
 )
@@ -236,5 +239,19 @@ def test_archive_limits_and_ignored_files():
     with pytest.raises(FileFailure) as why:
         read_shapefile(archive([shape(1, [(0, 0)])] * 3), Limits(file_coordinates=2))
     assert why.value.code == "FILE_COORDINATE_LIMIT"
-    assert len(read_shapefile(archive([shape(1, [(0, 0)])], extra={"__MACOSX/._data.shp": b"", ".DS_Store": b"", "data.qix": b"", "meta.xml": b""})).features) == 1
+    assert len(read_shapefile(archive([shape(1, [(0, 0)])], extra={"__MACOSX/._data": b"", ".DS_Store": b"", "data.qix": b"", "data.xml": b"", "data.shp.xml": b"", "__MACOSX/": b"", "./": b""})).features) == 1
+    for folder in ("./", "d//", "D/./e/", "a\\b/"):  # paths that name one place
+        assert len(read_shapefile(archive([shape(1, [(0, 0)])], folder=folder)).features) == 1
+    inner = archive([shape(1, [(0, 0)])], folder="Wrap/", extra={"wrap/": b"", "WRAP/below/": b"", "wrap/data.SBN": b"", "wrap/._x": b""})
+    assert len(read_shapefile(inner).features) == 1
     assert shape_kind(15) == "PolygonZ" and shape_kind(7) is None
+
+
+def test_winding_by_exact_signs():
+    assert winding(CLOCKWISE) == -1 and winding(COUNTER) == 1 and winding([(0, 0), (1, 1), (2, 2), (0, 0)]) == 0
+    assert winding([(0, 0), (1, 1), (1, 0), (0, 1), (0, 0)]) == 0  # a bow tie
+    far = [(1e6 + x, 2e6 + y) for x, y in CLOCKWISE]
+    assert winding(far) == -1 and winding([(x + 1e-9, y) for x, y in reversed(far)]) == 1
+    tiny = [(x * 1e-7, y * 1e-7) for x, y in CLOCKWISE]
+    assert winding(tiny) == 0  # smaller than the noise of positions in degrees
+    assert winding([(0, 0), (1e200, 0), (1e200, 1e200), (0, 0)]) == 0
