@@ -127,6 +127,7 @@ STORED_FEATURE = T.StructType(
         T.StructField("provenance", PROVENANCE),
         T.StructField("issues", T.ArrayType(ISSUE)),
         T.StructField("file_id", T.StringType()),
+        T.StructField("run", T.StringType()),
         T.StructField("bucket", T.IntegerType()),
     ]
 )

@@ -1,22 +1,31 @@
 """Published tables: files and features, pages over them, and delete.
 
 Features are written first and the file's row last, so the row is the commit marker: readers semi-join
-``files``, and features without it are invisible leftovers.  Feature rows are bucketed by a hash of
-the file, not partitioned by file, so many small files do not become many small directories.
+``files``, and features without it are invisible leftovers.  Each publication writes its features to a
+folder of its own (``run``), in as many buckets by a hash of the file as its rows need; the file's row
+says where they are.  So a publication reads back its own rows only, a page reads one bucket, and
+many small files do not become many small directories.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import uuid
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import MEASUREMENT_STATUSES, STORED_FEATURE, Limits
+from ..sources.common import FileFailure
 
-BUCKETS = 64
+ROWS_PER_BUCKET = 500_000
+MOST_BUCKETS = 4096
+
+
+def _bucket(file_id: Column, buckets: Column) -> Column:
+    return F.pmod(F.xxhash64(file_id), buckets).cast("int")
 
 
 class StoreError(Exception):
@@ -87,15 +96,24 @@ class Store:
         An identical second run adds rows with new ids only; features that were written without their
         file stay invisible.
         """
+        run = uuid.uuid4().hex
+        promised = manifests.agg(F.sum("feature_count")).first()[0] or 0
+        buckets = max(1, min(MOST_BUCKETS, -(-int(promised) // ROWS_PER_BUCKET)))
         rows = features.join(ids.select("path", F.col("id").alias("file_id")), "path").drop("path", "format", "crs_wkt")
-        rows = checked(rows, feature_checks()).withColumn("bucket", F.pmod(F.xxhash64("file_id"), F.lit(BUCKETS)).cast("int"))
-        rows.repartition("bucket").sortWithinPartitions("bucket", "file_id", "feature_index").write.mode("append").partitionBy("bucket").parquet(f"{self.root}/features")
+        rows = checked(rows, feature_checks()).withColumns({"run": F.lit(run), "bucket": _bucket(F.col("file_id"), F.lit(buckets))})
+        rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "file_id", "feature_index").write.mode("append").partitionBy("run", "bucket").parquet(f"{self.root}/features")
         # what was written must be what the manifests promise, or no file row appears
-        written = self.spark.read.schema(STORED_FEATURE).parquet(f"{self.root}/features").join(ids.select(F.col("id").alias("file_id")), "file_id", "left_semi")
-        counts = written.groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("_written"))
+        counts = self._run(run).groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("_written"))
         done = manifests.join(ids, "path").join(counts, "id", "left").withColumn("completed_at", F.current_timestamp()).drop("path")
         same = (F.col("status") == "FAILED") & F.col("_written").isNull() | (F.coalesce("_written", F.lit(0)) == F.col("feature_count"))
-        self._append_files(checked(done, {"published_count": same}).drop("_written"))
+        self._append_files(checked(done, {"published_count": same}).drop("_written").withColumns({"run": F.lit(run), "buckets": F.lit(buckets)}))
+
+    def _run(self, run: str, bucket: int | None = None) -> DataFrame:
+        """Features of one publication, or of one of its buckets: nothing else is listed."""
+        path = f"features/run={run}" + ("" if bucket is None else f"/bucket={bucket}")
+        if not self._exists(path):
+            return self.spark.createDataFrame([], STORED_FEATURE)
+        return self.spark.read.option("basePath", f"{self.root}/features").schema(STORED_FEATURE).parquet(f"{self.root}/{path}")
 
     def _append_files(self, rows: DataFrame) -> None:
         checked(rows, file_checks()).sortWithinPartitions("created_at", "id").write.mode("append").parquet(f"{self.root}/files")
@@ -107,7 +125,7 @@ class Store:
 
     def vacuum(self, root: str) -> Store:
         """A copy of the store below ``root`` without deleted files and features that no file owns."""
-        self.features().write.partitionBy("bucket").parquet(f"{root}/features")
+        self.features().write.partitionBy("run", "bucket").parquet(f"{root}/features")
         self.files().write.parquet(f"{root}/files")
         return Store(self.spark, root, self.limits)
 
@@ -133,14 +151,14 @@ class Store:
         """(rows in feature order, total count, next offset)."""
         if not 1 <= limit <= 200 or offset < 0:
             raise ValueError("limit must be from 1 to 200 and offset not negative")
-        self.require(file_id, completed=True)
-        own = self._own(file_id)
+        own = self._own(self.require(file_id, completed=True))
         count = own.count()
         return own.orderBy("feature_index").offset(offset).limit(limit), count, offset + limit if offset + limit < count else None
 
-    def _own(self, file_id: str) -> DataFrame:
-        bucket = F.pmod(F.xxhash64(F.lit(file_id)), F.lit(BUCKETS)).cast("int")
-        return self.spark.read.schema(STORED_FEATURE).parquet(f"{self.root}/features").where((F.col("bucket") == bucket) & (F.col("file_id") == file_id))
+    def _own(self, owner: Row) -> DataFrame:
+        """A file's features, from its bucket."""
+        bucket = self.spark.range(1).select(_bucket(F.lit(owner["id"]), F.lit(owner["buckets"]))).first()[0]
+        return self._run(owner["run"], bucket).where(F.col("file_id") == owner["id"])
 
     def measurement_page(self, file_id: str, limit: int = 50, offset: int = 0) -> tuple[DataFrame, int, int | None]:
         rows, count, after = self.feature_page(file_id, limit, offset)
@@ -152,7 +170,7 @@ class Store:
         owner = self.require(file_id, completed=True)
         if feature_index < 0:
             raise StoreError("REQUEST_VALIDATION_ERROR", "The index must not be negative.", 404)
-        row = self._own(file_id).where(F.col("feature_index") == feature_index).withColumn("source_crs_wkt", F.lit(owner["crs_wkt"])).limit(1).first()
+        row = self._own(owner).where(F.col("feature_index") == feature_index).withColumn("source_crs_wkt", F.lit(owner["crs_wkt"])).limit(1).first()
         if row is None:
             raise StoreError("FEATURE_NOT_FOUND", "The feature does not exist.", 404)
         return row
@@ -216,7 +234,26 @@ def http_status(code: Column) -> Column:
     return F.when(code.endswith("_LIMIT"), 413).otherwise(422)
 
 
-def write_feature_lines(features: DataFrame, path: str) -> None:
-    """JSON Lines in feature order, nulls written out; Spark's committer makes the folder appear whole."""
-    shown = features.orderBy("feature_index").select(F.to_json(F.struct(*features.columns), {"ignoreNullFields": "false"}).alias("value"))
-    shown.write.mode("overwrite").text(path)
+def write_feature_lines(features: DataFrame, path: str, limits: Limits = Limits()) -> None:
+    """One dataset as JSON Lines in feature order, nulls written out; the committer makes the folder appear whole.
+
+    Lines, their sum and the generated work are checked first; FileFailure says which limit is broken.
+    What passes is one bounded file, so one task writes it.
+    """
+    line = F.to_json(F.struct(*features.columns), {"ignoreNullFields": "false"})
+    rows = features.select("feature_index", line.alias("value"), *([F.col("provenance")] if "provenance" in features.columns else []))
+    size = F.octet_length("value") + 1
+    counter = lambda c: F.sum(F.greatest(F.coalesce(F.col(f"provenance.{c}"), F.lit(0)), F.lit(0)))
+    work = [counter("generated_coordinates_final"), counter("generated_coordinates_total")] if "provenance" in features.columns else [F.lit(0), F.lit(0)]
+    n, ids, low, high, longest, total, final, all_work = rows.agg(
+        F.count("*"), F.count_distinct("feature_index"), F.min("feature_index"), F.max("feature_index"), F.coalesce(F.max(size), F.lit(0)), F.coalesce(F.sum(size), F.lit(0)), *work
+    ).first()
+    if n and (ids, low, high) != (n, 0, n - 1):
+        raise FileFailure("PROCESSOR_PROTOCOL_ERROR", "The features are not in order.")
+    for found, most, code in (
+        (final or 0, limits.generated_file_coordinates, "FILE_GENERATED_COORDINATE_LIMIT"), (all_work or 0, limits.generated_work, "FILE_GENERATED_WORK_LIMIT"),
+        (longest, limits.feature_json_bytes, "FEATURE_OUTPUT_LIMIT"), (total, limits.output_bytes, "FILE_OUTPUT_LIMIT"),
+    ):
+        if found > most:
+            raise FileFailure(code, "The dataset exceeds a limit of its output.")
+    rows.repartition(1).sortWithinPartitions("feature_index").select("value").write.mode("overwrite").text(path)

@@ -1,12 +1,14 @@
 """JSON Lines features and manifests, read strictly.
 
-A line must be an object with unique keys, no NaN or Infinity and bounded depth; the file's rows must
-be in feature order and agree with the manifest's counts.
+A line must be an object with unique keys, no NaN or Infinity and bounded depth; a file is bounded in
+size and rows and ends with a line's end; its rows must be in feature order and agree with the
+manifest's counts.
 """
 
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,26 +43,26 @@ def _constant(name: str) -> None:
     raise ValueError(name)
 
 
+# A JSON string, without backtracking; what is left of a line without them is structure.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
+def too_deep(line: str, depth: int) -> bool:
+    """Whether brackets nest deeper than ``depth``, in a line that need not be balanced."""
+    left = re.sub(r"[^\[\]{}]", "", re.sub(_STRING, "", line, flags=re.DOTALL))
+    for _ in range(depth):
+        left = re.sub(r"[\[{][\]}]", "", left)
+    return re.search(r"[\[{][\]}]", left) is not None or left.count("[") + left.count("{") > depth
+
+
 def problem_of(line: str | None, limits: Limits = Limits()) -> str | None:
     """Why a line is no acceptable feature, or None."""
     if line is None or not line.strip():
         return "blank"
     if len(line.encode("utf-8", "surrogatepass")) > limits.feature_json_bytes:
         return "too_long"
-    depth = most = 0
-    inside = escaped = False
-    for c in line:  # before parsing, so that no depth reaches the parser's recursion
-        if inside:
-            inside, escaped = (c != '"' or escaped), c == "\\" and not escaped
-        elif c == '"':
-            inside = True
-        elif c in "[{":
-            depth += 1
-            most = max(most, depth)
-            if most > limits.json_depth:
-                return "too_deep"
-        elif c in "]}":
-            depth -= 1
+    if too_deep(line, limits.json_depth):  # before parsing, so that no depth reaches the parser's recursion
+        return "too_deep"
     try:
         value = json.loads(line, object_pairs_hook=_unique, parse_constant=_constant)
     except (ValueError, RecursionError):
@@ -71,33 +73,60 @@ def problem_of(line: str | None, limits: Limits = Limits()) -> str | None:
 
 
 def strict_problem(line: Column, limits: Limits = Limits()) -> Column:
-    """Column form of ``problem_of``.
+    """Column form of ``problem_of``, inside the JVM.
 
-    Spark's variant parser already refuses repeated keys and non-finite numbers; only lines that it
-    accepts and that nest suspiciously often are looked at in Python.
+    Pairs of brackets without strings are taken out once for each allowed level; the variant parser
+    refuses repeated keys and non-finite numbers.  Commas and openings bound the number of values; only
+    lines that may hold too many are counted in Python.
     """
 
     @F.pandas_udf("string")
     def check(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda x: problem_of(x, limits))
-
-    suspicious = F.length(F.regexp_replace(line, r"[^\[{,]", "")) > limits.json_depth
-    malformed = F.try_parse_json(line).isNull()
+        return lines.map(lambda x: None if x is None else problem_of(x, limits))
+
+    structure = F.regexp_replace(line, f"(?s){_STRING}", "")
+    left = F.regexp_replace(structure, r"[^\[\]{}]", "")
+    for _ in range(limits.json_depth):
+        left = F.regexp_replace(left, r"[\[{][\]}]", "")
+    deep = left.rlike(r"[\[{][\]}]") | (F.length(F.regexp_replace(left, r"[^\[{]", "")) > limits.json_depth)
+    many = F.length(F.regexp_replace(structure, r"[^,\[{]", "")) >= limits.json_values
+    parsed = F.try_parse_json(line)
+    blank = F.coalesce(F.trim(line), F.lit("")) == ""
+    long = F.octet_length(line) > limits.feature_json_bytes
     return (
-        F.when(F.coalesce(F.trim(line), F.lit("")) == "", "blank")
-        .when(F.octet_length(line) > limits.feature_json_bytes, "too_long")
-        .when(suspicious, check(line))
-        .when(malformed, "malformed")
-        .when(F.schema_of_variant(F.try_parse_json(line)).startswith("OBJECT"), None)
-        .otherwise("no_object")
+        F.when(blank, "blank")
+        .when(long, "too_long")
+        .when(deep, "too_deep")
+        .when(parsed.isNull(), "malformed")
+        .when(~F.schema_of_variant(parsed).startswith("OBJECT"), "no_object")
+        .otherwise(check(F.when(many & ~blank & ~long, line)))
     )
 
 
 def read_feature_lines(spark: SparkSession, path: str, schema: str, limits: Limits = Limits()) -> DataFrame:
-    """Parsed features of JSON Lines files with ``problem``; rows keep their own feature_index."""
-    lines = spark.read.text(path)
-    parsed = lines.withColumn("problem", strict_problem(F.col("value"), limits))
-    return parsed.select("problem", F.when(F.col("problem").isNull(), F.from_json("value", schema)).alias("feature")).select("problem", "feature.*")
+    """Parsed features of JSON Lines files with ``problem``; rows keep their own feature_index.
+
+    A problem of a whole file (see ``file_problems``) is that of each of its rows.
+    """
+    lines = _lines(spark, path)
+    files = file_problems(spark, path, limits).where("file_problem is not null")
+    rows = lines.join(files, "file", "left").withColumn("problem", F.coalesce("file_problem", strict_problem(F.col("value"), limits)))
+    return rows.select("problem", F.when(F.col("problem").isNull(), F.from_json("value", schema)).alias("feature")).select("problem", "feature.*")
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), "value")
+
+
+def file_problems(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
+    """(file, rows, file_problem) of every file with a line.
+
+    too_large: beyond the limit in bytes; too_many_rows; truncated: the last line has no end.  Lines
+    and their ends add up to the file's size only if the last one has one.
+    """
+    seen = _lines(spark, path).groupBy("file").agg(F.first("size").alias("size"), F.count("*").alias("rows"), F.sum(F.octet_length("value") + 1).alias("ended"))
+    problem = F.when(F.col("size") > limits.output_bytes, "too_large").when(F.col("rows") > limits.features, "too_many_rows").when(F.col("ended") != F.col("size"), "truncated")
+    return seen.select("file", "rows", problem.alias("file_problem"))
 
 
 def protocol_problem(features: DataFrame, manifest: dict) -> DataFrame:

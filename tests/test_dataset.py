@@ -14,8 +14,9 @@ from terrameter.model import Limits
 from terrameter.plans import views
 from terrameter.plans.dataset import process_files
 from terrameter.plans.store import Store, StoreError, checked, decode_cursor, encode_cursor, feature_checks, file_checks, write_feature_lines
+from terrameter.sources.common import FileFailure
 from terrameter.sources.files import scan_files
-from terrameter.sources.jsonl import problem_of, protocol_problem, read_feature_lines, read_manifest, strict_problem, write_manifest
+from terrameter.sources.jsonl import file_problems, problem_of, protocol_problem, read_feature_lines, read_manifest, strict_problem, write_manifest
 from terrameter.streaming.ingest import start_ingest
 
 
@@ -153,6 +154,12 @@ def test_strict_lines(spark, tmp_path):
     assert [problem_of(x) for x in lines] == want
     got = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string").select("i", strict_problem(F.col("x")).alias("p")).orderBy("i").collect()
     assert [r["p"] for r in got] == want
+    nests = ["[" * n + "]" * n for n in (31, 32, 40)] + ["[" * 50, "]" * 50, "}{" * 40, '{"a":"\\\\"}', '{"a":"\\""}', '{"a":"[[["}' + "[" * 40]
+    some = [f'{{"a":{x}}}' for x in nests] + nests
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(some)], "i int, x string").select("i", strict_problem(F.col("x")).alias("p")).orderBy("i").collect()
+    assert [r["p"] for r in got] == [problem_of(x) for x in some]
+    many = spark.createDataFrame([('{"a":[1,2,3]}',), ('{"a":[1]}',)], "x string").select(strict_problem(F.col("x"), Limits(json_values=4)).alias("p"))
+    assert [r["p"] for r in many.collect()] == ["too_many_values", None]
     assert problem_of('{"a":"' + "x" * 200 + '"}', Limits(feature_json_bytes=100)) == "too_long"
     assert problem_of('{"a":[1,2,3]}', Limits(json_values=3)) == "too_many_values"
 
@@ -169,6 +176,62 @@ def test_lines_round_trip_and_protocol(spark, tmp_path):
     assert protocol_problem(back.withColumn("feature_index", F.col("feature_index") * 2), manifest).first()[0] == "feature_order"
 
 
+def test_files_of_lines(spark, tmp_path):
+    """Size, rows and the end of the last line are checked for each file."""
+    (tmp_path / "ok.jsonl").write_text('{"feature_index":0}\n{"feature_index":1}\n')
+    (tmp_path / "cut.jsonl").write_text('{"feature_index":0}\n{"feature_index":1}')
+    (tmp_path / "many.jsonl").write_text('{"feature_index":0}\n' * 3)
+    (tmp_path / "big.jsonl").write_text('{"feature_index":0,"x":"' + "é" * 100 + '"}\r\n')
+    (tmp_path / "none.jsonl").write_text("")
+    limits = Limits(features=2, output_bytes=100)
+    got = {r["file"].rsplit("/", 1)[1]: r["file_problem"] for r in file_problems(spark, str(tmp_path), limits).collect()}
+    assert got == {"ok.jsonl": None, "cut.jsonl": "truncated", "many.jsonl": "too_many_rows", "big.jsonl": "too_large"}
+    rows = read_feature_lines(spark, str(tmp_path), "feature_index int", limits).groupBy("problem").count().collect()
+    assert {r["problem"]: r["count"] for r in rows} == {None: 2, "truncated": 2, "too_many_rows": 3, "too_large": 1}
+
+
+def test_sink_limits(spark, tmp_path):
+    rows = spark.createDataFrame([(0, "x" * 50), (1, "y")], "feature_index int, name string")
+    work = rows.withColumn("provenance", F.expr("named_struct('generated_coordinates_final', 10L, 'generated_coordinates_total', -5L)"))
+    for features, limits, code in (
+        (rows, Limits(feature_json_bytes=60), "FEATURE_OUTPUT_LIMIT"), (rows, Limits(output_bytes=90), "FILE_OUTPUT_LIMIT"), (rows.where("feature_index = 1"), Limits(), "PROCESSOR_PROTOCOL_ERROR"),
+        (work, Limits(generated_file_coordinates=19), "FILE_GENERATED_COORDINATE_LIMIT"), (work.withColumn("provenance", F.expr("named_struct('generated_coordinates_final', 0L, 'generated_coordinates_total', 9L)")), Limits(generated_work=17), "FILE_GENERATED_WORK_LIMIT"),
+    ):
+        with pytest.raises(FileFailure) as why:
+            write_feature_lines(features, str(tmp_path / "out"), limits)
+        assert why.value.code == code
+    write_feature_lines(work, str(tmp_path / "out"), Limits(generated_work=0, generated_file_coordinates=20))
+    assert [r["value"][:19] for r in spark.read.text(str(tmp_path / "out")).collect()] == ['{"feature_index":0,', '{"feature_index":1,']
+
+
+def test_files_beyond_the_limit_are_listed_and_not_read(spark, tmp_path):
+    (tmp_path / "big.kml").write_bytes(kml(place(polygon())) + b" " * 12_000_000)
+    (tmp_path / "ok.kml").write_bytes(kml(place(polygon())))
+    files = scan_files(spark, str(tmp_path))
+    m = by_name(process_files(files)[0])
+    assert (m["big.kml"]["failure_code"], m["big.kml"]["http_status"]) == ("UPLOAD_TOO_LARGE", 413) and m["ok.kml"]["status"] == "COMPLETED"
+    assert {r["path"].rsplit("/", 1)[1]: r["content"] is None for r in files.collect()} == {"big.kml": True, "ok.kml": False}
+    assert "LessThanOrEqual(length" in files._jdf.queryExecution().executedPlan().toString()
+    store = Store(spark, str(tmp_path / "store"))
+    start_ingest(spark, str(tmp_path), store, str(tmp_path / "ck"), files_per_batch=5).awaitTermination()
+    assert {r["filename"]: r["failure_code"] for r in store.files().collect()} == {"big.kml": "UPLOAD_TOO_LARGE", "ok.kml": None}
+
+
+def test_a_publication_reads_its_own_rows(spark, tmp_path):
+    """Each run has its own folder, with as few buckets as its rows need."""
+    store = Store(spark, str(tmp_path / "store"))
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(3):
+        (folder / f"{i}.kml").write_bytes(kml(place(polygon()) * (i + 1)))
+    start_ingest(spark, str(folder), store, str(tmp_path / "ck")).awaitTermination()
+    runs = list((tmp_path / "store" / "features").glob("run=*"))
+    assert len(runs) == 3 and all(len(list(r.glob("bucket=*"))) == 1 for r in runs)
+    for r in store.files().collect():
+        own = store._own(r)
+        assert own.inputFiles() and all(f"run={r['run']}/bucket=0" in f for f in own.inputFiles()) and own.count() == r["feature_count"]
+
+
 def test_manifests_and_ddl(spark, tmp_path):
     counts = "2 AS feature_count, 1 AS measured_count, 0 AS not_applicable_count, 0 AS unsupported_count, 1 AS error_count"
     write_manifest(spark.sql(f"SELECT 'COMPLETED' AS status, {counts}, cast(null AS string) AS failure"), str(tmp_path / "m"))
