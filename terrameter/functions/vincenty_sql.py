@@ -1,14 +1,14 @@
 """The inverse geodesic as plain expressions, for plans that never leave the JVM.
 
-Short arcs settle in four rounds.  The steps are SQL text that any engine with the usual
-trigonometric functions runs, so results can be compared between engines.
+Short arcs settle in four rounds.  Where the last round still moves the result (far pairs, near the
+antipodes), the distance is that on the mean sphere, as the array form has it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from .geodesic import A, B, F
+from .geodesic import A, B, MEAN_RADIUS, F
 
 ROUNDS = 5
 
@@ -35,7 +35,7 @@ def steps() -> list[dict[str, str]]:
         {"uu": f"ca{i} * {ratio}"},
         {"aa": "1 + uu / 16384 * (4096 + uu * (-768 + uu * (320 - 175 * uu)))", "bb": "uu / 1024 * (256 + uu * (-128 + uu * (74 - 47 * uu)))"},
         {"ds": f"bb * ss{i} * (cm{i} + bb / 4 * (cs{i} * (2 * cm{i} * cm{i} - 1) - bb / 6 * cm{i} * (4 * ss{i} * ss{i} - 3) * (4 * cm{i} * cm{i} - 3)))"},
-        {"distance": f"CAST({B!r} AS DOUBLE) * aa * (sg{i} - ds)"},
+        {"distance": f"CASE WHEN abs(lam{ROUNDS} - lam{i}) < 1e-11D OR lam{ROUNDS} IS NULL THEN {B!r}D * aa * (sg{i} - ds) ELSE {MEAN_RADIUS!r}D * sg0 END"},
     ]
     return out
 
@@ -46,10 +46,3 @@ def with_distance(rows: DataFrame) -> DataFrame:
     for level in steps():
         rows = rows.selectExpr("*", *[f"{e} AS {n}" for n, e in level.items()])
     return rows.select(*keep, "distance")
-
-
-def distance_sql(source: str) -> str:
-    """A subquery that adds ``distance`` to the rows of ``source``."""
-    for level in steps():
-        source = f"(SELECT *, {', '.join(f'{e} AS {n}' for n, e in level.items())} FROM {source})"
-    return source

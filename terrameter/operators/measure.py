@@ -290,52 +290,108 @@ class _Flat:
         return (n + np.bincount(self.path_component, minlength=len(self.polygon))).astype(np.int64)
 
 
-def densified(path: np.ndarray, spacing: float) -> np.ndarray:
-    """A path with points along its geodesic segments, at most ``spacing`` metres apart."""
-    distance, azimuth = inverse(path[:-1, 0], path[:-1, 1], path[1:, 0], path[1:, 1])
+def dense_segments(start: np.ndarray, end: np.ndarray, spacing: float) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, point) of the points along geodesic segments, at most ``spacing`` metres apart, their ends included.
+
+    A segment is walked from its western end, so two paths that share one share all its points.
+    """
+    swap = (start[:, 0] > end[:, 0]) | (start[:, 0] == end[:, 0]) & (start[:, 1] > end[:, 1])
+    west, east = np.where(swap[:, None], end, start), np.where(swap[:, None], start, end)
+    distance, azimuth = inverse(west[:, 0], west[:, 1], east[:, 0], east[:, 1])
     n = np.maximum(1, np.ceil(distance / spacing)).astype(np.int64)
     seg = np.repeat(np.arange(len(n)), n)
     k = np.arange(len(seg)) - (np.cumsum(n) - n)[seg] + 1
-    lon, lat = direct(path[seg, 0], path[seg, 1], azimuth[seg], distance[seg] * k / n[seg])
+    lon, lat = direct(west[seg, 0], west[seg, 1], azimuth[seg], distance[seg] * np.where(swap[seg], n[seg] - k, k) / n[seg])
     last = k == n[seg]
-    points = np.column_stack([np.where(last, path[seg + 1, 0], lon), np.where(last, path[seg + 1, 1], lat)])
-    return np.vstack([path[:1], points])
+    return seg, np.column_stack([np.where(last, end[seg, 0], lon), np.where(last, end[seg, 1], lat)])
+
+
+def densified(path: np.ndarray, spacing: float) -> np.ndarray:
+    """A path with points along its geodesic segments, at most ``spacing`` metres apart."""
+    return np.vstack([path[:1], dense_segments(path[:-1], path[1:], spacing)[1]])
 
 
-def _valid_in(paths: list[np.ndarray], chart: tuple[float, float]) -> tuple[bool, list[np.ndarray]]:
-    """Whether densified rings are valid about ``chart``, and the rings there."""
-    rings = [np.column_stack(equal_area(p[:, 0], p[:, 1], *chart)) for p in paths]
-    steps = [np.hstack([r[:-1], r[1:]]) for r in rings]
-    number = np.repeat(np.arange(len(steps)), [len(s) for s in steps])
-    return bool(topology.valid_batch(np.vstack(steps), np.arange(len(number)), number, np.zeros(len(number), np.int64), 1)[0]), rings
+_CHUNK_PAIRS = 4096
 
 
-def reject_overlaps(components: list[_Component], spacing: float, limits: Limits) -> None:
-    """No two polygons of a feature may share interior points; near pairs meet in one local chart.
+def overlap_problems(features: list[list[_Component]], spacing: float, limits: Limits) -> list[Problem | None]:
+    """Why each multipolygon is refused: no two of its parts may share interior points.
 
-    Pairs are judged by their densified rings; parts that lie apart by their circles about their
-    centres share no point.
+    Pairs are judged by their densified rings in a chart about both; parts that lie apart by their
+    circles about their centres share no point.  The pairs of many features are looked at together.
     """
-    centers = np.array([c.center for c in components])
-    radii = []
-    for c in components:
-        shell = c.paths[0]
-        legs = inverse(shell[:-1, 0], shell[:-1, 1], shell[1:, 0], shell[1:, 1])[0]
-        radii.append(float(inverse(c.center[0], c.center[1], shell[:, 0], shell[:, 1])[0].max() + legs.max() / 2))
-    dense: dict[int, list[np.ndarray]] = {}
-    for i in range(len(components) - 1):
-        apart = inverse(centers[i, 0], centers[i, 1], centers[i + 1 :, 0], centers[i + 1 :, 1])[0]
-        near = apart <= np.minimum(2 * limits.radius_m, radii[i] + np.array(radii[i + 1 :]) + 1.0)
-        for j in (i + 1 + np.flatnonzero(near)).tolist():
-            for k in (i, j):
-                if k not in dense:
-                    dense[k] = [densified(p, spacing) for p in components[k].paths]
-            chart = center_of(np.vstack([dense[i][0][:-1], dense[j][0][:-1]]))
-            (fine_a, a), (fine_b, b) = _valid_in(dense[i], chart), _valid_in(dense[j], chart)
-            if not (fine_a and fine_b):
-                raise Problem("ERROR", "INVALID_SHARED_TOPOLOGY", "The parts are invalid in a shared chart.")
-            if topology.interiors_overlap(a, b):
-                raise Problem("ERROR", "OVERLAPPING_MULTIPOLYGON_COMPONENTS", "Two parts overlap.")
+    out: list[Problem | None] = [None] * len(features)
+    members = [(f, c) for f, cs in enumerate(features) for c in cs]
+    if not members:
+        return out
+    flat = _Flat(members)
+    of = flat.segment_component()
+    reach = np.zeros(len(members))
+    np.maximum.at(reach, of, inverse(flat.center[of, 0], flat.center[of, 1], flat.start[:, 0], flat.start[:, 1])[0])
+    longest = np.zeros(len(members))
+    np.maximum.at(longest, of, flat.distance)
+    reach += longest / 2
+    sizes = np.array([len(cs) for cs in features])
+    begins = np.cumsum(sizes) - sizes
+    near: list[np.ndarray] = []
+    for f, n in enumerate(sizes.tolist()):
+        i, j = np.triu_indices(n, 1)
+        i, j = i + begins[f], j + begins[f]
+        apart = inverse(flat.center[i, 0], flat.center[i, 1], flat.center[j, 0], flat.center[j, 1])[0] if len(i) else np.zeros(0)
+        close = apart <= np.minimum(2 * limits.radius_m, reach[i] + reach[j] + 1.0)
+        near.append(np.column_stack([np.full(close.sum(), f), i[close], j[close]]))
+    pairs = np.vstack(near)
+    seg_begin = np.searchsorted(of, np.arange(len(members)), "left")
+    seg_count = np.searchsorted(of, np.arange(len(members)), "right") - seg_begin
+    weight = np.cumsum(np.bincount(of, weights=flat.pieces(spacing), minlength=len(members))[pairs[:, 1:]].sum(1)) if len(pairs) else np.zeros(0)
+    at = 0
+    while at < len(pairs):
+        end = max(at + 1, min(at + _CHUNK_PAIRS, int(np.searchsorted(weight, (weight[at - 1] if at else 0) + 4 * _CHUNK_VERTICES, "right"))))
+        _judge_pairs(flat, pairs[at:end], seg_begin, seg_count, spacing, out)
+        at = end
+    return out
+
+
+def _judge_pairs(flat: _Flat, pairs: np.ndarray, seg_begin: np.ndarray, seg_count: np.ndarray, spacing: float, out: list[Problem | None]) -> None:
+    """Set the problem of each feature's first bad pair (feature, part, part)."""
+    parts = pairs[:, 1:].ravel()  # two in a row for each pair
+    n = seg_count[parts]
+    whose = np.repeat(np.arange(len(parts)), n)
+    segs = np.repeat(seg_begin[parts] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    step, points = dense_segments(flat.start[segs], flat.end[segs], spacing)
+    whose, ring, edge = whose[step], flat.segment_path[segs[step]], segs[step]
+    # rings of one part that occurs twice are different rings
+    ring = whose * (int(flat.segment_path.max()) + 1) + ring
+    shell = flat.path_is_shell[flat.segment_path[edge]]
+    lon, lat = np.radians(points[shell]).T
+    sums = [np.bincount(whose[shell] // 2, weights=v, minlength=len(pairs)) for v in (np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat))]
+    lon0, lat0 = np.degrees(np.arctan2(sums[1], sums[0])), np.degrees(np.arctan2(sums[2], np.hypot(sums[0], sums[1])))
+    chart = whose // 2
+    head = np.concatenate(([True], ring[1:] != ring[:-1]))
+    first = flat.start[edge[head]]  # where each ring begins
+    x, y = equal_area(points[:, 0], points[:, 1], lon0[chart], lat0[chart])
+    fx, fy = equal_area(first[:, 0], first[:, 1], lon0[chart[head]], lat0[chart[head]])
+    px, py = np.concatenate(([0.0], x[:-1])), np.concatenate(([0.0], y[:-1]))
+    px[head], py[head] = fx, fy
+    flat_segments = np.column_stack([px, py, x, y])
+    valid = topology.valid_batch(flat_segments, np.cumsum(np.concatenate(([True], (edge[1:] != edge[:-1]) | head[1:]))), ring, whose, len(parts))
+    begin = np.flatnonzero(np.concatenate(([True], whose[1:] != whose[:-1])))
+    low, high = np.minimum.reduceat(flat_segments[:, 2:], begin), np.maximum.reduceat(flat_segments[:, 2:], begin)
+    meet = (low[::2] < high[1::2]).all(1) & (low[1::2] < high[::2]).all(1)
+    ends = np.append(begin, len(whose))
+
+    def rings(k: int) -> list[np.ndarray]:
+        own = slice(ends[k], ends[k + 1])
+        cuts = np.flatnonzero(head[own])[1:]
+        return [np.vstack([r[:1, :2], r[:, 2:]]) for r in np.split(flat_segments[own], cuts)]
+
+    for k, (f, _, _) in enumerate(pairs.tolist()):
+        if out[f] is not None:
+            continue
+        if not valid[2 * k : 2 * k + 2].all():
+            out[f] = Problem("ERROR", "INVALID_SHARED_TOPOLOGY", "The parts are invalid in a shared chart.")
+        elif meet[k] and topology.interiors_overlap(rings(2 * k), rings(2 * k + 1)):
+            out[f] = Problem("ERROR", "OVERLAPPING_MULTIPOLYGON_COMPONENTS", "Two parts overlap.")
 
 
 def _check_extents(features: list[_Feature], limits: Limits) -> None:
@@ -434,6 +490,8 @@ def _refine(features: list[_Feature], wkts: list[str | None], kinds: list[str],
         exhausted = active.work > limits.generated_work
         stable = (np.minimum.reduceat(active.streak, starts) >= 2) & (active.total_streak >= 2) & (level >= 2)
         results = {}
+        multi = [place for place in np.flatnonzero(stable & ~degenerate & ~exhausted).tolist() if kinds[active.index[place]] == "MultiPolygon"]
+        refused = dict(zip(multi, overlap_problems([features[active.index[p]].components for p in multi], spacing, limits), strict=True))
         for place in np.flatnonzero(degenerate | exhausted | stable).tolist():
             f = features[active.index[place]]
             f.work = int(active.work[place])
@@ -442,19 +500,17 @@ def _refine(features: list[_Feature], wkts: list[str | None], kinds: list[str],
                 results[place] = _failed("ERROR", "INVALID_GEOMETRY", "The projected geometry is invalid or degenerate.", int(worked[place] + counts[active.parts(place)][:upto].sum()))
             elif exhausted[place]:
                 results[place] = _failed("ERROR", "CUMULATIVE_COORDINATE_LIMIT", "The refinements have too many positions.", f.work)
+            elif refused.get(place) is not None:
+                why = refused[place]
+                results[place] = _failed(why.status, why.code, str(why), f.work)
             else:
                 own, i = active.parts(place), active.index[place]
-                results[place] = _measured(f, kinds[i], wkts[i], values[own], counts[own], level, spacing, limits)
+                results[place] = _measured(f, kinds[i], wkts[i], values[own], counts[own], level, spacing)
         active.settle(results)
     active.settle({place: _failed("ERROR", "NUMERICAL_CONVERGENCE_FAILED", "The measurement did not settle.", int(w)) for place, w in enumerate(active.work)})
 
 
-def _measured(f: _Feature, kind: str, wkt: str | None, values: np.ndarray, counts: np.ndarray, level: int, spacing: float, limits: Limits) -> dict:
-    if kind == "MultiPolygon":
-        try:
-            reject_overlaps(f.components, spacing, limits)
-        except Problem as why:
-            return _failed(why.status, why.code, str(why), f.work)
+def _measured(f: _Feature, kind: str, wkt: str | None, values: np.ndarray, counts: np.ndarray, level: int, spacing: float) -> dict:
     area = kind.endswith("Polygon")
     details = [
         {
