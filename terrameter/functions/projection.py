@@ -8,6 +8,7 @@ from __future__ import annotations
 import numpy as np
 
 from .geodesic import A, E2, F, inverse
+from .map_projections import latitude_of_conformal
 
 E = np.sqrt(E2)
 
@@ -66,16 +67,6 @@ def _series_coefficients() -> tuple[np.ndarray, float]:
 BETA, MERIDIAN = _series_coefficients()
 
 
-def _latitude_from_conformal(tau_c: np.ndarray) -> np.ndarray:
-    """Latitude (radians) from the tangent of the conformal latitude, by Newton's method."""
-    tau = tau_c / (1 - E2)
-    for _ in range(6):
-        s = np.sinh(E * np.arctanh(E * tau / np.hypot(1, tau)))
-        got = tau * np.hypot(1, s) - s * np.hypot(1, tau)
-        tau = tau + (tau_c - got) / np.hypot(1, got) * (1 + (1 - E2) * tau**2) / ((1 - E2) * np.hypot(1, tau))
-    return np.arctan(tau)
-
-
 def _conformal(phi: float) -> float:
     tau = np.tan(phi)
     s = np.sinh(E * np.arctanh(E * np.sin(phi)))
@@ -102,12 +93,12 @@ def transverse_mercator_inverse(x, y, lon0: float, lat0: float, k0: float, x0: f
         eta_c -= beta * np.cos(2 * k * xi) * np.sinh(2 * k * eta)
     tau_c = np.sin(xi_c) / np.hypot(np.sinh(eta_c), np.cos(xi_c))
     lon = lon0 + np.degrees(np.arctan2(np.sinh(eta_c), np.cos(xi_c)))
-    return (lon + 540.0) % 360.0 - 180.0, np.degrees(_latitude_from_conformal(tau_c))
+    return (lon + 540.0) % 360.0 - 180.0, np.degrees(latitude_of_conformal(tau_c, E2))
 
 
 def mercator_inverse(x, y, lon0: float, k0: float, x0: float, y0: float, sphere: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Longitudes and latitudes of Mercator coordinates; ``sphere``: the web map variant."""
     lon = lon0 + np.degrees((np.asarray(x, float) - x0) / (A * k0))
     t = np.sinh((np.asarray(y, float) - y0) / (A * k0))
-    lat = np.arctan(t) if sphere else _latitude_from_conformal(t)
+    lat = np.arctan(t) if sphere else latitude_of_conformal(t, E2)
     return (lon + 540.0) % 360.0 - 180.0, np.degrees(lat)

@@ -10,6 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from terrameter.functions import map_projections as maps
 from terrameter.functions import topology
 from terrameter.functions.crs import WGS84_WKT, CrsError, crs_from_wkt
 from terrameter.functions.geodesic import direct, inverse
@@ -82,6 +83,76 @@ def test_projected_line_is_the_geodesic_of_its_ends():
     assert status == "MEASURED" and abs(value - expected) < 1e-6 and abs(value - 5 / 0.9996) < 1e-3
 
 
+def dms(d, m, s=0.0):
+    return d + m / 60 + s / 3600
+
+
+def e2_of(inverse_flattening):
+    return (2 - 1 / inverse_flattening) / inverse_flattening
+
+
+CLARKE, EVEREST = e2_of(294.97870), e2_of(300.8017)
+# Published worked examples of the projections: function, projected position, constants, geographic position.
+EXAMPLES = [
+    (maps.conformal_conic, (2963503.91, 254759.80), (20925832.16, CLARKE, -99, dms(27, 50), dms(28, 23), dms(30, 17), 1.0, 2_000_000, 0), (-96.0, 28.5)),
+    (maps.conformal_conic, (255966.58, 142493.51), (6378206.4, CLARKE, -77, 18, 18, 18, 1.0, 250_000, 150_000), (-dms(76, 56, 37.26), dms(17, 55, 55.80))),
+    (maps.equal_area_conic, (1885472.7, 1535925.0), (6378206.4, 0.00676866, -96, 23, 29.5, 45.5, 0, 0), (-75.0, 35.0)),
+    (maps.azimuthal_equal_area, (3962799.45, 2999718.85), (6378137, e2_of(298.257222101), 10, 52, 4_321_000, 3_210_000), (5.0, 50.0)),
+    (maps.polar_stereographic, (3320416.75, 632668.43), (6378137, e2_of(298.257223563), 0, 1.0, None, 0.994, 2_000_000, 2_000_000), (44.0, 73.0)),
+    (maps.polar_stereographic, (7255380.79, 7053389.56), (6378137, e2_of(298.257223563), 70, -1.0, -71, 1.0, 6_000_000, 6_000_000), (120.0, -75.0)),
+    (maps.oblique_mercator, (679245.73, 596562.78), (6377298.556, EVEREST, 115, 4, dms(53, 18, 56.9537), dms(53, 7, 48.3685), 0.99984, 590476.87, 442857.65, True), (dms(115, 48, 19.8196), dms(5, 23, 14.1129))),
+    (maps.oblique_mercator, (679245.73, 596562.78), (6377298.556, EVEREST, 115, 4, dms(53, 18, 56.9537), dms(53, 7, 48.3685), 0.99984, 0, 0, False), (dms(115, 48, 19.8196), dms(5, 23, 14.1129))),
+    (maps.mercator, (165704.29, 5171848.07), (6378245, e2_of(298.3), 51, maps.scale_at(42, e2_of(298.3)), 0, 0), (53.0, 53.0)),
+]
+
+
+@pytest.mark.parametrize(("inverse_of", "position", "constants", "expected"), EXAMPLES)
+def test_published_projections(inverse_of, position, constants, expected):
+    lon, lat = inverse_of(*(np.array([v]) for v in position), *constants)
+    assert abs(lon[0] - expected[0]) < 2e-6 and abs(lat[0] - expected[1]) < 2e-6
+
+
+def projected(name, base=WGS84_WKT, **parameters):
+    return f'PROJCS["x",{base},PROJECTION["{name}"],' + ",".join(f'PARAMETER["{k}",{v}]' for k, v in parameters.items()) + ',UNIT["metre",1]]'
+
+
+ETRS = 'GEOGCS["ETRS89",DATUM["European_Terrestrial_Reference_System_1989",SPHEROID["GRS 1980",6378137,298.257222101]],PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433]]'
+
+
+@pytest.mark.parametrize(
+    "wkt",
+    [
+        projected("Lambert_Conformal_Conic_2SP", latitude_of_origin=46.5, central_meridian=3, standard_parallel_1=49, standard_parallel_2=44), projected("Lambert_Conformal_Conic", latitude_of_origin=46.5, central_meridian=3, standard_parallel_1=46.5),
+        projected("Lambert_Conformal_Conic_1SP", latitude_of_origin=46.5, central_meridian=3, scale_factor=0.9999), projected("Albers_Conic_Equal_Area", latitude_of_center=46, longitude_of_center=3, standard_parallel_1=43, standard_parallel_2=48),
+        projected("Lambert_Azimuthal_Equal_Area", ETRS, latitude_of_center=46, longitude_of_center=3), projected("Hotine_Oblique_Mercator_Azimuth_Center", latitude_of_center=46, longitude_of_center=3, azimuth=30, rectified_grid_angle=30, scale_factor=1),
+        projected("Mercator_2SP", standard_parallel_1=46, central_meridian=3), projected("Transverse_Mercator", ETRS, latitude_of_origin=46, central_meridian=3, scale_factor=1),
+    ],
+)
+def test_every_projection_has_a_local_scale_of_one(wkt):
+    """Near a projection's own origin a short line is about as long as its grid length; the equal-area ones keep areas."""
+    crs = crs_from_wkt(wkt)
+    x, y = (5_000.0, 8_000.0) if "Mercator_2SP" not in wkt else (5_000.0, 4_000_000.0)
+    lon, lat = crs.to_wgs84(np.array([x, x + 300, x + 300]), np.array([y, y, y + 300]))
+    assert abs(lon[0] - 3) < 1 and np.isfinite(lat).all()
+    sides = [float(inverse(lon[i], lat[i], lon[i + 1], lat[i + 1])[0]) for i in (0, 1)]
+    assert sides[0] * sides[1] == pytest.approx(90_000, rel=0.2 if "Mercator_2SP" in wkt else 0.004)
+    if "Equal" in wkt:
+        assert sides[0] * sides[1] == pytest.approx(90_000, rel=1e-4)
+    status, value, _ = measured(line((x, y), (x + 300, y + 300)), wkt)
+    assert status == "MEASURED" and value == pytest.approx(math.hypot(*sides), rel=2e-3)
+
+
+def test_crs_that_lack_or_hold_odd_parameters():
+    for wkt in (projected("Albers", central_meridian=3), projected("Hotine_Oblique_Mercator", latitude_of_center=4), projected("Lambert_Conformal_Conic", central_meridian=3, standard_parallel_1=40, rotation=5)):
+        with pytest.raises(CrsError) as why:
+            crs_from_wkt(wkt)
+        assert why.value.code == "CRS_TRANSFORMATION_UNAVAILABLE"
+    assert crs_from_wkt(projected("Mercator_Auxiliary_Sphere", Auxiliary_Sphere_Type=0)).method == "web_mercator"
+    assert measured(line((3, 50), (3, 51)), ETRS)[0] == "MEASURED"
+    with pytest.raises(CrsError):
+        crs_from_wkt(ETRS.replace("298.257222101", "298.3"))
+
+
 def test_survey_feet_and_wkt2():
     foot = 0.304800609601219
     feet = UTM.replace('UNIT["metre",1]', f'UNIT["US survey foot",{foot}]').replace('"false_easting",500000', f'"false_easting",{500000 / foot}')
