@@ -14,6 +14,7 @@ from ..functions import expr
 from ..model import ISSUE, POLICY, Limits
 from ..operators.measure import measurement
 from ..sources.files import HEADER_INDEX, read_features
+from .views import compact_work
 
 UNSUPPORTED_CODES = ["UNSUPPORTED_GEOMETRY", "UNSUPPORTED_SHAPE_TYPE"]
 
@@ -91,26 +92,32 @@ def measured(features: DataFrame, limits: Limits = Limits()) -> DataFrame:
     )
 
 
-_PAYLOADS = ["source_parts", "geometry", "properties", "metadata"]
+_PAYLOADS = {"source_parts": None, "geometry": None, "properties": "[]", "metadata": "{}"}
 
 
 def shrunk(features: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Features whose JSON is too large become errors and lose payloads, one at a time, until they fit."""
+    """Features whose JSON line is too large become errors without measurement, then lose payloads until they fit.
+
+    Of the provenance the policy and the work stay, as the work counts toward the file's budget.
+    """
     shown = [c for c in features.columns if c not in ("path", "format", "extra_work", "crs_wkt")]
-    empty = {"properties": "[]", "metadata": "{}"}
-    size = expr.json_size(F.struct(*shown))
-    rows = features.withColumn("output_bytes", size)
-    over = F.col("output_bytes") > limits.feature_json_bytes
-    left, dropped = F.col("output_bytes"), {}
-    for c in _PAYLOADS:
-        blank = F.lit(empty.get(c))
-        saved = F.coalesce(F.octet_length(F.to_json(F.struct(F.col(c).alias("x")))), F.lit(0))
-        dropped[c] = F.when(over & (left > limits.feature_json_bytes), blank).otherwise(F.col(c))
-        left = F.when(over & (left > limits.feature_json_bytes), left - saved).otherwise(left)
+    line = lambda of: expr.json_size(F.struct(*[of.get(c, F.col(c)).alias(c) for c in shown])) + 1
     problem = F.array(expr.issue("FEATURE_OUTPUT_LIMIT", "The feature's record is too large.", "error"))
-    out = rows.withColumns({**dropped, "issues": F.when(over, F.concat("issues", problem)).otherwise(F.col("issues")), "measurement_status": F.when(over, "ERROR").otherwise(F.col("measurement_status"))})
-    blank_when = lambda c: F.when(~over, F.col(c))
-    return out.withColumns({"area_m2": blank_when("area_m2"), "length_m": blank_when("length_m"), "provenance": blank_when("provenance"), "output_bytes": left, "over_limit": left > limits.feature_json_bytes})
+    plain = {
+        "measurement_status": F.lit("ERROR"), "area_m2": F.lit(None).cast("double"), "length_m": F.lit(None).cast("double"), "provenance": compact_work(F.col("provenance")),
+        "issues": expr.with_severity(expr.truncated_issues(F.concat("issues", problem), limits), F.lit("ERROR")),
+    }
+    rows = features.withColumn("output_bytes", line({}))
+    over = F.col("output_bytes") > limits.feature_json_bytes
+    rows = rows.withColumn("_left", F.when(over, line(plain)))
+    left, dropped = F.col("_left"), {}
+    for c, blank in _PAYLOADS.items():
+        size = lambda v: expr.json_size(F.struct(v.alias("x")))
+        too_much = over & (left > limits.feature_json_bytes)
+        dropped[c] = F.when(too_much, F.lit(blank)).otherwise(F.col(c))
+        left = F.when(too_much, left - size(F.col(c)) + size(F.lit(blank).cast("string"))).otherwise(left)
+    out = rows.withColumns({**dropped, **{c: F.when(over, v).otherwise(F.col(c)) for c, v in plain.items()}, "output_bytes": F.when(over, left).otherwise(F.col("output_bytes"))})
+    return out.withColumn("over_limit", F.col("output_bytes") > limits.feature_json_bytes).drop("_left")
 
 
 def with_running_budgets(features: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -119,7 +126,7 @@ def with_running_budgets(features: DataFrame, limits: Limits = Limits()) -> Data
     counter = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0))
     final = counter("provenance.generated_coordinates_final")
     work = counter("provenance.generated_coordinates_total") + counter("extra_work")
-    rows = features.withColumns({"run_final": F.sum(final).over(order), "run_work": F.sum(work).over(order), "run_bytes": F.sum(F.col("output_bytes") + 1).over(order)})
+    rows = features.withColumns({"run_final": F.sum(final).over(order), "run_work": F.sum(work).over(order), "run_bytes": F.sum("output_bytes").over(order)})
     return rows.withColumn(
         "breach",
         F.when((F.col("run_final") > limits.generated_file_coordinates) | (F.col("run_work") > limits.generated_work), "GENERATED_COORDINATE_LIMIT").when(F.col("over_limit"), "FEATURE_OUTPUT_LIMIT").when(F.col("run_bytes") > limits.output_bytes, "CHILD_OUTPUT_LIMIT"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..model import ISSUE, PROVENANCE, Limits
+from ..model import ISSUE, POLICY, PROVENANCE, Limits
 
 
 def links(file_id: Column) -> Column:
@@ -34,7 +34,8 @@ def feature_summary(measurement: list[Column]) -> list[Column]:
 
 def compact_work(provenance: Column) -> Column:
     """What stays of the provenance of a feature that is not measured: the policy and the total work."""
-    return F.struct(provenance["policy"].alias("policy"), provenance["generated_coordinates_total"].alias("generated_coordinates_total"))
+    kept = {"policy": F.coalesce(provenance["policy"], F.lit(POLICY)), "generated_coordinates_total": F.nullif(F.greatest(provenance["generated_coordinates_total"], F.lit(0)), F.lit(0))}
+    return F.when(provenance.isNotNull(), F.struct(*[kept.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in PROVENANCE]))
 
 
 def error_body(code: Column, message: Column, details: Column, request_id: Column) -> Column:

@@ -69,6 +69,12 @@ def test_budgets_fail_the_file(spark, tmp_path):
 def test_large_records_shrink_in_order(spark, tmp_path):
     text = "v" * 3000
     (tmp_path / "x.kml").write_bytes(kml(place(f"<description>{text}</description><ExtendedData><Data name='a'><value>{text}</value></Data></ExtendedData>" + polygon())))
+    (whole,) = process_files(scan_files(spark, str(tmp_path)))[1].collect()
+    (less,) = process_files(scan_files(spark, str(tmp_path)), Limits(feature_json_bytes=7200))[1].collect()
+    assert less["measurement_status"] == "ERROR" and less["geometry"] == whole["geometry"] and less["properties"] == whole["properties"]  # without its measurement it fits
+    assert less["provenance"]["generated_coordinates_total"] == whole["provenance"]["generated_coordinates_total"] and less["provenance"]["components"] is None
+    manifests, _ = process_files(scan_files(spark, str(tmp_path)), Limits(feature_json_bytes=7200, generated_work=whole["provenance"]["generated_coordinates_total"] - 1))
+    assert manifests.first()["status"] == "COMPLETED" or manifests.first()["failure_code"] == "GENERATED_COORDINATE_LIMIT"
     (row,) = process_files(scan_files(spark, str(tmp_path)), Limits(feature_json_bytes=4500))[1].collect()
     assert row["measurement_status"] == "ERROR" and row["issues"][-1]["code"] == "FEATURE_OUTPUT_LIMIT"
     assert row["geometry"] is None and row["properties"] == "[]" and text in row["metadata"] and row["area_m2"] is None
