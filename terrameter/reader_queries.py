@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import adapters as a
 from . import file_adapters as fa
-from .model import Limits
-from .plans.dataset import process_files
+from .functions.crs import WGS84_WKT, crs_from_wkt
+from .functions.geodesic import E2, A
+from .model import ISSUE, PROVENANCE, Limits
+from .operators.measure import measure_features
+from .plans.dataset import process_files, shrunk, status_counts
 from .plans.scratch import scratch
-from .plans.store import Store, write_feature_lines
+from .plans.store import Store, StoreError, measurement_payload, write_feature_lines
 from .queries import query
-from .sources.jsonl import file_problems, protocol_problem, read_feature_lines
+from .sources.jsonl import file_problems, protocol_problem, read_feature_lines, read_manifest, write_manifest
 
 _COUNTS = ["feature_count", "measured_count", "not_applicable_count", "unsupported_count", "error_count"]
 
@@ -106,8 +113,6 @@ def _published(spark: SparkSession, sf_dir: str) -> Store:
 @query(f"SELECT file, feature_index, status, kind, components FROM ({_KML_SHOWN}) WHERE file <> 1")
 def published_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features read back from the published tables, less those of a deleted file."""
-    from .plans.store import measurement_payload
-
     rows = _published(spark, sf_dir).features().select("file_id", "feature_index", *measurement_payload())
     return rows.select(F.col("file_id").cast("long").alias("file"), F.col("feature_index").cast("long").alias("feature_index"), "status", "kind", F.col("component_count").alias("components"))
 
@@ -171,3 +176,143 @@ def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = {"feature_count": sum(by.values()), **{f"{s.lower()}_count": by.get(s, 0) for s in ("MEASURED", "NOT_APPLICABLE", "UNSUPPORTED", "ERROR")}}
     problem = protocol_problem(back, manifest).select(F.col("problem").alias("protocol"))
     return back.join(problem).select("user_id", "feature_index", "event_id", "measurement_status", F.round(F.coalesce("area_m2", "length_m"), 6).alias("value"), "protocol")
+
+
+@query(f"SELECT status, count(*)::BIGINT AS features, count(DISTINCT file)::BIGINT AS files FROM ({_KML_SHOWN}) WHERE file <> 1 GROUP BY status")
+def table_ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published tables through the statements that create them in a catalog."""
+    from .plans.views import create_table_statements
+
+    store = _published(spark, sf_dir)
+    database = f"terrameter_{store.root.rsplit('-', 1)[1]}"
+    spark.sql(f"CREATE DATABASE {database}")
+    for statement in create_table_statements(database, store.root):
+        spark.sql(statement)
+    spark.sql(f"MSCK REPAIR TABLE {database}.features")
+    visible = spark.table(f"{database}.files").where("id <> '1'").select(F.col("id").alias("file_id"))  # a catalog's tables still hold what is only hidden
+    rows = spark.table(f"{database}.features").join(visible, "file_id", "left_semi")
+    return rows.groupBy(F.col("measurement_status").alias("status")).agg(F.count("*").alias("features"), F.count_distinct("file_id").alias("files"))
+
+
+@query(f"""SELECT request, outcome, status FROM (VALUES (1, 'FILE_NOT_FOUND', 404), (2, 'FILE_NOT_FOUND', 404), (3, 'FEATURE_NOT_FOUND', 404), (4, 'REQUEST_VALIDATION_ERROR', 404), (5, 'INVALID_CURSOR', 422), (6, 'ValueError', 422), (7, 'ValueError', 422)) AS v(request, outcome, status)
+  UNION ALL SELECT 8, 'p' || min(key), 200 FROM {fa.KML_SQL} WHERE file = 0""")
+def lookup_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point lookups and pages asked for badly, and one that is found (a fixed list of requests is the feature)."""
+    store = _published(spark, sf_dir)
+    asked = [
+        lambda: store.require("nothing"), lambda: store.measurement_page("1"), lambda: store.feature("0", 1_000_000), lambda: store.feature("0", -1), lambda: store.list_files(5, "!"), lambda: store.list_files(101),
+        lambda: store.feature_page("0", 50, -1), lambda: store.feature("0", 0),
+    ]
+    rows = []
+    for i, ask in enumerate(asked, 1):
+        try:
+            rows.append((i, ask()["source_id"], 200))
+        except StoreError as why:
+            rows.append((i, why.code, why.http_status))
+        except ValueError:
+            rows.append((i, "ValueError", 422))
+    return spark.createDataFrame(rows, "request int, outcome string, status int")
+
+
+@query(f"SELECT * FROM ({fa.ODD_KML_SQL}) WHERE code IS DISTINCT FROM 'UNSUPPORTED_FORMAT' AND code IS DISTINCT FROM 'INVALID_DATASET'")
+def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that arrive in a folder, published by the stream 13 at a time; other formats and files without a byte leave no row."""
+    from .streaming.ingest import start_ingest
+
+    root = scratch(spark)
+    arrive(fa.odd_kml_files(spark, sf_dir), f"{root}/inbox")
+    store = Store(spark, f"{root}/store")
+    start_ingest(spark, f"{root}/inbox", store, f"{root}/checkpoint", files_per_batch=13).awaitTermination()
+    return store.files().select(F.regexp_extract("filename", r"^(\d+)", 1).cast("long").alias("n_nationkey"), F.col("failure_code").alias("code"), "status", "http_status")
+
+
+def arrive(files: DataFrame, folder: str) -> None:
+    """Write each row's content to a file of its own below ``folder``: as many as there are nations, one at a time."""
+    spark = files.sparkSession
+    for r in files.select("path", "content").toLocalIterator():
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{r['path'].rsplit('/', 1)[1]}")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+        out.write(bytearray(r["content"]))
+        out.close()
+
+
+@query("""SELECT key, l1 > 0 AS kept_parts, l2 > 0 AS kept_geometry, l3 > 0 AS kept_properties, l4 > 0 AS kept_metadata, total > 8000 AS shrunk, CASE WHEN total > 8000 THEN 'ERROR' ELSE 'MEASURED' END AS status FROM (
+  SELECT key, total, CASE WHEN total > 8000 THEN 0 ELSE 1 END AS l1, CASE WHEN total - a > 8000 THEN 0 ELSE 1 END AS l2, CASE WHEN total - a - b > 8000 THEN 0 ELSE 1 END AS l3, CASE WHEN total - a - b - c > 8000 THEN 0 ELSE 1 END AS l4 FROM (
+  SELECT *, a + b + c + d AS total FROM (SELECT p_partkey AS key, 2000 * (p_partkey % 6) AS a, 2000 * (p_partkey % 5) AS b, 2000 * (p_partkey % 7) AS c, 1000 * (p_partkey % 3) AS d FROM part)))""")
+def shrunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with payloads of known sizes, shrunk in order to a limit of 8000 and what a record has beside them."""
+    x = lambda n: F.repeat(F.lit("x"), n)
+    k = F.col("key")
+    rows = a.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"))
+    rows = rows.select(
+        F.col("key"), F.lit("p").alias("path"), k.cast("int").alias("feature_index"), x((k % 6 * 2000).cast("int")).alias("source_parts"), x((k % 5 * 2000).cast("int")).alias("geometry"), x((k % 7 * 2000).cast("int")).alias("properties"),
+        x((k % 3 * 1000).cast("int")).alias("metadata"), F.lit("MEASURED").alias("measurement_status"), F.lit(1.0).alias("area_m2"), F.lit(None).cast("double").alias("length_m"),
+        F.from_json(F.lit('{"policy":"local-geodesic-v1","generated_coordinates_total":7}'), PROVENANCE).alias("provenance"), F.array().cast(f"array<{ISSUE.simpleString()}>").alias("issues"),
+    )
+    found = shrunk(rows, Limits(feature_json_bytes=8900))
+    dropped = {c: F.col(c).isNull() if c in ("source_parts", "geometry") else F.col(c).isin("[]", "{}") for c in ("source_parts", "geometry", "properties", "metadata")}
+    names = {"source_parts": "kept_parts", "geometry": "kept_geometry", "properties": "kept_properties", "metadata": "kept_metadata"}
+    return found.select("key", *[(~dropped[c]).alias(n) for c, n in names.items()], F.exists("issues", lambda i: i["code"] == "FEATURE_OUTPUT_LIMIT").alias("shrunk"), F.col("measurement_status").alias("status"))
+
+
+_LINE_REACH = "(0.02 + 2.6 * (c_custkey % 100) / 100)"  # degrees along a meridian: up to 290 km
+
+
+@query(f"""SELECT key, CASE WHEN reach < 1.8 THEN 'MEASURED' ELSE 'UNSUPPORTED' END AS status, CASE WHEN reach >= 1.8 THEN 'COMPONENT_EXTENT_EXCEEDED' END AS code, CASE WHEN reach < 1.8 THEN round(lat + reach / 2, 6) END AS center_lat,
+  CASE WHEN reach < 1.8 THEN 2 END AS refinements, CASE WHEN reach < 1.8 THEN 125.0::DOUBLE END AS spacing, CASE WHEN reach < 1.8 THEN '+proj=aeqd' END AS projection, CASE WHEN reach < 1.8 THEN 'wgs84_shortest_geodesic projected_geodesic_densification' END AS method
+  FROM (SELECT c_custkey AS key, {_LINE_REACH}::DOUBLE AS reach, ((c_custkey * 104729) % 140001 - 70000) / 1000::DOUBLE AS lat FROM customer)""")
+def extent_and_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines along meridians to either side of the radius limit, with centre, refinement and method of the measured ones."""
+    rows = a.table(spark, sf_dir, "customer").selectExpr("c_custkey AS key", f"cast({_LINE_REACH} AS double) AS reach", "((c_custkey * 104729) % 140001 - 70000) / cast(1000 AS double) AS lat", "((c_custkey * 7919) % 360000 - 180000) / cast(1000 AS double) AS lon")
+    geometry = F.to_json(F.struct(F.lit("LineString").alias("type"), F.array(F.array("lon", "lat"), F.array("lon", F.col("lat") + F.col("reach"))).alias("coordinates")))
+    found = measure_features(rows.select("key", geometry.alias("geometry"), F.lit(WGS84_WKT).alias("crs_wkt")))
+    part = F.get("provenance.components", F.lit(0))
+    return found.select(
+        "key", F.col("measurement_status").alias("status"), F.get("measurement_issues", F.lit(0))["code"].alias("code"), F.round(part["center"]["latitude"], 6).alias("center_lat"), part["refinements"].alias("refinements"),
+        part["maximum_segment_m"].alias("spacing"), F.split(part["projection"], " ")[0].alias("projection"), F.when(part.isNotNull(), F.concat_ws(" ", "provenance.edge_model", "provenance.method")).alias("method"),
+    )
+
+
+def _projected_wkt(name: str, **parameters: float) -> str:
+    return f'PROJCS["x",{WGS84_WKT},PROJECTION["{name}"],' + ",".join(f'PARAMETER["{k}",{v}]' for k, v in parameters.items()) + ',UNIT["metre",1]]'
+
+
+@query(f"SELECT kind, key, key % 4 AS crs, round(lon, 7) AS lon, round(CASE WHEN key % 4 = 3 THEN abs(lat) ELSE lat END, 7) AS lat FROM {a.POINTS_SQL}")
+def crs_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points projected by closed formulas in four systems, and brought back by the engine from their WKT."""
+    e = E2**0.5
+    lon, lat = F.col("lon"), F.when(F.col("key") % 4 == 3, F.abs("lat")).otherwise(F.col("lat"))
+    phi, lam = F.radians(lat), F.radians(lon)
+    psi = F.asinh(F.tan(phi)) - e * F.atanh(e * F.sin(phi))  # isometric latitude
+    n, half = 0.5, F.exp(-0.5 * psi)  # a cone that touches 30 degrees north
+    m, t = math.cos(math.pi / 6) / math.sqrt(1 - E2 / 4), math.exp(-0.5 * (math.asinh(math.tan(math.pi / 6)) - e * math.atanh(e / 2)))
+    rho = A * m / (n * t) * half
+    polar = 2 * A * 0.994 / math.sqrt((1 + e) ** (1 + e) * (1 - e) ** (1 - e)) * F.exp(-psi)
+    systems = [
+        (_projected_wkt("Mercator_Auxiliary_Sphere", central_meridian=0), A * lam, A * F.asinh(F.tan(phi))), (_projected_wkt("Mercator_1SP", central_meridian=0, scale_factor=0.9, false_easting=1000), 0.9 * A * lam + 1000, 0.9 * A * psi),
+        (_projected_wkt("Lambert_Conformal_Conic_1SP", latitude_of_origin=30, central_meridian=0, scale_factor=1), rho * F.sin(n * lam), A * m / n - rho * F.cos(n * lam)),
+        (_projected_wkt("Polar_Stereographic", latitude_of_origin=90, central_meridian=0, scale_factor=0.994), polar * F.sin(lam), -polar * F.cos(lam)),
+    ]
+    pick = lambda i: F.coalesce(*[F.when(F.col("key") % 4 == k, s[i] if i else F.lit(s[0])) for k, s in enumerate(systems)])
+
+    @F.pandas_udf("struct<lon: double, lat: double>")
+    def back(wkt: pd.Series, x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        out = np.empty((len(wkt), 2))
+        for text, at in wkt.groupby(wkt).groups.items():
+            place = wkt.index.get_indexer(at)
+            out[place] = np.column_stack(crs_from_wkt(text).to_wgs84(x.to_numpy()[place], y.to_numpy()[place]))
+        return pd.DataFrame(out, columns=["lon", "lat"])
+
+    rows = a.points(spark, sf_dir).select("kind", "key", back(pick(0), pick(1), pick(2)).alias("p"))
+    east = F.when(F.abs(F.abs("p.lon") - 180) < 1e-9, -180.0).otherwise(F.col("p.lon"))
+    return rows.select("kind", "key", (F.col("key") % 4).alias("crs"), F.round(east, 7).alias("lon"), F.round("p.lat", 7).alias("lat"))
+
+
+@query(f"SELECT count(*)::BIGINT AS feature_count, count(*) FILTER (measurement_status = 'MEASURED')::BIGINT AS measured_count, count(*) FILTER (measurement_status = 'ERROR')::BIGINT AS error_count, 'COMPLETED' AS status FROM {a.FEATURES_SQL}")
+def manifest_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all events as one dataset, written and read back strictly."""
+    counts = a.features(spark, sf_dir).agg(F.count("*").alias("feature_count"), *status_counts())
+    path = scratch(spark)
+    write_manifest(counts.withColumns({"status": F.lit("COMPLETED"), "failure": F.lit(None).cast("string")}), path)
+    found = read_manifest(spark, path)
+    return spark.createDataFrame([(found["feature_count"], found["measured_count"], found["error_count"], found["status"])], "feature_count long, measured_count long, error_count long, status string")
