@@ -94,7 +94,7 @@ class Store:
         """Append features, then the files rows; ``ids``: path, id, filename, upload_size, sha256, created_at.
 
         An identical second run adds rows with new ids only; features that were written without their
-        file stay invisible.
+        file stay invisible.  Give ``process_files`` a staging folder: both frames are read twice here.
         """
         run = uuid.uuid4().hex
         promised = manifests.agg(F.sum("feature_count")).first()[0] or 0

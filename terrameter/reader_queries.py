@@ -185,7 +185,7 @@ def table_ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     store = _published(spark, sf_dir)
     database = f"terrameter_{store.root.rsplit('-', 1)[1]}"
-    spark.sql(f"CREATE DATABASE {database}")
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{store.root}/catalog'")
     for statement in create_table_statements(database, store.root):
         spark.sql(statement)
     spark.sql(f"MSCK REPAIR TABLE {database}.features")

@@ -103,30 +103,40 @@ def strict_problem(line: Column, limits: Limits = Limits()) -> Column:
     )
 
 
+def _files(spark: SparkSession, path: str, limits: Limits) -> DataFrame:
+    """(file, lines, file_problem) of every file that has a byte; files beyond the limit are never read.
+
+    A file is bounded, so one task splits it: its rows, its last line's end and its size are known
+    without moving a line.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    fine = files.where(F.col("length") <= limits.output_bytes).select(F.col("path").alias("file"), F.split(F.col("content").cast("string"), "\n", -1).alias("parts"))
+    ended = F.element_at("parts", -1) == ""
+    lines = F.when(ended, F.slice("parts", F.lit(1), F.size("parts") - 1)).otherwise(F.col("parts"))
+    fine = fine.select("file", lines.alias("lines"), ended.alias("ended"))
+    fine = fine.select("file", "lines", F.when(F.size("lines") > limits.features, "too_many_rows").when(~F.col("ended"), "truncated").alias("file_problem"))
+    large = files.where(F.col("length") > limits.output_bytes).select(F.col("path").alias("file"), F.lit(None).cast("array<string>").alias("lines"), F.lit("too_large").alias("file_problem"))
+    return fine.unionByName(large)
+
+
 def read_feature_lines(spark: SparkSession, path: str, schema: str, limits: Limits = Limits()) -> DataFrame:
     """Parsed features of JSON Lines files with ``problem``; rows keep their own feature_index.
 
-    A problem of a whole file (see ``file_problems``) is that of each of its rows.
+    A problem of a whole file (see ``file_problems``) is that of each of its rows; a file that is too
+    large to be read has one row.
     """
-    lines = _lines(spark, path)
-    files = file_problems(spark, path, limits).where("file_problem is not null")
-    rows = lines.join(files, "file", "left").withColumn("problem", F.coalesce("file_problem", strict_problem(F.col("value"), limits)))
+    rows = _files(spark, path, limits).select("file_problem", F.explode_outer("lines").alias("value"))
+    rows = rows.withColumn("problem", F.coalesce("file_problem", strict_problem(F.col("value"), limits)))
     return rows.select("problem", F.when(F.col("problem").isNull(), F.from_json("value", schema)).alias("feature")).select("problem", "feature.*")
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), "value")
-
-
 def file_problems(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
-    """(file, rows, file_problem) of every file with a line.
+    """(file, rows, file_problem) of every file that has a byte.
 
-    too_large: beyond the limit in bytes; too_many_rows; truncated: the last line has no end.  Lines
-    and their ends add up to the file's size only if the last one has one.
+    too_large: beyond the limit in bytes (and its rows unknown); too_many_rows; truncated: the last
+    line has no end.
     """
-    seen = _lines(spark, path).groupBy("file").agg(F.first("size").alias("size"), F.count("*").alias("rows"), F.sum(F.octet_length("value") + 1).alias("ended"))
-    problem = F.when(F.col("size") > limits.output_bytes, "too_large").when(F.col("rows") > limits.features, "too_many_rows").when(F.col("ended") != F.col("size"), "truncated")
-    return seen.select("file", "rows", problem.alias("file_problem"))
+    return _files(spark, path, limits).select("file", F.when(F.col("lines").isNotNull(), F.size("lines")).cast("long").alias("rows"), "file_problem")
 
 
 def protocol_problem(features: DataFrame, manifest: dict) -> DataFrame:
