@@ -190,7 +190,8 @@ def marked_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def forest_links(classes: DataFrame, n: int, threshold: float, limits: Limits = Limits(), seed: int = 7) -> DataFrame:
     """(a, b): verified links between classes (cid, h1, h2, vec) that keep what the forest found together.
 
-    Vectors of different lengths are in different dimensions and are not compared.
+    Vectors of different lengths are in different dimensions and are not compared; each length that
+    occurs is dealt by itself, one after the other.
     """
     spark = classes.sparkSession
     dims = [r[0] for r in classes.select(F.size("vec").alias("d")).distinct().collect()]

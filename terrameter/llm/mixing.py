@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import drop, written
 from .text import count_chars, n_words
 
 BUCKETS = 4096
@@ -94,12 +94,16 @@ def source_plan(rows: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int =
         return written(found.select(*names, F.coalesce("end.before", "before").alias("before"), *[F.col(f"end.{c}").alias(c) for c in ("lo", "hi", "n")]))
 
     plan = narrowed(plan, buckets)
+    drop(buckets)
     while not (wide := plan.where((F.col("n") > fine) & (F.col("lo") < F.col("hi")))).isEmpty():
         inner = rows.join(wide.select("_of", "lo", "hi"), F.col("_source").eqNullSafe(F.col("_of"))).where("_size > 0 AND _key BETWEEN lo AND hi")
         part = F.least(F.floor((F.col("_key") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS), F.lit(BUCKETS - 1))
         inner = inner.withColumn("_part", part).select("_source", "_size", "_key", "_part")
         rest = plan.where(~((F.col("n") > fine) & (F.col("lo") < F.col("hi"))) | F.col("n").isNull())
-        plan = written(rest.unionByName(narrowed(wide.select(*names, "before"), _ends(inner, F.col("_part")))))
+        before, parts = plan, narrowed(wide.select(*names, "before"), _ends(inner, F.col("_part")))
+        plan = written(rest.unionByName(parts))
+        drop(before)
+        drop(parts)
     return plan
 
 
