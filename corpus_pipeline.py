@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from terrameter.llm import language_id, mixing, secret_scan
 from terrameter.llm.sentencepiece_codec import encode_documents
 from terrameter.llm.simhash import simhash_groups
-from terrameter.llm.store import written
+from terrameter.llm.store import drop, written
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-#: SQL expresses neither the mixture inference nor the forest; the tests compare with a plain version.
+#: SQL expresses neither the mixture inference nor the forest; a test compares run() with a version that takes one document at a time.
 ORACLE_SQL = None
 
 
@@ -84,7 +84,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs)
+            drop(before)  # its only reader is done; the input itself is no written table and stays
     return docs
