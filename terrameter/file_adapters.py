@@ -23,6 +23,8 @@ KML_NAMESPACE = "http://www.opengis.net/kml/2.2"
 
 
 def _with_content(rows: DataFrame) -> DataFrame:
+    """Files spread over as many tasks as shuffles have; what makes them is small, and reading them is not."""
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
     return rows.select("path", F.length("content").cast("long").alias("length"), "content", "format")
 
 

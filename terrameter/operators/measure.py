@@ -306,11 +306,6 @@ def dense_segments(start: np.ndarray, end: np.ndarray, spacing: float) -> tuple[
     return seg, np.column_stack([np.where(last, end[seg, 0], lon), np.where(last, end[seg, 1], lat)])
 
 
-def densified(path: np.ndarray, spacing: float) -> np.ndarray:
-    """A path with points along its geodesic segments, at most ``spacing`` metres apart."""
-    return np.vstack([path[:1], dense_segments(path[:-1], path[1:], spacing)[1]])
-
-
 _CHUNK_PAIRS = 4096
 
 

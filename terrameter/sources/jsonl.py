@@ -72,10 +72,18 @@ def problem_of(line: str | None, limits: Limits = Limits()) -> str | None:
     return "too_many_values" if nesting(value)[1] > limits.json_values else None
 
 
+def _brackets(levels: int) -> str:
+    """Pattern of a pair of brackets that holds nothing but pairs, ``levels`` deep at most."""
+    inner = ""
+    for _ in range(levels):
+        inner = rf"[\[{{](?:{inner})*+[\]}}]" if inner else r"[\[{][\]}]"
+    return inner
+
+
 def strict_problem(line: Column, limits: Limits = Limits()) -> Column:
     """Column form of ``problem_of``, inside the JVM.
 
-    Pairs of brackets without strings are taken out once for each allowed level; the variant parser
+    Pairs of brackets without strings are taken out, eight levels at a time; the variant parser
     refuses repeated keys and non-finite numbers.  Commas and openings bound the number of values; only
     lines that may hold too many are counted in Python.
     """
@@ -86,21 +94,16 @@ def strict_problem(line: Column, limits: Limits = Limits()) -> Column:
 
     structure = F.regexp_replace(line, f"(?s){_STRING}", "")
     left = F.regexp_replace(structure, r"[^\[\]{}]", "")
-    for _ in range(limits.json_depth):
-        left = F.regexp_replace(left, r"[\[{][\]}]", "")
-    deep = left.rlike(r"[\[{][\]}]") | (F.length(F.regexp_replace(left, r"[^\[{]", "")) > limits.json_depth)
+    for levels in [8] * (limits.json_depth // 8) + [limits.json_depth % 8]:
+        left = F.regexp_replace(left, _brackets(levels), "") if levels else left
+    openings = F.length(F.regexp_replace(structure, r"[^\[{]", ""))  # without more of them than levels no line is deep
+    deep = (openings > limits.json_depth) & left.rlike(rf"[\[{{][\]}}]|(?:[\[{{][^\[{{]*){{{limits.json_depth + 1}}}")
     many = F.length(F.regexp_replace(structure, r"[^,\[{]", "")) >= limits.json_values
-    parsed = F.try_parse_json(line)
     blank = F.coalesce(F.trim(line), F.lit("")) == ""
     long = F.octet_length(line) > limits.feature_json_bytes
-    return (
-        F.when(blank, "blank")
-        .when(long, "too_long")
-        .when(deep, "too_deep")
-        .when(parsed.isNull(), "malformed")
-        .when(~F.schema_of_variant(parsed).startswith("OBJECT"), "no_object")
-        .otherwise(check(F.when(many & ~blank & ~long, line)))
-    )
+    counted = check(F.when(many & ~blank & ~long, line))
+    kind = F.transform(F.array(F.schema_of_variant(F.try_parse_json(line))), lambda k: F.when(k.isNull(), "malformed").when(~k.startswith("OBJECT"), "no_object"))  # parsed once
+    return F.when(blank, "blank").when(long, "too_long").when(deep, "too_deep").otherwise(F.coalesce(kind[0], counted))
 
 
 def _files(spark: SparkSession, path: str, limits: Limits) -> DataFrame:
