@@ -258,12 +258,17 @@ def polygon_area(spark: SparkSession, sf_dir: str) -> DataFrame:
        CASE WHEN distinct_vertices < 2 THEN 'DEGENERATE_LINE' WHEN outside THEN 'INVALID_WGS84_COORDINATE' END AS code FROM {_LINES_SQL}""")
 def line_measurement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all orders through the projected kernel, less their lengths by plain geodesic steps (parts in 100,000)."""
+    found = _measured_lines(spark, sf_dir)
+    off = F.round(F.abs(F.col("length_m") - F.col("plain_m")) / F.greatest("plain_m", F.lit(1.0)), 5)
+    return found.select("key", "measurement_status", off.alias("off_by"), F.get("measurement_issues", F.lit(0))["code"].alias("code"))
+
+
+def _measured_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's line measured by the kernel, with plain_m, its length by plain geodesic steps."""
     lines = a.vertices(spark, sf_dir).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("v", "lon", "lat"))).alias("p"))
     points = F.transform("p", lambda p: F.array(p["lon"], p["lat"]))
     rows = lines.select("key", F.to_json(F.struct(F.lit("LineString").alias("type"), points.alias("coordinates"))).alias("geometry"), F.lit(WGS84_WKT).alias("crs_wkt"))
-    found = measure_features(rows).join(_lines(spark, sf_dir).select("key", F.col("length_m").alias("plain_m")), "key")
-    off = F.round(F.abs(F.col("length_m") - F.col("plain_m")) / F.greatest("plain_m", F.lit(1.0)), 5)
-    return found.select("key", "measurement_status", off.alias("off_by"), F.get("measurement_issues", F.lit(0))["code"].alias("code"))
+    return measure_features(rows).join(_lines(spark, sf_dir).select("key", F.col("length_m").alias("plain_m")), "key")
 
 
 @query(f"""SELECT key, CASE WHEN code IS NULL THEN 'MEASURED' ELSE 'ERROR' END AS status, code FROM (SELECT key, CASE WHEN key % 17 = 0 THEN 'INVALID_RING' WHEN x0 < -180 OR round(x1 + round((key % 4) * half, 9), 9) > 180 THEN 'INVALID_WGS84_COORDINATE'
