@@ -152,11 +152,11 @@ def mix_report(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3
 
 SQL = r"""
 WITH base AS (
-  SELECT doc_id, source, coalesce(len([x for x in regexp_split_to_array(text, '[\x20\x09-\x0D]+') if x <> '']), 0)::BIGINT AS size,
+  SELECT doc_id, source, coalesce(doc_id::VARCHAR, md5(text), '') AS name, coalesce(len([x for x in regexp_split_to_array(text, '[\x20\x09-\x0D]+') if x <> '']), 0)::BIGINT AS size,
          coalesce(length(text) - length(translate(text, '#*$%&|<>', '')), 0) AS symbols
   FROM documents),
 k AS (
-  SELECT *, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, md5(text), '') || ':17'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
+  SELECT *, -ln((('0x' || substr(md5(name || ':17'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
             / greatest(0.1::DOUBLE, 1.0::DOUBLE - symbols::DOUBLE / greatest(size, 1)) AS key FROM base),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS w FROM k GROUP BY source),

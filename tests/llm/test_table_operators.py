@@ -55,6 +55,29 @@ def test_op1_targets(spark, odd_docs, no_docs, sf_dir):
     assert mixing.mix_sources(no_docs).count() == 0
 
 
+def test_sql_of_operators_matches(spark, sf_dir):
+    """The registered SQL on another engine; for op1 also with null ids, texts and sources."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    near = lambda rows, names: sorted(repr([float(f"{r[i]:.9g}") if isinstance(r[i], float) else r[i] for i in sorted(range(len(names)), key=names.__getitem__)]) for r in rows)
+    for name, sql in q.oracle_sql().items():
+        got, want = q.queries()[name](spark, sf_dir), con.execute(sql)
+        names = [c[0] for c in want.description]
+        assert sorted(got.columns) == sorted(names) and near(got.collect(), got.columns) == near(want.fetchall(), names), name
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.withColumns({"doc_id": F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")), "source": F.when(F.col("n_chars") % 5 > 0, F.col("source")), "text": F.when(F.col("n_chars") % 7 > 0, F.col("text"))})
+    odd = docs.toPandas()  # noqa: F841  the other engine reads it by name
+    odd["doc_id"] = odd["doc_id"].astype("Int64")
+    con.execute("CREATE OR REPLACE TABLE rows AS SELECT * FROM odd")
+    con.execute("CREATE OR REPLACE VIEW documents AS SELECT doc_id::BIGINT AS doc_id, text, source FROM rows")
+    got, want = mixing.mix_report(docs), con.execute(mixing.SQL)
+    names = [c[0] for c in want.description]
+    assert near(got.collect(), got.columns) == near(want.fetchall(), names)
+
+
 def test_op1_no_task_sorts_a_share_of_a_source(spark):
     """Low weights, null ids and ties: the rows that are sorted stay few, and the draw is that of one whole sort."""
     text = F.concat(F.repeat(F.lit("# "), (F.col("id") % 7).cast("int")), F.lit("one two "), F.col("id").cast("string"))
