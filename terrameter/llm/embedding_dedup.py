@@ -370,3 +370,17 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec
     alone = named.where(~F.col("ok")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = good.unionByName(alone)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+# every pair of vectors and everything that links reach: for tables of thousands of vectors
+SQL = """
+WITH RECURSIVE
+v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS MATERIALIZED (SELECT *, len(e) AS n FROM v WHERE len([x FOR x IN e IF isfinite(x)]) = len(e) AND len([x FOR x IN e IF x <> 0]) > 0),
+link AS (SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.n = b.n AND a.r <> b.r WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT r AS a, r AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+part AS (SELECT a AS r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY a),
+n AS (SELECT a AS r, count(*) AS links FROM link GROUP BY a)
+SELECT vec_id, coalesce(links, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept
+FROM v JOIN part USING (r) LEFT JOIN n USING (r)
+"""

@@ -8,10 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language_id, mixing, quality_classifier, quality_rules, secret_scan, token_counts
-from .embedding_dedup import near_duplicates
+from . import chat, embedding_dedup, language_id, mixing, quality_classifier, quality_rules, secret_scan, simhash, token_counts
 from .sentencepiece_codec import encode_documents
-from .simhash import hex_fingerprint, simhash_groups
 from .text import crc_mod
 
 
@@ -41,7 +39,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +59,8 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash_groups(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+    found = simhash.simhash_groups(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +79,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.SQL, "op2_chat_format": chat.SQL, "op6_quality_rules": quality_rules.SQL}
+    return {
+        "op1_mix_sources": mixing.SQL,
+        "op2_chat_format": chat.SQL,
+        "op5_embedding_dedup": embedding_dedup.SQL,
+        "op6_quality_rules": quality_rules.SQL,
+        "op9_simhash_dedup": simhash.SQL,
+    }

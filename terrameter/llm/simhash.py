@@ -96,3 +96,65 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+# The primes of XXH64.
+_PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def _sql(width: int = 3, seed: int = 42) -> str:
+    """The same groups in another engine's SQL: XXH64 in 128-bit arithmetic, all pairs of fingerprints, reachability."""
+
+    def wide(x: int | str) -> str:
+        return f"{x}::UHUGEINT"
+
+    p1, p2, p3, p4, p5 = map(wide, _PRIMES)
+    word = wide(1 << 64)
+
+    def turned(x: str, by: int) -> str:
+        return f"(({x}) * {wide(1 << by)} % {word} + ({x}) // {wide(1 << 64 - by)})"
+
+    def mixed(acc: str, lane: str) -> str:
+        return f"({turned(f'({acc} + {lane} * {p2} % {word}) % {word}', 31)} * {p1} % {word})"
+
+    def little(at: str, n: int) -> str:
+        """``n`` bytes of the hexadecimal text x from the 0-based byte ``at``, the lowest first."""
+        return "('0x' || " + " || ".join(f"substr(x, 2 * ({at}) + {2 * i + 1}, 2)" for i in reversed(range(n))) + ")::UBIGINT::UHUGEINT"
+
+    mask = (1 << 64) - 1
+    begin = [seed + _PRIMES[0] + _PRIMES[1], seed + _PRIMES[1], seed, seed - _PRIMES[0]]
+    stripes = [f"list_reduce(list_prepend({b & mask}::UHUGEINT, [{little(f'32 * k + {8 * i}', 8)} for k in range(0, n // 32)]), lambda a, y: {mixed('a', 'y')})" for i, b in enumerate(begin)]
+    joined = " + ".join(turned(f"v{i}", r) for i, r in enumerate((1, 7, 12, 18)))
+    lanes = ", ".join(mixed("0::UHUGEINT", f"v{i}") for i in range(4))
+    tail = "n // 32 * 32"
+    bits = " + ".join(f"(2 * sum(c * (h // {wide(1 << b)} % 2)::BIGINT) > sum(c))::INT::UHUGEINT * {wide(1 << b)}" for b in range(BITS))
+    later = ", ".join(f"lead(word, {i}) OVER w" for i in range(1, width))
+    return rf"""
+WITH RECURSIVE
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS words FROM documents),
+u AS (SELECT r, len(words) AS m, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+g AS (SELECT r, m, i, concat_ws(' ', word, {later}) AS s FROM u WINDOW w AS (PARTITION BY r ORDER BY i)),
+shingle AS (SELECT r, s, count(*) AS c FROM g WHERE i <= greatest(1, m - {width - 1}) GROUP BY r, s),
+x0 AS (SELECT s, hex(encode(s)) AS x, strlen(s) AS n FROM (SELECT DISTINCT s FROM shingle)),
+x1 AS (SELECT *, {", ".join(f"{e} AS v{i}" for i, e in enumerate(stripes))} FROM x0),
+x2 AS (SELECT s, x, n, {wide("n")} + CASE WHEN n < 32 THEN {(seed + _PRIMES[4]) & mask}::UHUGEINT
+  ELSE list_reduce([({joined}) % {word}, {lanes}], lambda a, y: (xor(a, y) * {p1} + {p4}) % {word}) END AS h FROM x1),
+x3 AS (SELECT s, x, n, list_reduce(list_prepend(h % {word}, [{little(f"{tail} + 8 * k", 8)} for k in range(0, n % 32 // 8)]),
+  lambda a, y: ({turned(f"xor(a, {mixed('0::UHUGEINT', 'y')})", 27)} * {p1} + {p4}) % {word}) AS h FROM x2),
+x4 AS (SELECT s, x, n, CASE WHEN n % 8 < 4 THEN h ELSE ({turned(f"xor(h, {little('n // 8 * 8', 4)} * {p1} % {word})", 23)} * {p2} + {p3}) % {word} END AS h FROM x3),
+x5 AS (SELECT s, list_reduce(list_prepend(h, [{little("n // 4 * 4 + k", 1)} for k in range(0, n % 4)]), lambda a, y: {turned(f"xor(a, y * {p5} % {word})", 11)} * {p1} % {word}) AS h FROM x4),
+x6 AS (SELECT s, xor(h, h // {wide(1 << 33)}) * {p2} % {word} AS h FROM x5),
+x7 AS (SELECT s, xor(h, h // {wide(1 << 29)}) * {p3} % {word} AS h FROM x6),
+hashed AS (SELECT s, xor(h, h // {wide(1 << 32)}) AS h FROM x7),
+f AS (SELECT r, ({bits})::UBIGINT AS fp FROM shingle JOIN hashed USING (s) GROUP BY r),
+docs AS (SELECT doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM d LEFT JOIN f USING (r)),
+one AS (SELECT fp, min(doc_id) AS least FROM docs GROUP BY fp),
+link AS (SELECT a.fp AS a, b.fp AS b FROM one a JOIN one b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= 2),
+reach AS (SELECT fp AS a, fp AS b FROM one UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+part AS (SELECT a AS fp, min(least) AS component_id FROM reach JOIN one ON one.fp = reach.b GROUP BY a)
+SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM docs JOIN part USING (fp)
+"""
+
+
+SQL = _sql()

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from terrameter.llm import chat, mixing
+from terrameter.llm import chat, embedding_dedup, mixing, simhash
 from terrameter.llm import queries as q
 from terrameter.llm.embedding_dedup import Limits, near_duplicates
 
@@ -60,7 +60,7 @@ def test_sql_of_operators_matches(spark, sf_dir):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     near = lambda rows, names: sorted(repr([float(f"{r[i]:.9g}") if isinstance(r[i], float) else r[i] for i in sorted(range(len(names)), key=names.__getitem__)]) for r in rows)
     for name, sql in q.oracle_sql().items():
@@ -78,6 +78,27 @@ def test_sql_of_operators_matches(spark, sf_dir):
     assert near(got.collect(), got.columns) == near(want.fetchall(), names)
 
 
+def test_sql_of_near_duplicates_on_odd_rows(spark):
+    """op5 and op9 against their SQL on copies, near copies, null, zero and non-finite vectors, and words of every length."""
+    import duckdb
+
+    con, rng = duckdb.connect(), np.random.default_rng(3)
+    far = rng.standard_normal((60, 16))
+    near = far[:25] + 0.2 * rng.standard_normal((25, 16))
+    vectors = [*far.tolist(), *near.tolist(), *far[:5].tolist(), None, [], [0.0] * 16, [None] + [1.0] * 15, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [1.0, 2.0], [2.0, 4.0]]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>")
+    embeddings = rows.toArrow()  # noqa: F841  the other engine reads it by name
+    got = [tuple(r) for r in near_duplicates(rows).select("vec_id", "n_links", "component_id", "kept").collect()]
+    assert sorted(got) == sorted(con.execute(embedding_dedup.SQL).fetchall()) and sum(r[1] for r in got) > 20
+
+    base = " ".join(f"w{i}" for i in range(300))
+    texts = [*("abcdéfghX"[i % 9] * i + "Q" for i in range(70)), None, "", " \n", "One  Two", "one two", base, base + " x", base.upper(), "é\u00a0É x y z", "ÄA ÄA ÄA"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    documents = rows.toArrow()  # noqa: F841
+    got = simhash.simhash_groups(rows).select("doc_id", simhash.hex_fingerprint(F.col("fp")), "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(simhash.SQL).fetchall())
+
+
 def test_op1_no_task_sorts_a_share_of_a_source(spark):
     """Low weights, null ids and ties: the rows that are sorted stay few, and the draw is that of one whole sort."""
     text = F.concat(F.repeat(F.lit("# "), (F.col("id") % 7).cast("int")), F.lit("one two "), F.col("id").cast("string"))
