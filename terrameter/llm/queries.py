@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, language_id, mixing, quality_classifier, quality_rules, secret_scan, simhash, token_counts
+from . import chat, dual_tree, embedding_dedup, exact_dedup, importance, language_id, mixing, quality_classifier, quality_rules, secret_scan, simhash, token_counts
 from .sentencepiece_codec import encode_documents
 from .text import crc_mod
 
@@ -70,10 +70,23 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_mix_sources, op2_chat_format, op3_token_counts, op4_secret_scan, op5_embedding_dedup,
         op6_quality_rules, op7_language_id, op8_sentencepiece, op9_simhash_dedup, op10_quality_classifier,
+        op11_exact_dedup, op12_importance_resampling, op13_dual_tree_lloyd,
     ]
     return {f.__name__: f for f in named}
 
@@ -85,4 +98,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_embedding_dedup": embedding_dedup.SQL,
         "op6_quality_rules": quality_rules.SQL,
         "op9_simhash_dedup": simhash.SQL,
+        "op11_exact_dedup": exact_dedup.SQL,
+        "op12_importance_resampling": importance.SQL,
+        "op13_dual_tree_lloyd": dual_tree.SQL,
     }
