@@ -7,8 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .geodesic import A, E2, F, inverse
-from .map_projections import latitude_of_conformal
+from .geodesic import A, E2, inverse
 
 E = np.sqrt(E2)
 
@@ -50,55 +49,8 @@ def equidistant(lon, lat, lon0, lat0) -> tuple[np.ndarray, np.ndarray]:
     return s * np.sin(azimuth), s * np.cos(azimuth)
 
 
-def _series_coefficients() -> tuple[np.ndarray, float]:
-    """Krueger's inverse series (to the fourth order in the third flattening) and meridian radius."""
-    n = F / (2.0 - F)
-    beta = np.array(
-        [
-            n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360,
-            n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440,
-            17 * n**3 / 480 - 37 * n**4 / 840,
-            4397 * n**4 / 161280,
-        ]
-    )
-    return beta, A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-
-
-BETA, MERIDIAN = _series_coefficients()
-
-
-def _conformal(phi: float) -> float:
-    tau = np.tan(phi)
-    s = np.sinh(E * np.arctanh(E * np.sin(phi)))
-    return float(tau * np.hypot(1, s) - s * np.hypot(1, tau))
-
-
-def _meridian_arc(phi: float) -> float:
-    """Rectifying latitude (radians) by inverting the series used for the inverse projection."""
-    chi = np.arctan(_conformal(phi))
-    mu = chi
-    for _ in range(20):
-        mu = chi + float(sum(BETA[k] * np.sin(2 * (k + 1) * mu) for k in range(len(BETA))))
-    return float(mu)
-
-
-def transverse_mercator_inverse(x, y, lon0: float, lat0: float, k0: float, x0: float, y0: float) -> tuple[np.ndarray, np.ndarray]:
-    """Longitudes and latitudes in degrees of transverse Mercator coordinates in metres."""
-    start = _meridian_arc(np.radians(lat0)) if lat0 else 0.0
-    xi = (np.asarray(y, float) - y0) / (k0 * MERIDIAN) + start
-    eta = (np.asarray(x, float) - x0) / (k0 * MERIDIAN)
-    xi_c, eta_c = xi.copy(), eta.copy()
-    for k, beta in enumerate(BETA, 1):
-        xi_c -= beta * np.sin(2 * k * xi) * np.cosh(2 * k * eta)
-        eta_c -= beta * np.cos(2 * k * xi) * np.sinh(2 * k * eta)
-    tau_c = np.sin(xi_c) / np.hypot(np.sinh(eta_c), np.cos(xi_c))
-    lon = lon0 + np.degrees(np.arctan2(np.sinh(eta_c), np.cos(xi_c)))
-    return (lon + 540.0) % 360.0 - 180.0, np.degrees(latitude_of_conformal(tau_c, E2))
-
-
-def mercator_inverse(x, y, lon0: float, k0: float, x0: float, y0: float, sphere: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Longitudes and latitudes of Mercator coordinates; ``sphere``: the web map variant."""
+def web_mercator_inverse(x, y, lon0: float, k0: float, x0: float, y0: float) -> tuple[np.ndarray, np.ndarray]:
+    """Longitudes and latitudes of the web map's Mercator coordinates, which take latitudes for those of a sphere."""
     lon = lon0 + np.degrees((np.asarray(x, float) - x0) / (A * k0))
-    t = np.sinh((np.asarray(y, float) - y0) / (A * k0))
-    lat = np.arctan(t) if sphere else latitude_of_conformal(t, E2)
+    lat = np.arctan(np.sinh((np.asarray(y, float) - y0) / (A * k0)))
     return (lon + 540.0) % 360.0 - 180.0, np.degrees(lat)

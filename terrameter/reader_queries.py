@@ -277,6 +277,20 @@ def _projected_wkt(name: str, **parameters: float) -> str:
     return f'PROJCS["x",{WGS84_WKT},PROJECTION["{name}"],' + ",".join(f'PARAMETER["{k}",{v}]' for k, v in parameters.items()) + ',UNIT["metre",1]]'
 
 
+def _wgs84(wkt: Column, x: Column, y: Column) -> Column:
+    """lon and lat of positions in the systems of their texts, by the engine."""
+
+    @F.pandas_udf("struct<lon: double, lat: double>")
+    def back(wkt: pd.Series, x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        out = np.empty((len(wkt), 2))
+        for text, at in wkt.groupby(wkt).groups.items():
+            place = wkt.index.get_indexer(at)
+            out[place] = np.column_stack(crs_from_wkt(text).to_wgs84(x.to_numpy()[place], y.to_numpy()[place]))
+        return pd.DataFrame(out, columns=["lon", "lat"])
+
+    return back(wkt, x, y)
+
+
 @query(f"SELECT kind, key, key % 4 AS crs, round(lon, 7) AS lon, round(CASE WHEN key % 4 = 3 THEN abs(lat) ELSE lat END, 7) AS lat FROM {a.POINTS_SQL}")
 def crs_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points projected by closed formulas in four systems, and brought back by the engine from their WKT."""
@@ -295,15 +309,7 @@ def crs_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     pick = lambda i: F.coalesce(*[F.when(F.col("key") % 4 == k, s[i] if i else F.lit(s[0])) for k, s in enumerate(systems)])
 
-    @F.pandas_udf("struct<lon: double, lat: double>")
-    def back(wkt: pd.Series, x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        out = np.empty((len(wkt), 2))
-        for text, at in wkt.groupby(wkt).groups.items():
-            place = wkt.index.get_indexer(at)
-            out[place] = np.column_stack(crs_from_wkt(text).to_wgs84(x.to_numpy()[place], y.to_numpy()[place]))
-        return pd.DataFrame(out, columns=["lon", "lat"])
-
-    rows = a.points(spark, sf_dir).select("kind", "key", back(pick(0), pick(1), pick(2)).alias("p"))
+    rows = a.points(spark, sf_dir).select("kind", "key", _wgs84(pick(0), pick(1), pick(2)).alias("p"))
     east = F.when(F.abs(F.abs("p.lon") - 180) < 1e-9, -180.0).otherwise(F.col("p.lon"))
     return rows.select("kind", "key", (F.col("key") % 4).alias("crs"), F.round(east, 7).alias("lon"), F.round("p.lat", 7).alias("lat"))
 
@@ -316,3 +322,85 @@ def manifest_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_manifest(counts.withColumns({"status": F.lit("COMPLETED"), "failure": F.lit(None).cast("string")}), path)
     found = read_manifest(spark, path)
     return spark.createDataFrame([(found["feature_count"], found["measured_count"], found["error_count"], found["status"])], "feature_count long, measured_count long, error_count long, status string")
+
+
+_NEAR_LON, _NEAR_LAT = "(15 + ((key * 7919) % 40001 - 20000) / 10000D)", "(50 + ((key * 104729) % 40001 - 20000) / 10000D)"
+
+
+@query(f"SELECT key, key % 5 AS method, round({_NEAR_LON.replace('D)', '::DOUBLE)')}, 7) AS lon, round({_NEAR_LAT.replace('D)', '::DOUBLE)')}, 7) AS lat FROM (SELECT c_custkey AS key FROM customer)")
+def crs_conic_and_series_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points projected by forward formulas in five systems, and brought back by the engine from their WKT."""
+    e, p0 = E2**0.5, math.radians(49.5)
+    rows = a.table(spark, sf_dir, "customer").selectExpr("c_custkey AS key").selectExpr("key", f"{_NEAR_LON} AS lon", f"{_NEAR_LAT} AS lat")
+    phi, lam = F.radians("lat"), F.radians(F.col("lon") - 15)
+    sin, cos, nu = F.sin(phi), F.cos(phi), A / F.sqrt(1 - E2 * F.sin(phi) ** 2)
+    psi = F.asinh(F.tan(phi)) - e * F.atanh(e * sin)
+    psi0 = math.asinh(math.tan(p0)) - e * math.atanh(e * math.sin(p0))
+    radius, b = A * math.sqrt(1 - E2) / (1 - E2 * math.sin(p0) ** 2), math.sqrt(1 + E2 * math.cos(p0) ** 4 / (1 - E2))
+    chi0 = math.asin(math.sin(p0) / b)
+    # a sphere on which the ellipsoid is conformal near the origin: both oblique methods begin with it
+    chi, turn = F.atan(F.sinh(b * (psi - psi0) + math.atanh(math.sin(chi0)))), b * lam
+    scale = 2 * radius / (1 + math.sin(chi0) * F.sin(chi) + math.cos(chi0) * F.cos(chi) * F.cos(turn))
+    tilt, p1 = math.radians(30.25), math.radians(78.5)
+    t = F.asin(math.cos(tilt) * F.sin(chi) + math.sin(tilt) * F.cos(chi) * F.cos(turn))
+    around = F.asin(F.cos(chi) * F.sin(-turn) / F.cos(t)) * math.sin(p1)
+    rho = radius / math.tan(p1) * (math.tan(p1 / 2 + math.pi / 4) / F.tan(t / 2 + math.pi / 4)) ** math.sin(p1)
+    # the meridian arc as a series in the squared eccentricity
+    arcs = [1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256 - 175 * E2**4 / 16384, -(3 * E2 / 8 + 3 * E2**2 / 32 + 45 * E2**3 / 1024 + 105 * E2**4 / 4096), 15 * E2**2 / 256 + 45 * E2**3 / 1024 + 525 * E2**4 / 16384, -(35 * E2**3 / 3072 + 175 * E2**4 / 12288), 315 * E2**4 / 131072]
+    arc = A * (arcs[0] * phi + sum(c * F.sin(2 * k * phi) for k, c in enumerate(arcs[1:], 1)))
+    d, tan2, c = lam * cos, F.tan(phi) ** 2, E2 * cos**2 / (1 - E2)
+    around_pole = lam * sin
+    q = (1 - E2) * (sin / (1 - E2 * sin**2) + F.atanh(e * sin) / e)
+    k1 = math.cos(math.pi / 6) / math.sqrt(1 - E2 / 4)
+    systems = [
+        (_projected_wkt("Oblique_Stereographic", latitude_of_origin=49.5, central_meridian=15, scale_factor=0.9, false_easting=1000), 900 / 1000 * scale * F.cos(chi) * F.sin(turn) + 1000, 0.9 * scale * (math.cos(chi0) * F.sin(chi) - math.sin(chi0) * F.cos(chi) * F.cos(turn))),
+        (_projected_wkt("Krovak", latitude_of_center=49.5, longitude_of_center=15, azimuth=30.25, pseudo_standard_parallel_1=78.5, scale_factor=1)[:-1] + ',AXIS["X",SOUTH],AXIS["Y",WEST]]', rho * F.cos(around), rho * F.sin(around)),
+        (_projected_wkt("Cassini_Soldner", latitude_of_origin=0, central_meridian=15), nu * (d - tan2 * d**3 / 6 - (8 - tan2 + 8 * c) * tan2 * d**5 / 120), arc + nu * F.tan(phi) * (d**2 / 2 + (5 - tan2 + 6 * c) * d**4 / 24)),
+        (_projected_wkt("Polyconic", latitude_of_origin=0, central_meridian=15), nu * cos / sin * F.sin(around_pole), arc + nu * cos / sin * (1 - F.cos(around_pole))),
+        (_projected_wkt("Cylindrical_Equal_Area", standard_parallel_1=30, central_meridian=15), A * k1 * lam, A * q / (2 * k1)),
+    ]
+    pick = lambda i: F.coalesce(*[F.when(F.col("key") % 5 == k, s[i] if i else F.lit(s[0])) for k, s in enumerate(systems)])
+    found = rows.select("key", _wgs84(pick(0), pick(1), pick(2)).alias("p"))
+    return found.select("key", (F.col("key") % 5).alias("method"), F.round("p.lon", 7).alias("lon"), F.round("p.lat", 7).alias("lat"))
+
+
+# Ellipsoids and shifts to WGS84 of three datums (metres, arc-seconds of the position vector, parts per million).
+_DATUMS = [("Airy 1830", 6377563.396, 299.3249646, (446.448, -125.157, 542.06, 0.15, 0.247, 0.842, -20.489)), ("Bessel 1841", 6377397.155, 299.1528128, (598.1, 73.7, 418.2, 0.202, 0.045, -2.455, 6.7)), ("International 1924", 6378388.0, 297.0, (-87.0, -98.0, -121.0, 0.0, 0.0, 0.0, 0.0))]
+
+
+def _shift_sql() -> str:
+    """Positions of customers on three datums, shifted to WGS84 in steps."""
+
+    def of(i: int) -> str:
+        values = [(d[1], (2 - 1 / d[2]) / d[2], *d[3][:3], *(math.radians(r / 3600) for r in d[3][3:6]), 1 + d[3][6] * 1e-6)[i] for d in _DATUMS]
+        return f"CASE key % 3 WHEN 0 THEN {values[0]!r}::DOUBLE WHEN 1 THEN {values[1]!r}::DOUBLE ELSE {values[2]!r}::DOUBLE END"
+
+    names = ["a", "e", "dx", "dy", "dz", "rx", "ry", "rz", "m"]
+    b = f"({A!r} * sqrt(1 - {E2!r}))"
+    turns = "".join(f"""
+t{i + 1} AS (SELECT *, atan2({b} / {A!r} * sin(f), cos(f)) AS u FROM (SELECT * EXCLUDE (u, f), atan2(z + {E2!r} / (1 - {E2!r}) * {b} * pow(sin(u), 3), p - {E2!r} * {A!r} * pow(cos(u), 3)) AS f FROM t{i})),""" for i in range(6))
+    return f"""WITH
+c AS (SELECT key, radians(lon) AS l, radians(lat) AS f, {", ".join(f"{of(i)} AS {n}" for i, n in enumerate(names))} FROM (SELECT kind, key, lon, lat FROM {a.POINTS_SQL}) WHERE kind = 'customer'),
+g AS (SELECT *, n * cos(f) * cos(l) AS x0, n * cos(f) * sin(l) AS y0, n * (1 - e) * sin(f) AS z0 FROM (SELECT *, a / sqrt(1 - e * pow(sin(f), 2)) AS n FROM c)),
+s AS (SELECT key, dx + m * (x0 - rz * y0 + ry * z0) AS x, dy + m * (rz * x0 + y0 - rx * z0) AS y, dz + m * (-ry * x0 + rx * y0 + z0) AS z FROM g),
+t0 AS (SELECT key, x, y, z, p, atan2(z * {A!r}, p * {b}) AS u, 0::DOUBLE AS f FROM (SELECT *, sqrt(x * x + y * y) AS p FROM s)),{turns}
+done AS (SELECT * FROM t6)
+SELECT key, round(degrees(atan2(y, x)), 8) AS lon, round(degrees(f), 8) AS lat FROM done"""
+
+
+@query(_shift_sql())
+def datum_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers on three datums whose texts state a seven-parameter shift, one of them as a bound system of the other convention."""
+    texts = []
+    for name, axis, flattening, shift in _DATUMS:
+        plain = f'GEOGCS["x",DATUM["x",SPHEROID["{name}",{axis},{flattening}],TOWGS84[{",".join(map(str, shift))}]],PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433]]'
+        if name.startswith("Bessel"):
+            values = (*shift[:3], *(-r for r in shift[3:6]), 1 + shift[6] * 1e-6)
+            named = zip([f"{c}-axis {k}" for k in ("translation", "rotation") for c in "XYZ"] + ["Scale difference"], values, strict=True)
+            base = f'GEOGCRS["x",DATUM["x",ELLIPSOID["{name}",{axis},{flattening}]],PRIMEM["Greenwich",0],ANGLEUNIT["degree",0.0174532925199433]]'
+            target = 'GEOGCRS["WGS 84",DATUM["World Geodetic System 1984",ELLIPSOID["WGS 84",6378137,298.257223563]]]'
+            plain = f'BOUNDCRS[SOURCECRS[{base}],TARGETCRS[{target}],ABRIDGEDTRANSFORMATION["x",METHOD["Coordinate Frame rotation (geog2D domain)"],' + ",".join(f'PARAMETER["{k}",{v!r}]' for k, v in named) + "]]"
+        texts.append(plain)
+    wkt = F.when(F.col("key") % 3 == 0, texts[0]).when(F.col("key") % 3 == 1, texts[1]).otherwise(texts[2])
+    rows = a.points(spark, sf_dir).where("kind = 'customer'").select("key", _wgs84(wkt, F.col("lon"), F.col("lat")).alias("p"))
+    return rows.select("key", F.round("p.lon", 8).alias("lon"), F.round("p.lat", 8).alias("lat"))

@@ -13,8 +13,9 @@ from hypothesis import strategies as st
 from terrameter.functions import map_projections as maps
 from terrameter.functions import topology
 from terrameter.functions.crs import WGS84_WKT, CrsError, crs_from_wkt
-from terrameter.functions.geodesic import direct, inverse
-from terrameter.functions.projection import equal_area, transverse_mercator_inverse
+from terrameter.functions.datum import Shift, geocentric, geodetic
+from terrameter.functions.geodesic import E2, A, direct, inverse
+from terrameter.functions.projection import equal_area
 from terrameter.model import Limits
 from terrameter.operators import measure
 from terrameter.operators.measure import measure_batch, measure_geometry
@@ -77,7 +78,7 @@ UTM = 'PROJCS["WGS 84 / UTM zone 31N",' + WGS84_WKT + ',PROJECTION["Transverse_M
 
 
 def test_projected_line_is_the_geodesic_of_its_ends():
-    lon, lat = transverse_mercator_inverse([500000.0, 500003.0], [0.0, 4.0], 3, 0, 0.9996, 500000, 0)
+    lon, lat = maps.transverse_mercator([500000.0, 500003.0], [0.0, 4.0], A, E2, 3, 0, 0.9996, 500000, 0)
     expected = float(inverse(lon[0], lat[0], lon[1], lat[1])[0])
     status, value, _ = measured(line((500000, 0), (500003, 4)), UTM)
     assert status == "MEASURED" and abs(value - expected) < 1e-6 and abs(value - 5 / 0.9996) < 1e-3
@@ -92,6 +93,7 @@ def e2_of(inverse_flattening):
 
 
 CLARKE, EVEREST = e2_of(294.97870), e2_of(300.8017)
+AIRY, BESSEL = (6377563.396, e2_of(299.3249646)), (6377397.155, e2_of(299.15281))
 # Published worked examples of the projections: function, projected position, constants, geographic position.
 EXAMPLES = [
     (maps.conformal_conic, (2963503.91, 254759.80), (20925832.16, CLARKE, -99, dms(27, 50), dms(28, 23), dms(30, 17), 1.0, 2_000_000, 0), (-96.0, 28.5)),
@@ -102,6 +104,15 @@ EXAMPLES = [
     (maps.polar_stereographic, (7255380.79, 7053389.56), (6378137, e2_of(298.257223563), 70, -1.0, -71, 1.0, 6_000_000, 6_000_000), (120.0, -75.0)),
     (maps.oblique_mercator, (679245.73, 596562.78), (6377298.556, EVEREST, 115, 4, dms(53, 18, 56.9537), dms(53, 7, 48.3685), 0.99984, 590476.87, 442857.65, True), (dms(115, 48, 19.8196), dms(5, 23, 14.1129))),
     (maps.oblique_mercator, (679245.73, 596562.78), (6377298.556, EVEREST, 115, 4, dms(53, 18, 56.9537), dms(53, 7, 48.3685), 0.99984, 0, 0, False), (dms(115, 48, 19.8196), dms(5, 23, 14.1129))),
+    (maps.transverse_mercator, (651409.903, 313177.270), (*AIRY, -2, 49, 0.9996012717, 400_000, -100_000), (dms(1, 43, 4.5177), dms(52, 39, 27.2531))),
+    (maps.transverse_mercator, (577274.99, 69740.50), (*AIRY, -2, 49, 0.9996012717, 400_000, -100_000), (0.5, 50.5)),
+    (maps.oblique_stereographic, (196105.283, 557057.739), (*BESSEL, dms(5, 23, 15.5), dms(52, 9, 22.178), 0.9999079, 155_000, 463_000), (6.0, 53.0)),
+    (maps.krovak, (1050538.643, 568990.997), (*BESSEL, 42.5 - dms(17, 40), 49.5, dms(30, 17, 17.30311), 78.5, 0.9999, 0, 0, False), (dms(16, 50, 59.179), dms(50, 12, 32.442))),
+    (maps.krovak, (-568990.997, -1050538.643), (*BESSEL, 42.5 - dms(17, 40), 49.5, dms(30, 17, 17.30311), 78.5, 0.9999, 0, 0, True), (dms(16, 50, 59.179), dms(50, 12, 32.442))),
+    (maps.cassini, (66644.94, 82536.22), (31706587.88, e2_of(294.2606763), -dms(61, 20), dms(10, 26, 30), 430_000, 325_000), (-62.0, 10.0)),
+    (maps.polyconic, (1776774.5, 1319657.8), (6378206.4, 0.00676866, -96, 30, 0, 0), (-75.0, 40.0)),
+    (maps.polyconic, (1776774.5, -1319657.8), (6378206.4, 0.00676866, -96, -30, 0, 0), (-75.0, -40.0)),
+    (maps.cylindrical_equal_area, (-332699.8, -554248.5), (6378206.4, 0.00676866, -75, 5, 0, 0), (-78.0, -5.0)),
     (maps.mercator, (165704.29, 5171848.07), (6378245, e2_of(298.3), 51, maps.scale_at(42, e2_of(298.3)), 0, 0), (53.0, 53.0)),
 ]
 
@@ -125,6 +136,7 @@ ETRS = 'GEOGCS["ETRS89",DATUM["European_Terrestrial_Reference_System_1989",SPHER
         projected("Lambert_Conformal_Conic_2SP", latitude_of_origin=46.5, central_meridian=3, standard_parallel_1=49, standard_parallel_2=44), projected("Lambert_Conformal_Conic", latitude_of_origin=46.5, central_meridian=3, standard_parallel_1=46.5),
         projected("Lambert_Conformal_Conic_1SP", latitude_of_origin=46.5, central_meridian=3, scale_factor=0.9999), projected("Albers_Conic_Equal_Area", latitude_of_center=46, longitude_of_center=3, standard_parallel_1=43, standard_parallel_2=48),
         projected("Lambert_Azimuthal_Equal_Area", ETRS, latitude_of_center=46, longitude_of_center=3), projected("Hotine_Oblique_Mercator_Azimuth_Center", latitude_of_center=46, longitude_of_center=3, azimuth=30, rectified_grid_angle=30, scale_factor=1),
+        projected("Oblique_Stereographic", latitude_of_origin=46, central_meridian=3, scale_factor=1), projected("Cassini_Soldner", latitude_of_origin=46, central_meridian=3), projected("Polyconic", latitude_of_origin=46, central_meridian=3),
         projected("Mercator_2SP", standard_parallel_1=46, central_meridian=3), projected("Transverse_Mercator", ETRS, latitude_of_origin=46, central_meridian=3, scale_factor=1),
     ],
 )
@@ -142,6 +154,86 @@ def test_every_projection_has_a_local_scale_of_one(wkt):
     assert status == "MEASURED" and value == pytest.approx(math.hypot(*sides), rel=2e-3)
 
 
+def test_published_datum_shifts():
+    """Worked examples of the position vector, coordinate frame and translation methods."""
+    vector = Shift(0, 0, 4.5, 0, 0, 0.554, 0.219)
+    frame = Shift(0, 0, 4.5, 0, 0, -0.554, 0.219).reversed_rotation()
+    for shift in (vector, frame):
+        got = shift.apply(3657660.66, 255768.55, 5201382.11)
+        assert np.abs(np.subtract(got, (3657660.78, 255778.43, 5201387.75))).max() < 0.01
+    wgs, international = (6378137.0, e2_of(298.257223563)), (6378388.0, e2_of(297.0))
+    x, y, z = geocentric(dms(2, 7, 46.38), dms(53, 48, 33.82), 73.0, *wgs)
+    assert np.abs(np.subtract((x, y, z), (3771793.97, 140253.34, 5124304.35))).max() < 0.01
+    lon, lat, height = geodetic(x + 84.87, y + 96.49, z + 116.95, *international)
+    assert abs(lon - dms(2, 7, 51.477)) < 3e-7 and abs(lat - dms(53, 48, 36.565)) < 3e-7 and abs(height - 28.02) < 0.01
+
+
+def geographic(datum, axis, flattening, *more):
+    return f'GEOGCS["x",DATUM["{datum}",SPHEROID["x",{axis},{flattening}]{"".join("," + m for m in more)}],PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433]]'
+
+
+def bound(source, method, **parameters):
+    source = source.replace("GEOGCS", "GEOGCRS").replace("SPHEROID", "ELLIPSOID")
+    target = 'GEOGCRS["WGS 84",DATUM["World Geodetic System 1984",ELLIPSOID["WGS 84",6378137,298.257223563]]]'
+    return f'BOUNDCRS[SOURCECRS[{source}],TARGETCRS[{target}],ABRIDGEDTRANSFORMATION["x",METHOD["{method}"],' + ",".join(f'PARAMETER["{k.replace("_", " ").replace("axis", "-axis")}",{v}]' for k, v in parameters.items()) + "]]"
+
+
+def test_stated_shifts_are_applied():
+    """The same shift in three forms of text gives the same positions, far from those without it."""
+    numbers = (446.448, -125.157, 542.06, 0.15, 0.247, 0.8421, -20.4894)
+    names = ("Xaxis_translation", "Yaxis_translation", "Zaxis_translation", "Xaxis_rotation", "Yaxis_rotation", "Zaxis_rotation", "Scale_difference")
+    plain = geographic("OSGB_1936", 6377563.396, 299.3249646)
+    as_vector = dict(zip(names, (*numbers[:6], 1 + numbers[6] * 1e-6), strict=True))
+    as_frame = dict(zip(names, (*numbers[:3], *(-r for r in numbers[3:6]), numbers[6]), strict=True))
+    forms = [
+        geographic("OSGB_1936", 6377563.396, 299.3249646, f"TOWGS84[{','.join(map(str, numbers))}]"),
+        bound(plain, "Position Vector transformation (geog2D domain)", **as_vector),
+        bound(plain, "Coordinate Frame rotation (geog2D domain)", **as_frame),
+    ]
+    lon, lat = np.array([1.7179216, -2.5]), np.array([52.6575703, 57.25])
+    want = geodetic(*Shift(*numbers).apply(*geocentric(lon, lat, 0.0, 6377563.396, e2_of(299.3249646))), 6378137.0, e2_of(298.257223563))
+    for wkt in forms:
+        got = crs_from_wkt(wkt).to_wgs84(lon, lat)
+        assert np.abs(got[0] - want[0]).max() < 1e-10 and np.abs(got[1] - want[1]).max() < 1e-10
+        moved = inverse(lon, lat, *got)[0]
+        assert ((moved > 80) & (moved < 200)).all()
+        assert measured(line((1.7, 52.6), (1.71, 52.6)), wkt)[0] == "MEASURED"
+    # the national grid on its own ellipsoid, to within the few metres of the published seven parameters
+    grid = f'PROJCS["x",{forms[0]},PROJECTION["Transverse_Mercator"],PARAMETER["latitude_of_origin",49],PARAMETER["central_meridian",-2],PARAMETER["scale_factor",0.9996012717],PARAMETER["false_easting",400000],PARAMETER["false_northing",-100000],UNIT["metre",1]]'
+    got = crs_from_wkt(grid).to_wgs84(np.array([651409.903]), np.array([313177.270]))
+    assert float(inverse(*got, dms(1, 42, 57.8663), dms(52, 39, 28.8282))[0][0]) < 5
+
+
+def test_shifts_that_cannot_be_applied_fail():
+    plain = geographic("European_Datum_1950", 6378388, 297)
+    shift = {"Xaxis_translation": -87, "Yaxis_translation": -98, "Zaxis_translation": -121}
+    assert crs_from_wkt(bound(plain, "Geocentric translations (geog2D domain)", **shift)).shift == Shift(-87, -98, -121)
+    assert crs_from_wkt(geographic("WGS_1984", 6378137, 298.257223563, "TOWGS84[0,0,0,0,0,0,0]")).shift is None
+    assert crs_from_wkt(geographic("WGS_1984", 6378137, 298.257223563, "TOWGS84[500,300,100,0,0,0,0]")).shift == Shift(500, 300, 100)
+    assert crs_from_wkt(geographic("Sphere", 6371000, 0, "TOWGS84[0,0,0]")).shift == Shift()
+    other_target = bound(plain, "Geocentric translations (geog2D domain)", **shift).replace("World Geodetic System 1984", "World Geodetic System 1972")
+    for wkt, code in [
+        (plain, "CRS_TRANSFORMATION_FAILED"), (bound(plain, "NTv2", **shift), "CRS_TRANSFORMATION_FAILED"), (other_target, "CRS_TRANSFORMATION_FAILED"), (bound(plain, "Geocentric translations (geog2D domain)", **shift, Ordinate_1=4), "CRS_TRANSFORMATION_FAILED"),
+        (geographic("European_Datum_1950", 6378388, 297, "TOWGS84[1,2]"), "INVALID_CRS"), (geographic("WGS_1984", 6378137, 298.257223563, 'EXTENSION["PROJ4_GRIDS","conus"]'), "CRS_TRANSFORMATION_FAILED"),
+    ]:
+        with pytest.raises(CrsError) as why:
+            crs_from_wkt(wkt)
+        assert why.value.code == code
+
+
+def test_texts_that_redefine_or_turn_a_projection():
+    web = projected("Mercator_1SP", central_meridian=0, scale_factor=1)[:-1] + ',EXTENSION["PROJ4","+proj=merc +a=6378137 +b=6378137 +lat_ts=0.0 +lon_0=0.0 +nadgrids=@null +wktext"]]'
+    assert crs_from_wkt(web).method == "web_mercator"
+    krovak = projected("Krovak", latitude_of_center=49.5, longitude_of_center=24.8333333, azimuth=30.2881397, pseudo_standard_parallel_1=78.5, scale_factor=0.9999)
+    assert crs_from_wkt(krovak[:-1] + ',AXIS["X",SOUTH],AXIS["Y",WEST]]').method == "krovak"
+    turned = krovak.replace('PARAMETER["azimuth"', 'PARAMETER["X_Scale",-1],PARAMETER["Y_Scale",1],PARAMETER["XY_Plane_Rotation",90],PARAMETER["azimuth"')
+    assert crs_from_wkt(turned).method == "krovak_north"
+    for wkt in (krovak, turned.replace('"X_Scale",-1', '"X_Scale",1'), projected("Krovak", latitude_of_center=49.5), projected("Cassini_Soldner", central_meridian=1)[:-1] + ',AXIS["W",WEST],AXIS["N",NORTH]]', projected("Polyconic", X_Scale=-1), projected("Mercator_1SP", central_meridian=0)[:-1] + ',EXTENSION["PROJ4","+proj=utm"]]'):
+        with pytest.raises(CrsError) as why:
+            crs_from_wkt(wkt)
+        assert why.value.code == "CRS_TRANSFORMATION_UNAVAILABLE"
+
+
 def test_crs_that_lack_or_hold_odd_parameters():
     for wkt in (projected("Albers", central_meridian=3), projected("Hotine_Oblique_Mercator", latitude_of_center=4), projected("Lambert_Conformal_Conic", central_meridian=3, standard_parallel_1=40, rotation=5)):
         with pytest.raises(CrsError) as why:
