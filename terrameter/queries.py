@@ -537,11 +537,13 @@ def cursor_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.files(spark, sf_dir).select("id", code(F.unix_micros(F.col("created_at").cast("timestamp")), "id").alias("c")).select("id", "c.cursor", "c.round_trip")
 
 
-@query("""SELECT event_id, CASE event_id % 5 WHEN 1 THEN 'malformed' WHEN 2 THEN 'malformed' WHEN 3 THEN 'blank' WHEN 4 THEN 'too_deep' END AS problem FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 10 = 3 THEN 'blank' WHEN event_id % 10 = 4 THEN 'too_deep' WHEN event_id % 10 = 9 THEN 'no_object' WHEN event_id % 10 > 0 THEN 'malformed' END AS problem FROM events""")
 def json_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Good lines beside repeated keys, NaN, blanks and depth 40."""
+    """Good lines beside repeated keys, NaN, blanks, depth 40, tails, bytes that are no text, arrays and a number beyond all doubles."""
     deep = "[" * 40 + "]" * 40
-    rows = a.table(spark, sf_dir, "events").select("event_id", F.expr(f"""CASE event_id % 5 WHEN 1 THEN '{{"a":1,"a":2}}' WHEN 2 THEN '{{"a":NaN}}' WHEN 3 THEN '  ' WHEN 4 THEN '{{"a":{deep}}}' ELSE props END""").alias("line"))
+    cases = f"""CASE event_id % 10 WHEN 1 THEN '{{"a":1,"a":2}}' WHEN 2 THEN '{{"a":NaN}}' WHEN 3 THEN ' \t ' WHEN 4 THEN '{{"a":{deep}}}' WHEN 5 THEN props || ' {{}}' WHEN 6 THEN props || '}}'
+      WHEN 7 THEN cast(cast('{{"a":"' AS binary) || X'FF' || cast('"}}' AS binary) AS string) WHEN 8 THEN '{{"a":1e999}}' WHEN 9 THEN '[' || props || ']' ELSE props END"""
+    rows = a.table(spark, sf_dir, "events").select("event_id", F.expr(cases).alias("line"))
     return rows.select("event_id", strict_problem(F.col("line")).alias("problem"))
 
 

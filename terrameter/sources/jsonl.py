@@ -8,9 +8,9 @@ manifest's counts.
 from __future__ import annotations
 
 import json
+import math
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +32,14 @@ def nesting(value: object) -> tuple[int, int]:
     return deepest, count
 
 
+#: Longest key and number that either form of the check takes, those of the JVM's parser.
+_KEY_CHARS, _NUMBER_CHARS = 50_000, 1000
+
+
 def _unique(pairs: list[tuple[str, object]]) -> dict:
     out = dict(pairs)
-    if len(out) != len(pairs):
-        raise ValueError("repeated key")
+    if len(out) != len(pairs) or any(len(k) > _KEY_CHARS for k in out):
+        raise ValueError("repeated or overlong key")
     return out
 
 
@@ -43,6 +47,17 @@ def _constant(name: str) -> None:
     raise ValueError(name)
 
 
+def _number(digits: str, kind: type = float) -> float:
+    value = kind(digits) if len(digits) <= _NUMBER_CHARS else math.inf
+    if value in (math.inf, -math.inf):
+        raise ValueError("a number is too large")
+    return value
+
+
+def _integer(digits: str) -> int:
+    return _number(digits, int)
+
+
 # A JSON string, without backtracking; what is left of a line without them is structure.
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 
@@ -55,16 +70,26 @@ def too_deep(line: str, depth: int) -> bool:
     return re.search(r"[\[{][\]}]", left) is not None or left.count("[") + left.count("{") > depth
 
 
-def problem_of(line: str | None, limits: Limits = Limits()) -> str | None:
-    """Why a line is no acceptable feature, or None."""
-    if line is None or not line.strip():
+def strict_json(text: str) -> object:
+    """The value of a JSON text; ValueError for repeated or overlong keys, and for numbers that are not finite or overlong."""
+    return json.loads(text, object_pairs_hook=_unique, parse_constant=_constant, parse_float=_number, parse_int=_integer)
+
+
+def problem_of(line: str | bytes | None, limits: Limits = Limits()) -> str | None:
+    """Why a line is no acceptable feature, or None.  White space is JSON's: space, tab and line ends."""
+    raw = line.encode("utf-8", "surrogatepass") if isinstance(line, str) else line
+    if raw is None or not raw.strip(b" \t\r\n"):
         return "blank"
-    if len(line.encode("utf-8", "surrogatepass")) > limits.feature_json_bytes:
+    if len(raw) > limits.feature_json_bytes:
         return "too_long"
-    if too_deep(line, limits.json_depth):  # before parsing, so that no depth reaches the parser's recursion
+    try:
+        text = raw.decode()
+    except UnicodeDecodeError:
+        return "malformed"
+    if too_deep(text, limits.json_depth):  # before parsing, so that no depth reaches the parser's recursion
         return "too_deep"
     try:
-        value = json.loads(line, object_pairs_hook=_unique, parse_constant=_constant)
+        value = strict_json(text)
     except (ValueError, RecursionError):
         return "malformed"
     if not isinstance(value, dict):
@@ -80,30 +105,58 @@ def _brackets(levels: int) -> str:
     return inner
 
 
-def strict_problem(line: Column, limits: Limits = Limits()) -> Column:
-    """Column form of ``problem_of``, inside the JVM.
+# Tokens that stand for strings and for other values once these are recognised; neither may be in a line.
+_TEXT, _VALUE = "\x01", "\x02"
+_STRICT_STRING = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+"'
+_DIGITS = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+"
+_SCALAR = rf"(?<![^ \t\r\n,:\[{{])(?:true|false|null|{_DIGITS})(?![^ \t\r\n,\]}}])"
+_LEVELS = 3
+
+
+def _container(levels: int) -> str:
+    """Pattern of an object or array of tokens and of containers, ``levels`` deep at most.
 
-    Pairs of brackets without strings are taken out, eight levels at a time; the variant parser
-    refuses repeated keys and non-finite numbers.  Commas and openings bound the number of values; only
-    lines that may hold too many are counted in Python.
+    After a value comes a comma and more, or the closing bracket; possessive, so it neither backtracks
+    nor recurses however long a list is.
     """
+    value = f"[{_TEXT}{_VALUE}]" if levels == 1 else f"(?:[{_TEXT}{_VALUE}]|{_container(levels - 1)})"
+    return rf"(?:\{{(?:{_TEXT}:{value}(?:,(?={_TEXT})|(?=\}})))*+\}}|\[(?:{value}(?:,(?!\])|(?=\])))*+\])"
 
-    @F.pandas_udf("string")
-    def check(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda x: None if x is None else problem_of(x, limits))
 
+def strict_problem(line: Column, limits: Limits = Limits()) -> Column:
+    """Column form of ``problem_of``, inside the JVM; ``line`` may be a string of any bytes.
+
+    Strings and then other scalars become tokens, and containers of tokens become a token, some levels
+    at a time; a line is well formed if one token is left.  The numbers of tokens, colons and openings
+    give the number of values.  The variant parser, which stops after the first value, is only asked
+    whether keys repeat.
+    """
     structure = F.regexp_replace(line, f"(?s){_STRING}", "")
     left = F.regexp_replace(structure, r"[^\[\]{}]", "")
     for levels in [8] * (limits.json_depth // 8) + [limits.json_depth % 8]:
         left = F.regexp_replace(left, _brackets(levels), "") if levels else left
-    openings = F.length(F.regexp_replace(structure, r"[^\[{]", ""))  # without more of them than levels no line is deep
-    deep = (openings > limits.json_depth) & left.rlike(rf"[\[{{][\]}}]|(?:[\[{{][^\[{{]*){{{limits.json_depth + 1}}}")
-    many = F.length(F.regexp_replace(structure, r"[^,\[{]", "")) >= limits.json_values
-    blank = F.coalesce(F.trim(line), F.lit("")) == ""
+    # without more openings than levels no line is deep
+    deep = (F.length(F.regexp_replace(structure, r"[^\[{]", "")) > limits.json_depth) & left.rlike(rf"[\[{{][\]}}]|(?:[\[{{][^\[{{]*){{{limits.json_depth + 1}}}")
+    texts = F.regexp_replace(line, _STRICT_STRING, _TEXT)
+    tokens = F.regexp_replace(F.regexp_replace(texts, _SCALAR, _VALUE), r"[ \t\r\n]", "")
+
+    def verdict(t: Column) -> Column:
+        openings = F.length(t) - F.length(F.translate(t, "[{", ""))
+        values = F.length(t) - F.length(F.translate(t, f"{_TEXT}{_VALUE}[{{", "")) - (F.length(t) - F.length(F.translate(t, ":", "")))
+        rounds = F.least(openings, F.lit(limits.json_depth + _LEVELS - 1)) / _LEVELS
+        one = F.aggregate(F.sequence(F.lit(0), rounds.cast("int")), t, lambda x, _: F.regexp_replace(x, _container(_LEVELS), _VALUE))
+        formed = F.length(one) == 1
+        return F.when(~(formed & ((one == _TEXT) | (one == _VALUE))), "malformed").when(F.try_parse_json(line).isNull(), "malformed").when(~t.startswith("{"), "no_object").when(values > limits.json_values, "too_many_values")
+
+    numbers = F.regexp_extract_all(texts, F.lit(f"({_DIGITS})"), 1)
+    huge = texts.rlike(r"[eE]\+?0*[1-9][0-9]{2}|[0-9]{300}") & F.exists(numbers, lambda x: (F.length(x) > _NUMBER_CHARS) | x.rlike("[.eE]") & (F.abs(x.try_cast("double")) == float("inf")))
+    foreign = ~F.is_valid_utf8(line) | line.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
+    blank = F.coalesce(F.trim(line, F.lit(" \t\r\n")), F.lit("")) == ""
     long = F.octet_length(line) > limits.feature_json_bytes
-    counted = check(F.when(many & ~blank & ~long, line))
-    kind = F.transform(F.array(F.schema_of_variant(F.try_parse_json(line))), lambda k: F.when(k.isNull(), "malformed").when(~k.startswith("OBJECT"), "no_object"))  # parsed once
-    return F.when(blank, "blank").when(long, "too_long").when(deep, "too_deep").otherwise(F.coalesce(kind[0], counted))
+    return (
+        F.when(blank, "blank").when(long, "too_long").when(~F.is_valid_utf8(line), "malformed").when(deep, "too_deep").when(foreign | huge, "malformed")
+        .otherwise(F.transform(F.array(tokens), verdict)[0])
+    )
 
 
 def _files(spark: SparkSession, path: str, limits: Limits) -> DataFrame:
@@ -113,7 +166,11 @@ def _files(spark: SparkSession, path: str, limits: Limits) -> DataFrame:
     without moving a line.
     """
     files = spark.read.format("binaryFile").load(path)
-    fine = files.where(F.col("length") <= limits.output_bytes).select(F.col("path").alias("file"), F.split(F.col("content").cast("string"), "\n", -1).alias("parts"))
+    text = F.col("content").cast("string")
+    # splitting makes characters of bytes: those that are none go through an encoding with one for each byte
+    bytewise = F.transform(F.split(F.decode("content", "ISO-8859-1"), "\n", -1), lambda x: F.encode(x, "ISO-8859-1").cast("string"))
+    parts = F.when(F.is_valid_utf8(text), F.split(text, "\n", -1)).otherwise(bytewise)
+    fine = files.where(F.col("length") <= limits.output_bytes).select(F.col("path").alias("file"), parts.alias("parts"))
     ended = F.element_at("parts", -1) == ""
     lines = F.when(ended, F.slice("parts", F.lit(1), F.size("parts") - 1)).otherwise(F.col("parts"))
     fine = fine.select("file", lines.alias("lines"), ended.alias("ended"))
@@ -163,7 +220,7 @@ def read_manifest(spark: SparkSession, path: str, limits: Limits = Limits()) ->
     rows = spark.read.text(path, wholetext=True).withColumn("size", F.octet_length("value")).limit(2).collect()
     if len(rows) != 1 or rows[0]["size"] > limits.manifest_bytes:
         raise ValueError("no manifest of an acceptable size")
-    value = json.loads(rows[0]["value"], object_pairs_hook=_unique, parse_constant=_constant)
+    value = strict_json(rows[0]["value"])
     counts = ["feature_count", "measured_count", "not_applicable_count", "unsupported_count", "error_count"]
     done = isinstance(value, dict) and value.get("status") == "COMPLETED"
     if not done and not (isinstance(value, dict) and value.get("status") == "FAILED" and value.get("failure")):

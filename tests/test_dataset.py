@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 from datetime import UTC, datetime
 
 import pytest
@@ -170,6 +171,57 @@ def test_strict_lines(spark, tmp_path):
     assert problem_of('{"a":[1,2,3]}', Limits(json_values=3)) == "too_many_values"
 
 
+def both_forms(spark, lines, limits=Limits()):
+    """The verdicts on lines (strings or bytes) by either form of the check."""
+    raw = [x.encode() if isinstance(x, str) else x for x in lines]
+    rows = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(raw)], "i int, x binary")
+    got = rows.select("i", strict_problem(F.col("x").cast("string"), limits).alias("p")).orderBy("i").collect()
+    return [r["p"] for r in got], [problem_of(x, limits) for x in raw]
+
+
+def test_lines_with_tails_bytes_and_odd_tokens(spark):
+    tails = ['{"a":1} {"b":2}', '{"a":1}garbage', '{"a":1}}', '{"a":1}]', '{"a":1},', "{} x", '{"a":1}{', '"a" "b"', "1 2", "1"]
+    fine = ['{"a":1} \t\r', "  {}", '{"a" : [ 1 , -0.5e-3,true,null , "x\\u00e9\\"" ] }', '{"a":{"b":{"c":{"d":[[[[1]]]]}}}}', '{"é":"\x7f"}', '{"a":1e300}', '{"a":' + "9" * 400 + "}", '{"a":"1e999"}', '{"a":"' + "\\n" * 20_000 + '"}', '{"a":[' + "[1,2]," * 30_000 + "0]}"]
+    wrong = ['{"a":01}', '{"a":1.}', '{"a":.5}', '{"a":+1}', '{"a":- 1}', '{"a":1e}', '{"a":tru}', '{"a":truefalse}', '{"a":1 2}', '{"a" 1}', '{"a":1,}', '{,}', '{"a":[1,]}', '{"a":[,1]}', '{"a":[1}', '{a:1}', "{'a':1}", '{"a":"\\q"}', '{"a":"\\u12g4"}', '{"a":"\t"}', '{"a":"\x01"}', '{"a":\x01}', '{\x01:1}', '{"a":\x02}', '{"a":1}\xa0', '{"a":"x}', '{"a\\":1}', '{1:2}', '{"a":1,"\\u0061":2}', '{"a":{"b":1,"b":1}}', '{"a":1e999}', '{"a":-1e400}', '{"a":' + "9" * 1001 + "}", '{"a":' + "9" * 400 + ".5}", '{"a":Infinity}', "\ufeff{}", '{"a":1}\x00', b'{"a":"\xff"}', b'{"a":"\xc3"}', b'{"\xed\xa0\x80":1}', b"\xff"]
+    for lines, wants in ((tails, {"malformed", "no_object"}), (fine, {None}), (wrong, {"malformed"})):
+        got, plain = both_forms(spark, lines)
+        assert got == plain and set(got) <= wants, [x for x in zip(lines, got, plain, strict=True) if x[1] != x[2] or x[1] not in wants]
+    assert both_forms(spark, ["\t", " \r", "\xa0", "\x0b", ""])[0] == ["blank", "blank", "malformed", "malformed", "blank"]
+    counts = ['{"a":[1,"x",{"b":null}]}', '{"a":[1,"x",{"b":[]}]}', "{}"]
+    for n in range(7):
+        got, plain = both_forms(spark, counts, Limits(json_values=n))
+        assert got == plain
+
+
+def test_both_forms_agree_on_damaged_lines(spark):
+    """Random nested lines with bytes removed, doubled, swapped and replaced."""
+    rng = random.Random(11)
+
+    def value(depth):
+        kind = rng.randrange(8 if depth < 6 else 5)
+        if kind < 5:
+            return rng.choice([1, -2.5, 1e22, True, None, "", 'q"\\/', "é\U0001f600", "[{", 0, "a:b,c"])
+        return [value(depth + 1) for _ in range(rng.randrange(4))] if kind < 6 else {rng.choice("abcé\""): value(depth + 1) for _ in range(rng.randrange(4))}
+
+    lines = []
+    for _ in range(3000):
+        line = bytearray(json.dumps({"k": value(0), "l": value(1)}, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, None, 1])).encode())
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            at = rng.randrange(len(line))
+            line[at : at + rng.randrange(3)] = rng.choice([b"", b"", line[at : at + 1] * 2, b"\xff", b'"', b"\\", b"}", b"]", b",", b":", b"{", b" ", b"\t", b"0", b"e", b"-", b"\n", b"\x01", b'"k":1,'])
+        lines.append(bytes(line))
+    got, plain = both_forms(spark, lines)
+    assert [(x, g, p) for x, g, p in zip(lines, got, plain, strict=True) if g != p] == []
+    assert plain.count(None) > 500 and plain.count("malformed") > 1000
+
+
+def test_bytes_that_are_no_text_stay_in_their_line(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_bytes(b'{"feature_index":0,"n":"\xc3\xa9"}\n{"feature_index":1,"n":"\xff"}\n{"feature_index":2,"n":"b"}\n')
+    rows = read_feature_lines(spark, str(tmp_path), "feature_index int, n string").collect()
+    assert sorted((r["problem"] or "", r["feature_index"], r["n"]) for r in rows if r["problem"] is None) == [("", 0, "é"), ("", 2, "b")]
+    assert [r["problem"] for r in rows if r["problem"]] == ["malformed"]
+
+
 def test_lines_round_trip_and_protocol(spark, tmp_path):
     rows = spark.createDataFrame([(1, "ERROR", None), (0, "MEASURED", 2.0)], "feature_index int, measurement_status string, area_m2 double")
     write_feature_lines(rows, str(tmp_path / "lines"))
