@@ -22,6 +22,7 @@ from .functions.vincenty_sql import with_distance
 from .model import Limits
 from .functions import topology
 from .functions.geodesic import E2
+from .operators.exact_sum import exact_sum, exact_totals
 from .operators.measure import Problem, center_of, measure_features
 from .plans import views
 from .plans.dataset import component_count, status_counts
@@ -83,7 +84,7 @@ def ring_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
         x0, y0 = ring[0][0], ring[0][1]
         n = F.size(ring)
         ahead = F.zip_with(F.slice(ring, F.lit(1), n - 1), F.slice(ring, F.lit(2), n - 1), lambda p, q: (p[0] - x0) * (q[1] - y0) - (q[0] - x0) * (p[1] - y0))
-        return F.round(expr.compensated_sum(ahead) / 2, 9)
+        return F.round(exact_sum(ahead) / 2, 9)
 
     @F.pandas_udf("string")
     def role(rings: pd.Series) -> pd.Series:
@@ -581,10 +582,9 @@ def component_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT user_id, round(sum(coalesce(area_m2, length_m)), 6) AS total, count(coalesce(area_m2, length_m))::BIGINT AS n FROM {a.FEATURES_SQL} GROUP BY user_id")
 def compensated_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals by Neumaier's sum over each file's measurements in feature order (a file holds 5000 at most)."""
-    rows = a.features(spark, sf_dir).withColumn("x", F.coalesce("area_m2", "length_m"))
-    lists = rows.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("x").isNotNull(), F.struct("feature_index", "x")))), lambda s: s["x"]).alias("xs"), F.count("x").alias("n"))
-    return lists.select("user_id", F.round(F.when(F.col("n") > 0, expr.compensated_sum(F.col("xs"))), 6).alias("total"), "n")
+    """Exact totals of all measurements of a user, in whatever order they come."""
+    found = exact_totals(a.features(spark, sf_dir), ["user_id"], F.coalesce("area_m2", "length_m"))
+    return found.select("user_id", F.round("total", 6).alias("total"), "n")
 
 
 @query(f"""SELECT f.id, f.status, '/api/files/' || f.id || '/' AS self, '/api/files/' || f.id || '/measurements/' AS measurements, CASE WHEN f.status = 'FAILED' THEN 'FILE_PROCESSING_FAILED' END AS failure FROM {a.FILES_SQL} f""")
