@@ -1,16 +1,18 @@
 """The inverse geodesic as plain expressions, for plans that never leave the JVM.
 
 Short arcs settle in four rounds.  Where the last round still moves the result (far pairs, near the
-antipodes), the distance is that on the mean sphere, as the array form has it.
+antipodes) the distance is that on the mean sphere, far beyond every limit that is asked of it; the
+array form, ``geodesic.inverse``, solves such pairs as well.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from .geodesic import A, B, MEAN_RADIUS, F
+from .geodesic import A, B, F
 
 ROUNDS = 5
+MEAN_RADIUS = (2.0 * A + B) / 3.0
 
 
 def steps() -> list[dict[str, str]]:

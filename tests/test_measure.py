@@ -14,7 +14,7 @@ from terrameter.functions import map_projections as maps
 from terrameter.functions import topology
 from terrameter.functions.crs import WGS84_WKT, CrsError, crs_from_wkt
 from terrameter.functions.datum import Shift, geocentric, geodetic
-from terrameter.functions.geodesic import E2, A, direct, inverse
+from terrameter.functions.geodesic import AUTHALIC2, E2, A, area_under, direct, inverse, ring_areas
 from terrameter.functions.projection import equal_area
 from terrameter.model import Limits
 from terrameter.operators import measure
@@ -74,6 +74,81 @@ def test_lengths(geometry, expected):
     assert status == "MEASURED" and abs(value - expected) <= max(0.001, 1e-3 * expected)
 
 
+# Published near-antipodal pairs: positions, metres and start azimuth.
+FAR = [((0, -30, 179.8, 29.9), 19989832.827610, 161.890524736), ((0, 0, 179.5, 0.5), 19936288.578965, 25.671872868), ((0, 0, 180, 0), 20003931.458625, None), ((0, 90, 180, -90), 20003931.458625, None), ((7, 30, -173, -30), 20003931.458625, None)]
+
+
+@pytest.mark.parametrize(("ends", "metres", "azimuth"), FAR)
+def test_inverse_near_antipodes(ends, metres, azimuth):
+    lon1, lat1, lon2, lat2 = ends
+    distance, start = inverse(*ends)
+    assert abs(distance - metres) < 1e-3 and (azimuth is None or abs(np.degrees(start) - azimuth) < 1e-8)
+    for other in ((lon2, lat2, lon1, lat1), (lon1, -lat1, lon2, -lat2), (-lon1, lat1, -lon2, lat2), (lon1 + 50, lat1, lon2 + 50, lat2)):
+        distance, start = inverse(*other)
+        assert abs(distance - metres) < 1e-3
+        if azimuth is not None:  # from the start along the azimuth lies the other end
+            lon, lat = direct(other[0], other[1], start, distance)
+            assert float(inverse(lon, lat, other[2], other[3])[0]) < 1e-3
+
+
+def test_inverse_is_total_and_settles_everywhere():
+    """Random pairs, pairs around antipodes and along the equator: never NaN, symmetric, and reached again by the direct solution."""
+    rng = np.random.default_rng(4)
+    lon1, lat1 = rng.uniform(-180, 180, 4000), np.round(rng.uniform(-90, 90, 4000), 3)
+    lat1[:400] = 0
+    lon2 = np.where(np.arange(4000) % 2, lon1 + 180 + rng.normal(0, 0.7, 4000), rng.uniform(-180, 180, 4000))
+    lat2 = np.where(np.arange(4000) % 2, -lat1 + rng.normal(0, 0.5, 4000), rng.uniform(-90, 90, 4000)).clip(-90, 90)
+    lat2[:200] = 0
+    distance, azimuth = inverse(lon1, lat1, lon2, lat2)
+    assert np.isfinite(distance).all() and np.isfinite(azimuth).all() and distance.max() < 20003931.459
+    assert np.abs(distance - inverse(lon2, lat2, lon1, lat1)[0]).max() < 1e-3
+    lon, lat = direct(lon1, lat1, azimuth, distance)
+    assert inverse(lon, lat, lon2, lat2)[0].max() < 1e-3
+    assert np.abs(inverse(0, 0, [179.0, 179.39], 0)[0] - A * np.radians([179.0, 179.39])).max() < 1e-6
+
+
+def geodesic_area_of(geometry):
+    rings = [np.array(r) for r in geometry["coordinates"]]
+    points = np.concatenate(rings)
+    areas = ring_areas(points[:, 0], points[:, 1], np.cumsum([0, *(len(r) for r in rings)])[:-1])
+    return areas[0] - areas[1:].sum()
+
+
+@pytest.mark.parametrize(("geometry", "expected"), AREAS)
+def test_geodesic_areas(geometry, expected):
+    assert abs(geodesic_area_of(geometry) - expected) < 1e-3 + 1e-10 * expected
+
+
+def zone(lat):
+    """Area between the equator and a parallel, for a radian of longitude."""
+    s, e = math.sin(math.radians(lat)), math.sqrt(E2)
+    return A * A * (1 - E2) / 2 * (s / (1 - E2 * s * s) + math.atanh(e * s) / e)
+
+
+def test_geodesic_areas_of_zones_and_caps():
+    lon = np.linspace(-180, 180, 7201)
+    for lat in (-89.9, -40.0, 0.5, 60.0, 89.0):
+        cap = ring_areas(lon, np.full(len(lon), lat), np.array([0]))[0]
+        assert cap == pytest.approx(2 * math.pi * (zone(90) - abs(zone(lat))), rel=2e-6)
+        assert cap == pytest.approx(ring_areas(lon[::-1], np.full(len(lon), lat), np.array([0]))[0], rel=1e-9)
+    assert ring_areas(np.array([0, 90, 0, 0.0]), np.array([0, 0, 90, 0.0]), np.array([0]))[0] == pytest.approx(math.pi * AUTHALIC2 / 2, rel=1e-14)
+    assert zone(90) == pytest.approx(AUTHALIC2, rel=1e-15) and 4 * math.pi * AUTHALIC2 == pytest.approx(510065621724088.44, rel=1e-13)
+    # both halves of an edge together, and pairs across the date line
+    middle = direct(10, 40, *(lambda d, z: (z, d / 2))(*inverse(10, 40, 75, -20)))
+    assert float(area_under(10, 40, 75, -20)) == pytest.approx(float(area_under(10, 40, *middle) + area_under(*middle, 75, -20)), rel=1e-9)
+    assert float(area_under(179, 10, -179, 11)) == pytest.approx(float(area_under(-1, 10, 1, 11)), rel=1e-12)
+
+
+def test_geodesic_areas_of_small_rings():
+    """A few centimetres to a few kilometres, far from the equator: the error is that of the coordinates."""
+    for size in (1e-7, 1e-5, 1e-2):
+        for lat in (-75.0, 48.0):
+            ring = np.array(square(100, lat, 100 + size, lat + size))
+            want = math.radians(size) * (zone(lat + size) - zone(lat))
+            got = ring_areas(ring[:, 0], ring[:, 1], np.array([0]))[0]
+            assert got == pytest.approx(abs(want), rel=1e-4, abs=1e-5)
+
+
 UTM = 'PROJCS["WGS 84 / UTM zone 31N",' + WGS84_WKT + ',PROJECTION["Transverse_Mercator"],PARAMETER["latitude_of_origin",0],PARAMETER["central_meridian",3],PARAMETER["scale_factor",0.9996],PARAMETER["false_easting",500000],PARAMETER["false_northing",0],UNIT["metre",1]]'
 
 
