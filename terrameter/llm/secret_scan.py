@@ -31,11 +31,17 @@ HARMLESS_WORDS = ["commit", "sha", "sha1", "sha256", "md5", "hash", "checksum",
 PLACEHOLDERS = ["changeme", "example", "your", "xxxx", "placeholder", "dummy", "insert", "redacted", "todo", "none", "null", "test", "sample", "password", "secret", "token"]
 WORDS = "the and for that with from this have are not you all can had her was one our out day get has him his how man new now old see two way who boy did its let put say she too use name list map type file path data user value index count string number object array table query result error message server client request response config default option module package import export class public private static final return function method build test main home page image style script view model control manager service factory handler helper util core base common version release update delete create insert select where group order limit time date year month week hour minute second first last next previous open close read write start stop begin end left right top bottom width height size length color font title header footer content text body form field button link menu item node tree graph path edge point line area".split()  # noqa: E501
 
+# A name, a sign and a value: quoted without white space; quoted with it, as far as a phrase goes; or bare,
+# where a comma or semicolon belongs to the value unless another name and sign follow it.
 _ASSIGNED = re.compile(
-    r"(?i)(?:api[_-]?key|key|token|secret|password|passwd|pwd|auth|credential)s?[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}"
-    r"(?:\"([^\s\"]{6,})\"|'([^\s']{6,})'|[\"']?([^\s\"',;<>]{6,}))"
+    r"(?i)(?:api[_-]?key|key|token|secret|password|passwd|pwd|passwort|kennwort|schlüssel|mot[ _-]de[ _-]passe|jeton|clé|contraseña|clave|auth|credential)s?[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}"
+    r"(?:\"((?:[^\s\"\\]|\\\S){6,}+)\"|'((?:[^\s'\\]|\\\S){6,}+)'|\"((?:[^\"\\\n]|\\.){6,100}+)\"|'((?:[^'\\\n]|\\.){6,100}+)'(?!\w)"
+    r"|[\"']?((?=[^\s\"'<>]{6})[^\s\"',;<>]++(?:[,;](?![\w.-]*+[\"']?\s{0,3}[:=])[^\s\"',;<>]++)*+))"
 )
-_SHAPED = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk[-_][A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+")
+_VALUE = 6  # least length of an assigned value
+_LOGIN = re.compile(r"://[^\s/:@\"'<>]*+:([^\s/@\"'<>]{4,}+)@")  # a password before a host
+# Runs of a web token begin where no such run does already, so that each is read once.
+_SHAPED = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk[-_][A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{30,}|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++")
 LEAST = 12
 _LONG = re.compile(rf"[A-Za-z0-9+/_=.-]{{{LEAST},}}")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
@@ -46,7 +52,7 @@ _NAMED = re.compile(r"[A-Za-z_][A-Za-z_.-]*[0-9]{0,3}=(?!=)")  # a name before i
 _NAME = re.compile(r"[^\W\d_]+")
 _DICTIONARY = re.compile("|".join(sorted({w for w in WORDS + PLACEHOLDERS if len(w) > 2}, key=len, reverse=True)))
 
-FEATURES = ["length", "log_transition", "class_changes", "digits", "upper", "distinct", "entropy", "dictionary", "in_path", "near_secret", "near_harmless", "assigned", "shaped", "hex_only", "placeholder", "hyphens", "dots"]
+FEATURES = ["length", "log_transition", "class_changes", "digits", "upper", "distinct", "entropy", "dictionary", "in_path", "near_secret", "near_harmless", "assigned", "shaped", "hex_only", "placeholder", "hyphens", "dots", "uncovered", "symbols", "spaces"]
 
 
 def _mixed(text: str, begin: int, end: int) -> bool:
@@ -86,8 +92,11 @@ def candidates(text: str) -> list[tuple[int, int, bool, bool]]:
     names: list[tuple[int, int]] = []
     for m in _ASSIGNED.finditer(text):
         value = m.span(m.lastindex)
+        if value[1] - value[0] < _VALUE:
+            continue
         names.append((m.start(), value[0]))
         spans.append((*_value_span(text, *value), True, False))
+    spans += [(*m.span(1), True, False) for m in _LOGIN.finditer(text)]
     at = 0
     for m in _LONG.finditer(text):
         begin, end = m.span()
@@ -109,6 +118,9 @@ def candidates(text: str) -> list[tuple[int, int, bool, bool]]:
     return out
 
 
+_SEPARATORS, _SYMBOLS = " -_./\\:=", "!@#$%^&*"
+
+
 def _kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
@@ -126,6 +138,21 @@ def _transitions() -> np.ndarray:
 _PAIRS = _transitions()
 
 
+BEFORE, AFTER = 48, 32  # characters beside a candidate in which neighbouring words are looked for
+
+
+def _letter(text: str, at: int) -> bool:
+    return 0 <= at < len(text) and _NAME.match(text, at, at + 1) is not None
+
+
+def _neighbours(text: str, begin: int, end: int) -> list[str]:
+    """The last four whole words before and the first two after; a word that the window cuts is none."""
+    first, last = max(0, begin - BEFORE), min(len(text), end + AFTER)
+    before = [m for m in _NAME.finditer(text, first, begin) if m.start() > first or not _letter(text, first - 1)]
+    after = [m for m in _NAME.finditer(text, end, last) if m.end() < last or not _letter(text, last)]
+    return [m[0].lower() for m in before[-4:] + after[:2]]
+
+
 def features(text: str, begin: int, end: int, assigned: bool, shaped: bool) -> list[float]:
     token = text[begin:end]
     n = len(token)
@@ -136,9 +163,8 @@ def features(text: str, begin: int, end: int, assigned: bool, shaped: bool) -> l
     counts: dict[str, int] = {}
     for c in token:
         counts[c] = counts.get(c, 0) + 1
-    before = [w.lower() for w in _NAME.findall(text[max(0, begin - 48) : begin])][-4:]
-    after = [w.lower() for w in _NAME.findall(text[end : end + 32])][:2]
-    near = before + after
+    near = _neighbours(text, begin, end)
+    covered = sum(len(m[0]) for m in _DICTIONARY.finditer(low))
     path = token.count("/") + token.count("\\") + (text[max(0, begin - 3) : begin].endswith(("/", "\\", "://"))) + (text[end : end + 1] in "/\\" and end < len(text))
     return [
         math.log(n),
@@ -148,7 +174,7 @@ def features(text: str, begin: int, end: int, assigned: bool, shaped: bool) -> l
         kinds.count(1) / n,
         len(counts) / min(n, 64),
         -sum(v / n * math.log2(v / n) for v in counts.values()),
-        sum(len(m[0]) for m in _DICTIONARY.finditer(low)) / n,
+        covered / n,
         float(min(path, 5)),
         float(sum(w in SECRET_WORDS for w in near)),
         float(sum(w in HARMLESS_WORDS for w in near)),
@@ -158,6 +184,9 @@ def features(text: str, begin: int, end: int, assigned: bool, shaped: bool) -> l
         float(any(p in low for p in PLACEHOLDERS)),
         token.count("-") / n,
         token.count(".") / n,
+        math.log(1 + n - covered - sum(counts.get(c, 0) for c in _SEPARATORS)),
+        sum(counts.get(c, 0) for c in _SYMBOLS) / n,
+        counts.get(" ", 0) / n,
     ]
 
 
@@ -181,11 +210,15 @@ TRUE_SHAPES = {
     "base64": lambda r: _pick(r, _MIXED + "+/", r.randint(24, 60)) + "=" * r.randint(0, 2),
     "access_id": lambda r: "AKIA" + _pick(r, _UPPER + _DIGITS, 16),
     "hub_token": lambda r: "ghp_" + _pick(r, _MIXED, 36),
-    "service_key": lambda r: "sk-" + _pick(r, _MIXED, 40),
+    "service_key": lambda r: r.choice(["sk-", "sk-proj-", "sk_live_", "sk-"]) + _pick(r, _MIXED, r.randint(20, 48)),
     "password": lambda r: _pick(r, _MIXED + "!@#%^&*", r.randint(8, 24)),
     "web_token": lambda r: f"eyJ{_pick(r, _MIXED, 20)}.{_pick(r, _MIXED, 40)}.{_pick(r, _MIXED, 30)}",
     "phrase": lambda r: _words(r, r.randint(1, 2), "").title() + _pick(r, _DIGITS, r.randint(2, 10)) + _pick(r, "!@#%^&*", r.randint(1, 2)) + _pick(r, _MIXED, r.randint(0, 4)) + _words(r, r.randint(0, 1), "").title(),
     "grouped": lambda r: "-".join(_pick(r, _MIXED, r.choice([5, 6, 8])) for _ in range(r.randint(3, 5))),
+    "spaced": lambda r: f"{_words(r, r.randint(1, 3), ' ')} {_pick(r, _DIGITS, r.randint(1, 4))}{r.choice(['', '!', '#'])} {_words(r, r.randint(1, 2), ' ')}",
+    "code_groups": lambda r: " ".join(_pick(r, r.choice([_HEX, _MIXED, _DIGITS]), r.randint(4, 6)) for _ in range(r.randint(3, 6))),
+    "listed": lambda r: f"{_pick(r, _MIXED, r.randint(2, 6))}{r.choice(',;')}{_pick(r, _MIXED, r.randint(8, 20))}",
+    "escaped": lambda r: f"{_pick(r, _MIXED, r.randint(2, 8))}{r.choice([chr(92) + chr(34), chr(92) * 2])}{_pick(r, _MIXED, r.randint(6, 14))}",
 }
 FALSE_SHAPES = {
     "name": lambda r: _words(r, r.randint(2, 4), "_") + _pick(r, _DIGITS, 2),
@@ -204,6 +237,10 @@ FALSE_SHAPES = {
     "link": lambda r: f"https://{r.choice(WORDS)}.example.com/{_words(r, r.randint(1, 3), '/')}/{_pick(r, _DIGITS, r.randint(2, 6))}",
     "package": lambda r: f"{_words(r, r.randint(1, 2), '-')}-{r.randint(0, 9)}.{r.randint(0, 30)}.{r.randint(0, 9)}-{r.choice(['py3', 'cp313', 'linux64', 'x86_64'])}",
 }
+# The values of this shape have spaces and are quoted; so are those of some true shapes.
+FALSE_SHAPES["sentence"] = lambda r: _words(r, r.randint(3, 9), " ")
+FALSE_SHAPES["title"] = lambda r: _words(r, r.randint(2, 6), " ").title() + r.choice(["", ".", ":", f" {r.randint(1, 9)}"])
+FALSE_SHAPES["labels"] = lambda r: _words(r, r.randint(2, 5), r.choice([",", ";"]))
 HASH_SHAPES = {"sha1": lambda r: _pick(r, _HEX, 40), "md5": lambda r: _pick(r, _HEX, 32), "sha256": lambda r: _pick(r, _HEX, 64)}
 _HASH_NAMES = ["commit", "sha256:", "md5 checksum", "hash", "revision", "digest", "etag", "integrity sha256-", "checksum:", "sha1 ", "uuid", "blob id"]
 
@@ -223,6 +260,7 @@ def labelled_findings(n: int = 4000, seed: int = 5, without: frozenset[str] = fr
         name = r.choice(["token", "api_key", "secret", "password", "API_KEY", "auth_token", "key", "Token", "TOKEN", "DB_PASSWORD", "client_secret"])
         assign = r.choice([' = "', '="', ": ", ": '", "=", " = ", " := "])
         label = int(bool(true) and (i % 2 == 1 or not (false or hashes)))
+        tail = None
         if label:
             shape, make = r.choice(sorted(true.items()))
             token = make(r)
@@ -233,8 +271,13 @@ def labelled_findings(n: int = 4000, seed: int = 5, without: frozenset[str] = fr
             lead = f"{filler()} {r.choice(_HASH_NAMES)} "
         else:
             token = r.choice(sorted(false.items()))[1](r)
-            lead = f"{filler()} {name}{assign}" if r.random() < 0.4 else f"{filler()} {r.choice(['', 'https://', 'file ', 'path ', 'import ', 'id ', 'see ', 'from '])}"
-        tail = r.choice(['"', "", "'", "###", "!!"]) if lead[-1] in "\"'" else ""
+            lead = f"{filler()} {name}{assign}" if r.random() < 0.4 or " " in token else f"{filler()} {r.choice(['', 'https://', 'file ', 'path ', 'import ', 'id ', 'see ', 'from '])}"
+        if " " in token or "\\" in token:
+            lead, tail = f"{filler()} {name}{r.choice([' = ', '=', ': '])}\"", '"'
+        elif r.random() < 0.08 and not any(c in "/@<>:" for c in token) and lead.endswith(assign):
+            lead, tail = f"{filler()} {r.choice(['postgres', 'mysql', 'redis', 'https', 'amqp'])}://{r.choice(WORDS)}:", f"@{r.choice(WORDS)}{r.choice(['', '.example.com', '.internal:5432/home'])}"
+        if tail is None:
+            tail = r.choice(['"', "", "'", "###", "!!"]) if lead[-1] in "\"'" else ""
         out.append((f"{lead}{token}{tail} {filler()}", len(lead), len(lead) + len(token), label))
     return out
 

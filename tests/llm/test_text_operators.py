@@ -7,11 +7,13 @@ import random
 import re
 import string
 import struct
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 import regex
 import sentencepiece
 import tiktoken
@@ -423,13 +425,14 @@ def test_op4_forest_and_masks(spark, odd_docs, no_docs):
 
 def test_op4_shapes_that_the_forest_never_saw():
     """Each shape is held out whole: the forest is trained on the others and asked about it alone."""
-    true, false = [], []
+    true, false = {}, {}
     for shapes, rates, which in ((secret_scan.TRUE_SHAPES, true, 0), (secret_scan.FALSE_SHAPES | secret_scan.HASH_SHAPES, false, 1)):
         for shape in shapes:
-            other = secret_scan.train(secret_scan.labelled_findings(2000, without=frozenset([shape])))
-            rates.append(hit_rates(other, secret_scan.labelled_findings(150, seed=98, only=shape))[which])
-    assert np.mean(true) > 0.85 and min(true) > 0.2  # recall
-    assert np.mean(false) < 0.1 and max(false) < 0.7  # share of harmless findings taken for secrets
+            other = secret_scan.train(secret_scan.labelled_findings(without=frozenset([shape])))
+            rates[shape] = hit_rates(other, secret_scan.labelled_findings(150, seed=98, only=shape))[which]
+    del true["spaced"]  # phrases with spaces, told from sentences only by examples of their own
+    assert np.mean(list(true.values())) > 0.9 and min(true.values()) > 0.25  # recall
+    assert np.mean(list(false.values())) < 0.1 and max(false.values()) < 0.6 and false["camel"] < 0.2  # share of harmless findings taken for secrets
 
 
 def test_op4_forest_decides_on_wide_candidates():
@@ -470,7 +473,9 @@ def test_op4_random_secrets_leave_no_trace(spark):
         if any(f["begin"] < end and f["end"] > begin for f in rows[i]["findings"]):
             found += 1
             masked = rows[i]["text"]
-            assert masked.startswith(text[:begin]) and masked.endswith(text[end:].lstrip("'\"#!")) and text[begin:end][-6:] not in masked
+            rest = text[end:].lstrip("'\"#!")
+            assert masked.startswith(text[:begin]) and masked.endswith(rest)
+            assert masked[begin : len(masked) - len(rest)].replace(secret_scan.MASK, "").strip("'\"#!") == ""
     assert found > 0.97 * len(findings)
 
 
@@ -480,12 +485,16 @@ def plain_candidates(text):
     spans, names, i = [], [], 0
     while i < len(text):
         m = secret_scan._ASSIGNED.match(text, i)
-        if m:
-            b, e = next(m.span(k) for k in (1, 2, 3) if m[k] is not None)
+        b, e = next(m.span(k) for k in (1, 2, 3, 4, 5) if m[k] is not None) if m else (0, 0)
+        if e - b >= 6:
             names.append((i, b))
             rule = re.match(r"([+/_=.-])\1{3,}", text[b:e])
             spans.append((b + rule.end() if rule and e - b - rule.end() >= 6 else b, e, True, False))
         i = m.end() if m else i + 1
+    for i in range(len(text)):
+        m = re.match(r"://([^\s/:@\"'<>]*):([^\s/@\"'<>]*)@", text[i:])
+        if m and len(m[2]) >= 4:
+            spans.append((i + m.start(2), i + m.end(2), True, False))
     i = 0
     while i < len(text):
         m = secret_scan._SHAPED.match(text, i)
@@ -544,7 +553,12 @@ def plain_features(text, begin, end, assigned, shaped):
     pairs = [secret_scan._PAIRS[place(a), place(b)] for a, b in zip(low, low[1:], strict=False)]
     kinds = ["l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "o" for c in token]
     count = Counter(token)
-    near = [w.lower() for w in re.findall(r"[^\W\d_]+", text[max(0, begin - 48) : begin])][-4:] + [w.lower() for w in re.findall(r"[^\W\d_]+", text[end : end + 32])][:2]
+    lead, tail = text[max(0, begin - 48) : begin], text[end : end + 32]
+    words = lambda x: [w.lower() for w in re.findall(r"[^\W\d_]+", x)]
+    whole = lambda x, y: not re.fullmatch(r"[^\W\d_]{2}", x + y)
+    before, after = words(lead), words(tail)
+    before = before if whole(text[max(0, begin - 49) : max(0, begin - 48)], lead[:1]) else before[1:]
+    near = before[-4:] + (after if whole(tail[-1:], text[end + 32 : end + 33]) else after[:-1])[:2]
     lead, tail = text[max(0, begin - 3) : begin], text[end : end + 1]
     slashes = sum(c in "/\\" for c in token) + (lead[-1:] in ("/", "\\")) + (tail in ("/", "\\"))
     covered, i = 0, 0
@@ -556,16 +570,49 @@ def plain_features(text, begin, end, assigned, shaped):
         np.log(n), np.mean(pairs) if pairs else -3.0, sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1), kinds.count("d") / n, kinds.count("u") / n,
         len(count) / min(n, 64), -sum(v / n * np.log2(v / n) for v in count.values()), covered / n, min(slashes, 5), sum(w in secret_scan.SECRET_WORDS for w in near), sum(w in secret_scan.HARMLESS_WORDS for w in near),
         assigned, shaped, set(token) <= set("0123456789abcdefABCDEF"), any(p in low for p in secret_scan.PLACEHOLDERS), token.count("-") / n, token.count(".") / n,
+        np.log(1 + n - covered - sum(c in " -_./\\:=" for c in token)), sum(c in "!@#$%^&*" for c in token) / n, token.count(" ") / n,
     ]
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from(["api_key", "=", "==", ": ", '"', "'", " ", "\n", "-----", "a1b2c3d4e5f6a7b8", "Abc", "password", "token=", "/usr/lib", "ghp_" + "aB3" * 9, "x.y_z-", "é", "==" * 3, "NAME=", "9" * 15, "word" * 7]), max_size=14))
+@given(st.lists(st.sampled_from(["api_key", "=", "==", ": ", '"', "'", " ", "\n", "-----", "a1b2c3d4e5f6a7b8", "Abc", "password", "token=", "/usr/lib", "ghp_" + "aB3" * 9, "x.y_z-", "é", "==" * 3, "NAME=", "9" * 15, "word" * 7, "://", "@", ":", ";", ",x", "\\", "passwort"]), max_size=14))
 def test_op4_candidates_against_every_position(parts):
     text = "".join(parts)
     assert secret_scan.candidates(text) == plain_candidates(text)
 
 
+def test_op4_forms_of_assigned_values(spark):
+    """Phrases, escaped quotes, logins in addresses, names in other languages, values with commas, known shapes: masked whole, the rest stays."""
+    m = secret_scan.MASK
+    texts = {
+        'password = "correct horse 9 battery staple" next': f'password = "{m}" next', '{"password":"ab\\"cd12XYqq99"}': f'{{"password":"{m}"}}', "use postgres://admin:S3cr3tPw9@db.internal/app now": f"use postgres://admin:{m}@db.internal/app now",
+        "passwort: Hunter2x!": f"passwort: {m}", "secret=ab;cd12345XYZtail99 x": f"secret={m} x", "key: sk-4f9aQ2LmZx81TrPq77VbNc30 y": f"key: {m} y", "mot de passe : Zebre77!rouge": f"mot de passe : {m}", "password=q9X1zz7LpW,user=bob": f"password={m},user=bob",
+    }
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secret_scan.scan_documents(rows, SCANNER).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+    plain = ['the key: "a sentence about the place where we all were last year" and more', "token: first, second, third", "see http://host.example.com:8080/path for more", "key: 'tis the time of year"]
+    for text in plain:
+        assert all(s < 0.5 for _, _, s in SCANNER.scan(text)), text
+
+
+HEADS = ["eyJ", "eyJabcdefghi.", "sk-", "ghp_", "xoxb-", "AIza", "AKIA", "key=", 'key: "', "password='", 'token="\\', "secret=ab;", "key=a,", "://", "://a:", "a1", "aB", "-=", "NAME=", "key:'\"", "a.b@", "word "]
+
+
+@pytest.mark.parametrize("head", HEADS)
+def test_op4_time_is_linear_on_repeated_heads(head):
+    """Two million characters of any shape's beginning: seconds, where quadratic time would be an hour."""
+    text = head * (2_000_000 // len(head))
+    began = time.process_time()
+    found = secret_scan.candidates(text)
+    assert time.process_time() - began < 40
+    assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
+    began = time.process_time()
+    for c in found[:2]:
+        secret_scan.features(text, *c)
+    assert time.process_time() - began < 40
+
+
 def test_op4_long_tokens_are_read_whole():
     """A secret behind a rule line or filler of any length is a candidate."""
     key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
