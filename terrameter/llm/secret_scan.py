@@ -31,17 +31,23 @@ HARMLESS_WORDS = ["commit", "sha", "sha1", "sha256", "md5", "hash", "checksum",
 PLACEHOLDERS = ["changeme", "example", "your", "xxxx", "placeholder", "dummy", "insert", "redacted", "todo", "none", "null", "test", "sample", "password", "secret", "token"]
 WORDS = "the and for that with from this have are not you all can had her was one our out day get has him his how man new now old see two way who boy did its let put say she too use name list map type file path data user value index count string number object array table query result error message server client request response config default option module package import export class public private static final return function method build test main home page image style script view model control manager service factory handler helper util core base common version release update delete create insert select where group order limit time date year month week hour minute second first last next previous open close read write start stop begin end left right top bottom width height size length color font title header footer content text body form field button link menu item node tree graph path edge point line area".split()  # noqa: E501
 
-# A name, a sign and a value: quoted without white space; quoted with it, as far as a phrase goes; or bare,
-# where a comma or semicolon belongs to the value unless another name and sign follow it.
-_ASSIGNED = re.compile(
-    r"(?i)(?:api[_-]?key|key|token|secret|password|passwd|pwd|passwort|kennwort|schlüssel|mot[ _-]de[ _-]passe|jeton|clé|contraseña|clave|auth|credential)s?[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}"
+# Assigned values are found from their signs, which are rare: a name before the sign, and a value behind it,
+# quoted without white space; quoted with it, as far as a phrase goes; or bare, where a comma or semicolon
+# belongs to the value unless another name and sign follow it.
+_SIGN = re.compile(r"[:=]")
+_SIGNS = (":=", "=>")
+NAMES = r"(?i:(?:api[_-]?key|key|token|secret|password|passwd|pwd|passwort|kennwort|schlüssel|mot[ _-]de[ _-]passe|jeton|clé|contraseña|clave|auth|credential)s?[\"']?\s{0,3})"
+_NAMED_SIGN = re.compile(NAMES + r"\Z")
+_NAME_CHARS = 20  # of the longest name with what may stand between it and its sign
+VALUES = (
     r"(?:\"((?:[^\s\"\\]|\\\S){6,}+)\"|'((?:[^\s'\\]|\\\S){6,}+)'|\"((?:[^\"\\\n]|\\.){6,100}+)\"|'((?:[^'\\\n]|\\.){6,100}+)'(?!\w)"
     r"|[\"']?((?=[^\s\"'<>]{6})[^\s\"',;<>]++(?:[,;](?![\w.-]*+[\"']?\s{0,3}[:=])[^\s\"',;<>]++)*+))"
 )
+_VALUE_AFTER = re.compile(r"\s{0,3}" + VALUES)
 _VALUE = 6  # least length of an assigned value
 _LOGIN = re.compile(r"://[^\s/:@\"'<>]*+:([^\s/@\"'<>]{4,}+)@")  # a password before a host
 # Runs of a web token begin where no such run does already, so that each is read once.
-_SHAPED = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk[-_][A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{30,}|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++")
+_SHAPED = re.compile(r"AKIA[A-Z0-9]{16}|ASIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk[-_][A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{30,}|eyJ(?<![A-Za-z0-9_-]eyJ)[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++")
 LEAST = 12
 _LONG = re.compile(rf"[A-Za-z0-9+/_=.-]{{{LEAST},}}")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
@@ -81,6 +87,22 @@ def _value_span(text: str, begin: int, end: int) -> tuple[int, int]:
     return (rule.end(), end) if rule and end - rule.end() >= 6 else (begin, end)
 
 
+def assigned_values(text: str) -> Iterator[tuple[int, int, int]]:
+    """(begin of the name, begin and end of the value) of each assignment, from left to right, without overlaps."""
+    done = 0
+    for m in _SIGN.finditer(text):
+        at = m.start()
+        if at < done or not (name := _NAMED_SIGN.search(text[max(done, at - _NAME_CHARS) : at])):
+            continue
+        for length in (2, 1) if text.startswith(_SIGNS, at) else (1,):
+            if value := _VALUE_AFTER.match(text, at + length):
+                done = value.end()
+                begin, end = value.span(value.lastindex)
+                if end - begin >= _VALUE:
+                    yield at - len(name[0]), begin, end
+                break
+
+
 def candidates(text: str) -> list[tuple[int, int, bool, bool]]:
     """(begin, end, assigned, shaped) of each candidate, without overlaps, in order.
 
@@ -90,12 +112,9 @@ def candidates(text: str) -> list[tuple[int, int, bool, bool]]:
     """
     spans: list[tuple[int, int, bool, bool]] = [(*m.span(), False, True) for m in _SHAPED.finditer(text)]
     names: list[tuple[int, int]] = []
-    for m in _ASSIGNED.finditer(text):
-        value = m.span(m.lastindex)
-        if value[1] - value[0] < _VALUE:
-            continue
-        names.append((m.start(), value[0]))
-        spans.append((*_value_span(text, *value), True, False))
+    for start, begin, end in assigned_values(text):
+        names.append((start, begin))
+        spans.append((*_value_span(text, begin, end), True, False))
     spans += [(*m.span(1), True, False) for m in _LOGIN.finditer(text)]
     at = 0
     for m in _LONG.finditer(text):

@@ -484,7 +484,7 @@ def plain_candidates(text):
     word = lambda i, j: any(c.isascii() and c.isalpha() for c in text[i:j]) and (any(c in "0123456789" for c in text[i:j]) or j - i >= 24 and re.search("[a-z][A-Z]|[/+_]", text[i:j]) is not None)
     spans, names, i = [], [], 0
     while i < len(text):
-        m = secret_scan._ASSIGNED.match(text, i)
+        m = re.compile(secret_scan.NAMES + r"(?::=|=>|[:=])\s{0,3}" + secret_scan.VALUES).match(text, i)
         b, e = next(m.span(k) for k in (1, 2, 3, 4, 5) if m[k] is not None) if m else (0, 0)
         if e - b >= 6:
             names.append((i, b))
