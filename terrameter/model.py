@@ -131,3 +131,23 @@ STORED_FEATURE = T.StructType(
         T.StructField("bucket", T.IntegerType()),
     ]
 )
+
+STORED_FILE = T.StructType(
+    [
+        *[T.StructField(n, T.StringType()) for n in ("format", "status", "crs_wkt")],
+        *[T.StructField(n, T.LongType()) for n in ("feature_count", "measured_count", "not_applicable_count", "unsupported_count", "error_count")],
+        T.StructField("deleted_record_count", T.IntegerType()),
+        T.StructField("has_issues", T.BooleanType()),
+        T.StructField("warnings", T.ArrayType(ISSUE)),
+        *[T.StructField(n, T.StringType()) for n in ("failure_code", "failure_message")],
+        T.StructField("http_status", T.IntegerType()),
+        *[T.StructField(n, T.StringType()) for n in ("measurement_policy", "id", "filename")],
+        T.StructField("upload_size", T.LongType()),
+        T.StructField("sha256", T.StringType()),
+        *[T.StructField(n, T.TimestampType()) for n in ("created_at", "completed_at")],
+        T.StructField("buckets", T.IntegerType()),
+        T.StructField("seq", T.LongType()),
+        T.StructField("run", T.StringType()),
+        T.StructField("day", T.DateType()),
+    ]
+)

@@ -1,23 +1,30 @@
 """Published tables: files and features, pages over them, and delete.
 
-Features are written first and the file's row last, so the row is the commit marker: readers semi-join
-``files``, and features without it are invisible leftovers.  Each publication writes its features to a
-folder of its own (``run``), in as many buckets by a hash of the file as its rows need; the file's row
-says where they are.  So a publication reads back its own rows only, a page reads one bucket, and
-many small files do not become many small directories.
+Features are written first and the files' rows last, so these are the commit marker: readers semi-join
+``files``, and features without a row there are invisible leftovers.  Each publication writes its
+features to a folder of its own (``run``), in as many buckets by a hash of the file as its rows need; the
+file's row says where they are.  So a publication reads back its own rows only, and a page reads one
+bucket.  The files' rows of a publication appear together, by the renaming of one folder (atomic where
+the file system's rename is), and a frame over them keeps to the folders that were there when it was made.
+
+Small runs are put together by ``compact``: their features are written again as one run, and then their
+files' rows, with a later ``seq``; of the rows of one id the latest counts, so readers see one or the
+other.  ``clean`` removes the runs that no row names any more.  Files are partitioned by the day of their
+creation, so a page reads days from the newest on, and carry a Bloom filter on their id for lookups.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import time
 import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import MEASUREMENT_STATUSES, STORED_FEATURE, Limits
+from ..model import MEASUREMENT_STATUSES, STORED_FEATURE, STORED_FILE, Limits
 from ..sources.common import FileFailure
 
 ROWS_PER_BUCKET = 500_000
@@ -69,44 +76,113 @@ class Store:
         self.spark, self.root, self.limits = spark, root.rstrip("/"), limits
 
     def _exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return bool(path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path))
+        path, fs = self._fs(name)
+        return bool(fs.exists(path))
 
     def remove(self, name: str) -> None:
         """Delete a folder of the store, such as a used staging folder."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, fs = self._fs(name)
+        fs.delete(path, True)
 
     def _deleted(self) -> DataFrame:
         if not self._exists("deleted"):
             return self.spark.createDataFrame([], "id string")
         return self.spark.read.schema("id string").parquet(f"{self.root}/deleted")
 
+    def _fs(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _folders(self, name: str) -> dict[str, int]:
+        """Names of the folders in a folder of the store, with their times in seconds."""
+        path, fs = self._fs(name)
+        return {s.getPath().getName(): s.getModificationTime() // 1000 for s in fs.listStatus(path) if s.isDirectory()} if self._exists(name) else {}
+
+    def _file_rows(self) -> DataFrame:
+        """The latest row of each id, deleted ones included."""
+        if not any(name.startswith("run=") for name in self._folders("files")):
+            return self.spark.createDataFrame([], STORED_FILE)
+        rows = self.spark.read.schema(STORED_FILE).parquet(f"{self.root}/files")
+        # what all rows of an id have in common is a key, so that filters on it reach the scan
+        same = ["id", "created_at", "day"]
+        latest = rows.groupBy(*same).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in same]), "seq").alias("latest"))
+        return latest.select("latest.*", *same).select(*rows.columns)
+
     def files(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/files").join(self._deleted(), "id", "left_anti")
+        return self._file_rows().join(self._deleted(), "id", "left_anti")
 
     def features(self) -> DataFrame:
         """Features of the files that are published and not deleted."""
+        files = self.files().where("status = 'COMPLETED'").select(F.col("id").alias("file_id"), "run")  # listed first: what they name is there
+        if not self._exists("features"):
+            return self.spark.createDataFrame([], STORED_FEATURE)
         rows = self.spark.read.schema(STORED_FEATURE).parquet(f"{self.root}/features")
-        return rows.join(self.files().where("status = 'COMPLETED'").select(F.col("id").alias("file_id")), "file_id", "left_semi")
+        return rows.join(files, ["file_id", "run"], "left_semi").select(*STORED_FEATURE.names)
 
     def publish(self, manifests: DataFrame, features: DataFrame, ids: DataFrame) -> None:
-        """Append features, then the files rows; ``ids``: path, id, filename, upload_size, sha256, created_at.
+        """Append features, then the files' rows; ``ids``: path, id, filename, upload_size, sha256, created_at.
 
         An identical second run adds rows with new ids only; features that were written without their
         file stay invisible.  Give ``process_files`` a staging folder: both frames are read twice here.
         """
-        run = uuid.uuid4().hex
         promised = manifests.agg(F.sum("feature_count")).first()[0] or 0
-        buckets = max(1, min(MOST_BUCKETS, -(-int(promised) // ROWS_PER_BUCKET)))
         rows = features.join(ids.select("path", F.col("id").alias("file_id")), "path").drop("path", "format", "crs_wkt")
-        rows = checked(rows, feature_checks()).withColumns({"run": F.lit(run), "bucket": _bucket(F.col("file_id"), F.lit(buckets))})
-        rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "file_id", "feature_index").write.mode("append").partitionBy("run", "bucket").parquet(f"{self.root}/features")
+        run, buckets = self._write_features(checked(rows, feature_checks()), int(promised))
         # what was written must be what the manifests promise, or no file row appears
         counts = self._run(run).groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("_written"))
         done = manifests.join(ids, "path").join(counts, "id", "left").withColumn("completed_at", F.current_timestamp()).drop("path")
         same = (F.col("status") == "FAILED") & F.col("_written").isNull() | (F.coalesce("_written", F.lit(0)) == F.col("feature_count"))
-        self._append_files(checked(done, {"published_count": same}).drop("_written").withColumns({"run": F.lit(run), "buckets": F.lit(buckets)}))
+        self._show_files(checked(checked(done, {"published_count": same}).drop("_written"), file_checks()), run, buckets)
+
+    def _write_features(self, rows: DataFrame, n: int) -> tuple[str, int]:
+        """A new run of about ``n`` features, not yet visible: its name and its buckets."""
+        run = f"r{uuid.uuid4().hex}"
+        buckets = max(1, min(MOST_BUCKETS, -(-n // ROWS_PER_BUCKET)))
+        rows = rows.withColumn("bucket", _bucket(F.col("file_id"), F.lit(buckets)))
+        # a job of its own folder: writers at once share no temporary files
+        rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "file_id", "feature_index").write.partitionBy("bucket").parquet(f"{self.root}/features/run={run}")
+        return run, buckets
+
+    def _show_files(self, rows: DataFrame, run: str, buckets: int) -> None:
+        """Make files' rows visible, all at once: they are written aside, and their folder gets its name last."""
+        aside = f"_new-{run}"  # readers pass over names with this beginning
+        rows = rows.withColumns({"buckets": F.lit(buckets), "seq": F.lit(time.time_ns()), "day": F.to_date("created_at")})
+        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in STORED_FILE if f.name != "run"])
+        bloom = {"parquet.bloom.filter.enabled#id": "true", "parquet.bloom.filter.expected.ndv#id": "100000"}
+        rows.repartition("day").sortWithinPartitions("day", "created_at", "id").write.options(**bloom).partitionBy("day").parquet(f"{self.root}/files/{aside}")
+        (source, fs), (target, _) = self._fs(f"files/{aside}"), self._fs(f"files/run={run}")
+        if not fs.rename(source, target):
+            raise StoreError("PUBLICATION_FAILED", "The files' rows could not be made visible.", 500)
+
+    def compact(self, most_rows: int = ROWS_PER_BUCKET, most_runs: int = 1000) -> int:
+        """Put runs of fewer features than ``most_rows``, and runs with deleted files, together; how many were.
+
+        At most ``most_runs`` a call.  A file that is deleted or put together by someone else meanwhile
+        keeps its state: ids stay deleted, and of two copies the later counts.
+        """
+        live = self.files()
+        by_run = live.groupBy("run").agg(F.sum(F.coalesce("feature_count", F.lit(0))).alias("n"))
+        whole = self._file_rows().join(self._deleted(), "id", "left_semi").select("run").distinct().withColumn("has_deleted", F.lit(True))
+        found = by_run.join(whole, "run", "left").where((F.col("n") < most_rows) | F.col("has_deleted")).orderBy("n", "run").limit(most_runs).collect()
+        runs = [r["run"] for r in found]
+        if len(runs) < 2 and not any(r["has_deleted"] for r in found):
+            return 0
+        rows = live.where(F.col("run").isin(runs))
+        own = self.spark.read.schema(STORED_FEATURE).parquet(f"{self.root}/features").where(F.col("run").isin(runs)) if self._exists("features") else self.spark.createDataFrame([], STORED_FEATURE)
+        own = own.join(rows.select(F.col("id").alias("file_id"), "run"), ["file_id", "run"], "left_semi").drop("run", "bucket")
+        run, buckets = self._write_features(own, sum(r["n"] for r in found))
+        self._show_files(rows.drop("run"), run, buckets)
+        return len(runs)
+
+    def clean(self, grace_seconds: int = 86_400) -> int:
+        """Remove runs without a row that counts, once they are older than any reader or writer that may use them."""
+        before = int(time.time()) - grace_seconds
+        folders = {f"{table}/{name}": at for table in ("files", "features") for name, at in self._folders(table).items()}
+        used = {r["run"] for r in self.files().select("run").distinct().collect()}
+        old = [path for path, at in folders.items() if at <= before and path.rsplit("/", 1)[1].removeprefix("run=").removeprefix("_new-") not in used]
+        for path in old:
+            self.remove(path)
+        return len(old)
 
     def _run(self, run: str, bucket: int | None = None) -> DataFrame:
         """Features of one publication, or of one of its buckets: nothing else is listed."""
@@ -115,9 +191,6 @@ class Store:
             return self.spark.createDataFrame([], STORED_FEATURE)
         return self.spark.read.option("basePath", f"{self.root}/features").schema(STORED_FEATURE).parquet(f"{self.root}/{path}")
 
-    def _append_files(self, rows: DataFrame) -> None:
-        checked(rows, file_checks()).sortWithinPartitions("created_at", "id").write.mode("append").parquet(f"{self.root}/files")
-
     def delete(self, file_id: str) -> None:
         """Hide a file and, with it, its features; ``vacuum`` removes the rows."""
         self.require(file_id)
@@ -126,7 +199,7 @@ class Store:
     def vacuum(self, root: str) -> Store:
         """A copy of the store below ``root`` without deleted files and features that no file owns."""
         self.features().write.partitionBy("run", "bucket").parquet(f"{root}/features")
-        self.files().write.parquet(f"{root}/files")
+        self.files().write.partitionBy("run", "day").parquet(f"{root}/files")
         return Store(self.spark, root, self.limits)
 
     def require(self, file_id: str, completed: bool = False):
@@ -142,11 +215,21 @@ class Store:
         """(rows, next cursor): newest first, by creation time and id."""
         if not 1 <= limit <= 100:
             raise ValueError("limit must be from 1 to 100")
-        page = keyset_page(self.files(), limit, None if cursor is None else decode_cursor(cursor))
-        found = page.collect()
-        rows = self.spark.createDataFrame(found[:limit], page.schema)
+        after, files, found = None if cursor is None else decode_cursor(cursor), self.files(), []
+        for day in self._days():
+            if len(found) > limit:
+                break
+            own = files.where(F.col("day") == F.lit(day).cast("date")) if day else files.where("day is null")
+            found += keyset_page(own, limit - len(found), after).collect()
+        rows = self.spark.createDataFrame(found[:limit], files.schema)
         return rows, encode_cursor(found[limit - 1]["created_at"], found[limit - 1]["id"]) if len(found) > limit else None
 
+    def _days(self) -> list[str | None]:
+        """Days with files, the newest first, by the names of their folders."""
+        path, fs = self._fs("files/run=*/day=*")
+        names = {s.getPath().getName().removeprefix("day=") for s in fs.globStatus(path) or []}
+        return [*sorted((n for n in names if not n.startswith("__")), reverse=True), *[None for n in names if n.startswith("__")]]
+
     def feature_page(self, file_id: str, limit: int = 50, offset: int = 0) -> tuple[DataFrame, int, int | None]:
         """(rows in feature order, total count, next offset)."""
         if not 1 <= limit <= 200 or offset < 0:

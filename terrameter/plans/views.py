@@ -56,5 +56,5 @@ def create_table_statements(catalog: str, location: str) -> list[str]:
         f"measurement_status STRING, area_m2 DOUBLE, length_m DOUBLE, provenance {provenance}, issues ARRAY<{issue}>, file_id STRING, run STRING, bucket INT) USING parquet PARTITIONED BY (run, bucket) LOCATION '{location}/features'",
         f"CREATE TABLE IF NOT EXISTS {catalog}.files (format STRING, status STRING, crs_wkt STRING, feature_count BIGINT, measured_count BIGINT, not_applicable_count BIGINT, unsupported_count BIGINT, error_count BIGINT, "
         f"deleted_record_count INT, has_issues BOOLEAN, warnings ARRAY<{issue}>, failure_code STRING, failure_message STRING, http_status INT, measurement_policy STRING, id STRING, filename STRING, upload_size BIGINT, "
-        f"sha256 STRING, created_at TIMESTAMP, completed_at TIMESTAMP, run STRING, buckets INT) USING parquet LOCATION '{location}/files'",
+        f"sha256 STRING, created_at TIMESTAMP, completed_at TIMESTAMP, buckets INT, seq BIGINT, run STRING, day DATE) USING parquet PARTITIONED BY (run, day) LOCATION '{location}/files'",
     ]

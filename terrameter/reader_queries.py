@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -97,8 +98,14 @@ def archive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KML_SHOWN = f"SELECT file, feature_index, status, CASE WHEN status = 'MEASURED' THEN CASE WHEN key % 6 = 0 THEN 'area' ELSE 'length' END END AS kind, CASE WHEN status = 'MEASURED' THEN 1 ELSE 0 END AS components FROM {fa.KML_SQL}"
 
 
+_stores: dict[tuple[str, str], Store] = {}
+
+
 def _published(spark: SparkSession, sf_dir: str) -> Store:
-    """The documents' store, each file's id being its number; the file 1 is deleted again."""
+    """The documents' store, each file's id being its number; the file 1 is deleted again.  Made once in a session."""
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known in _stores:
+        return _stores[known]
     root = scratch(spark)
     store = Store(spark, root)
     files = fa.kml_files(spark, sf_dir)
@@ -107,6 +114,7 @@ def _published(spark: SparkSession, sf_dir: str) -> Store:
     store.publish(manifests, features, files.select("path", _number().cast("string").alias("id"), F.lit("x.kml").alias("filename"), F.col("length").alias("upload_size"), F.sha2("content", 256).alias("sha256"), at.alias("created_at")))
     store.remove("staging")
     store.delete("1")
+    _stores[known] = store
     return store
 
 
@@ -184,14 +192,18 @@ def table_ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .plans.views import create_table_statements
 
     store = _published(spark, sf_dir)
-    database = f"terrameter_{store.root.rsplit('-', 1)[1]}"
+    database = f"terrameter_{uuid.uuid4().hex}"
     spark.sql(f"CREATE DATABASE {database} LOCATION '{store.root}/catalog'")
     for statement in create_table_statements(database, store.root):
         spark.sql(statement)
-    spark.sql(f"MSCK REPAIR TABLE {database}.features")
+    for table in ("features", "files"):
+        spark.sql(f"MSCK REPAIR TABLE {database}.{table}")
     visible = spark.table(f"{database}.files").where("id <> '1'").select(F.col("id").alias("file_id"))  # a catalog's tables still hold what is only hidden
     rows = spark.table(f"{database}.features").join(visible, "file_id", "left_semi")
-    return rows.groupBy(F.col("measurement_status").alias("status")).agg(F.count("*").alias("features"), F.count_distinct("file_id").alias("files"))
+    found = rows.groupBy(F.col("measurement_status").alias("status")).agg(F.count("*").alias("features"), F.count_distinct("file_id").alias("files"))
+    counts = spark.createDataFrame(found.collect(), found.schema)  # one row a status; the catalog is left as it was
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+    return counts
 
 
 @query(f"""SELECT request, outcome, status FROM (VALUES (1, 'FILE_NOT_FOUND', 404), (2, 'FILE_NOT_FOUND', 404), (3, 'FEATURE_NOT_FOUND', 404), (4, 'REQUEST_VALIDATION_ERROR', 404), (5, 'INVALID_CURSOR', 422), (6, 'ValueError', 422), (7, 'ValueError', 422)) AS v(request, outcome, status)

@@ -12,7 +12,7 @@ from ..plans.store import Store
 from ..sources.files import scan_files
 
 
-def start_ingest(spark: SparkSession, folder: str, store: Store, checkpoint: str, files_per_batch: int = 1, limits: Limits = Limits()) -> StreamingQuery:
+def start_ingest(spark: SparkSession, folder: str, store: Store, checkpoint: str, files_per_batch: int = 64, limits: Limits = Limits()) -> StreamingQuery:
     """A query that publishes every new file below ``folder`` once and stops when none is left.
 
     A file's id is a hash of its path and content, so a batch that runs again after a failure appends
@@ -32,8 +32,7 @@ def start_ingest(spark: SparkSession, folder: str, store: Store, checkpoint: str
             "path", F.sha2(F.concat_ws("|", "path", F.coalesce("sha256", F.col("length").cast("string"))), 256).alias("id"), F.element_at(F.split("path", "/"), -1).alias("filename"),
             F.col("length").alias("upload_size"), "sha256", F.col("modificationTime").alias("created_at"),
         )
-        if store._exists("files"):
-            ids = ids.join(store.files().select("id"), "id", "left_anti")
+        ids = ids.join(store.files().select("id"), "id", "left_anti")
         ids.write.parquet(f"{store.root}/{staging}/ids")  # contents are hashed once
         ids = spark.read.schema(ids.schema).parquet(f"{store.root}/{staging}/ids")
         manifests, features = process_files(files.join(ids.select("path"), "path", "left_semi"), limits, f"{store.root}/{staging}")

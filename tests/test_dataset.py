@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import random
+import threading
+from collections import Counter
 from datetime import UTC, datetime
 
 import pytest
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from test_readers import archive, kml, place, polygon, shape
 
 from terrameter.functions import expr
-from terrameter.model import Limits
+from terrameter.model import STORED_FEATURE, STORED_FILE, Limits
 from terrameter.plans import views
 from terrameter.plans.dataset import process_files
 from terrameter.plans.store import Store, StoreError, checked, decode_cursor, encode_cursor, feature_checks, file_checks, write_feature_lines
@@ -282,7 +284,7 @@ def test_a_publication_reads_its_own_rows(spark, tmp_path):
     folder.mkdir()
     for i in range(3):
         (folder / f"{i}.kml").write_bytes(kml(place(polygon()) * (i + 1)))
-    start_ingest(spark, str(folder), store, str(tmp_path / "ck")).awaitTermination()
+    start_ingest(spark, str(folder), store, str(tmp_path / "ck"), files_per_batch=1).awaitTermination()
     runs = list((tmp_path / "store" / "features").glob("run=*"))
     assert len(runs) == 3 and all(len(list(r.glob("bucket=*"))) == 1 for r in runs)
     for r in store.files().collect():
@@ -290,6 +292,107 @@ def test_a_publication_reads_its_own_rows(spark, tmp_path):
         assert own.inputFiles() and all(f"run={r['run']}/bucket=0" in f for f in own.inputFiles()) and own.count() == r["feature_count"]
 
 
+def publication(spark, ids, features, at="2026-01-02 03:04:05"):
+    """(manifests, features, ids) of files with ``features`` lines each."""
+    path = F.concat(F.lit("/in/"), F.col("id"))
+    base = spark.createDataFrame([(i,) for i in ids], "id string")
+    lines = base.select(path.alias("path"), F.explode(F.sequence(F.lit(0), F.lit(features - 1))).alias("feature_index"))
+    blank = {f.name: F.lit(None).cast(f.dataType) for f in STORED_FEATURE if f.name not in ("feature_index", "file_id", "run", "bucket", "measurement_status")}
+    lines = lines.withColumns(blank | {"measurement_status": F.lit("NOT_APPLICABLE"), "format": F.lit("KML"), "crs_wkt": F.lit("x")})
+    counts = {"feature_count": features, "measured_count": 0, "not_applicable_count": features, "unsupported_count": 0, "error_count": 0}
+    found = base.select(path.alias("path"), F.lit("KML").alias("format"), F.lit("COMPLETED").alias("status"), *[F.lit(v).cast("long").alias(k) for k, v in counts.items()])
+    others = {f.name: F.lit(None).cast(f.dataType) for f in STORED_FILE if f.name in ("crs_wkt", "deleted_record_count", "has_issues", "warnings", "failure_code", "failure_message", "http_status", "measurement_policy")}
+    return found.withColumns(others), lines, base.select(path.alias("path"), "id", F.lit("f").alias("filename"), F.lit(1).cast("long").alias("upload_size"), F.lit("s").alias("sha256"), F.lit(at).cast("timestamp").alias("created_at"))
+
+
+def test_publications_appear_whole_to_readers_and_writers_at_once(spark, tmp_path):
+    """Two writers, a compaction and a reader in threads: every look sees whole publications, and each file's features."""
+    store = Store(spark, str(tmp_path / "store"))
+    store.publish(*publication(spark, ["w9-0-0", "w9-0-1", "w9-0-2"], 4))
+    seen, stop = [], threading.Event()
+
+    def write(who):
+        for k in range(4):
+            Store(spark, store.root).publish(*publication(spark, [f"w{who}-{k}-{i}" for i in range(3)], 4))
+
+    def read():
+        while not stop.is_set():
+            own = Store(spark, store.root)
+            files = own.files()
+            seen.append(([r["id"] for r in files.select("id").collect()], {r["file_id"]: r["count"] for r in own.features().groupBy("file_id").count().collect()}))
+
+    threads = [threading.Thread(target=write, args=(w,)) for w in (0, 1)]
+    reader = threading.Thread(target=read)
+    for t in (*threads, reader):
+        t.start()
+    while any(t.is_alive() for t in threads):
+        Store(spark, store.root).compact()
+    stop.set()
+    for t in (*threads, reader):
+        t.join()
+    assert len(seen) >= 3
+    for ids, counts in seen:
+        assert len(ids) == len(set(ids)) and all(n == 3 for n in Counter(i.rsplit("-", 1)[0] for i in ids).values())
+        assert set(ids) <= set(counts) and set(counts.values()) == {4}
+    assert store.files().count() == 27 and store.features().count() == 108
+
+
+def test_small_runs_are_put_together_and_cleaned(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for k in range(6):
+        store.publish(*publication(spark, [f"{k}-{i}" for i in range(2)], 3, f"2026-01-0{k + 1} 00:00:00"))
+    store.delete("2-1")
+    pinned = store.files()
+    before = sorted((r["file_id"], r["feature_index"]) for r in store.features().collect())
+    listed = [r["id"] for r in store.list_files(100)[0].collect()]
+    assert store.compact() == 6 and store.compact() == 0
+    assert sorted((r["file_id"], r["feature_index"]) for r in store.features().collect()) == before and pinned.count() == 11
+    assert [r["id"] for r in store.list_files(100)[0].collect()] == listed and store.measurement_page("4-1")[1] == 3
+    assert store.files().select("run").distinct().count() == 1
+    assert store.clean() == 0 and store.clean(grace_seconds=-5) == 12  # six runs of files and of features
+    assert len(list((tmp_path / "store" / "features").glob("run=*"))) == len(list((tmp_path / "store" / "files").glob("run=*"))) == 1
+    assert sorted((r["file_id"], r["feature_index"]) for r in store.features().collect()) == before
+    with pytest.raises(StoreError):
+        store.require("2-1")
+    store.delete("0-0")
+    assert store.compact() == 1 and store.features().count() == 30  # a run with a deleted file is written without it
+
+
+def scanned_rows(df):
+    """Rows that left the scans of a plan, without adaptive stages."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    scans = [leaves.apply(i) for i in range(leaves.size())]
+    return sum(s.metrics().apply("numOutputRows").value() for s in scans if s.nodeName().startswith("Scan parquet"))
+
+
+def test_pages_and_lookups_read_little(spark, tmp_path):
+    """40,000 files over 20 days: a page reads one day, a lookup the row groups whose filter knows the id."""
+    store = Store(spark, str(tmp_path / "store"))
+    n = 40_000
+    blank = {f.name: F.lit(None).cast(f.dataType) for f in STORED_FILE}
+    rows = spark.range(n).select("*").withColumns(blank | {"id": F.sha2(F.col("id").cast("string"), 256), "status": F.lit("FAILED"), "created_at": F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("id"), F.lit(20 * 86_400)))})
+    store._show_files(rows, "rx", 1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        days = store._days()
+        assert len(days) == 21
+        page, cursor = store.list_files(50)
+        assert page.count() == 50 and cursor and {str(r["day"]) for r in page.collect()} == {days[0]}
+        newest = store.files().where(F.col("day") == days[0])
+        assert scanned_rows(newest) < n // 10
+        some = rows.select("id", "created_at").limit(1).first()
+        at = store.files().where((F.col("id") == some["id"]))
+        assert scanned_rows(at) < n // 4 and at.count() == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    seen, cursor = [], None
+    for _ in range(3):
+        page, cursor = store.list_files(100, cursor)
+        seen += [(r["created_at"], r["id"]) for r in page.collect()]
+    assert seen == sorted(seen, reverse=True) == [tuple(r) for r in store.files().orderBy(F.desc("created_at"), F.desc("id")).select("created_at", "id").limit(300).collect()]
+
+
 def test_manifests_and_ddl(spark, tmp_path):
     counts = "2 AS feature_count, 1 AS measured_count, 0 AS not_applicable_count, 0 AS unsupported_count, 1 AS error_count"
     write_manifest(spark.sql(f"SELECT 'COMPLETED' AS status, {counts}, cast(null AS string) AS failure"), str(tmp_path / "m"))
