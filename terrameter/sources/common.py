@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from ..model import Limits
@@ -63,9 +64,9 @@ class Feature:
 
 @dataclass
 class Dataset:
-    """Everything a reader found in one file."""
+    """What a reader found in one file; the features may be read as they are asked for, and once only."""
 
-    features: list[Feature] = field(default_factory=list)
+    features: Iterable[Feature] = field(default_factory=list)
     crs_wkt: str = ""
     warnings: list[dict] = field(default_factory=list)
     deleted: int = 0

@@ -9,9 +9,10 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..model import FORMATS, SOURCE_FEATURE, Limits
 from .common import Dataset, FileFailure, bounded, compact
@@ -55,36 +56,52 @@ def read_dataset(content: bytes | None, kind: str | None, limits: Limits = Limit
 
 
 def _rows(path: str, kind: str | None, content: bytes | None, length: int, limits: Limits) -> Iterator[dict]:
+    """A file's features and, last, its header: where reading fails midway, the header says so and voids the rows."""
     header = dict.fromkeys((f.name for f in SOURCE_FEATURE)) | {"path": path, "format": kind, "feature_index": HEADER_INDEX}
     try:
         data = read_dataset(content, kind, limits, length)
+        for i, f in enumerate(data.features):
+            yield {
+                "path": path, "format": kind, "feature_index": i, "source_id": f.source_id, "geometry_type": f.geometry_type, "dimensions": f.dimensions,
+                "geometry": None if f.geometry is None else compact(f.geometry), "source_parts": None if f.source_parts is None else json.dumps(f.source_parts),
+                "properties": compact(f.properties), "metadata": compact(f.metadata), "crs_wkt": data.crs_wkt, "source_coordinates": f.coordinates, "extra_work": f.extra_work,
+                "preset_status": f.status, "issues": bounded(f.issues, limits), "file_failure": None, "file_http_status": None, "file_message": None, "file_warnings": None, "deleted_records": None,
+            }
+        yield header | {"crs_wkt": data.crs_wkt, "file_warnings": data.warnings, "deleted_records": data.deleted}
     except FileFailure as why:
         yield header | {"file_failure": why.code, "file_http_status": why.http_status, "file_message": str(why)}
-        return
     except Exception:
         yield header | {"file_failure": "INVALID_DATASET", "file_http_status": 422, "file_message": "The dataset could not be read."}
-        return
-    yield header | {"crs_wkt": data.crs_wkt, "file_warnings": data.warnings, "deleted_records": data.deleted}
-    for i, f in enumerate(data.features):
-        yield {
-            "path": path, "format": kind, "feature_index": i, "source_id": f.source_id, "geometry_type": f.geometry_type, "dimensions": f.dimensions,
-            "geometry": None if f.geometry is None else compact(f.geometry), "source_parts": None if f.source_parts is None else json.dumps(f.source_parts),
-            "properties": compact(f.properties), "metadata": compact(f.metadata), "crs_wkt": data.crs_wkt, "source_coordinates": f.coordinates, "extra_work": f.extra_work,
-            "preset_status": f.status, "issues": bounded(f.issues, limits), "file_failure": None, "file_http_status": None, "file_message": None, "file_warnings": None, "deleted_records": None,
-        }
+
+
+BATCH_ROWS, BATCH_BYTES = 200, 16 << 20
+
+
+def _batches(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of a bounded number and size, across files."""
+    kept, size = [], 0
+    for row in rows:
+        kept.append(row)
+        size += sum(len(row[c]) for c in ("geometry", "source_parts", "properties", "metadata") if row[c])
+        if len(kept) >= BATCH_ROWS or size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_pylist(kept, schema)
+            kept, size = [], 0
+    if kept:
+        yield pa.RecordBatch.from_pylist(kept, schema)
 
 
 def read_features(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """One header row per file (feature_index -1) and one row per feature of the readable files."""
+    """One header row per file (feature_index -1) and one row per feature of the readable files.
+
+    Features leave in batches while the file is read; those of a file whose header has a failure are void.
+    """
+    schema = to_arrow_schema(SOURCE_FEATURE)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for path, kind, content, length in zip(batch["path"], batch["format"], batch["content"], batch["length"], strict=True):
-                rows = list(_rows(path, kind, None if content is None else bytes(content), int(length), limits))
-                frame = pd.DataFrame(rows, columns=[f.name for f in SOURCE_FEATURE])
-                for c in ("dimensions", "source_coordinates", "extra_work", "file_http_status", "deleted_records"):
-                    frame[c] = frame[c].astype("Int64")
-                yield frame
+            paths, kinds, lengths = (batch.column(i).to_pylist() for i in range(3))
+            for i, (path, kind, length) in enumerate(zip(paths, kinds, lengths, strict=True)):
+                yield from _rows(path, kind, batch.column(3)[i].as_py(), int(length), limits)
 
     within = F.when(F.col("length") <= limits.upload_bytes, F.col("content"))
-    return files.select("path", "format", "length", within.alias("content")).mapInPandas(run, SOURCE_FEATURE)
+    return files.select("path", "format", "length", within.alias("content")).mapInArrow(lambda batches: _batches(rows(batches), schema), SOURCE_FEATURE)

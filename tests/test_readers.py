@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import io
 import struct
+import tracemalloc
 import zipfile
 
 import pytest
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from terrameter.functions.crs import WGS84_WKT
-from terrameter.model import Limits
+from terrameter.model import SOURCE_FEATURE, Limits
+from terrameter.sources import files as reading
+from terrameter.sources import kml as kml_reader
 from terrameter.sources.common import FileFailure
 from terrameter.sources.files import read_dataset
 from terrameter.sources.kml import parse_coordinates, read_kml
@@ -41,6 +45,36 @@ def code_of(body: str) -> list[str]:
     return [i["code"] for i in one(body).issues]
 
 
+def test_placemarks_are_read_one_at_a_time():
+    """A document near the limit: memory is that of one Placemark, not of the tree; the whole is checked before the first feature."""
+    body = "<Folder>" + place(polygon() + "<description>" + "x" * 1500 + "</description>") * 4900 + "<name>late</name></Folder>"
+    data = kml(body)
+    assert len(data) > 8_000_000
+    tracemalloc.start()
+    try:
+        found = read_kml(data)
+        count = sum(f.metadata["folder_path"] == ["late"] and f.geometry_type == "Polygon" for f in found.features)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert count == 4900 and peak < 2_000_000
+    with pytest.raises(FileFailure) as why:
+        read_kml(data.replace(b"</Folder>", b"</Folder><NetworkLink/>"))
+    assert why.value.code == "NETWORK_LINK_UNSUPPORTED"
+
+
+def test_pieces_of_any_size_give_the_same_features(monkeypatch):
+    body = "<Document><name>d</name><Folder><name>a<b>b</b></name><name>no</name><Folder>" + place(polygon() + "<name>é😀</name>") + "</Folder>" + place(polygon()) + "</Folder><Folder/></Document>" + place("<Point><coordinates>1,2</coordinates></Point>")
+    whole = list(read_kml(kml(body)).features)
+    assert [f.metadata["folder_path"] for f in whole] == [["ab"], ["ab"], []]
+    for size in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(kml_reader, "PIECE", size)
+        assert list(read_kml(kml(body)).features) == whole
+    monkeypatch.undo()
+    nested = "<Folder><name>f</name>" + place(place("<Point><coordinates>1,2</coordinates></Point>") + "<Point><coordinates>3,4</coordinates></Point>") + "</Folder>" + place("")
+    assert [(f.metadata["folder_path"], f.coordinates) for f in read_kml(kml(nested)).features] == [([], 1), ([], 1), ([], 0)]
+
+
 def test_folders_ids_and_ordered_properties():
     data = "<ExtendedData><Data name='a'><value>001</value></Data><Data name='a'><value>true</value></Data><Data name='e'/><SchemaData><SimpleData name='s'>東京</SimpleData></SchemaData></ExtendedData>"
     body = f"<Folder><name>Outer</name><Folder><name>Inner</name>{place('<name>N</name><styleUrl>#x</styleUrl>' + data + polygon(), id='p1')}</Folder></Folder>{place('')}"
@@ -255,3 +289,15 @@ def test_winding_by_exact_signs():
     tiny = [(x * 1e-7, y * 1e-7) for x, y in CLOCKWISE]
     assert winding(tiny) == 0  # smaller than the noise of positions in degrees
     assert winding([(0, 0), (1e200, 0), (1e200, 1e200), (0, 0)]) == 0
+
+
+def test_rows_leave_in_bounded_batches_and_a_late_failure_comes_last(monkeypatch):
+    schema = to_arrow_schema(SOURCE_FEATURE)
+    data = kml(place(polygon()) * 450)
+    batches = list(reading._batches(reading._rows("/a.kml", "KML", data, len(data), Limits()), schema))
+    assert [b.num_rows for b in batches] == [200, 200, 51] and batches[-1].column("feature_index")[-1].as_py() == reading.HEADER_INDEX
+    monkeypatch.setattr(reading, "BATCH_BYTES", 1000)
+    assert max(b.num_rows for b in reading._batches(reading._rows("/a.kml", "KML", data, len(data), Limits()), schema)) < 10
+    monkeypatch.setattr(kml_reader, "geometry_of", lambda node, space, seen=[]: seen.append(1) or (_ for _ in ()).throw(RuntimeError()) if len(seen) > 3 else (None, None, None, seen.append(1) or []))
+    rows = list(reading._rows("/a.kml", "KML", data, len(data), Limits()))
+    assert [r["file_failure"] for r in rows] == [None] * (len(rows) - 1) + ["INVALID_DATASET"] and 1 < len(rows) < 10
