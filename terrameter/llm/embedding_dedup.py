@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -38,8 +38,14 @@ class Limits:
     group: int = 2048  # vectors that a group should have
     fit_rows: int = 16_384  # vectors that the trees are fitted on
     top_depth: int = 12  # levels fitted on the sample; the groups of larger tables are split further
+    forest_bytes: int = 256 << 20  # of the directions that are sent to every task: long vectors get fewer fitted levels
     tile: int = 1024
 
+    def for_length(self, dim: int) -> Limits:
+        """These limits with as many fitted levels as the forest's bytes allow for vectors of ``dim`` components."""
+        fit = int(math.log2(max(2, self.forest_bytes // (4 * max(1, dim) * self.most_trees))))
+        return replace(self, top_depth=min(self.top_depth, fit))
+
 
 def unit(rows: list | np.ndarray) -> np.ndarray:
     """Vectors of one length as unit rows in double precision."""
@@ -187,17 +193,17 @@ def marked_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return out.select("id", "ok", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"), F.when(F.col("ok"), F.col("vec")).alias("vec"))
 
 
-def forest_links(classes: DataFrame, n: int, threshold: float, limits: Limits = Limits(), seed: int = 7) -> DataFrame:
+def forest_links(classes: DataFrame, threshold: float, limits: Limits = Limits(), seed: int = 7) -> DataFrame:
     """(a, b): verified links between classes (cid, h1, h2, vec) that keep what the forest found together.
 
     Vectors of different lengths are in different dimensions and are not compared; each length that
     occurs is dealt by itself, one after the other.
     """
     spark = classes.sparkSession
-    dims = [r[0] for r in classes.select(F.size("vec").alias("d")).distinct().collect()]
+    dims = classes.groupBy(F.size("vec").alias("d")).count().collect()
     none = spark.createDataFrame([], "a long, b long")
-    for dim in dims:
-        none = none.union(_links_of(classes.where(F.size("vec") == dim), n, dim, threshold, limits, seed))
+    for dim, own in dims:
+        none = none.union(_links_of(classes.where(F.size("vec") == dim), own, dim, threshold, limits.for_length(dim), seed))
     return none
 
 
@@ -356,7 +362,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, id_col: str = "vec
     classes = named.where("ok").groupBy("h1", "h2", "vec").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()))  # unique, and fixed once written
     n = classes.count()
-    links = written(forest_links(classes, n, threshold, limits))
+    links = written(forest_links(classes, threshold, limits))
     parts = connected_components(links, "a", "b")
     drop(links)
     linked = classes.join(parts, classes.cid == parts.node).select("cid", "component", "copies", "vec", "least")

@@ -84,7 +84,7 @@ def _pieces(text: str) -> Iterator[str]:
 
 
 def training_rows(docs: DataFrame, learn: Column, limits: Limits, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """The bounded sample of labelled rows: per language those with an id hash below a share.
+    """The bounded sample of labelled rows: per language those with a hash below a share, of the id or else of the text.
 
     The share comes from the counts of all labelled rows; every language is learned.  Only narrow
     columns are read for the counts.
@@ -92,7 +92,8 @@ def training_rows(docs: DataFrame, learn: Column, limits: Limits, id_col: str, t
     known = docs.where(learn & F.col(lang_col).isNotNull())
     share = F.least(F.lit(1.0), F.lit(limits.docs_per_language) / F.count("*"))
     shares = known.groupBy(F.col(lang_col).alias("_l")).agg(share.alias("_share"))  # a row for each language
-    roll = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(1 << 20))
+    own = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(1), F.col(text_col))).otherwise(F.xxhash64(F.col(id_col).cast("string")))
+    roll = F.pmod(own, F.lit(1 << 20))
     rows = known.join(F.broadcast(shares), known[lang_col] == F.col("_l"))
     return rows.where(roll < (F.col("_share") * (1 << 20)).cast("long") + 1).select(*[known[c] for c in known.columns])
 

@@ -402,3 +402,20 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
     kept = pipeline.drop_near_duplicates(spark, docs, "").collect()
     assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted([(5, a), (3, b), (None, c), (None, d), (7, e), (8, None)], key=repr)
+
+
+def test_op5_forest_stays_within_its_bytes():
+    """Directions of all trees and levels: bounded for any length, and all levels where vectors are short."""
+    limits = Limits()
+    assert limits.for_length(64).top_depth == limits.top_depth
+    for dim in (768, 4096, 100_000, 10**9):
+        depth = limits.for_length(dim).top_depth
+        assert depth >= 1 and (depth == 1 or limits.most_trees * 2**depth * dim * 4 <= limits.forest_bytes)
+
+
+def test_op7_null_ids_share_no_roll(spark):
+    from terrameter.llm import language_id
+
+    docs = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"), F.lit("aa").alias("lang"))
+    some = language_id.training_rows(docs, F.lit(True), language_id.Limits(docs_per_language=100), "doc_id", "text", "lang").count()
+    assert 50 < some < 180
