@@ -58,6 +58,21 @@ def kml_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_KML_ORDINATES = """CASE key % 6
+  WHEN 0 THEN CASE WHEN key % 17 = 0 THEN NULL WHEN key % 19 = 0 THEN [x0, y0, x1, y1, x1, y0, x0, y1, x0, y0] ELSE [x0, y0, x1, y0, x1, y1, x0, y1, x0, y0] END || [hx0, hy0, hx0, hy1, hx1, hy1, hx1, hy0, hx0, hy0]
+  WHEN 1 THEN [lon, lat, size] WHEN 2 THEN [lon, lat, lon + 0.001::DOUBLE, lat + 0.001::DOUBLE] WHEN 3 THEN [lon, lat, 0, 0] END"""
+
+
+@query(f"SELECT key, len(o)::BIGINT AS ordinates, round(list_sum(list_transform(o, lambda x, i: i * x)), 9) AS checksum FROM (SELECT key, {_KML_ORDINATES} AS o FROM {a.SQUARES_SQL})")
+def kml_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ordinate of the documents' geometries, in order: their number, and their sum weighted by place."""
+    features = process_files(fa.kml_files(spark, sf_dir))[1]
+    found = F.regexp_extract_all(F.get_json_object("geometry", "$.coordinates"), F.lit(r"(-?[0-9.]+(?:[eE]-?[0-9]+)?)"), 1)
+    values = F.transform(found, lambda x, i: x.cast("double") * (i + 1))
+    total = F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+    return features.select(F.substring("source_id", 2, 20).cast("long").alias("key"), F.when(found.isNotNull(), F.size(found)).cast("long").alias("ordinates"), F.round(total, 9).alias("checksum"))
+
+
 @query(_counts_sql(fa.KML_SQL, "''", "0::BIGINT"))
 def kml_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of each document."""
