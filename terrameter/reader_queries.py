@@ -96,6 +96,34 @@ def shapefile_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _box_sql(x: str, y: str, h: str) -> str:
+    """Ordinates of a clockwise square."""
+    return "[" + ", ".join(f"{x} {i} {h}, {y} {j} {h}" for i, j in ("--", "-+", "++", "+-", "--")) + "]"
+
+
+_HOLE = "[" + ", ".join(f"x {i} half / 2, lat {j} half / 2" for i, j in ("--", "+-", "++", "-+", "--")) + "]"
+_SHAPE_ORDINATES = f"""CASE key % 6
+  WHEN 0 THEN {_box_sql("x", "lat", "half")} || CASE WHEN key % 12 = 0 THEN {_HOLE} ELSE {_box_sql("(x + 3 * half)", "lat", "half")} END
+  WHEN 1 THEN {_box_sql("x", "lat", "half")}[1:8] WHEN 2 THEN [x, lat, size] WHEN 5 THEN {_box_sql("x", "lat", "half")}[1:4] END"""
+_WEIGHED = "round(list_sum(list_transform({0}, lambda v, i: i * v)), 8)"
+
+
+@query(f"""SELECT key, len(o)::BIGINT AS ordinates, {_WEIGHED.format("o")} AS checksum, len(r)::BIGINT AS raw_ordinates, {_WEIGHED.format("r")} AS raw_checksum
+  FROM (SELECT *, CASE WHEN key % 6 = 4 THEN {_box_sql("x", "lat", "half")} END AS r FROM (SELECT *, {_SHAPE_ORDINATES} AS o FROM (SELECT *, lon * 0.99::DOUBLE AS x FROM {a.SQUARES_SQL}) WHERE key % 13 <> 0))""")
+def shapefile_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ordinate of the archives' geometries, in order, and of the raw parts of shapes that are not read."""
+    features = process_files(fa.shapefile_files(spark, sf_dir))[1]
+
+    def weighed(json: Column) -> tuple[Column, Column]:
+        found = F.regexp_extract_all(json, F.lit(r"(-?[0-9.]+(?:[eE]-?[0-9]+)?)"), 1)
+        values = F.transform(found, lambda x, i: x.cast("double") * (i + 1))
+        return F.when(found.isNotNull(), F.size(found)).cast("long"), F.round(F.aggregate(values, F.lit(0.0), lambda s, x: s + x), 8)
+
+    n, total = weighed(F.get_json_object("geometry", "$.coordinates"))
+    raw_n, raw_total = weighed(F.col("source_parts"))
+    return features.select(F.get_json_object("properties", "$[0].value").cast("long").alias("key"), n.alias("ordinates"), total.alias("checksum"), raw_n.alias("raw_ordinates"), raw_total.alias("raw_checksum"))
+
+
 @query(f"""SELECT m.file, feature_count, measured_count, not_applicable_count, unsupported_count, error_count, has_issues, CASE WHEN d.deleted > 0 THEN 'DELETED_DBF_RECORDS' ELSE '' END AS warnings, d.deleted FROM ({_counts_sql(fa.SHAPEFILE_SQL, "''", "0")}) m
   JOIN (SELECT p_partkey // {fa.PARTS} AS file, count(*) FILTER (p_partkey % 13 = 0)::BIGINT AS deleted FROM part GROUP BY ALL) d ON m.file = d.file""")
 def shapefile_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
