@@ -7,6 +7,7 @@ engine.  Each file holds the parts of 50 neighbouring keys.
 from __future__ import annotations
 
 import io
+import stat
 import struct
 import zipfile
 from collections.abc import Iterable
@@ -197,3 +198,40 @@ def odd_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ODD_ARCHIVES_SQL = f"SELECT n_nationkey, code, CASE WHEN code IS NULL THEN 'COMPLETED' ELSE 'FAILED' END AS status, CASE WHEN code IS NOT NULL THEN CASE WHEN code LIKE '%LIMIT' THEN 413 ELSE 422 END END AS http_status FROM nation JOIN (VALUES {', '.join(f'''({i}, {'NULL' if c is None else repr(c)})''' for i, (_, _, c) in enumerate(ODD_ARCHIVES))}) AS k(kind, code) ON n_nationkey % {len(ODD_ARCHIVES)} = kind"
+
+
+# How an entry beside a whole dataset is marked or damaged, and what becomes of the archive.
+ODD_ENTRIES: list[tuple[str, dict, str | None]] = [
+    ("plain", {}, None), ("encrypted", {"flag": 1}, "ENCRYPTED_ARCHIVE_ENTRY"), ("a link", {"mode": stat.S_IFLNK | 0o777}, "UNSAFE_ARCHIVE_ENTRY"), ("a pipe", {"mode": stat.S_IFIFO | 0o644}, "UNSAFE_ARCHIVE_ENTRY"),
+    ("a file marked as a directory", {"mode": stat.S_IFDIR | 0o755}, "UNSAFE_ARCHIVE_ENTRY"), ("a directory marked as a file", {"name": "__MACOSX/", "mode": stat.S_IFREG | 0o644}, "UNSAFE_ARCHIVE_ENTRY"), ("another compression", {"method": zipfile.ZIP_BZIP2}, "UNSUPPORTED_COMPRESSION"),
+    ("a directory with a payload", {"name": "__MACOSX/", "content": b"x" * 100}, None), ("a directory with a large payload", {"name": "__MACOSX/", "content": b"\0" * (51 * 1024 * 1024)}, "EXPANDED_ARCHIVE_LIMIT"), ("damaged bytes", {"damage": True, "content": bytes(range(256)) * 8}, "CORRUPT_ARCHIVE_ENTRY"),
+    ("a plain file", {"mode": stat.S_IFREG | 0o644}, None),
+]
+
+
+def _archive_with_entry(kind: int) -> bytes:
+    """A dataset of one point behind an entry that is marked as the kind says."""
+    how, out = ODD_ENTRIES[kind][1], io.BytesIO()
+    content = how.get("content", b"" if how.get("name", "").endswith("/") else b"x")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        info = zipfile.ZipInfo(how.get("name", "layer.qix"))
+        info.compress_type, info.external_attr = how.get("method", zipfile.ZIP_DEFLATED), how.get("mode", 0) << 16
+        z.writestr(info, content)
+        for name, part in {".shp": main_file([shape_record(1, [(1.0, 2.0)])]), ".shx": b"", ".dbf": attribute_table([("id", "N", 4, 0)], [(False, [b"1"])], 3), ".prj": WGS84_WKT.encode()}.items():
+            z.writestr(f"layer{name}", part)
+    data = bytearray(out.getvalue())
+    if "flag" in how:
+        data[data.index(b"PK\1\2") + 8] |= how["flag"]
+    if how.get("damage"):
+        data[60] ^= 0xFF  # within the first entry's bytes
+    return bytes(data)
+
+
+def archives_with_odd_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive for each supplier, with an entry of one kind of ``ODD_ENTRIES``."""
+    contents = spark.createDataFrame([(i, _archive_with_entry(i)) for i in range(len(ODD_ENTRIES))], "kind int, content binary")
+    rows = a.table(spark, sf_dir, "supplier").selectExpr("s_suppkey", f"cast(s_suppkey % {len(ODD_ENTRIES)} AS int) AS kind").join(F.broadcast(contents), "kind")  # a row of each kind
+    return _with_content(rows.select(F.concat(F.lit("mem:/entries/"), F.col("s_suppkey"), F.lit(".zip")).alias("path"), "content", F.lit("SHAPEFILE").alias("format")))
+
+
+ODD_ENTRIES_SQL = f"SELECT s_suppkey, code, CASE WHEN code IS NULL THEN 'COMPLETED' ELSE 'FAILED' END AS status, CASE WHEN code IS NULL THEN 1 END::BIGINT AS features FROM supplier JOIN (VALUES {', '.join(f'({i}, {repr(c) if c else "NULL"})' for i, (_, _, c) in enumerate(ODD_ENTRIES))}) AS k(kind, code) ON s_suppkey % {len(ODD_ENTRIES)} = kind"

@@ -310,6 +310,13 @@ def shrunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key", *[(~dropped[c]).alias(n) for c, n in names.items()], F.exists("issues", lambda i: i["code"] == "FEATURE_OUTPUT_LIMIT").alias("shrunk"), F.col("measurement_status").alias("status"))
 
 
+@query(fa.ODD_ENTRIES_SQL)
+def archive_entry_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives whose first entry is encrypted, a link, a pipe, packed otherwise, damaged, or a directory with a payload."""
+    manifests = process_files(fa.archives_with_odd_entries(spark, sf_dir))[0]
+    return manifests.select(_number().alias("s_suppkey"), F.col("failure_code").alias("code"), "status", F.col("feature_count").alias("features"))
+
+
 _LINE_REACH = "(0.02 + 2.6 * (c_custkey % 100) / 100)"  # degrees along a meridian: up to 290 km
 
 
