@@ -92,4 +92,6 @@ def test_pipeline_leaves_no_planted_secret(spark):
     assert len(rows) == len(findings) and len(found) > 0.97 * len(rows)
     for r in found:
         text, begin, end, _ = findings[r["doc_id"]]
-        assert text[begin:end][-6:] not in r["text"] and r["text"].startswith(text[:begin]) and r["n_chars"] == len(r["text"])
+        rest = text[end:].lstrip("'\"#!")
+        assert r["text"].startswith(text[:begin]) and r["text"].endswith(rest) and r["n_chars"] == len(r["text"])
+        assert r["text"][begin : len(r["text"]) - len(rest)].replace(secret_scan.MASK, "").strip("'\"#!") == ""
