@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from terrameter.llm import dual_tree, exact_dedup, importance
+from terrameter.llm.queries import queries
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -132,6 +133,15 @@ def test_op12_ranks_equal_rows(spark):
     assert sorted(r.place for r in placed.collect()) == list(range(1, 1001))
 
 
+def test_op12_query_draws_from_documents_with_enough_words(spark, tmp_path):
+    """37 long and 63 short documents: a tenth of the long ones is drawn, not of all."""
+    text = F.when(F.col("id") < 37, F.concat_ws(" ", F.repeat(F.lit("some words "), 12), "id")).otherwise("short")
+    spark.range(100).select(F.col("id").alias("doc_id"), text.alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "some words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = queries()["op12_importance_resampling"](spark, str(tmp_path)).where("rank is not null").collect()
+    assert sorted(r["rank"] for r in rows) == [1, 2, 3] and all(r.doc_id < 37 for r in rows)
+
+
 def test_op12_csr_blocks_hold_the_matrix(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, "B ünï b9"), (4, "- - -")], "doc_id long, text string").coalesce(1)
     blocks = importance.csr_blocks(docs, "doc_id", "text", importance.Plan()).collect()
