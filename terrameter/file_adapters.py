@@ -36,7 +36,8 @@ def _coordinates(ring: str) -> str:
 def kml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a Placemark for each part: polygons with holes, points, lines, multiple points, models, none."""
     names = a.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    rows = a.squares(spark, sf_dir).join(names, F.col("key") == F.col("p_partkey"))
+    # both sides grow with the parts, and the files on disk look small: never broadcast
+    rows = a.squares(spark, sf_dir).join(names.hint("merge"), F.col("key") == F.col("p_partkey"))
     boundary = lambda name, ring: f"concat('<{name}><LinearRing><coordinates>', {_coordinates(ring)}, '</coordinates></LinearRing></{name}>')"
     geometry = f"""CASE key % 6
       WHEN 0 THEN concat('<Polygon>', {boundary('outerBoundaryIs', 'rings[0]')}, {boundary('innerBoundaryIs', 'rings[1]')}, '</Polygon>')

@@ -68,3 +68,11 @@ def test_filters_reach_the_scan(spark, sf_dir):
     assert "TakeOrderedAndProject" in plan and "EqualTo(user_id,7)" in plan
     plan = measuring.line_length_by_priority(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and plan.count("hashpartitioning(l_orderkey") == 1
+
+
+def test_documents_are_made_without_a_broadcast(spark, sf_dir):
+    """Both sides of the join grow with the parts; a broadcast would pass one of them whole through the driver."""
+    from terrameter import file_adapters
+
+    plan = file_adapters.kml_files(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
