@@ -523,3 +523,21 @@ def test_extents_of_many_halvings_take_seconds():
     why, halvings = measure.prove_extent([measure._Component("Polygon", [ring], (20.0, 50.0))], Limits())
     assert halvings > 10_000 and (why is None or why.code == "EXTENT_UNVERIFIED")
     assert time.perf_counter() - began < 20
+
+
+def _squares(n, half):
+    ring = lambda x, y: [[x - half, y - half], [x + half, y - half], [x + half, y + half], [x - half, y + half], [x - half, y - half]]
+    return [{"type": "Polygon", "coordinates": [ring(i % 90, i % 60)]} for i in range(n)]
+
+
+def test_kernel_works_on_a_bounded_number_of_positions(monkeypatch):
+    """Large squares become a thousand positions each: few of them are refined together, with the same results."""
+    from terrameter.operators import measure
+
+    seen, refine = [], measure._refine
+    monkeypatch.setattr(measure, "_refine", lambda features, *rest: (seen.append(sum(measure._positions(f, rest[-1]) for f in features)), refine(features, *rest)))
+    squares, wkts = _squares(200, 0.1), [WGS84_WKT] * 200
+    whole = measure.measure_batch(squares, wkts)
+    assert len(seen) > 1 and max(seen) < measure._CHUNK_POSITIONS + 2000
+    monkeypatch.setattr(measure, "_CHUNK_POSITIONS", 1)
+    assert measure.measure_batch(squares, wkts) == whole
