@@ -572,3 +572,15 @@ def test_pairs_of_rings_are_judged_alike_alone_and_together():
         found = topology.rings_overlap(np.array([a[k] for k in some]), np.array([b[k] for k in some]))
         assert found.tolist() == [want[k] for k in some] and 0 < sum(found) < len(some)
     assert len(topology.rings_overlap(np.zeros((0, 5, 2)), np.zeros((0, 5, 2)))) == 0
+
+
+def test_probes_stop_at_the_first_point_inside_both(monkeypatch):
+    """Equal rings of 2000 edges: one block of points shows that they overlap."""
+    import numpy as np
+
+    steps = np.linspace(0, 1, 500, endpoint=False)
+    sides = [np.column_stack([steps, 0 * steps]), np.column_stack([0 * steps + 1, steps]), np.column_stack([1 - steps, 0 * steps + 1]), np.column_stack([0 * steps, 1 - steps])]
+    ring = np.vstack([*sides, [[0, 0]]])
+    asked, inside = [], topology.inside
+    monkeypatch.setattr(topology, "inside", lambda points, ring: (asked.append(len(points)), inside(points, ring))[1])
+    assert topology.interiors_overlap([ring], [ring]) and sum(asked) <= 128
