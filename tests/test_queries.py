@@ -83,3 +83,29 @@ def test_costly_rows_are_spread_before_the_kernel(spark, sf_dir, name):
     """A table of many short rows is one split of the scan: rows are dealt over tasks before Python takes them."""
     plan = measuring.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("EvalPython") < plan.index("RoundRobinPartitioning")
+
+
+@pytest.mark.parametrize("name", ["path_segments", "line_length_by_priority", "line_measurement", "densify_counts", "convergence_streak"])
+def test_steps_of_the_geodesic_are_compiled(spark, sf_dir, name):
+    """The JVM interprets methods of 8000 bytes and more, at a multiple of the time."""
+    import re
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = measuring.queries()[name](spark, sf_dir)._jdf.queryExecution()
+        code = plan.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 7500
+
+
+def test_distance_is_null_only_where_a_position_is(spark):
+    from terrameter.functions.geodesic import inverse
+    from terrameter.functions.vincenty_sql import with_distance
+
+    ends = [(0.0, 0.0, 0.0, 0.0), (0.0, 0.0, 1.0, 0.0), (10.0, 90.0, 20.0, 90.0), (179.9, 10.0, -179.9, 10.1), (5.0, -60.0, 5.0, -61.0)]
+    rows = spark.createDataFrame([(*e, i) for i, e in enumerate(ends)] + [(None, 0.0, 1.0, 1.0, 9), (0.0, 0.0, 1.0, None, 9)], "lon1 double, lat1 double, lon2 double, lat2 double, i int")
+    found = [(r["i"], r["distance"]) for r in with_distance(rows).collect()]
+    assert all(d is None if i == 9 else abs(d - float(inverse(*ends[i])[0])) < 1e-6 for i, d in found)
