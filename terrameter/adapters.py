@@ -44,9 +44,9 @@ _ITEM_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extend
 
 def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key, v (place in the line), lon and lat of every order's items: one shuffle, by order."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", *_ITEM_ORDER)
-    order = Window.partitionBy("l_orderkey").orderBy(*_ITEM_ORDER)
-    return items.select(F.col("l_orderkey").alias("key"), F.row_number().over(order).alias("v"), F.expr(f"round({_VERTEX_LON}, 9)").alias("lon"), F.expr(f"round({_VERTEX_LAT}, 9)").alias("lat"))
+    items = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS key", *_ITEM_ORDER, f"round({_VERTEX_LON}, 9) AS lon", f"round({_VERTEX_LAT}, 9) AS lat")
+    order = Window.partitionBy("key").orderBy(*_ITEM_ORDER)  # by the name that later windows use, or they shuffle again
+    return items.select("key", F.row_number().over(order).alias("v"), "lon", "lat")
 
 
 def _duck(expr: str) -> str:

@@ -6,6 +6,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from terrameter import queries as measuring
 
@@ -114,3 +115,10 @@ def test_distance_is_null_only_where_a_position_is(spark):
 def test_line_measurement_shuffles_once_and_joins_nothing(spark, sf_dir):
     plan = measuring.queries()["line_measurement"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_items_of_no_order_are_a_line_of_one_place(spark, sf_dir, tmp_path):
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").limit(20)
+    items.union(items.limit(2).withColumn("l_orderkey", F.lit(None).cast("long"))).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = measuring.queries()["line_measurement"](spark, str(tmp_path)).where("key is null").collect()
+    assert [(r["measurement_status"], r["code"]) for r in found] == [("ERROR", "DEGENERATE_LINE")]
