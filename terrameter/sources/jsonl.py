@@ -159,13 +159,14 @@ def strict_problem(line: Column, limits: Limits = Limits()) -> Column:
     )
 
 
-def _files(spark: SparkSession, path: str, limits: Limits) -> DataFrame:
+def _files(spark: SparkSession, source: str | DataFrame, limits: Limits) -> DataFrame:
     """(file, lines, file_problem) of every file that has a byte; files beyond the limit are never read.
 
-    A file is bounded, so one task splits it: its rows, its last line's end and its size are known
+    ``source``: a path, or scanned files with path, length and content (null where the length is beyond the
+    limit).  A file is bounded, so one task splits it: its rows, its last line's end and its size are known
     without moving a line.
     """
-    files = spark.read.format("binaryFile").load(path)
+    files = spark.read.format("binaryFile").load(source) if isinstance(source, str) else source
     text = F.col("content").cast("string")
     # splitting makes characters of bytes: those that are none go through an encoding with one for each byte
     bytewise = F.transform(F.split(F.decode("content", "ISO-8859-1"), "\n", -1), lambda x: F.encode(x, "ISO-8859-1").cast("string"))
@@ -179,24 +180,24 @@ def _files(spark: SparkSession, path: str, limits: Limits) -> DataFrame:
     return fine.unionByName(large)
 
 
-def read_feature_lines(spark: SparkSession, path: str, schema: str, limits: Limits = Limits()) -> DataFrame:
-    """Parsed features of JSON Lines files with ``problem``; rows keep their own feature_index.
+def read_feature_lines(spark: SparkSession, source: str | DataFrame, schema: str, limits: Limits = Limits()) -> DataFrame:
+    """Parsed features of JSON Lines files (a path or scanned files) with ``problem``; rows keep their own feature_index.
 
     A problem of a whole file (see ``file_problems``) is that of each of its rows; a file that is too
     large to be read has one row.
     """
-    rows = _files(spark, path, limits).select("file_problem", F.explode_outer("lines").alias("value"))
+    rows = _files(spark, source, limits).select("file_problem", F.explode_outer("lines").alias("value"))
     rows = rows.withColumn("problem", F.coalesce("file_problem", strict_problem(F.col("value"), limits)))
     return rows.select("problem", F.when(F.col("problem").isNull(), F.from_json("value", schema)).alias("feature")).select("problem", "feature.*")
 
 
-def file_problems(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
+def file_problems(spark: SparkSession, source: str | DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(file, rows, file_problem) of every file that has a byte.
 
     too_large: beyond the limit in bytes (and its rows unknown); too_many_rows; truncated: the last
     line has no end.
     """
-    return _files(spark, path, limits).select("file", F.when(F.col("lines").isNotNull(), F.size("lines")).cast("long").alias("rows"), "file_problem")
+    return _files(spark, source, limits).select("file", F.when(F.col("lines").isNotNull(), F.size("lines")).cast("long").alias("rows"), "file_problem")
 
 
 def protocol_problem(features: DataFrame, manifest: dict) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import math
 import random
+import re
 import struct
 import tracemalloc
 import zipfile
@@ -352,3 +353,33 @@ def test_many_features_are_not_grouped_one_by_one(monkeypatch):
     features = [f for f in (_random_rings(rnd) for _ in range(60)) if f[0]]
     found = shapefile.group_rings(features, crs_from_wkt(WGS84_WKT), Limits())
     assert len(found) == len(features) and not any(isinstance(r, AssertionError) for r, _ in found)
+
+
+@pytest.mark.parametrize("name", ["jsonl_features", "jsonl_files"])
+def test_line_files_of_many_users_make_no_folders(spark, sf_dir, monkeypatch, name):
+    """A folder for each user would be made and listed by the driver, one by one."""
+    from terrameter import reader_queries
+
+    def refuse(spark):
+        raise AssertionError("no folder is needed")
+
+    monkeypatch.setattr(reader_queries, "scratch", refuse)
+    assert getattr(reader_queries, name)(spark, sf_dir).count() > 1
+
+
+def test_line_files_are_what_a_scan_of_them_would_be(spark, sf_dir, tmp_path, monkeypatch):
+    """Content and length of each file; one beyond the limit is listed without content, and refused."""
+    from terrameter import reader_queries
+    from terrameter.sources.jsonl import file_problems
+
+    files = reader_queries._line_files(spark, sf_dir).collect()
+    for r in files:
+        assert r["length"] == len(r["content"]) and r["content"].endswith(b"\n")
+        (tmp_path / r["path"].split("=")[1].replace("/part", "")).write_bytes(r["content"])
+    rows = lambda source: sorted((re.search(r"(\d+)(/part)?\.jsonl", r["file"])[1], r["rows"], r["file_problem"]) for r in file_problems(spark, source, limits).collect())
+    some = sorted(r["length"] for r in files)[len(files) // 2]
+    limits = Limits(features=500, output_bytes=some)
+    monkeypatch.setattr(reader_queries, "_LINE_LIMITS", limits)
+    found = reader_queries._line_files(spark, sf_dir)
+    assert {r["length"] > some for r in found.where("content is null").collect()} == {True}
+    assert rows(found) == rows(str(tmp_path)) and {p for _, _, p in rows(found)} == {None, "too_large"}
