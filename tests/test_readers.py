@@ -383,3 +383,32 @@ def test_line_files_are_what_a_scan_of_them_would_be(spark, sf_dir, tmp_path, mo
     found = reader_queries._line_files(spark, sf_dir)
     assert {r["length"] > some for r in found.where("content is null").collect()} == {True}
     assert rows(found) == rows(str(tmp_path)) and {p for _, _, p in rows(found)} == {None, "too_large"}
+
+
+def _squares_archive(n, rows=None):
+    from terrameter.file_adapters import attribute_table, main_file, shape_record, zipped
+
+    box = lambda x, h: [(x - h, -h), (x - h, h), (x + h, h), (x + h, -h), (x - h, -h)]
+    shapes = [shape_record(5, box(float(i), 0.05) + box(float(i), 0.02)[::-1], [0, 5]) for i in range(n)]
+    table = attribute_table([("id", "N", 4, 0)], [(False, [b"1"])] * (n if rows is None else rows), 3)
+    return zipped({"layer.shp": main_file(shapes), "layer.shx": b"", "layer.dbf": table, "layer.prj": WGS84_WKT.encode()})
+
+
+def test_rings_of_many_records_are_grouped_together(monkeypatch):
+    """One grouping for all records, with the results that each has alone in its place in the file."""
+    sizes, plain = [], shapefile.group_rings
+    monkeypatch.setattr(shapefile, "group_rings", lambda features, *rest: (sizes.append(len(features)), plain(features, *rest))[1])
+    many = shapefile.read_shapefile(_squares_archive(60)).features
+    assert sizes == [60] and {f.geometry_type for f in many} == {"Polygon"} and {len(f.geometry["coordinates"]) for f in many} == {2}
+    monkeypatch.setattr(shapefile, "_GROUP_RECORDS", 1)
+    one = shapefile.read_shapefile(_squares_archive(60)).features
+    assert many == one and sum(sizes[1:]) == 60 and max(sizes[1:]) == 1
+
+
+def test_a_budget_that_ends_comes_before_a_later_failure():
+    work = sum(f.extra_work for f in shapefile.read_shapefile(_squares_archive(10)).features)
+    assert len(shapefile.read_shapefile(_squares_archive(10), Limits(generated_work=work)).features) == 10
+    for rows, limits, code in ((10, Limits(generated_work=work - 1), "GENERATED_WORK_LIMIT"), (9, Limits(), "CORRUPT_SHAPEFILE"), (9, Limits(generated_work=work // 2), "GENERATED_WORK_LIMIT")):
+        with pytest.raises(FileFailure) as why:
+            shapefile.read_shapefile(_squares_archive(10, rows), limits)
+        assert why.value.code == code
