@@ -176,6 +176,6 @@ def process_files(files: DataFrame, limits: Limits = Limits(), staging: str | No
     headers = rows.where(F.col("feature_index") == HEADER_INDEX).select("path", "format", "crs_wkt", "file_failure", "file_message", "file_http_status", "file_warnings", "deleted_records")
     features = rows.where(F.col("feature_index") != HEADER_INDEX)  # those that had left before their file failed go with its manifest, below
     budgeted = _kept(with_running_budgets(shrunk(measured(normalised(features, limits), limits), limits), limits), staging, "features")
-    found = manifests(headers, budgeted)
+    found = _kept(manifests(headers, budgeted), staging, "manifests")
     kept = budgeted.join(found.where("status = 'COMPLETED'").select("path"), "path", "left_semi")
     return found, kept.drop("run_final", "run_work", "run_bytes", "breach", "over_limit", "output_bytes", "extra_work")

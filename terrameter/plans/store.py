@@ -28,6 +28,7 @@ from ..model import MEASUREMENT_STATUSES, STORED_FEATURE, STORED_FILE, Limits
 from ..sources.common import FileFailure
 
 ROWS_PER_BUCKET = 500_000
+ROWS_PER_TASK = 125_000  # that write a bucket
 MOST_BUCKETS = 4096
 
 
@@ -139,8 +140,11 @@ class Store:
         run = f"r{uuid.uuid4().hex}"
         buckets = max(1, min(MOST_BUCKETS, -(-n // ROWS_PER_BUCKET)))
         rows = rows.withColumn("bucket", _bucket(F.col("file_id"), F.lit(buckets)))
+        # a file's rows stay in one task, and no two buckets meet in one
+        tasks = max(1, -(-n // (buckets * ROWS_PER_TASK)))
+        task = F.col("bucket") * tasks + F.pmod(F.xxhash64("file_id", F.lit("task")), F.lit(tasks)).cast("int")
         # a job of its own folder: writers at once share no temporary files
-        rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "file_id", "feature_index").write.partitionBy("bucket").parquet(f"{self.root}/features/run={run}")
+        rows.repartitionById(buckets * tasks, task).sortWithinPartitions("bucket", "file_id", "feature_index").write.partitionBy("bucket").parquet(f"{self.root}/features/run={run}")
         return run, buckets
 
     def _show_files(self, rows: DataFrame, run: str, buckets: int) -> None:

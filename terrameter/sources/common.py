@@ -29,8 +29,11 @@ def issue(code: str, message: str, severity: str = "warning", details: object =
     return {"code": code, "message": message, "severity": severity, "details": None if details is None else compact(details)}
 
 
+_ENCODER = json.JSONEncoder(ensure_ascii=False, separators=(",", ":"), allow_nan=False)  # made once: json.dumps makes one a call
+
+
 def compact(value: object) -> str:
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"), allow_nan=False)
+    return _ENCODER.encode(value)
 
 
 def json_bytes(value: object) -> int:

@@ -600,3 +600,18 @@ def test_features_of_one_crs_are_placed_at_once(monkeypatch):
     assert calls == [2 * 298 + 4]
     assert [(i, r["issues"][0]["code"]) for i, r in enumerate(found) if r["issues"]] == [(7, "INVALID_WGS84_COORDINATE"), (8, "INVALID_COORDINATE")]
     assert [measure.measure_batch([g], [WGS84_WKT])[0] for g in lines[:20]] == found[:20]
+
+
+def test_single_holes_are_judged_together(monkeypatch):
+    """Polygons with one hole are looked at in one table, with the verdicts they have alone."""
+    import numpy as np
+
+    square = lambda x, y, h: np.array([(x - h, y - h), (x + h, y - h), (x + h, y + h), (x - h, y + h), (x - h, y - h)])
+    polygons = [[square(0, 0, 1 + k), square((k % 3) * 4.0 * (1 + k), 0.1, 0.5)[::-1]] for k in range(40)] + [[square(0, 0, 1)], [square(0, 0, 4), square(-1, 0, 0.5), square(1, 0, 0.5)]]
+    rings = [(k, r) for k, p in enumerate(polygons) for r in p]
+    segments = np.vstack([np.hstack([r[:-1], r[1:]]) for _, r in rings])
+    ring, owner = np.repeat(np.arange(len(rings)), 4), np.repeat([k for k, _ in rings], 4)
+    alone, nested = [], topology._nested
+    monkeypatch.setattr(topology, "_nested", lambda own: (alone.append(1), nested(own))[1])
+    got = topology.valid_batch(segments, np.arange(len(segments)), ring, owner, len(polygons))
+    assert got.tolist() == [topology.valid_polygon(p) for p in polygons] and sum(got) == 16 and len(alone) == 1

@@ -421,3 +421,25 @@ def test_archives_are_read_once(spark, sf_dir, name):
 
     plan = getattr(reader_queries, name)(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_the_guard_keeps_records_of_few_elements(monkeypatch):
+    """Only folders and elements with positions have a record of their own in the first pass, and Placemarks in Placemarks keep their own positions."""
+    made, plain = [], kml_reader._Open
+    monkeypatch.setattr(kml_reader, "_Open", lambda *a, **k: (made.append(1), plain(*a, **k))[1])
+    body = "<Folder>" + place("<name>x</name><ExtendedData><Data name='a'><value>1</value></Data></ExtendedData>" + polygon()) * 50 + "</Folder>"
+    assert kml_reader.outline_of(kml(body)).placemarks == 50 and len(made) == 51
+    nested = "".join("<Placemark><Point><coordinates>" + "1,2 " * i + "</coordinates></Point>" for i in range(1, 31)) + "</Placemark>" * 30
+    assert [f.coordinates for f in read_kml(kml(nested)).features] == list(range(1, 31))
+
+
+def test_a_publication_makes_its_documents_and_manifests_once(spark, sf_dir, monkeypatch):
+    """What is published is read from the staged documents and manifests, not made again from the tables."""
+    from terrameter import reader_queries
+
+    found = {}
+    monkeypatch.setattr(reader_queries, "_stores", {})
+    monkeypatch.setattr(reader_queries.Store, "publish", lambda self, manifests, features, ids: found.update(ids=ids.inputFiles(), manifests=manifests.inputFiles(), n=manifests.count()))
+    monkeypatch.setattr(reader_queries.Store, "delete", lambda self, file_id: None)
+    reader_queries._published(spark, sf_dir)
+    assert found["n"] > 0 and all("/staging/files/" in f for f in found["ids"]) and all("/staging/manifests/" in f for f in found["manifests"])
